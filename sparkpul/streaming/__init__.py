@@ -1,0 +1,7 @@
+"""No streaming operator.
+
+The PU library this package rebuilds reads whole tables and has no stream source,
+watermark, window or state. Nothing is built here on purpose; every operator in
+``sparkpul.operators`` is a batch DataFrame plan and can be applied inside a
+``foreachBatch`` sink by a caller who needs it on micro-batches.
+"""
