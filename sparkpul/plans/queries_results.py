@@ -1 +1,460 @@
-"""Result-table queries (registered on import)."""
+"""Registered queries for result tables, statistics and column helpers.
+
+The result table is derived from ``orders``: method = order priority, dataset =
+order year, metric = mean total price (see ``tables.result_table``).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..operators import metrics as M
+from ..operators import results as R
+from ..operators import stats as ST
+from .queries import register, r6
+from .tables import result_table, table
+
+# The benchmark's order priorities and the years present at sf0.01.
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+YEARS = ["1995", "1996", "1997", "1998", "1999", "2000", "2001"]
+STATUS_NAMES = {"F": "finished", "O": "open", "P": "partial"}
+DISCOUNTS = [0.0, 0.01, 0.02, 0.03, 0.04, 0.05, 0.06, 0.07, 0.08, 0.09, 0.1]
+
+RES = """res AS (SELECT o_orderpriority AS method, CAST(year(o_orderdate) AS VARCHAR) AS dataset,
+                 avg(o_totalprice) AS metric FROM orders GROUP BY 1, 2)"""
+
+
+def _esc(s: str) -> str:
+    return s.replace("'", "''")
+
+
+def _pivot_sql(index: str, key: str, names: list[str], src: str, value: str = "metric") -> str:
+    cols = ",\n       ".join(
+        f"round(max(CASE WHEN {key} = '{_esc(n)}' THEN {value} END), 6) AS \"{n}\"" for n in names
+    )
+    return f"SELECT {index},\n       {cols}\nFROM {src} GROUP BY {index}"
+
+
+@register("pivot_one_axis", f"WITH {RES}\n" + _pivot_sql("method", "dataset", YEARS, "res"))
+def q_pivot_one_axis(spark, sf_dir):
+    """Method x dataset pivot of the result table (pandas-style duplicate check)."""
+    res = result_table(spark, sf_dir)
+    wide = R.pivot_results(res, "method", "dataset", "metric")
+    return wide.select("method", *[r6(F.col(f"`{c}`")).alias(c) for c in wide.columns if c != "method"])
+
+
+FLAT_NAMES = [f"({y}, '{p}')" for y in YEARS for p in PRIORITIES]
+
+
+@register(
+    "pivot_flat_names",
+    """WITH r AS (SELECT o_orderstatus AS status, '(' || year(o_orderdate) || ', ''' || o_orderpriority || ''')' AS k,
+                avg(o_totalprice) AS metric FROM orders GROUP BY 1, 2)\n"""
+    + _pivot_sql("status", "k", FLAT_NAMES, "r"),
+)
+def q_pivot_flat_names(spark, sf_dir):
+    """Status x (year, priority) pivot with flattened tuple names."""
+    o = table(spark, sf_dir, "orders")
+    res = o.groupBy(
+        F.col("o_orderstatus").alias("status"),
+        F.year("o_orderdate").alias("year"),
+        F.col("o_orderpriority").alias("priority"),
+    ).agg(F.avg("o_totalprice").alias("metric"))
+    wide = R.pivot_results(res, "status", ["year", "priority"], "metric")
+    return wide.select("status", *[r6(F.col(f"`{c}`")).alias(c) for c in wide.columns if c != "status"])
+
+
+@register(
+    "matrix_pivot",
+    """WITH r AS (SELECT l_tax, CAST(l_discount AS VARCHAR) AS k, avg(l_extendedprice) AS metric
+           FROM lineitem GROUP BY 1, 2)\n"""
+    + _pivot_sql("l_tax", "k", [str(d) for d in DISCOUNTS], "r"),
+)
+def q_matrix_pivot(spark, sf_dir):
+    """Numeric matrix pivot (tax x discount, mean price), like quantile x prior."""
+    li = table(spark, sf_dir, "lineitem")
+    res = li.groupBy("l_tax", "l_discount").agg(F.avg("l_extendedprice").alias("metric"))
+    wide = R.pivot_results(res, "l_tax", "l_discount", "metric")
+    return wide.select("l_tax", *[r6(F.col(f"`{c}`")).alias(c) for c in wide.columns if c != "l_tax"])
+
+
+@register(
+    "widen_by_setting",
+    f"WITH {RES}\nSELECT method, "
+    + ", ".join(
+        f"round(max(CASE WHEN dataset = '{y}' THEN metric END), 6) AS metric_{y}, "
+        f"max(CASE WHEN dataset = '{y}' THEN n END)::BIGINT AS n_{y}"
+        for y in YEARS[:3]
+    )
+    + "\nFROM (SELECT r.*, c.n FROM res r JOIN (SELECT o_orderpriority AS method, CAST(year(o_orderdate) AS VARCHAR) AS dataset,"
+    " count(*) AS n FROM orders GROUP BY 1, 2) c USING (method, dataset)) GROUP BY method",
+)
+def q_widen_by_setting(spark, sf_dir):
+    """J7 + P6 + P7 + P8 + U3: one metric column per setting, joined on the method."""
+    o = table(spark, sf_dir, "orders")
+    res = o.groupBy(
+        F.col("o_orderpriority").alias("method"), F.year("o_orderdate").cast("string").alias("dataset")
+    ).agg(F.avg("o_totalprice").alias("metric"), F.count(F.lit(1)).alias("n"))
+    frames = {y: res.where(F.col("dataset") == y) for y in YEARS[:3]}
+    wide = R.widen_by_setting(frames, "method", ["metric", "n"], drop=["dataset"])
+    metric_cols = R.select_prefix(wide, "metric_", keep=["method"]).columns
+    n_cols = [c for c in wide.columns if c.startswith("n_")]
+    return wide.select(*[r6(c).alias(c) if c.startswith("metric_") else F.col(c) for c in metric_cols],
+                       *[F.col(c).cast("long") for c in n_cols])
+
+
+FALL_RES = """r AS (SELECT o_orderpriority AS classifier, 'S+' || o_orderstatus || '-' || year(o_orderdate) AS setting,
+              avg(o_totalprice) AS metric FROM orders GROUP BY 1, 2)"""
+
+
+@register(
+    "metric_fall",
+    f"""WITH {FALL_RES}
+SELECT t.train AS train_ds, d.classifier, round_even((1 - d.metric / s.metric) * 100, 2) AS fall
+FROM (VALUES ('F'), ('O')) t(train)
+JOIN r d ON d.setting = 'S+' || t.train || '-1996'
+JOIN r s ON s.setting = 'S+' || t.train || '-1995' AND s.classifier = d.classifier""",
+)
+def q_metric_fall(spark, sf_dir):
+    """J9 + A18 + F8 + F9: relative fall of the metric, other test year vs same."""
+    o = table(spark, sf_dir, "orders")
+    res = o.groupBy(
+        F.col("o_orderpriority").alias("classifier"),
+        C.format_setting("S+{}-{}", F.col("o_orderstatus"), F.year("o_orderdate")).alias("setting"),
+    ).agg(F.avg("o_totalprice").alias("metric"))
+    pairs = [(("F", "1996"), ("F", "1995")), (("O", "1996"), ("O", "1995"))]
+    return R.metric_fall(res, "classifier", "setting", "metric", pairs, "S+{}-{}")
+
+
+@register(
+    "with_baseline",
+    f"""WITH {RES},
+b AS (SELECT o_orderpriority AS method, CAST(year(o_orderdate) AS VARCHAR) AS dataset, avg(o_totalprice) AS metric
+      FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2)
+SELECT r.method, r.dataset, round(r.metric, 6) AS metric, round(b.metric, 6) AS baseline
+FROM res r LEFT JOIN b ON r.method = b.method AND r.dataset = b.dataset""",
+)
+def q_with_baseline(spark, sf_dir):
+    """Attach the baseline (finished orders only) of the same method and dataset."""
+    res = result_table(spark, sf_dir)
+    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
+    base = o.groupBy(
+        F.col("o_orderpriority").alias("method"), F.year("o_orderdate").cast("string").alias("dataset")
+    ).agg(F.avg("o_totalprice").alias("metric"))
+    out = R.with_baseline(res, base, ["method", "dataset"], "metric")
+    return out.select("method", "dataset", r6("metric").alias("metric"), r6("baseline").alias("baseline"))
+
+
+@register(
+    "distinct_values",
+    """SELECT DISTINCT o_orderpriority FROM orders""",
+)
+def q_distinct_values(spark, sf_dir):
+    """A22 + U4: distinct method names."""
+    return R.distinct_values(table(spark, sf_dir, "orders"), "o_orderpriority")
+
+
+@register(
+    "distinct_counts",
+    """SELECT count(DISTINCT o_orderpriority)::BIGINT AS n_methods, count(DISTINCT year(o_orderdate))::BIGINT AS n_datasets
+FROM orders""",
+)
+def q_distinct_counts(spark, sf_dir):
+    """Number of distinct methods and datasets (``nunique``)."""
+    o = table(spark, sf_dir, "orders")
+    return o.agg(
+        F.countDistinct("o_orderpriority").alias("n_methods"),
+        F.countDistinct(F.year("o_orderdate")).alias("n_datasets"),
+    )
+
+
+@register(
+    "metric_by_k",
+    """WITH d AS (SELECT 'knn-' || (CAST(substr(o_orderpriority, 1, 1) AS INTEGER) * 4 + 1) AS detector,
+                year(o_orderdate) AS seed, avg(o_totalprice) AS metric FROM orders GROUP BY 1, 2)
+SELECT CAST(substr(detector, 5) AS INTEGER) AS k, round(avg(metric), 6) AS mean, round(stddev_samp(metric), 6) AS std,
+       count(*)::BIGINT AS n FROM d GROUP BY 1""",
+)
+def q_metric_by_k(spark, sf_dir):
+    """A23 + F6: metric per k over seeds; detector names ``knn-{k}`` parsed back to k."""
+    o = table(spark, sf_dir, "orders")
+    det = F.concat(F.lit("knn-"), (F.substring("o_orderpriority", 1, 1).cast("int") * 4 + 1).cast("string"))
+    d = o.groupBy(det.alias("detector"), F.year("o_orderdate").alias("seed")).agg(F.avg("o_totalprice").alias("metric"))
+    out = R.metric_by_k(d.withColumn("k", C.suffix_int("detector")), "k", "metric")
+    return out.select("k", r6("mean").alias("mean"), r6("std").alias("std"), "n")
+
+
+RANKS = f"""{RES},
+rk AS (SELECT *, rank() OVER (PARTITION BY dataset ORDER BY metric DESC)
+              + (count(*) OVER (PARTITION BY dataset, metric) - 1) / 2.0 AS rank FROM res)"""
+
+
+@register(
+    "mean_ranks",
+    f"""WITH {RANKS}
+SELECT method, round(avg(rank), 6) AS mean_rank, count(*)::BIGINT AS n_datasets FROM rk GROUP BY method""",
+)
+def q_mean_ranks(spark, sf_dir):
+    """Mean-tie ranks of methods per dataset (larger metric is better), averaged."""
+    res = result_table(spark, sf_dir)
+    out = ST.mean_ranks(res, "method", "dataset", "metric")
+    return out.select("method", r6("mean_rank").alias("mean_rank"), "n_datasets")
+
+
+@register(
+    "friedman",
+    f"""WITH {RANKS},
+mr AS (SELECT method, avg(rank) AS r, count(*) AS n FROM rk GROUP BY method),
+a AS (SELECT sum(r * r) AS s2, count(*) AS k, max(n) AS n FROM mr),
+c AS (SELECT 12.0 * n / (k * (k + 1)) * (s2 - k * (k + 1) * (k + 1) / 4.0) AS chi2, k, n FROM a)
+SELECT round(chi2, 6) AS chi2, (k - 1)::BIGINT AS dof, n::BIGINT AS n_datasets, k::BIGINT AS n_methods,
+       round(exp(-chi2 / 2) * (1 + chi2 / 2), 6) AS pvalue FROM c""",
+)
+def q_friedman(spark, sf_dir):
+    """Friedman chi-square and p (5 methods: 4 degrees of freedom) over the years."""
+    res = result_table(spark, sf_dir)
+    out = ST.friedman(res, "method", "dataset", "metric")
+    return out.select(r6("chi2").alias("chi2"), "dof", "n_datasets", "n_methods", r6("pvalue").alias("pvalue"))
+
+
+@register(
+    "control_posthoc_z",
+    f"""WITH {RANKS},
+mr AS (SELECT method, avg(rank) AS r, count(*) AS n FROM rk GROUP BY method),
+ctl AS (SELECT method AS control, r AS rc FROM mr ORDER BY r, method LIMIT 1),
+kn AS (SELECT count(*) AS k, max(n) AS n FROM mr),
+wtl AS (SELECT m.method, sum((c.metric > m.metric)::INTEGER)::BIGINT AS win, sum((c.metric = m.metric)::INTEGER)::BIGINT AS tie,
+               sum((c.metric < m.metric)::INTEGER)::BIGINT AS loss
+        FROM res m JOIN res c ON m.dataset = c.dataset JOIN ctl ON c.method = ctl.control
+        WHERE m.method <> ctl.control GROUP BY m.method)
+SELECT mr.method, ctl.control, round(mr.r, 6) AS mean_rank, round((mr.r - ctl.rc) / sqrt(kn.k * (kn.k + 1) / (6.0 * kn.n)), 6) AS z,
+       wtl.win, wtl.tie, wtl.loss
+FROM mr, ctl, kn, wtl WHERE mr.method <> ctl.control AND wtl.method = mr.method""",
+)
+def q_control_posthoc_z(spark, sf_dir):
+    """Control post-hoc statistics (z, win/tie/loss of the best-ranked method)."""
+    res = result_table(spark, sf_dir)
+    out = ST.control_posthoc(res, "method", "dataset", "metric", with_p=False)
+    return out.select("method", "control", r6("mean_rank").alias("mean_rank"), r6("z").alias("z"), "win", "tie", "loss")
+
+
+@register("control_posthoc")
+def q_control_posthoc(spark, sf_dir):
+    """A26 with normal p-values and Holm adjustment (rows only: erfc)."""
+    res = result_table(spark, sf_dir)
+    return ST.control_posthoc(res, "method", "dataset", "metric")
+
+
+@register(
+    "pairwise_posthoc_z",
+    f"""WITH {RANKS},
+mr AS (SELECT method, avg(rank) AS r, count(*) AS n FROM rk GROUP BY method),
+kn AS (SELECT count(*) AS k, max(n) AS n FROM mr)
+SELECT a.method AS method_a, b.method AS method_b, round(a.r, 6) AS rank_a, round(b.r, 6) AS rank_b,
+       round((a.r - b.r) / sqrt(kn.k * (kn.k + 1) / (6.0 * kn.n)), 6) AS z
+FROM mr a JOIN mr b ON a.method < b.method, kn""",
+)
+def q_pairwise_posthoc_z(spark, sf_dir):
+    """Z statistic of every method pair."""
+    res = result_table(spark, sf_dir)
+    out = ST.pairwise_posthoc(res, "method", "dataset", "metric", with_p=False)
+    return out.select("method_a", "method_b", r6("rank_a").alias("rank_a"), r6("rank_b").alias("rank_b"), r6("z").alias("z"))
+
+
+@register("pairwise_posthoc")
+def q_pairwise_posthoc(spark, sf_dir):
+    """A27 with p-values, Holm adjusted over all pairs (rows only: erfc)."""
+    res = result_table(spark, sf_dir)
+    return ST.pairwise_posthoc(res, "method", "dataset", "metric")
+
+
+@register(
+    "mark_best",
+    f"""WITH {RES}
+SELECT method, dataset, round(metric, 6) AS metric, metric = max(metric) OVER (PARTITION BY dataset) AS is_best FROM res""",
+)
+def q_mark_best(spark, sf_dir):
+    """Best value of each dataset marked."""
+    res = result_table(spark, sf_dir)
+    out = ST.mark_best(res, "method", "dataset", "metric")
+    return out.select("method", "dataset", r6("metric").alias("metric"), "is_best")
+
+
+@register(
+    "parameter_grid",
+    """SELECT p.o_orderpriority AS classifier, f.l_returnflag AS flag, d.detector
+FROM (SELECT DISTINCT o_orderpriority FROM orders) p, (SELECT DISTINCT l_returnflag FROM lineitem) f,
+     (VALUES ('knn'), ('k-means')) d(detector)""",
+)
+def q_parameter_grid(spark, sf_dir):
+    """Cartesian grid of axes taken from the data (bounded distinct sets)."""
+    pri = [r[0] for r in R.distinct_values(table(spark, sf_dir, "orders"), "o_orderpriority").collect()]
+    flags = [r[0] for r in R.distinct_values(table(spark, sf_dir, "lineitem"), "l_returnflag").collect()]
+    return R.grid(spark, classifier=sorted(pri), flag=sorted(flags), detector=["knn", "k-means"])
+
+
+@register(
+    "zip_axes",
+    "WITH q AS ("
+    + " UNION ALL ".join(
+        f"SELECT {i + 1} AS pos, {p} AS prob, round(quantile_cont(value, {p}), 6) AS threshold FROM events"
+        for i, p in enumerate([0.5, 0.6, 0.7, 0.8, 0.9, 0.95])
+    )
+    + """),
+y AS (SELECT row_number() OVER (ORDER BY y) AS pos, CAST(y AS VARCHAR) AS dataset
+      FROM (SELECT DISTINCT year(o_orderdate) AS y FROM orders))
+SELECT q.pos::BIGINT AS pos, q.prob, q.threshold, y.dataset FROM q JOIN y ON q.pos = y.pos""",
+)
+def q_zip_axes(spark, sf_dir):
+    """Lock-step zip of thresholds (from events) with datasets (from orders), truncated."""
+    probs = [0.5, 0.6, 0.7, 0.8, 0.9, 0.95]
+    th = R.exact_quantiles(table(spark, sf_dir, "events"), "value", probs).collect()
+    years = sorted(r[0] for r in R.distinct_values(
+        table(spark, sf_dir, "orders").select(F.year("o_orderdate").cast("string").alias("y")), "y").collect())
+    z = R.zip_axes(spark, pos=list(range(1, len(th) + 1)), prob=[r["prob"] for r in th],
+                   threshold=[round(r["threshold"], 6) for r in th], dataset=years)
+    return z.select(F.col("pos").cast("long"), "prob", "threshold", "dataset")
+
+
+@register(
+    "pending_cells",
+    """WITH g AS (SELECT o_orderpriority AS method, s.o_orderstatus AS status
+           FROM (SELECT DISTINCT o_orderpriority FROM orders), (SELECT DISTINCT o_orderstatus FROM orders) s),
+done AS (SELECT DISTINCT o_orderpriority AS method, o_orderstatus AS status FROM orders WHERE o_totalprice > 400000)
+SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM done WHERE done.method = g.method AND done.status = g.status)""",
+)
+def q_pending_cells(spark, sf_dir):
+    """J8 + S10: grid cells without a result (finished = any order above 400,000)."""
+    o = table(spark, sf_dir, "orders")
+    pri = sorted(r[0] for r in R.distinct_values(o, "o_orderpriority").collect())
+    st = sorted(r[0] for r in R.distinct_values(o, "o_orderstatus").collect())
+    g = R.grid(spark, method=pri, status=st)
+    done = o.where("o_totalprice > 400000").select(
+        F.col("o_orderpriority").alias("method"), F.col("o_orderstatus").alias("status"))
+    return R.pending_cells(g, done, ["method", "status"])
+
+
+@register(
+    "match_vectors",
+    """SELECT vec_id FROM embeddings WHERE embedding::DOUBLE[] IN (SELECT embedding::DOUBLE[] FROM embeddings WHERE label < 3)""",
+)
+def q_match_vectors(spark, sf_dir):
+    """Rows whose vector exactly equals a known-positive vector (left semi join on arrays)."""
+    e = table(spark, sf_dir, "embeddings")
+    return R.match_vectors(e, e.where("label < 3"), "embedding").select("vec_id")
+
+
+@register(
+    "decode_names",
+    """SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' WHEN 'P' THEN 'partial' END AS status_name
+FROM orders""",
+)
+def q_decode_names(spark, sf_dir):
+    """Code -> name by a dictionary; unknown codes give null."""
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", R.decode("o_orderstatus", STATUS_NAMES).alias("status_name"))
+
+
+WIDE_DIM = 64
+
+
+@register(
+    "wide_features",
+    "SELECT vec_id, "
+    + ", ".join(f"round(embedding[{i + 1}]::DOUBLE, 6) AS __feature__{i}" for i in range(WIDE_DIM))
+    + ", round(list_sum(embedding::DOUBLE[]), 6) AS vec_sum FROM embeddings",
+)
+def q_wide_features(spark, sf_dir):
+    """P4 + P5: vector -> wide ``__feature__i`` columns, kept by name and packed back."""
+    e = table(spark, sf_dir, "embeddings")
+    wide = R.to_wide(e, "embedding", WIDE_DIM, keep=["vec_id"])
+    feats = R.keep_features(wide)
+    back = R.to_vector(wide, "v", keep=["vec_id"])
+    s = back.select("vec_id", F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("vec_sum"))
+    out = wide.join(s, "vec_id")
+    return out.select("vec_id", *[r6(F.col(c).cast("double")).alias(c) for c in feats.columns], r6("vec_sum").alias("vec_sum"))
+
+
+@register(
+    "scalar_functions",
+    """SELECT o_orderkey,
+  CASE WHEN o_orderpriority = '1-URGENT' THEN '/abs/' || o_orderkey || '.jpg'
+       ELSE '/data/img/' || o_orderstatus || '/' || o_orderkey || '.jpg' END AS path,
+  CASE WHEN o_totalprice > 100000 THEN 1.0 WHEN o_totalprice < 100000 THEN 0.0 ELSE 0.5 END AS step,
+  (CAST(substr(o_orderpriority, 1, 1) AS INTEGER) * 4 + 1) AS k,
+  upper(split_part(lower(o_orderstatus) || '_' || lower(o_orderpriority), '_', 1)) AS train_name,
+  round_even(o_totalprice / 1000, 2) AS price_k,
+  'S+' || o_orderstatus || '-' || o_orderpriority AS setting
+FROM orders""",
+)
+def q_scalar_functions(spark, sf_dir):
+    """F1 path join, F4 pair step, F6 suffix int, F7 title, F8 round half even, F9 format."""
+    o = table(spark, sf_dir, "orders")
+    rel = F.when(
+        F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit("/abs/"), F.col("o_orderkey").cast("string"), F.lit(".jpg"))
+    ).otherwise(F.concat(F.col("o_orderstatus"), F.lit("/"), F.col("o_orderkey").cast("string"), F.lit(".jpg")))
+    det = F.concat(F.lit("knn-"), (F.substring("o_orderpriority", 1, 1).cast("int") * 4 + 1).cast("string"))
+    name = F.concat(F.lower("o_orderstatus"), F.lit("_"), F.lower("o_orderpriority"))
+    return o.select(
+        "o_orderkey",
+        C.path_join("/data/img", rel).alias("path"),
+        C.pair_step("o_totalprice", F.lit(100000.0)).alias("step"),
+        C.suffix_int(det).alias("k"),
+        C.title_setting(name, 0).alias("train_name"),
+        C.round_even(F.col("o_totalprice") / 1000, 2).alias("price_k"),
+        C.format_setting("S+{}-{}", "o_orderstatus", "o_orderpriority").alias("setting"),
+    )
+
+
+@register(
+    "vector_norms",
+    """SELECT vec_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS norm,
+       round(list_distance(embedding::DOUBLE[], list_transform(embedding::DOUBLE[], lambda x: 0.0)), 6) AS dist0
+FROM embeddings""",
+)
+def q_vector_norms(spark, sf_dir):
+    """Euclidean norm and distance to the origin of every feature vector."""
+    e = table(spark, sf_dir, "embeddings")
+    zero = F.transform("embedding", lambda x: F.lit(0.0))
+    return e.select("vec_id", r6(C.l2_norm("embedding")).alias("norm"), r6(C.l2_distance("embedding", zero)).alias("dist0"))
+
+
+@register(
+    "aul_per_result_row",
+    """WITH li AS (SELECT l_orderkey, l_discount AS s, (l_returnflag = 'R')::INTEGER AS y FROM lineitem),
+pairs AS (SELECT a.l_orderkey, sum(CASE WHEN a.s > b.s THEN 1.0 WHEN a.s < b.s THEN 0.0 ELSE 0.5 END) AS acc
+          FROM li a JOIN li b ON a.l_orderkey = b.l_orderkey WHERE a.y = 1 GROUP BY a.l_orderkey),
+cnt AS (SELECT l_orderkey, sum(y) AS np, count(*) AS n FROM li GROUP BY l_orderkey)
+SELECT cnt.l_orderkey, round(pairs.acc / (cnt.np * cnt.n), 6) AS aul
+FROM cnt LEFT JOIN pairs ON cnt.l_orderkey = pairs.l_orderkey""",
+)
+def q_aul_per_result_row(spark, sf_dir):
+    """A24 + F2 + F3 + F10: every order is a stored result row whose ``y_true`` and
+    ``y_pred`` are text lists (``y_pred`` holds both class columns, so every second value
+    is kept); lists are parsed, zipped, exploded, and AUL is computed per row."""
+    li = table(spark, sf_dir, "lineitem")
+    items = li.select(
+        "l_orderkey", "l_linenumber", "l_discount", C.label(F.col("l_returnflag") == "R").alias("y")
+    )
+    stored = items.groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_list(F.struct("l_linenumber", "l_discount", "y"))).alias("_it")
+    ).select(
+        "l_orderkey",
+        F.concat(F.lit("["), F.array_join(F.transform("_it", lambda s: s["y"].cast("string")), ", "), F.lit("]")).alias("y_true"),
+        F.concat(
+            F.lit("["),
+            F.array_join(
+                F.transform("_it", lambda s: F.concat((F.lit(1.0) - s["l_discount"]).cast("string"), F.lit(", "),
+                                                     s["l_discount"].cast("string"))), ", "),
+            F.lit("]"),
+        ).alias("y_pred"),
+    )
+    parsed = stored.select(
+        "l_orderkey", C.parse_list("y_true").alias("yt"), C.parse_list("y_pred").alias("yp")
+    ).select("l_orderkey", "yt", C.every_second_if_double("yp", "yt").alias("yp"))
+    rows = parsed.select("l_orderkey", C.zip_explode("yt", "yp", ("y", "score"))).select(
+        "l_orderkey", F.col("col.y").cast("int").alias("y"), F.col("col.score").alias("score")
+    )
+    out = M.aul(rows, "y", "score", ["l_orderkey"])
+    return out.select("l_orderkey", r6("aul").alias("aul"))
