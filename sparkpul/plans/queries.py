@@ -537,6 +537,7 @@ def q_move_tails(spark, sf_dir):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from . import queries_results  # noqa: F401  (registers more entries)
     from . import queries_models  # noqa: F401
+    from . import queries_sources  # noqa: F401
 
     return dict(QUERIES)
 
