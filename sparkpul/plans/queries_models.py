@@ -1 +1,166 @@
-"""Model queries (registered on import)."""
+"""Registered queries for base classifiers, PU algorithms and experiment grids.
+
+The feature table is ``embeddings``: known positive ``label < 3``, true positive
+``label < 5``. A stratified 25 % of each true class is the test set; 20 % of the
+rest, stratified by the PU label, is the validation set.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import splits as S
+from ..operators.detectors import KMeansDetector, KNNDetector, RandomDetector
+from . import grid as G
+from .base import GaussianNB, make_classifier
+from .models import NonNegativePU, NonStop, ProbTagging, StopOnMetricDrop, TwoStep
+from .queries import register, r6
+from .tables import embedding_pu
+
+
+def pu_splits(spark, sf_dir):
+    pu = embedding_pu(spark, sf_dir)
+    sp = S.stratified_split(pu, "vec_id", "y_true", 0.25)
+    test = sp.where("split = 'val'").drop("split")
+    rest = sp.where("split = 'train'").drop("split")
+    tv = S.stratified_split(rest, "vec_id", "y_pu", 0.2)
+    return tv.where("split = 'train'").drop("split"), tv.where("split = 'val'").drop("split"), test
+
+
+def _scored(model, test):
+    p = model.predict_proba(test, out="prob")
+    p = model.predict(p, out="prediction") if not hasattr(model, "predict_from_prob") else p
+    return p.select("vec_id", "y_true", F.round("prob", 6).alias("prob"), F.col("prediction").cast("int"))
+
+
+NB_SQL = """
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, CASE WHEN coalesce(label < 5, false) THEN 1 ELSE 0 END AS y FROM embeddings),
+h AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5('1234:' || vec_id), vec_id) AS rk,
+             floor(count(*) OVER (PARTITION BY y) * 0.25) AS amt FROM e),
+tr AS (SELECT * FROM h WHERE rk > amt), te AS (SELECT * FROM h WHERE rk <= amt),
+ex AS (SELECT y AS c, unnest(v) AS x, unnest(range(len(v))) AS i FROM tr),
+mom AS (SELECT c, i, avg(x) AS m, var_pop(x) AS s FROM ex GROUP BY c, i),
+eps AS (SELECT 1e-9 * max(vv) AS eps FROM (SELECT i, var_pop(x) AS vv FROM ex GROUP BY i)),
+pri AS (SELECT y AS c, count(*) / (SELECT count(*) FROM tr) AS p FROM tr GROUP BY y),
+tx AS (SELECT vec_id, unnest(v) AS x, unnest(range(len(v))) AS i FROM te),
+jll AS (SELECT tx.vec_id, mom.c, sum(-0.5 * ln(2 * pi() * (mom.s + eps.eps)) - (tx.x - mom.m) * (tx.x - mom.m) / (2 * (mom.s + eps.eps))) AS ll
+        FROM tx JOIN mom ON tx.i = mom.i CROSS JOIN eps GROUP BY tx.vec_id, mom.c),
+j2 AS (SELECT jll.vec_id, jll.c, jll.ll + ln(pri.p) AS ll FROM jll JOIN pri ON jll.c = pri.c),
+pr AS (SELECT vec_id, 1 / (1 + exp(max(ll) FILTER (WHERE c = 0) - max(ll) FILTER (WHERE c = 1))) AS prob FROM j2 GROUP BY vec_id)
+SELECT vec_id, round(prob, 6) AS prob, (prob > 0.5)::INTEGER AS prediction FROM pr
+"""
+
+
+@register("naive_bayes", NB_SQL)
+def q_naive_bayes(spark, sf_dir):
+    """Gaussian naive Bayes from class moments (PN on the true label), test rows."""
+    pu = embedding_pu(spark, sf_dir)
+    sp = S.stratified_split(pu, "vec_id", "y_true", 0.25)
+    model = GaussianNB().fit(sp.where("split = 'train'"), "y_true")
+    test = sp.where("split = 'val'")
+    out = model.predict(model.predict_proba(test, out="prob"), out="prediction")
+    return out.select("vec_id", r6("prob").alias("prob"), F.col("prediction").cast("int"))
+
+
+def _pn(name):
+    def q(spark, sf_dir):
+        pu = embedding_pu(spark, sf_dir)
+        sp = S.stratified_split(pu, "vec_id", "y_true", 0.25)
+        model = make_classifier(name).fit(sp.where("split = 'train'"), "y_true")
+        return _scored(model, sp.where("split = 'val'"))
+
+    q.__doc__ = f"PN classifier '{name}' on the true label, scored on the test rows."
+    return q
+
+
+register("logistic_regression")(_pn("logistic"))  # M11
+register("random_forest")(_pn("rf"))  # M14
+register("calibrated_svm")(_pn("svm"))  # M15
+
+
+@register("two_step")
+def q_two_step(spark, sf_dir):
+    """M4 + M5: two-step with kNN negatives (k 5, 10 %), logistic base, 5 % moved per
+    round, stop on AUL drop, at most 4 rounds; test predictions."""
+    train, val, test = pu_splits(spark, sf_dir)
+    algo = TwoStep(KNNDetector(0.1, 5), StopOnMetricDrop("aul"), make_classifier("logistic"),
+                   frac_to_move=0.05, max_iterations=4).fit(train, val)
+    return _scored(algo, test)
+
+
+@register("two_step_nonstop_kmeans")
+def q_two_step_nonstop(spark, sf_dir):
+    """M4 + M6 + M3: two-step with k-means negatives and naive Bayes, never stopping."""
+    train, val, test = pu_splits(spark, sf_dir)
+    algo = TwoStep(KMeansDetector(0.2, 6), NonStop("accuracy"), make_classifier("naivebayes"),
+                   frac_to_move=0.05, max_iterations=3).fit(train, val)
+    return _scored(algo, test)
+
+
+@register("prob_tagging")
+def q_prob_tagging(spark, sf_dir):
+    """M7: ProbTagging with 9-NN credibility and 5 logistic classifiers."""
+    train, _, test = pu_splits(spark, sf_dir)
+    algo = ProbTagging(9, lambda: make_classifier("logistic"), 5).fit(train)
+    return _scored(algo, test)
+
+
+@register("nnpu")
+def q_nnpu(spark, sf_dir):
+    """M8: non-negative PU, linear-sigmoid model, prior 0.5, 60 full-batch Adam steps."""
+    train, _, test = pu_splits(spark, sf_dir)
+    algo = NonNegativePU([1], 0.5, epochs=60, learning_rate=0.01).fit(train)
+    return _scored(algo, test)
+
+
+@register("nnpu_auto_prior")
+def q_nnpu_auto(spark, sf_dir):
+    """M9: nnPU with the prior re-estimated on validation rows every epoch."""
+    train, val, test = pu_splits(spark, sf_dir)
+    algo = NonNegativePU([1], "auto", epochs=20, learning_rate=0.01).fit(train, val)
+    return _scored(algo, test)
+
+
+@register("nnpu_mlp")
+def q_nnpu_mlp(spark, sf_dir):
+    """nnPU with one hidden layer of 16 ReLU units."""
+    train, _, test = pu_splits(spark, sf_dir)
+    algo = NonNegativePU([16, 1], 0.5, epochs=30, learning_rate=0.01).fit(train)
+    return _scored(algo, test)
+
+
+@register("pn_baselines")
+def q_pn_baselines(spark, sf_dir):
+    """PN baselines (logistic, naive Bayes, 5-NN) on two settings of the feature table."""
+    return G.pn_baselines(spark, sf_dir, ["logistic", "naivebayes", "kneighbours-5"])
+
+
+@register("experiment_grid")
+def q_experiment_grid(spark, sf_dir):
+    """M17 + J12: thresholds x classifiers x detectors, one two-step run per cell."""
+    return G.experiment_grid(spark, sf_dir, thresholds=[2, 3], classifiers=["logistic", "naivebayes"],
+                             detectors={"knn-5": lambda: KNNDetector(0.1, 5), "random": lambda: RandomDetector(0.1)})
+
+
+@register("algorithm_comparison")
+def q_algorithm_comparison(spark, sf_dir):
+    """M18 + J13: two-step, nnPU and ProbTagging over lock-step zipped threshold axes."""
+    return G.algorithm_comparison(spark, sf_dir, thresholds=[3], algorithms=["tsa", "nnpu", "pt"])
+
+
+@register("k_selection")
+def q_k_selection(spark, sf_dir):
+    """M19 + A15 + A25: AUL on validation for k x seed, pivoted by seed."""
+    return G.k_selection(spark, sf_dir, ks=[3, 5, 7], seeds=[0, 1, 2])
+
+
+@register("prior_threshold_grid")
+def q_prior_threshold_grid(spark, sf_dir):
+    """nnPU over prior x threshold."""
+    return G.prior_threshold_grid(spark, sf_dir, priors=[0.3, 0.5], thresholds=[2, 3])
+
+
+@register("pca_projection")
+def q_pca_projection(spark, sf_dir):
+    """2-D PCA projection of the embeddings (sign-normalized components)."""
+    return G.pca_projection(embedding_pu(spark, sf_dir), "vec_id")
