@@ -122,8 +122,28 @@ def title_setting(name, part: int, sep: str = "_") -> Column:
 
 
 def round_even(c, digits: int = 2) -> Column:
-    """Round half to even, like Python's ``round`` (F8)."""
-    return F.bround(_col(c), digits)
+    """Round half to even on the exact binary value, like Python's ``round`` (F8).
+
+    Spark's ``bround`` rounds the shortest decimal string of a double (69.195 ->
+    69.2) where Python rounds the binary value (69.19499... -> 69.19). Near a tie
+    the sign of ``s x - (k + 1/2)`` is decided exactly with a Dekker split of x
+    (both halves times ``s`` are exact products); elsewhere ``bround`` is right.
+    """
+    x = _col(c).cast("double")
+    s = float(10**digits)
+    y = x * F.lit(s)
+    k = F.floor(y).cast("double")
+    near_tie = F.abs(y - k - F.lit(0.5)) < F.lit(1e-6)
+    split = F.lit(134217729.0) * x
+    hi = split - (split - x)
+    lo = x - hi
+    d = (F.lit(s) * hi - (k + F.lit(0.5))) + F.lit(s) * lo
+    down, up = k / F.lit(s), (k + F.lit(1.0)) / F.lit(s)
+    even = F.when(F.pmod(k, F.lit(2.0)) == 0, down).otherwise(up)
+    exact = F.when(d < 0, down).when(d > 0, up).otherwise(even)
+    return F.when(x.isNull() | F.isnan(x), x).when(near_tie & (F.abs(y) < F.lit(2.0**52)), exact).otherwise(
+        F.bround(x, digits)
+    )
 
 
 def format_setting(template: str, *cols) -> Column:

@@ -157,6 +157,9 @@ def widen_by_setting(frames: dict[str, DataFrame], key: str, metrics: Sequence[s
     for setting, df in frames.items():
         d = suffix_metrics(drop_columns(df, drop), metrics, setting)
         d = d.select(*unique_columns(d.columns))
+        if out is not None:
+            # a column already present keeps its first occurrence
+            d = d.select(key, *[c for c in d.columns if c != key and c not in out.columns])
         out = d if out is None else out.join(d, key, "full")
     return out
 
