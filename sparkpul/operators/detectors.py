@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import md5_key
+from ..session import checkpoint
 from .knn import mean_knn_distance
 from .ranking import hash_rank, top_n
 
@@ -69,10 +70,11 @@ class KNNDetector:
         return mean_knn_distance(unl, pos, self.k, id_col, vec_col)
 
     def negatives(self, df: DataFrame, id_col: str, y_col: str = "y_pu", vec_col: str = "features") -> DataFrame:
-        sc = self.scores(df, id_col, y_col, vec_col).withColumn("_key", F.round("mean_dist", 9))
-        n_unl = df.where(F.col(y_col) == 0).count()
+        # one row per unlabeled row, read several times by the cut: materialized once
+        sc = checkpoint(self.scores(df, id_col, y_col, vec_col).withColumn("_key", F.round("mean_dist", 9)))
+        n_unl = sc.count()
         amount = math.floor(n_unl * self.frac)
-        return top_n(sc, "_key", id_col, amount, descending=True).where("selected").drop("_key", "selected")
+        return top_n(sc, "_key", id_col, amount, descending=True, n_rows=n_unl).where("selected").drop("_key", "selected")
 
     def detect(self, df: DataFrame, id_col: str, y_col: str = "y_pu", vec_col: str = "features") -> DataFrame:
         return _roles(df, y_col, self.negatives(df, id_col, y_col, vec_col), id_col)

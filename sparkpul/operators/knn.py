@@ -20,7 +20,8 @@ with every reference row unless the data leave no other choice:
    keeps k per query row with ``argpartition``, and recomputes those k distances by
    difference (the matrix form loses digits near zero).
 7. *Merge.* ``row_number() <= k`` over the candidates of each query row; Spark puts a
-   partial ``WindowGroupLimit`` before the shuffle.
+   partial ``WindowGroupLimit`` before the shuffle. The result (query rows x k) is
+   checkpointed to the shared folder, since every caller aggregates it more than once.
 
 Ties are broken by ``round(d, 9)`` then the neighbour id, in every engine (N5).
 """
@@ -37,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import md5_key
+from ..session import checkpoint, ship_package
 
 BLOCK_ROWS = 1024
 QUERY_ROWS_PER_GROUP = 4096
@@ -83,6 +85,7 @@ def knn_join(
         raise ValueError("k must be at least 1")
     carry = list(carry)
     spark = query.sparkSession
+    ship_package(spark)
     refd = ref.select(
         F.col(ref_id).alias("_rid"),
         F.col(ref_vec).cast("array<double>").alias("_rv"),
@@ -253,8 +256,8 @@ def knn_join(
             *[F.col(f"_c_{c}").alias(c) for c in carry],
         )
     )
-    _ = spark
-    return result
+    # |query| x k rows that every caller reads more than once: cut the lineage here
+    return checkpoint(result)
 
 
 def mean_knn_distance(

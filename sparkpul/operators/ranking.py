@@ -169,19 +169,25 @@ def top_n(
     by: Sequence[str] | str | None = (),
     descending: bool = True,
     flag: str = "selected",
+    n_rows: int | None = None,
 ) -> DataFrame:
     """Flag the first ``n`` rows of each group ordered by ``score`` then ``id_col``.
 
     ``n`` is an int, or the name of a column carrying the per-group amount. Ties are
     broken by ascending id in both directions (N5). Returns ``df`` + ``flag`` (bool).
+    ``n_rows`` bounds the input size (counted when not given). ``df`` is read three
+    times: materialize it first when it is expensive to recompute.
     """
     by = _cols(by)
+    if n_rows is None:
+        n_rows = df.count()
     amount = F.col(n) if isinstance(n, str) else (n if isinstance(n, Column) else F.lit(int(n)))
     base = df.withColumn("_amount", amount.cast("long"))
     per_score = base.groupBy(*by, score).agg(
         F.count(F.lit(1)).alias("_cnt"), F.first("_amount").alias("_amount")
     )
-    per_score = prefix_sums(per_score, score, ["_cnt"], by=by, descending=descending)
+    # distinct scores and tied rows are both bounded by the row count
+    per_score = prefix_sums(per_score, score, ["_cnt"], by=by, descending=descending, n_rows=n_rows)
     per_score = per_score.withColumn(
         "_state",
         F.when(F.col("_cnt_before") + F.col("_cnt") <= F.col("_amount"), F.lit(2))
@@ -192,7 +198,7 @@ def top_n(
     tagged = base.drop("_amount").join(states, on=[*by, score], how="inner")
     # rows tied at the cut score: rank by id (unique within the tie group)
     cut = tagged.where(F.col("_state") == 1).withColumn("_one", F.lit(1))
-    cut = prefix_sums(cut, id_col, ["_one"], by=[*by, score])
+    cut = prefix_sums(cut, id_col, ["_one"], by=[*by, score], n_rows=n_rows)
     cut_ids = cut.where(F.col("_one_before") < F.col("_rest")).select(*by, id_col).withColumn(
         "_tie_in", F.lit(True)
     )
@@ -234,20 +240,47 @@ def tail_cuts(
     id_col: str,
     frac: float,
     by: Sequence[str] | str | None = (),
+    n_rows: int | None = None,
 ) -> DataFrame:
     """Flag the lowest and highest ``floor(frac * n)`` rows per group.
 
-    Adds ``low`` and ``high`` booleans. With ``frac <= 0.5`` the tails are disjoint.
+    Adds ``low`` and ``high`` booleans. One running count over the distinct scores
+    serves both tails (rows above a score = total - rows below - rows at it), and one
+    id ranking serves the rows tied at either cut. Ties go to the smaller id in both
+    directions. With ``frac <= 0.5`` the tails are disjoint.
     """
     by = _cols(by)
+    n = df.count() if n_rows is None else n_rows
+    per_score = df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("_cnt"))
     if by:
-        sizes = df.groupBy(*by).agg(
-            F.floor(F.count(F.lit(1)) * F.lit(float(frac))).cast("long").alias("_m")
-        )
+        sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_tot"))
         # one row per group: the groups are the few classes of a PU table
-        sized = df.join(F.broadcast(sizes), on=by, how="inner")
+        per_score = per_score.join(F.broadcast(sizes), on=by, how="inner")
     else:
-        sized = df.withColumn("_m", F.lit(int(math.floor(df.count() * frac))).cast("long"))
-    low = top_n(sized, score, id_col, "_m", by=by, descending=False, flag="low")
-    high = top_n(low, score, id_col, "_m", by=by, descending=True, flag="high")
-    return high.drop("_m")
+        per_score = per_score.withColumn("_tot", F.lit(int(n)).cast("long"))
+    per_score = prefix_sums(per_score, score, ["_cnt"], by=by, n_rows=n)
+    m = F.floor(F.col("_tot") * F.lit(float(frac)))
+    asc = F.col("_cnt_before")
+    desc = F.col("_tot") - F.col("_cnt_before") - F.col("_cnt")
+
+    def state(before):
+        return (
+            F.when(before + F.col("_cnt") <= m, F.lit(2)).when(before < m, F.lit(1)).otherwise(F.lit(0))
+        )
+
+    states = per_score.select(
+        *by, score,
+        state(asc).alias("_ls"), (m - asc).alias("_lr"),
+        state(desc).alias("_hs"), (m - desc).alias("_hr"),
+    )
+    tagged = df.join(states, on=[*by, score], how="inner")
+    cut = tagged.where((F.col("_ls") == 1) | (F.col("_hs") == 1)).select(*by, score, id_col).withColumn("_one", F.lit(1))
+    cut = prefix_sums(cut, id_col, ["_one"], by=[*by, score], n_rows=n).select(*by, id_col, "_one_before")
+    out = tagged.join(cut, on=[*by, id_col], how="left")
+    tie_rank = F.coalesce(F.col("_one_before"), F.lit(-1))
+    out = out.withColumn(
+        "low", (F.col("_ls") == 2) | ((F.col("_ls") == 1) & (tie_rank >= 0) & (tie_rank < F.col("_lr")))
+    ).withColumn(
+        "high", (F.col("_hs") == 2) | ((F.col("_hs") == 1) & (tie_rank >= 0) & (tie_rank < F.col("_hr")))
+    )
+    return out.drop("_ls", "_lr", "_hs", "_hr", "_one_before")

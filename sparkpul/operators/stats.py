@@ -81,6 +81,9 @@ def friedman(df: DataFrame, method: str, dataset: str, score: str, maximize: boo
     One row: ``chi2, dof, pvalue, n_datasets, n_methods``. Datasets must hold every
     method once (complete block design), as in the reports.
     """
+    from ..session import ship_package
+
+    ship_package(df.sparkSession)
     mr = mean_ranks(df, method, dataset, score, maximize)
     agg = mr.agg(
         F.sum(F.col("mean_rank") * F.col("mean_rank")).alias("_s2"),

@@ -21,7 +21,7 @@ from ..operators import metrics as M
 from ..operators.knn import credibility
 from ..operators.ranking import tail_cuts
 from ..operators.splits import DEFAULT_SEED, bernoulli_tags
-from ..session import checkpoint
+from ..session import checkpoint, ship_package
 from .base import Fitted
 
 # ----------------------------------------------------------------------------- stop criteria
@@ -114,8 +114,8 @@ class TwoStep:
                 scored = model.predict(unl, features, "_s")
             else:
                 scored = model.predict_proba(unl, features, "_s")
-            scored = scored.withColumn("_s", F.round(F.col("_s").cast("double"), 12))
-            cuts = tail_cuts(scored, "_s", idc, self.frac)
+            scored = checkpoint(scored.select(idc, F.round(F.col("_s").cast("double"), 12).alias("_s")))
+            cuts = tail_cuts(scored, "_s", idc, self.frac, n_rows=n_unl)
             moved = cuts.where(F.col("low") | (F.col("high") & F.lit(self.move_positive))).select(
                 idc, F.when(F.col("low"), "N").otherwise("P").alias("_new")
             )
@@ -230,6 +230,7 @@ class NonNegativePU(Fitted):
         return ws
 
     def fit(self, train: DataFrame, val: DataFrame | None = None, features: str = "features", y: str = "y_pu"):
+        ship_package(train.sparkSession)
         data = checkpoint(train.select(F.col(features).cast("array<double>").alias("_x"), F.col(y).cast("int").alias("_y")))
         dim = len(data.select("_x").first()["_x"])
         self.weights = self._init(dim)
@@ -310,6 +311,7 @@ class NonNegativePU(Fitted):
             z = dot_plus(features, w[:, 0], float(b[0]))
             return df.withColumn(out, F.lit(1.0) / (F.lit(1.0) + F.exp(-z)))
         weights = self.weights
+        ship_package(df.sparkSession)
 
         @F.pandas_udf("double")
         def _mlp(col: pd.Series) -> pd.Series:

@@ -90,7 +90,10 @@ def feature_store(
     request for other ids than last time computes exactly those (the reference cache
     ignores which images were asked for).
     """
+    from ..session import ship_package
+
     spark = df.sparkSession
+    ship_package(spark)
     wanted = df.select(id_col, input_col)
     try:
         have = (
