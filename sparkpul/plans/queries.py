@@ -304,6 +304,53 @@ def q_threshold_labels(spark, sf_dir):
     return ev.select("event_id", label(events_reliable()).alias("y_pu"), label(events_positive()).alias("y_true"))
 
 
+@register(
+    "whole_as_test",
+    f"""
+WITH {EVENTS}
+SELECT event_id, y_true, y_pu, 'test' AS split FROM ev
+""",
+)
+def q_whole_as_test(spark, sf_dir):
+    """The whole table as a PN test set (test_frac = 1)."""
+    ev = table(spark, sf_dir, "events")
+    out = S.whole_as_test(ev, "event_id", events_reliable(), events_positive())
+    return out.select("event_id", "y_true", "y_pu", "split")
+
+
+@register(
+    "presplit_recipe",
+    f"""
+WITH {EVENTS}
+SELECT event_id, y_true, y_pu,
+       CASE WHEN event_type IN ('click', 'view', 'signup') THEN 'train' WHEN event_type = 'error' THEN 'val' ELSE 'test' END AS split
+FROM ev WHERE event_type IN ('click', 'view', 'signup', 'error', 'purchase')
+""",
+)
+def q_presplit_recipe(spark, sf_dir):
+    """A dataset that comes as train / val / test tables (here: by event type)."""
+    ev = table(spark, sf_dir, "events")
+    train = ev.where(F.col("event_type").isin("click", "view", "signup"))
+    val = ev.where(F.col("event_type") == "error")
+    test = ev.where(F.col("event_type") == "purchase")
+    out = S.presplit_recipe(train, val, test, "event_id", events_reliable(), events_positive())
+    return out.select("event_id", "y_true", "y_pu", "split")
+
+
+@register(
+    "score_rank",
+    """
+SELECT event_id, row_number() OVER (ORDER BY value, event_id)::BIGINT AS rank FROM events
+""",
+)
+def q_score_rank(spark, sf_dir):
+    """Exact global rank of every event by score (ties by id) without a one-task window."""
+    from ..operators.ranking import global_rank
+
+    ev = table(spark, sf_dir, "events").select("event_id", "value")
+    return global_rank(ev, "value", "event_id").select("event_id", "rank")
+
+
 QUANTILE_PROBS = [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 0.99]
 
 

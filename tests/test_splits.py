@@ -62,3 +62,20 @@ def test_stratified_split_per_class(spark):
     out = S.stratified_split(df, "id", "y", 0.25).toPandas()
     for cls, part in out.groupby("y"):
         assert (part.split == "val").sum() == math.floor(0.25 * len(part))
+
+
+def test_dynamic_partition_overwrite_replaces_one_cell(spark):
+    """Writing one cell again replaces only that cell; skip keeps a result."""
+    from sparkpul.session import scratch_path
+    from sparkpul.sources.tables import write_results
+
+    path = scratch_path(spark, "cells")
+    a = spark.createDataFrame([("x", 1, 0.1), ("y", 1, 0.2)], "cell string, seed int, v double")
+    write_results(a, path, keys=["cell"])
+    write_results(spark.createDataFrame([("x", 2, 0.9)], "cell string, seed int, v double"), path, keys=["cell"])
+    got = sorted((r["cell"], r["seed"]) for r in spark.read.parquet(path).collect())
+    assert got == [("x", 2), ("y", 1)]
+    other = scratch_path(spark, "skip")
+    write_results(a, other)
+    write_results(a.limit(0), other, skip_existing=True)
+    assert spark.read.parquet(other).count() == 2
