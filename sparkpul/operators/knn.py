@@ -40,6 +40,10 @@ from pyspark.sql import types as T
 from ..functions.columns import md5_key
 from ..session import checkpoint, ship_package
 
+# Reference sets up to this many doubles (32 MB) are broadcast; larger ones use blocks.
+BROADCAST_REF_VALUES = 4_000_000
+# Distance-matrix cells computed at once inside a task.
+TASK_MATRIX_CELLS = 4_000_000
 BLOCK_ROWS = 1024
 QUERY_ROWS_PER_GROUP = 4096
 MAX_PIVOTS = 512
@@ -61,6 +65,78 @@ def _pairwise(q: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.sqrt(d2)
 
 
+def _topk_rows(q: np.ndarray, p: np.ndarray, ids: np.ndarray, k: int):
+    """Exact k nearest of every row of ``q`` among ``p``, ordered by (round(d, 9), id).
+
+    Returns (row index, reference index, distance) arrays; distances of the winners
+    are recomputed by difference.
+    """
+    n_p = p.shape[0]
+    d = _pairwise(q, p)
+    extra = min(n_p, k + 8)
+    if extra < n_p:
+        cand = np.argpartition(d, extra - 1, axis=1)[:, :extra]
+    else:
+        cand = np.tile(np.arange(n_p), (q.shape[0], 1))
+    cd = np.take_along_axis(d, cand, axis=1)
+    # lexicographic (round(d, 9), id): stable sort by id, then by rounded distance
+    o1 = np.argsort(ids[cand], axis=1, kind="stable")
+    cand, cd = np.take_along_axis(cand, o1, axis=1), np.take_along_axis(cd, o1, axis=1)
+    o2 = np.argsort(np.round(cd, 9), axis=1, kind="stable")
+    cand, cd = np.take_along_axis(cand, o2, axis=1), np.take_along_axis(cd, o2, axis=1)
+    # a tie group wider than the candidate set at the k-th place: sort that row fully
+    if extra < n_p:
+        kth = np.round(cd[:, k - 1], 9)
+        last = np.round(cd[:, -1], 9)
+        for r in np.nonzero(last <= kth)[0]:
+            order = np.lexsort((ids, np.round(d[r], 9)))[:extra]
+            cand[r] = order
+    rows = np.repeat(np.arange(q.shape[0]), k)
+    cols = cand[:, :k].ravel()
+    diff = q[rows] - p[cols]
+    return rows, cols, np.sqrt(np.einsum("ij,ij->i", diff, diff))
+
+
+def _knn_broadcast(query: DataFrame, refd: DataFrame, k: int, query_id: str, query_vec: str, carry: list) -> DataFrame:
+    """kNN against a reference of checked, bounded size shipped once per executor."""
+    spark = query.sparkSession
+    rows = refd.collect()
+    ref_ids = np.array([r["_rid"] for r in rows])
+    ref_vec = np.array([r["_rv"] for r in rows], dtype=np.float64)
+    ref_carry = {c: np.array([r[f"_c_{c}"] for r in rows], dtype=object) for c in carry}
+    bc = spark.sparkContext.broadcast((ref_ids, ref_vec, ref_carry))
+    qd = query.select(F.col(query_id).alias("_qid"), F.col(query_vec).cast("array<double>").alias("_qv"))
+    fields = [
+        T.StructField(query_id, qd.schema["_qid"].dataType),
+        T.StructField("nn_id", refd.schema["_rid"].dataType),
+        T.StructField("distance", T.DoubleType()),
+        T.StructField("nn_rank", T.IntegerType()),
+    ] + [T.StructField(c, refd.schema[f"_c_{c}"].dataType) for c in carry]
+    kk = k
+
+    def run(batches):
+        ids, p, cv = bc.value
+        step = max(1, TASK_MATRIX_CELLS // max(1, p.shape[0]))
+        for pdf in batches:
+            for start in range(0, len(pdf), step):
+                part = pdf.iloc[start: start + step]
+                if len(part) == 0:
+                    continue
+                q = _as_matrix(part["_qv"])
+                r, c, dist = _topk_rows(q, p, ids, kk)
+                out = {
+                    query_id: part["_qid"].to_numpy()[r],
+                    "nn_id": ids[c],
+                    "distance": dist,
+                    "nn_rank": np.tile(np.arange(1, kk + 1, dtype=np.int32), q.shape[0]),
+                }
+                for name in cv:
+                    out[name] = cv[name][c]
+                yield pd.DataFrame(out)
+
+    return qd.mapInPandas(run, T.StructType(fields))
+
+
 def knn_join(
     query: DataFrame,
     ref: DataFrame,
@@ -73,9 +149,13 @@ def knn_join(
     seed: int = 1234,
     block_rows: int = BLOCK_ROWS,
     query_rows_per_group: int = QUERY_ROWS_PER_GROUP,
+    method: str = "auto",
 ) -> DataFrame:
     """For every query row, its ``k`` nearest reference rows.
 
+    ``method='auto'`` broadcasts the reference when its counted size is at most
+    ``BROADCAST_REF_VALUES`` doubles, and otherwise uses the pruned block plan.
+
     Returns ``(query_id, nn_id, distance, nn_rank, *carry)`` where ``nn_id`` is the
     reference id and ``carry`` are reference columns passed through (J4). A row that
     is in both inputs counts as its own neighbour (J3). Raises ``ValueError`` when the
@@ -91,9 +171,14 @@ def knn_join(
         F.col(ref_vec).cast("array<double>").alias("_rv"),
         *[F.col(c).alias(f"_c_{c}") for c in carry],
     )
-    n_ref = refd.count()
+    size = refd.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_rv")).alias("d")).first()
+    n_ref, dim = int(size["n"]), int(size["d"] or 0)
     if n_ref < k:
         raise ValueError(f"k={k} is larger than the {n_ref} reference rows")
+    if method not in ("auto", "broadcast", "blocks"):
+        raise ValueError(f"unknown method {method}")
+    if method == "broadcast" or (method == "auto" and n_ref * dim <= BROADCAST_REF_VALUES):
+        return checkpoint(_knn_broadcast(query, refd, k, query_id, query_vec, carry))
 
     # 1. pivots: bounded number of reference rows, md5 order (deterministic)
     m = int(min(n_ref, MAX_PIVOTS, max(k, 16, math.ceil(math.sqrt(n_ref)))))

@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 # Rows per bucket a single task sorts; bounded independent of the table size.
 ROWS_PER_BUCKET = 1 << 20
+# Below this many rows per bucket, more buckets only add overhead.
+MIN_ROWS_PER_BUCKET = 1 << 18
 # Largest per-bucket table that is broadcast rather than shuffled.
 BROADCAST_ROWS = 2_000_000
 
@@ -43,11 +45,21 @@ def _maybe_broadcast(df: DataFrame, bound: int) -> DataFrame:
     return F.broadcast(df) if bound <= BROADCAST_ROWS else df
 
 
-def hex_digits_for(n_rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
-    """Leading md5 hex digits so that ``n_rows / 16**h <= rows_per_bucket``."""
-    if n_rows <= rows_per_bucket:
-        return 1
-    return max(1, min(7, math.ceil(math.log(n_rows / rows_per_bucket, 16))))
+def _parallelism(df: DataFrame) -> int:
+    try:
+        return int(df.sparkSession.sparkContext.defaultParallelism)
+    except Exception:
+        return 8
+
+
+def hex_digits_for(n_rows: int, rows_per_bucket: int | None = None, parallelism: int = 8) -> int:
+    """Leading md5 hex digits so that ``n_rows / 16**h <= rows_per_bucket`` and, for
+    large inputs, there are at least ``2 x parallelism`` buckets."""
+    rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
+    need = max(1.0, n_rows / rows_per_bucket)
+    if n_rows > MIN_ROWS_PER_BUCKET:
+        need = max(need, min(2 * parallelism, n_rows / MIN_ROWS_PER_BUCKET))
+    return max(1, min(7, math.ceil(math.log(need, 16)))) if need > 1 else 1
 
 
 def hash_rank(
@@ -66,7 +78,7 @@ def hash_rank(
     by = _cols(by)
     if n_rows is None:
         n_rows = df.count()
-    h = hex_digits_for(n_rows)
+    h = hex_digits_for(n_rows, parallelism=_parallelism(df))
     bucket = F.conv(F.substring(F.col(key), 1, h), 16, 10).cast("long")
     with_b = df.withColumn("_bucket", bucket)
     counts = with_b.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
@@ -90,6 +102,8 @@ def hash_rank(
 def _bucketize(df: DataFrame, order: str, n_rows: int, out: str) -> tuple[DataFrame, int]:
     """Monotone bucket of ``order`` from approximate quantiles (key assumed unique)."""
     nb = max(1, math.ceil(n_rows / ROWS_PER_BUCKET))
+    if n_rows > MIN_ROWS_PER_BUCKET:
+        nb = max(nb, min(2 * _parallelism(df), math.ceil(n_rows / MIN_ROWS_PER_BUCKET)))
     if nb == 1:
         return df.withColumn(out, F.lit(0)), 1
     from pyspark.ml.feature import Bucketizer
@@ -116,8 +130,10 @@ def prefix_sums(
     """Add ``{v}_before`` = sum of ``v`` over rows earlier in ``order`` within ``by``.
 
     ``order`` must be unique within each ``by`` group and not null. Rows are split
-    into quantile buckets of about ``ROWS_PER_BUCKET`` rows; per-bucket totals give
-    the offset, a window inside (group, bucket) gives the rest.
+    into quantile buckets of about ``ROWS_PER_BUCKET`` rows (sized by the largest
+    group when there are groups); per-bucket totals give the offset, a window inside
+    (group, bucket) gives the rest. ``n_rows`` (used without groups) bounds the row
+    count and is counted when not given.
     """
     by = _cols(by)
     values = list(values)
@@ -126,7 +142,11 @@ def prefix_sums(
     if descending:
         order_key = "_neg_order"
         work = work.withColumn(order_key, -F.col(order).cast("double"))
-    if n_rows is None:
+    if by:
+        # buckets only need to split the largest group: many small groups already
+        # spread over tasks through the window partitioning
+        n_rows = work.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    elif n_rows is None:
         n_rows = work.count()
     work, nb = _bucketize(work, order_key, n_rows, "_pb")
     w_in = Window.partitionBy(*by, "_pb").orderBy(order_key).rowsBetween(
@@ -148,8 +168,10 @@ def prefix_sums(
             "_pb",
             *[F.coalesce(F.sum(f"_t_{v}").over(w_off), F.lit(0)).alias(f"_o_{v}") for v in values],
         )
-        bound = nb * 64 if by else nb
-        out = work.join(_maybe_broadcast(offsets, bound), on=[*by, "_pb"], how="inner")
+        # without groups the table has nb rows: broadcast; with groups its size is
+        # groups x nb, unknown here, so the join strategy is left to AQE's size check
+        offsets = _maybe_broadcast(offsets, nb) if not by else offsets
+        out = work.join(offsets, on=[*by, "_pb"], how="inner")
         for v in values:
             out = out.withColumn(
                 f"{v}_before",

@@ -26,6 +26,14 @@ def class_counts(df: DataFrame, by: str) -> dict:
     return {r[by]: r["n"] for r in df.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
+def _amounts(by: str, counts: dict, frac: float):
+    """Per-class ``floor(frac * n)`` as a literal expression (one small aggregate gave n)."""
+    expr = F.lit(0).cast("long")
+    for cls, n in counts.items():
+        expr = F.when(F.col(by) == F.lit(cls), F.lit(int(math.floor(n * frac)))).otherwise(expr)
+    return expr
+
+
 def _rank_by_hash(df: DataFrame, id_col: str, by, seed: int, salt: str | None = None) -> DataFrame:
     key_cols = [salt, id_col] if salt else [id_col]
     keyed = df.withColumn("_hk", md5_key(seed, *[F.lit(c) if c == salt else F.col(c) for c in key_cols]))
@@ -48,22 +56,16 @@ def exact_sample(
     """
     if (frac is None) == (n is None):
         raise ValueError("give exactly one of frac or n")
-    grp = [by] if by else []
-    ranked = _rank_by_hash(df, id_col, grp, seed)
-    if n is not None:
-        amount = F.lit(int(n))
-        out = ranked
+    keyed = df.withColumn("_hk", md5_key(seed, id_col))
+    if by:
+        counts = class_counts(df, by)
+        ranked = hash_rank(keyed, "_hk", id_col, by=[by], rank_col="_hrank", n_rows=max(counts.values(), default=1))
+        amount = F.lit(int(n)) if n is not None else _amounts(by, counts, frac)
     else:
-        sizes = ranked.groupBy(*grp).agg(
-            F.floor(F.count(F.lit(1)) * F.lit(float(frac))).cast("long").alias("_amt")
-        )
-        if grp:
-            out = ranked.join(F.broadcast(sizes), grp)
-        else:
-            total = df.count()
-            out = ranked.withColumn("_amt", F.lit(int(math.floor(total * frac))))
-        amount = F.col("_amt")
-    return out.withColumn(flag, F.col("_hrank") <= amount).drop("_hrank", "_amt")
+        total = df.count()
+        ranked = hash_rank(keyed, "_hk", id_col, rank_col="_hrank", n_rows=total)
+        amount = F.lit(int(n) if n is not None else int(math.floor(total * frac)))
+    return ranked.withColumn(flag, F.col("_hrank") <= amount).drop("_hrank", "_hk")
 
 
 def permutation(df: DataFrame, id_col: str, seed: int = DEFAULT_SEED, pos_col: str = "pos") -> DataFrame:
@@ -87,14 +89,13 @@ def pn_test_split(
     on the negative side (N1, N2): build the predicates with ``functions.greater``.
     """
     labelled = df.withColumn("y_true", label(positive)).withColumn("y_pu", label(reliable))
-    ranked = _rank_by_hash(labelled, id_col, ["y_true"], seed)
-    sizes = ranked.groupBy("y_true").agg(
-        F.floor(F.count(F.lit(1)) * F.lit(float(test_frac))).cast("long").alias("_amt")
-    )
+    counts = class_counts(labelled, "y_true")
+    keyed = labelled.withColumn("_hk", md5_key(seed, id_col))
+    ranked = hash_rank(keyed, "_hk", id_col, by=["y_true"], rank_col="_hrank", n_rows=max(counts.values(), default=1))
     return (
-        ranked.join(F.broadcast(sizes), "y_true")
+        ranked.withColumn("_amt", _amounts("y_true", counts, test_frac))
         .withColumn("split", F.when(F.col("_hrank") <= F.col("_amt"), "test").otherwise("train"))
-        .drop("_hrank", "_amt")
+        .drop("_hrank", "_amt", "_hk")
     )
 
 
@@ -177,7 +178,9 @@ def build_pu(
     train = base.where(F.col("split") == "train")
     counts = class_counts(train, "y_pu")
     plan = plan_sizes(counts.get(1, 0), counts.get(0, 0), frac, val_split, val_share, move_frac)
-    ranked = _rank_by_hash(train, id_col, ["y_pu"], seed, salt="val")
+    keyed = train.withColumn("_hk", md5_key(seed, F.lit("val"), id_col))
+    ranked = hash_rank(keyed, "_hk", id_col, by=["y_pu"], rank_col="_hrank",
+                       n_rows=max(counts.values(), default=1)).drop("_hk")
     vp, vu, mv = plan.val_positive_amount, plan.val_unlabeled_amount, plan.positive_in_unlabeled_amount
     is_pos = F.col("y_pu") == 1
     r = F.col("_hrank")

@@ -231,7 +231,9 @@ class NonNegativePU(Fitted):
 
     def fit(self, train: DataFrame, val: DataFrame | None = None, features: str = "features", y: str = "y_pu"):
         ship_package(train.sparkSession)
+        # read once per epoch: checkpointed (lineage) and kept in memory while training
         data = checkpoint(train.select(F.col(features).cast("array<double>").alias("_x"), F.col(y).cast("int").alias("_y")))
+        data = data.persist()
         dim = len(data.select("_x").first()["_x"])
         self.weights = self._init(dim)
         prior = 0.5 if self.positive_prior == "auto" else float(self.positive_prior)
@@ -301,6 +303,7 @@ class NonNegativePU(Fitted):
                 prior = float(self.predict(val, features, "_pr").agg(F.avg("_pr")).collect()[0][0])
             self.history.append({"epoch": epoch, "risk": float(risk), "prior": prior})
         self.prior = prior
+        data.unpersist()
         return self
 
     def predict_proba(self, df, features="features", out="prob"):

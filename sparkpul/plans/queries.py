@@ -471,9 +471,8 @@ SELECT round(avg(y_pu), 6) AS prior_known, round(avg(y_true), 6) AS prior_true F
 def q_class_prior(spark, sf_dir):
     """Share of known and of true positives in the feature table."""
     pu = embedding_pu(spark, sf_dir)
-    both = M.prior(pu.select(F.col("y_pu").alias("y"), F.lit(1).alias("k")), "y", ["k"]).withColumnRenamed(
-        "prior", "prior_known").join(M.prior(pu.select(F.col("y_true").alias("y"), F.lit(1).alias("k")), "y", ["k"])
-        .withColumnRenamed("prior", "prior_true"), "k")
+    both = pu.agg(F.avg(F.col("y_pu").cast("double")).alias("prior_known"),
+                  F.avg(F.col("y_true").cast("double")).alias("prior_true"))
     return both.select(r6("prior_known").alias("prior_known"), r6("prior_true").alias("prior_true"))
 
 

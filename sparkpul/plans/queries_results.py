@@ -437,10 +437,12 @@ def q_aul_per_result_row(spark, sf_dir):
     items = li.select(
         "l_orderkey", "l_linenumber", "l_discount", C.label(F.col("l_returnflag") == "R").alias("y")
     )
-    stored = items.groupBy("l_orderkey").agg(
-        F.array_sort(F.collect_list(F.struct("l_linenumber", "l_discount", "y"))).alias("_it")
+    # a stored result row holds at most 1,000 entries: a hot order becomes several rows
+    stored = items.groupBy("l_orderkey", F.floor(F.col("l_linenumber") / 1000).alias("chunk")).agg(
+        F.collect_list(F.struct("l_discount", "y")).alias("_it")
     ).select(
         "l_orderkey",
+        "chunk",
         F.concat(F.lit("["), F.array_join(F.transform("_it", lambda s: s["y"].cast("string")), ", "), F.lit("]")).alias("y_true"),
         F.concat(
             F.lit("["),

@@ -18,8 +18,8 @@ def _brute(q, qid, p, pid, k):
     return out
 
 
-@pytest.mark.parametrize("block_rows,per_group", [(1024, 4096), (16, 8)])
-def test_knn_join_matches_brute_force(spark, block_rows, per_group):
+@pytest.mark.parametrize("block_rows,per_group,method", [(1024, 4096, "blocks"), (16, 8, "blocks"), (1024, 4096, "broadcast")])
+def test_knn_join_matches_brute_force(spark, block_rows, per_group, method):
     e = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
     pdf = e.toPandas()
     vec = np.stack(pdf["embedding"].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
@@ -27,7 +27,8 @@ def test_knn_join_matches_brute_force(spark, block_rows, per_group):
     pos = pdf["label"].to_numpy() < 3
     q = e.where("label >= 3").withColumn("features", F.col("embedding").cast("array<double>"))
     r = e.where("label < 3").withColumn("features", F.col("embedding").cast("array<double>"))
-    got = knn_join(q, r, 4, "vec_id", "vec_id", block_rows=block_rows, query_rows_per_group=per_group).toPandas()
+    got = knn_join(q, r, 4, "vec_id", "vec_id", block_rows=block_rows, query_rows_per_group=per_group,
+                   method=method).toPandas()
     exp = _brute(vec[~pos], ids[~pos], vec[pos], ids[pos], 4)
     assert got["vec_id"].nunique() == (~pos).sum()
     for qid, part in got.groupby("vec_id"):
@@ -42,14 +43,24 @@ def test_k_larger_than_reference_is_an_error(spark):
         knn_join(df, df, 5, "id", "id")
 
 
-def test_duplicate_vectors_tie_broken_by_id(spark):
-    rows = [(1, [0.0, 0.0]), (2, [1.0, 1.0]), (3, [1.0, 1.0]), (4, [5.0, 5.0])]
+@pytest.mark.parametrize("method", ["blocks", "broadcast"])
+def test_duplicate_vectors_tie_broken_by_id(spark, method):
+    rows = [(1, [0.0, 0.0]), (3, [1.0, 1.0]), (2, [1.0, 1.0]), (4, [5.0, 5.0])]
     ref = spark.createDataFrame(rows, "id long, features array<double>")
     q = spark.createDataFrame([(10, [1.0, 1.0])], "id long, features array<double>")
-    got = knn_join(q, ref, 2, "id", "id").toPandas().sort_values("nn_rank")
+    got = knn_join(q, ref, 2, "id", "id", method=method).toPandas().sort_values("nn_rank")
     assert got["nn_id"].tolist() == [2, 3]
 
 
+def test_wide_tie_group_at_the_cut(spark):
+    """More tied references than the candidate margin: the smallest ids still win."""
+    rows = [(i, [1.0, 0.0]) for i in range(30, 0, -1)] + [(100, [0.0, 0.0])]
+    ref = spark.createDataFrame(rows, "id long, features array<double>")
+    q = spark.createDataFrame([(7, [0.0, 0.0])], "id long, features array<double>")
+    got = knn_join(q, ref, 3, "id", "id", method="broadcast").toPandas().sort_values("nn_rank")
+    assert got["nn_id"].tolist() == [100, 1, 2]
+
+
 def test_credibility_counts_self(spark):
     rows = [(1, [0.0], 1), (2, [0.1], 0), (3, [10.0], 0), (4, [10.1], 0)]
     df = spark.createDataFrame(rows, "id long, features array<double>, y_pu int")

@@ -80,3 +80,13 @@ def test_tail_cuts_disjoint(spark, small_buckets):
     highs = set(pdf.sort_values(["s", "id"], ascending=[False, True]).head(10)["id"])
     assert set(out[out.low]["id"]) == lows
     assert set(out[out.high]["id"]) == highs
+
+
+def test_hash_rank_two_hex_digits(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "ROWS_PER_BUCKET", 4)
+    assert ranking.hex_digits_for(300) == 2
+    df = spark.range(300).withColumnRenamed("id", "rid")
+    keyed = df.withColumn("h", md5_key(7, "rid"))
+    out = ranking.hash_rank(keyed, "h", "rid").toPandas()
+    assert out.sort_values("rank")["rid"].tolist() == out.sort_values(["h", "rid"])["rid"].tolist()
+    assert sorted(out["rank"]) == list(range(1, 301))
