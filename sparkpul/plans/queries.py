@@ -357,7 +357,7 @@ QUANTILE_PROBS = [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 0.99]
 @register(
     "quantile_thresholds",
     "\nUNION ALL\n".join(
-        f"SELECT {p} AS prob, round(quantile_cont(value, {p}), 6) AS threshold FROM events" for p in QUANTILE_PROBS
+        f"SELECT {p}::DOUBLE AS prob, round(quantile_cont(value, {p}), 6) AS threshold FROM events" for p in QUANTILE_PROBS
     ),
 )
 def q_quantile_thresholds(spark, sf_dir):

@@ -298,7 +298,7 @@ def q_parameter_grid(spark, sf_dir):
     "zip_axes",
     "WITH q AS ("
     + " UNION ALL ".join(
-        f"SELECT {i + 1} AS pos, {p} AS prob, round(quantile_cont(value, {p}), 6) AS threshold FROM events"
+        f"SELECT {i + 1} AS pos, {p}::DOUBLE AS prob, round(quantile_cont(value, {p}), 6) AS threshold FROM events"
         for i, p in enumerate([0.5, 0.6, 0.7, 0.8, 0.9, 0.95])
     )
     + """),
@@ -381,7 +381,7 @@ def q_wide_features(spark, sf_dir):
     """SELECT o_orderkey,
   CASE WHEN o_orderpriority = '1-URGENT' THEN '/abs/' || o_orderkey || '.jpg'
        ELSE '/data/img/' || o_orderstatus || '/' || o_orderkey || '.jpg' END AS path,
-  CASE WHEN o_totalprice > 100000 THEN 1.0 WHEN o_totalprice < 100000 THEN 0.0 ELSE 0.5 END AS step,
+  CASE WHEN o_totalprice > 100000 THEN 1.0 WHEN o_totalprice < 100000 THEN 0.0 ELSE 0.5 END::DOUBLE AS step,
   (CAST(substr(o_orderpriority, 1, 1) AS INTEGER) * 4 + 1) AS k,
   upper(split_part(lower(o_orderstatus) || '_' || lower(o_orderpriority), '_', 1)) AS train_name,
   round_even(o_totalprice / 1000, 2) AS price_k,

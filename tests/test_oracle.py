@@ -47,10 +47,18 @@ SQL = E.oracle_sql()
 ALL = E.queries()
 
 
+DUCK_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_oracle(spark, con, name):
-    got = _rows(ALL[name](spark, SF_SMALL).toPandas())
-    exp = _rows(con.sql(SQL[name]).df())
+    sdf = ALL[name](spark, SF_SMALL)
+    rel = con.sql(SQL[name])
+    stypes = {f.name: f.dataType.simpleString() for f in sdf.schema.fields}
+    dtypes = {c: DUCK_TYPES.get(str(t), str(t)) for c, t in zip(rel.columns, rel.types)}
+    assert stypes == dtypes
+    got = _rows(sdf.toPandas())
+    exp = _rows(rel.df())
     assert got[0] == exp[0]
     assert got[1] == exp[1]
 
