@@ -39,6 +39,27 @@ def r6(c):
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
+def sql_round_even(x: str, digits: int = 2) -> str:
+    """DuckDB form of ``functions.round_even``: half-even on the exact binary value.
+
+    DuckDB's ``round_even`` scales by 10^digits in floating point first, which can
+    land exactly on a tie (182.025 * 100 = 18202.5) that the binary value does not
+    have; near a tie the same Dekker split decides.
+    """
+    s = float(10**digits)
+    y = f"(({x}) * {s})"
+    k = f"floor({y})"
+    hi = f"((134217729.0 * ({x})) - ((134217729.0 * ({x})) - ({x})))"
+    lo = f"(({x}) - {hi})"
+    d = f"(({s} * {hi} - ({k} + 0.5)) + {s} * {lo})"
+    return (
+        f"(CASE WHEN abs({y} - {k} - 0.5) < 1e-6 THEN "
+        f"(CASE WHEN {d} < 0 THEN {k} / {s} WHEN {d} > 0 THEN ({k} + 1) / {s} "
+        f"WHEN {k} % 2 = 0 THEN {k} / {s} ELSE ({k} + 1) / {s} END) "
+        f"ELSE round_even({x}, {digits}) END)"
+    )
+
+
 # ----------------------------------------------------------------------------- SQL pieces
 
 EMB = """e AS (SELECT vec_id, embedding::DOUBLE[] AS v,

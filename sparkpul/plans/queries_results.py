@@ -12,7 +12,7 @@ from ..functions import columns as C
 from ..operators import metrics as M
 from ..operators import results as R
 from ..operators import stats as ST
-from .queries import register, r6
+from .queries import register, r6, sql_round_even
 from .tables import result_table, table
 
 # The benchmark's order priorities and the years present at sf0.01.
@@ -111,7 +111,7 @@ FALL_RES = """r AS (SELECT o_orderpriority AS classifier, 'S+' || o_orderstatus
 @register(
     "metric_fall",
     f"""WITH {FALL_RES}
-SELECT t.train AS train_ds, d.classifier, round_even((1 - d.metric / s.metric) * 100, 2) AS fall
+SELECT t.train AS train_ds, d.classifier, {sql_round_even("(1 - d.metric / s.metric) * 100", 2)} AS fall
 FROM (VALUES ('F'), ('O')) t(train)
 JOIN r d ON d.setting = 'S+' || t.train || '-1996'
 JOIN r s ON s.setting = 'S+' || t.train || '-1995' AND s.classifier = d.classifier""",
@@ -384,7 +384,7 @@ def q_wide_features(spark, sf_dir):
   CASE WHEN o_totalprice > 100000 THEN 1.0 WHEN o_totalprice < 100000 THEN 0.0 ELSE 0.5 END::DOUBLE AS step,
   (CAST(substr(o_orderpriority, 1, 1) AS INTEGER) * 4 + 1) AS k,
   upper(split_part(lower(o_orderstatus) || '_' || lower(o_orderpriority), '_', 1)) AS train_name,
-  round_even(o_totalprice / 1000, 2) AS price_k,
+  """ + sql_round_even("o_totalprice / 1000", 2) + """ AS price_k,
   'S+' || o_orderstatus || '-' || o_orderpriority AS setting
 FROM orders""",
 )
