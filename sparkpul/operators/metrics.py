@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from ..functions.columns import bce_to
 from .ranking import prefix_sums
 
+# Largest number of lift-curve points one expanded row emits.
+EXPAND_CHUNK = 1 << 20
+
 
 def _keys(keys) -> list[str]:
     if keys is None:
@@ -156,12 +159,16 @@ def lift_curve(df: DataFrame, y: str, score: str, keys: Sequence[str] = (), expa
     curve = start.unionByName(pts)
     if not expand:
         return curve
-    return curve.select(
-        *keys,
-        F.explode(F.sequence(F.col("first_pos"), F.col("first_pos") + F.col("n_points") - 1)).alias("pos"),
-        "y_rate",
-        "tpr",
-    )
+    # a score shared by a third of the rows must not emit its points from one task:
+    # cut each run into chunks of at most EXPAND_CHUNK points, spread the chunk rows
+    # by a shuffle, then emit the points of each chunk
+    c = EXPAND_CHUNK
+    chunks = curve.withColumn(
+        "_c", F.explode(F.sequence(F.lit(0), ((F.col("n_points") + c - 1) / c).cast("long") - 1))
+    ).repartition(*keys, "score", "_c")
+    first = F.col("first_pos") + F.col("_c") * c
+    last = F.least(F.col("first_pos") + F.col("n_points"), first + c) - 1
+    return chunks.select(*keys, F.explode(F.sequence(first, last)).alias("pos"), "y_rate", "tpr")
 
 
 def prior(df: DataFrame, y: str, keys: Sequence[str] = ()) -> DataFrame:

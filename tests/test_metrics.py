@@ -89,3 +89,13 @@ def test_nnpu_risk_formula(spark):
     pn = np.mean([-math.log(0.1), -math.log(0.4)])
     un = np.mean([-math.log(0.8), -math.log(0.3), -math.log(0.6)])
     assert r["nnpu_risk"] == pytest.approx(0.4 * pp + max(0.0, un - 0.4 * pn))
+
+
+def test_lift_curve_expand_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(M, "EXPAND_CHUNK", 3)
+    y = [1, 0, 0, 1, 0, 0, 0, 1]
+    s = [0.5, 0.5, 0.5, 0.5, 0.5, 0.9, 0.1, 0.5]
+    pts = M.lift_curve(_df(spark, y, s), "y", "s", expand=True).toPandas().sort_values("pos")
+    assert pts["pos"].tolist() == list(range(0, 9))
+    loop = M.lift_curve(_df(spark, y, s), "y", "s").toPandas()
+    assert loop["n_points"].sum() == 9
