@@ -88,9 +88,10 @@ def hash_rank(
     offsets = counts.select(
         *by, "_bucket", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_offset")
     )
-    # at most groups x 16**h rows; the group count is unknown here, so the bound
-    # assumes the few classes the splits use
-    offsets = _maybe_broadcast(offsets, 16 * (16**h))
+    # 16**h rows without groups: broadcast under the bound; with groups the size is
+    # groups x 16**h, so AQE's runtime size check picks the join
+    if not by:
+        offsets = _maybe_broadcast(offsets, 16**h)
     w_in = Window.partitionBy(*by, "_bucket").orderBy(F.col(key), F.col(id_col))
     return (
         with_b.join(offsets, on=[*by, "_bucket"], how="inner")

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .ranking import prefix_sums
 
 FEATURE_MARK = "__feature__"
+# Widest pivot result accepted (its column names pass through the driver).
+MAX_PIVOT_COLUMNS = 10_000
 
 
 # ----------------------------------------------------------------------------- columns
@@ -130,7 +132,11 @@ def pivot_results(
         key = fmt([F.col(c) for c in columns], [df.schema[c].dataType.simpleString() for c in columns])
     keyed = df.withColumn("_pk", key)
     if values is None:
-        values = [r["_pk"] for r in keyed.select("_pk").distinct().orderBy("_pk").collect()]
+        # the column names of the result: bounded by design, checked before collecting
+        found = keyed.select("_pk").distinct().orderBy("_pk").limit(MAX_PIVOT_COLUMNS + 1).collect()
+        if len(found) > MAX_PIVOT_COLUMNS:
+            raise ValueError(f"pivot would create more than {MAX_PIVOT_COLUMNS} columns")
+        values = [r["_pk"] for r in found]
     return keyed.groupBy(*index).pivot("_pk", list(values)).agg(F.first(value))
 
 
