@@ -147,7 +147,8 @@ class KMeansDetector:
 
     def negatives(self, df: DataFrame, id_col: str, y_col: str = "y_pu", vec_col: str = "features") -> DataFrame:
         cents = self.centroids if self.centroids is not None else self.fit_centroids(df, vec_col)
-        clustered = nearest_centroid(df, vec_col, cents)
+        # (id, label, cluster) is read four times below: materialized once
+        clustered = checkpoint(nearest_centroid(df, vec_col, cents).select(id_col, y_col, "cluster"))
         shares = {
             r["cluster"]: r["share"]
             for r in clustered.groupBy("cluster").agg(F.avg(F.col(y_col).cast("double")).alias("share")).collect()

@@ -121,6 +121,22 @@ def aul(df: DataFrame, y: str, score: str, keys: Sequence[str] = ()) -> DataFram
     )
 
 
+def aul_binary(df: DataFrame, y: str, pred: str, keys: Sequence[str] = ()) -> DataFrame:
+    """AUL of hard 0/1 predictions from the confusion counts in one aggregate.
+
+    A positive predicted 1 beats every row predicted 0 and ties the rows predicted
+    1; a positive predicted 0 ties the rows predicted 0:
+    ``(tp (n0 + n1 / 2) + fn n0 / 2) / (|P| n)``, equal to ``aul`` on 0/1 scores.
+    """
+    c = confusion_counts(df, y, pred, keys)
+    tp, fp, tn, fn = (F.col(x).cast("double") for x in ("tp", "fp", "tn", "fn"))
+    n1, n0 = tp + fp, tn + fn
+    return c.select(
+        *_keys(keys),
+        F.try_divide(tp * (n0 + 0.5 * n1) + fn * 0.5 * n0, (tp + fn) * F.col("n").cast("double")).alias("aul"),
+    )
+
+
 def lift_curve(df: DataFrame, y: str, score: str, keys: Sequence[str] = (), expand: bool = False) -> DataFrame:
     """PU lift curve (A7): the point (1, 1), then for each row in ascending score order the
     point ``(share with a higher score, share of positives with a higher score)``.

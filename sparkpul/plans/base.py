@@ -68,10 +68,10 @@ class LogisticClassifier:
     def __init__(self, C: float = 1.0, max_iter: int = 100):
         self.C, self.max_iter = C, max_iter
 
-    def fit(self, df: DataFrame, label: str, features: str = "features"):
+    def fit(self, df: DataFrame, label: str, features: str = "features", n_rows: int | None = None):
         from pyspark.ml.classification import LogisticRegression
 
-        n = df.count()
+        n = df.count() if n_rows is None else n_rows
         lr = LogisticRegression(
             featuresCol="_vec", labelCol="_y", regParam=1.0 / (self.C * max(n, 1)), elasticNetParam=0.0,
             standardization=False, maxIter=self.max_iter, family="binomial",
@@ -88,7 +88,7 @@ class RandomForest:
     def __init__(self, num_trees: int = 100, max_depth: int = 8, seed: int = DEFAULT_SEED):
         self.num_trees, self.max_depth, self.seed = num_trees, max_depth, seed
 
-    def fit(self, df: DataFrame, label: str, features: str = "features"):
+    def fit(self, df: DataFrame, label: str, features: str = "features", n_rows: int | None = None):
         from pyspark.ml.classification import RandomForestClassifier
 
         rf = RandomForestClassifier(
@@ -111,7 +111,7 @@ class GaussianNB:
     def __init__(self, var_smoothing: float = 1e-9):
         self.var_smoothing = var_smoothing
 
-    def fit(self, df: DataFrame, label: str, features: str = "features"):
+    def fit(self, df: DataFrame, label: str, features: str = "features", n_rows: int | None = None):
         long = df.select(F.col(label).cast("int").alias("_y"), F.posexplode(F.col(features).cast("array<double>")).alias("_i", "_x"))
         per = long.groupBy("_y", "_i").agg(F.avg("_x").alias("m"), F.var_pop("_x").alias("v"), F.count(F.lit(1)).alias("n")).collect()
         allv = long.groupBy("_i").agg(F.var_pop("_x").alias("v")).collect()
@@ -158,7 +158,7 @@ class KNeighbours:
         self.k, self.id_col = k, id_col
         self.name = f"kneighbours-{k}"
 
-    def fit(self, df: DataFrame, label: str, features: str = "features"):
+    def fit(self, df: DataFrame, label: str, features: str = "features", n_rows: int | None = None):
         return _KNNFitted(df.select(self.id_col, F.col(features).alias("_f"), F.col(label).alias("_y")), self.k, self.id_col)
 
 
@@ -187,7 +187,7 @@ class CalibratedSVM:
     def __init__(self, folds: int = 5, C: float = 1.0, max_iter: int = 100, seed: int = DEFAULT_SEED, id_col: str = "vec_id"):
         self.folds, self.C, self.max_iter, self.seed, self.id_col = folds, C, max_iter, seed, id_col
 
-    def fit(self, df: DataFrame, label: str, features: str = "features"):
+    def fit(self, df: DataFrame, label: str, features: str = "features", n_rows: int | None = None):
         from pyspark.ml.classification import LinearSVC, LogisticRegression
 
         from ..functions.columns import md5_key

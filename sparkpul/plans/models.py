@@ -36,7 +36,8 @@ def metric_value(name: str, df: DataFrame, y: str, pred: str) -> float:
         v = M.pu_f1(df, y, pred).collect()[0]["pu_f1"]
         return float("nan") if v is None else float(v)
     if name == "aul":
-        v = M.aul(df, y, pred).collect()[0]["aul"]
+        # predictions are hard labels here: the closed form needs one aggregate
+        v = M.aul_binary(df, y, pred).collect()[0]["aul"]
         return float("nan") if v is None else float(v)
     raise ValueError(f"unknown metric {name}")
 
@@ -99,15 +100,16 @@ class TwoStep:
         model = None
         for it in range(self.max_iterations):
             self.iterations = it + 1
+            sizes = {r["role"]: r["n"] for r in roles.groupBy("role").agg(F.count(F.lit(1)).alias("n")).collect()}
             lab = roles.where(F.col("role").isin("P", "N")).withColumn("_label", (F.col("role") == "P").cast("int"))
-            model = self.classifier.fit(lab, "_label", features)
+            model = self.classifier.fit(lab, "_label", features, n_rows=sizes.get("P", 0) + sizes.get("N", 0))
             if self.stop is not None and val is not None:
                 should_stop, value = self.stop.check(model, val, y)
                 self.validation_results.append(value)
                 if should_stop:
                     break
             unl = roles.where(F.col("role") == "U")
-            n_unl = unl.count()
+            n_unl = sizes.get("U", 0)
             if math.floor(n_unl * self.frac) == 0:
                 break
             if self.rank_by == "label":

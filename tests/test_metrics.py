@@ -99,3 +99,11 @@ def test_lift_curve_expand_in_chunks(spark, monkeypatch):
     assert pts["pos"].tolist() == list(range(0, 9))
     loop = M.lift_curve(_df(spark, y, s), "y", "s").toPandas()
     assert loop["n_points"].sum() == 9
+
+
+def test_aul_binary_equals_aul(spark):
+    rng = np.random.default_rng(7)
+    y = rng.integers(0, 2, 200)
+    p = rng.integers(0, 2, 200)
+    df = _df(spark, y, p)
+    assert M.aul_binary(df, "y", "s").first()["aul"] == pytest.approx(M.aul(df, "y", "s").first()["aul"], abs=1e-12)
