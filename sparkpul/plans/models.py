@@ -136,6 +136,11 @@ class TwoStep:
     def predict(self, df, features="features", out="prediction"):
         return self.model.predict(df, features, out)
 
+    def validation_table(self, spark) -> DataFrame:
+        """The validation metric of every round as a table (iteration, metric)."""
+        rows = [(i + 1, float(v)) for i, v in enumerate(self.validation_results)]
+        return spark.createDataFrame(rows, "iteration int, metric double")
+
 
 # ----------------------------------------------------------------------------- ProbTagging
 

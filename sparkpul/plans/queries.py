@@ -6,7 +6,6 @@ Every query reads the benchmark tables in ``sf_dir`` whole. Doubles are rounded
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -613,5 +612,3 @@ def oracle_sql() -> dict[str, str]:
     queries()
     return dict(ORACLE)
 
-
-_ = math

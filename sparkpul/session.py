@@ -74,7 +74,9 @@ def ship_package(spark: SparkSession) -> None:
 
     Functions that run in tasks (pandas UDFs, ``mapInPandas``, ``applyInPandas``)
     refer to this package by module name; the executors get it as a zip through
-    ``addPyFile``, once per SparkContext.
+    ``addPyFile``, once per SparkContext. The zip is built on the driver and served
+    to the executors by Spark (as ``--py-files`` does); no executor reads the
+    driver's folder.
     """
     sc = spark.sparkContext
     key = id(sc._jsc)
