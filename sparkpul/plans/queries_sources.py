@@ -153,3 +153,40 @@ def q_result_files(spark, sf_dir):
         files.append((path, s))
     out = SRC.stack_results(spark, files, RESULT_SCHEMA)
     return out.select("setting", "classifier", "dataset", r6("metric").alias("metric"), "n")
+
+
+PROJ_DIM, PROJ_OUT, PROJ_SEED = 64, 8, 1234
+
+
+def projection_weights():
+    """The stand-in model of S7: a fixed, seeded 64 x 8 projection."""
+    return np.random.default_rng(PROJ_SEED).normal(size=(PROJ_DIM, PROJ_OUT)) / np.sqrt(PROJ_DIM)
+
+
+def _projection_sql() -> str:
+    w = projection_weights()
+    cols = []
+    for j in range(PROJ_OUT):
+        lit = "[" + ", ".join(repr(float(x)) for x in w[:, j]) + "]::DOUBLE[]"
+        cols.append(f"round(list_dot_product(embedding::DOUBLE[], {lit}), 6) AS f{j}")
+    return "SELECT vec_id, " + ", ".join(cols) + " FROM embeddings"
+
+
+@register("projected_features", _projection_sql())
+def q_projected_features(spark, sf_dir):
+    """Batched model inference (``predict_batch_udf``, 900 rows a call) over every
+    feature vector; the model is a fixed numpy projection."""
+    e = table(spark, sf_dir, "embeddings")
+    weights = projection_weights()
+
+    def make_fn():
+        w = weights
+
+        def predict(x):
+            return x.astype(np.float64) @ w
+
+        return predict
+
+    extract = SRC.tensor_extractor(make_fn, PROJ_DIM)
+    out = e.select("vec_id", extract(F.col("embedding").cast("array<double>")).alias("f"))
+    return out.select("vec_id", *[r6(F.col("f")[j]).alias(f"f{j}") for j in range(PROJ_OUT)])

@@ -75,6 +75,26 @@ def batch_extractor(fn: Callable[[pd.Series], np.ndarray], dim: int):
     return _extract
 
 
+# Rows per model call, as the reference chunks its images (fixed value).
+EXTRACT_BATCH = 900
+
+
+def tensor_extractor(make_predict_fn: Callable, in_dim: int, batch_size: int = EXTRACT_BATCH):
+    """Numeric-array model inference with ``predict_batch_udf``.
+
+    ``make_predict_fn()`` returns ``fn(x: ndarray[batch, in_dim]) -> ndarray[batch, out]``;
+    it is called once per Python worker, and Spark feeds it batches of ``batch_size``.
+    """
+    from pyspark.ml.functions import predict_batch_udf
+
+    return predict_batch_udf(
+        make_predict_fn,
+        return_type=T.ArrayType(T.DoubleType()),
+        batch_size=batch_size,
+        input_tensor_shapes=[[in_dim]],
+    )
+
+
 def feature_store(
     df: DataFrame,
     id_col: str,
