@@ -83,8 +83,19 @@ class KNNDetector:
         return f"knn-{self.k}"
 
 
+# Centroid values kept as literals in the plan; larger models go through a broadcast.
+LITERAL_MODEL_VALUES = 20_000
+
+
 def nearest_centroid(df: DataFrame, vec_col: str, centroids: np.ndarray, out: str = "cluster") -> DataFrame:
-    """Index of the nearest centroid (ties: lowest index); centroids are a small model."""
+    """Index of the nearest centroid (ties: lowest index).
+
+    A small model is inlined as literals (JVM-side); a large one is broadcast once and
+    applied with numpy in ``mapInPandas``.
+    """
+    centroids = np.asarray(centroids, dtype=np.float64)
+    if centroids.size > LITERAL_MODEL_VALUES:
+        return _nearest_centroid_broadcast(df, vec_col, centroids, out)
     cents = [[float(x) for x in c] for c in centroids]
     lit = F.array(*[F.array(*[F.lit(x) for x in c]) for c in cents])
     v = F.col(vec_col).cast("array<double>")
@@ -98,6 +109,28 @@ def nearest_centroid(df: DataFrame, vec_col: str, centroids: np.ndarray, out: st
     return df.withColumn(out, F.array_min(dists)["i"].cast("int"))
 
 
+def _nearest_centroid_broadcast(df: DataFrame, vec_col: str, centroids: np.ndarray, out: str) -> DataFrame:
+    from pyspark.sql import types as T
+
+    from ..session import ship_package
+    from .knn import _as_matrix, _pairwise
+
+    spark = df.sparkSession
+    ship_package(spark)
+    bc = spark.sparkContext.broadcast(centroids)
+    schema = T.StructType(df.schema.fields + [T.StructField(out, T.IntegerType())])
+
+    def assign(batches):
+        c = bc.value
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            d = _pairwise(_as_matrix(pdf[vec_col]), c)
+            yield pdf.assign(**{out: d.argmin(axis=1).astype(np.int32)})
+
+    return df.mapInPandas(assign, schema)
+
+
 def rank_clusters(shares: dict[int, float], centroids: np.ndarray) -> tuple[list[int], dict[int, float]]:
     """Negative clusters ranked farthest first.
 

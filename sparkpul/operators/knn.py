@@ -100,10 +100,10 @@ def _topk_rows(q: np.ndarray, p: np.ndarray, ids: np.ndarray, k: int):
 def _knn_broadcast(query: DataFrame, refd: DataFrame, k: int, query_id: str, query_vec: str, carry: list) -> DataFrame:
     """kNN against a reference of checked, bounded size shipped once per executor."""
     spark = query.sparkSession
-    rows = refd.collect()
-    ref_ids = np.array([r["_rid"] for r in rows])
-    ref_vec = np.array([r["_rv"] for r in rows], dtype=np.float64)
-    ref_carry = {c: np.array([r[f"_c_{c}"] for r in rows], dtype=object) for c in carry}
+    pdf = refd.toPandas()  # size checked by the caller: at most BROADCAST_REF_VALUES doubles
+    ref_ids = pdf["_rid"].to_numpy()
+    ref_vec = _as_matrix(pdf["_rv"])
+    ref_carry = {c: pdf[f"_c_{c}"].to_numpy(dtype=object) for c in carry}
     bc = spark.sparkContext.broadcast((ref_ids, ref_vec, ref_carry))
     qd = query.select(F.col(query_id).alias("_qid"), F.col(query_vec).cast("array<double>").alias("_qv"))
     fields = [

@@ -98,3 +98,14 @@ def test_prob_tagging_predicts(spark):
     algo = ProbTagging(3, lambda: make_classifier("logistic"), 2).fit(df)
     out = algo.predict(df).toPandas()
     assert set(out.prediction.unique()) <= {0, 1}
+
+
+def test_nearest_centroid_broadcast_matches_literals(spark, monkeypatch):
+    from sparkpul.operators import detectors as D
+
+    df = _blobs(spark)
+    cents = np.array([[2, 2, 2], [-2, -2, -2], [0, 0, 0]], dtype=float)
+    a = {r["vec_id"]: r["cluster"] for r in D.nearest_centroid(df, "features", cents).collect()}
+    monkeypatch.setattr(D, "LITERAL_MODEL_VALUES", 1)
+    b = {r["vec_id"]: r["cluster"] for r in D.nearest_centroid(df, "features", cents).collect()}
+    assert a == b
