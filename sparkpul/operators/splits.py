@@ -15,7 +15,8 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import label, md5_key
+from ..functions.columns import greater, label, md5_key
+from ..session import checkpoint
 from .ranking import hash_rank
 
 DEFAULT_SEED = 1234
@@ -174,7 +175,8 @@ def build_pu(
     ``moved`` (a known positive relabelled 0). ``frac`` shrinks only the validation
     size, as in the reference.
     """
-    base = pn_test_split(df, id_col, reliable, positive, test_frac, seed)
+    # read three times below (class counts, train ranks, test rows): materialized once
+    base = checkpoint(pn_test_split(df, id_col, reliable, positive, test_frac, seed))
     train = base.where(F.col("split") == "train")
     counts = class_counts(train, "y_pu")
     plan = plan_sizes(counts.get(1, 0), counts.get(0, 0), frac, val_split, val_share, move_frac)
@@ -256,3 +258,23 @@ def presplit_recipe(
     va = val.withColumn("y_true", label(positive)).withColumn("y_pu", label(reliable)).withColumn("split", F.lit("val"))
     te = whole_as_test(test, id_col, reliable, positive)
     return tr.unionByName(va).unionByName(te)
+
+
+def single_table_recipe(
+    df: DataFrame,
+    id_col: str,
+    score: str,
+    reliable_above: float,
+    positive_from: float,
+    val_split: float = 0.2,
+    test_frac: float = 0.2,
+    move_frac: float = 0.0,
+    seed: int = DEFAULT_SEED,
+) -> DataFrame:
+    """Dataset recipe for one scored table (D7): known positive ``score > reliable_above``,
+    true positive ``score >= positive_from``, 20 % test, 20 % validation with the train
+    positive share, nothing hidden, seed 1234 (the experiments' settings)."""
+    return build_pu(
+        df, id_col, greater(score, reliable_above), greater(score, positive_from, inclusive=True),
+        test_frac=test_frac, val_split=val_split, val_share="same", move_frac=move_frac, seed=seed,
+    )

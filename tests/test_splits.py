@@ -79,3 +79,10 @@ def test_dynamic_partition_overwrite_replaces_one_cell(spark):
     write_results(a, other)
     write_results(a.limit(0), other, skip_existing=True)
     assert spark.read.parquet(other).count() == 2
+
+
+def test_single_table_recipe(spark):
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    out = S.single_table_recipe(ev, "event_id", "value", 100.0, 50.0).toPandas()
+    assert set(out.split) == {"train", "val", "test"}
+    assert len(out) == ev.count() and not out.moved.any()
