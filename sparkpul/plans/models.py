@@ -209,6 +209,20 @@ def _backward(acts, weights, dz_out: np.ndarray):
     return grads
 
 
+# Partition gradient rows collected directly; more are summed on executors first.
+DIRECT_GRADIENT_ROWS = 64
+
+
+def _sum_rows(batches):
+    acc = None
+    for pdf in batches:
+        for g in pdf["g"]:
+            v = np.asarray(g)
+            acc = v if acc is None else acc + v
+    if acc is not None:
+        yield pd.DataFrame({"g": [acc.tolist()]})
+
+
 class NonNegativePU(Fitted):
     """Non-negative PU classifier.
 
@@ -242,6 +256,7 @@ class NonNegativePU(Fitted):
         data = checkpoint(train.select(F.col(features).cast("array<double>").alias("_x"), F.col(y).cast("int").alias("_y")))
         data = data.persist()
         dim = len(data.select("_x").first()["_x"])
+        n_parts = data.rdd.getNumPartitions()
         self.weights = self._init(dim)
         prior = 0.5 if self.positive_prior == "auto" else float(self.positive_prior)
         m = [(np.zeros_like(w), np.zeros_like(b)) for w, b in self.weights]
@@ -282,7 +297,11 @@ class NonNegativePU(Fitted):
                 if acc is not None:
                     yield pd.DataFrame({"g": [acc.tolist()]})
 
-            rows = data.mapInPandas(partial, "g array<double>").collect()
+            parts = data.mapInPandas(partial, "g array<double>")
+            if n_parts > DIRECT_GRADIENT_ROWS:
+                # second level: ~sqrt(P) groups sum the partition rows before the driver
+                parts = parts.repartition(int(math.ceil(math.sqrt(n_parts)))).mapInPandas(_sum_rows, "g array<double>")
+            rows = parts.collect()
             tot = np.sum([np.asarray(r["g"]) for r in rows], axis=0)
             n_p, n_u, l_pp, l_pn, l_u = tot[:5]
             n_p, n_u = max(n_p, 1.0), max(n_u, 1.0)

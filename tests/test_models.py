@@ -109,3 +109,13 @@ def test_nearest_centroid_broadcast_matches_literals(spark, monkeypatch):
     monkeypatch.setattr(D, "LITERAL_MODEL_VALUES", 1)
     b = {r["vec_id"]: r["cluster"] for r in D.nearest_centroid(df, "features", cents).collect()}
     assert a == b
+
+
+def test_nnpu_two_level_gradient_sum(spark, monkeypatch):
+    from sparkpul.plans import models as MOD
+
+    df = _blobs(spark).repartition(6)
+    a = NonNegativePU([1], 0.5, epochs=3, learning_rate=0.05).fit(df)
+    monkeypatch.setattr(MOD, "DIRECT_GRADIENT_ROWS", 2)
+    b = NonNegativePU([1], 0.5, epochs=3, learning_rate=0.05).fit(df)
+    assert np.allclose(a.weights[0][0], b.weights[0][0], atol=1e-12)
