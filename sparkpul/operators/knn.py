@@ -46,6 +46,8 @@ BROADCAST_REF_VALUES = 4_000_000
 TASK_MATRIX_CELLS = 4_000_000
 BLOCK_ROWS = 1024
 QUERY_ROWS_PER_GROUP = 4096
+# (query, block) pairs emitted per slice by the pruning step.
+PAIR_SLICE = 1 << 18
 MAX_PIVOTS = 512
 # pivots x dims doubles kept in every task closure
 MAX_PIVOT_VALUES = 4_000_000
@@ -256,19 +258,26 @@ def knn_join(
             ok = (lower <= (tau + slack)[:, None]) & (count[None, :] > 0)
             rows, cols = np.nonzero(ok)
             nb = n_blocks[cols]
-            rep_rows = np.repeat(rows, nb)
-            rep_cells = np.repeat(cols, nb)
-            starts = np.repeat(np.cumsum(nb) - nb, nb)
-            blk = np.arange(int(nb.sum())) - starts
-            out = pd.DataFrame(
-                {
-                    "_qid": pdf["_qid"].to_numpy()[rep_rows],
-                    "_qv": pdf["_qv"].to_numpy()[rep_rows],
-                    "_cell": rep_cells.astype(np.int32),
-                    "_blk": blk.astype(np.int32),
-                }
-            )
-            yield out
+            cum = np.cumsum(nb)
+            qids, qvs = pdf["_qid"].to_numpy(), pdf["_qv"].to_numpy()
+            # stream the (query, block) pairs in slices: when pruning is weak a batch
+            # expands into many pairs, so none is built whole
+            lo = 0
+            while lo < len(rows):
+                base = cum[lo - 1] if lo > 0 else 0
+                hi = max(lo + 1, int(np.searchsorted(cum, base + PAIR_SLICE, side="right")))
+                r, c, b = rows[lo:hi], cols[lo:hi], nb[lo:hi]
+                rep_rows = np.repeat(r, b)
+                starts = np.repeat(np.cumsum(b) - b, b)
+                yield pd.DataFrame(
+                    {
+                        "_qid": qids[rep_rows],
+                        "_qv": qvs[rep_rows],
+                        "_cell": np.repeat(c, b).astype(np.int32),
+                        "_blk": (np.arange(int(b.sum())) - starts).astype(np.int32),
+                    }
+                )
+                lo = hi
 
     q_pairs = qd.mapInPandas(prune, q_schema)
 

@@ -66,3 +66,15 @@ def test_credibility_counts_self(spark):
     df = spark.createDataFrame(rows, "id long, features array<double>, y_pu int")
     got = {r["id"]: r["credibility"] for r in credibility(df, 2, "id").collect()}
     assert got == {2: 0.5, 3: 0.0, 4: 0.0}
+
+
+def test_block_plan_streams_small_slices(spark, monkeypatch):
+    from sparkpul.operators import knn as K
+
+    monkeypatch.setattr(K, "PAIR_SLICE", 3)
+    e = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").withColumn("features", F.col("embedding").cast("array<double>"))
+    q, r = e.where("label >= 5"), e.where("label < 5")
+    a = {(x["vec_id"], x["nn_rank"]): x["nn_id"] for x in knn_join(q, r, 3, "vec_id", "vec_id", method="broadcast").collect()}
+    b = {(x["vec_id"], x["nn_rank"]): x["nn_id"] for x in
+         knn_join(q, r, 3, "vec_id", "vec_id", method="blocks", block_rows=8).collect()}
+    assert a == b
