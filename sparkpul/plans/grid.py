@@ -49,7 +49,7 @@ def evaluate(model, test: DataFrame) -> dict:
     against the known-positive flag (B8)."""
     pred = model.predict(test, out="prediction")
     m = M.classification_metrics(pred, "y_true", "prediction").collect()[0]
-    a = M.aul(pred, "y_pu", "prediction").collect()[0]["aul"]
+    a = M.aul_binary(pred, "y_pu", "prediction").collect()[0]["aul"]
     return {
         "balanced_accuracy": float(m["balanced_accuracy"]),
         "accuracy": float(m["accuracy"]),
@@ -103,7 +103,7 @@ def make_algorithm(name: str):
     if name == "tsa":
         return TwoStep(KNNDetector(frac=0.1, k=1), NonStop("aul"), make_classifier("logistic"), 0.05, 2)
     if name == "nnpu":
-        return NonNegativePU([1], 0.7, epochs=30, learning_rate=0.01)
+        return NonNegativePU([1], 0.7, epochs=30, learning_rate=0.01, reduce_lr_on_plateau=True)
     if name == "pt":
         return ProbTagging(18, lambda: make_classifier("logistic"), 3, positive_prior=0.7)
     raise ValueError(name)

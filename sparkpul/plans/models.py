@@ -236,9 +236,12 @@ class NonNegativePU(Fitted):
     """
 
     def __init__(self, layer_sizes: Sequence[int] = (1,), positive_prior=0.5, epochs: int = 200,
-                 learning_rate: float = 0.001, seed: int = DEFAULT_SEED, eps: float = 1e-7):
+                 learning_rate: float = 0.001, seed: int = DEFAULT_SEED, eps: float = 1e-7,
+                 reduce_lr_on_plateau: bool = False, patience: int = 10, factor: float = 0.1,
+                 min_delta: float = 1e-4):
         self.layer_sizes, self.positive_prior = list(layer_sizes), positive_prior
         self.epochs, self.lr, self.seed, self.eps = epochs, learning_rate, seed, eps
+        self.plateau = (reduce_lr_on_plateau, patience, factor, min_delta)
         self.history: list[dict] = []
 
     def _init(self, dim: int):
@@ -262,6 +265,9 @@ class NonNegativePU(Fitted):
         m = [(np.zeros_like(w), np.zeros_like(b)) for w, b in self.weights]
         v = [(np.zeros_like(w), np.zeros_like(b)) for w, b in self.weights]
         b1, b2, ae = 0.9, 0.999, 1e-7
+        lr = self.lr
+        use_plateau, patience, factor, min_delta = self.plateau
+        best, wait = float("inf"), 0
         n_params = sum(w.size + b.size for w, b in self.weights)
         eps = self.eps
         for epoch in range(1, self.epochs + 1):
@@ -322,12 +328,24 @@ class NonNegativePU(Fitted):
                 mw, mb = b1 * mw + (1 - b1) * gw, b1 * mb + (1 - b1) * gb
                 vw, vb = b2 * vw + (1 - b2) * gw * gw, b2 * vb + (1 - b2) * gb * gb
                 m[i], v[i] = (mw, mb), (vw, vb)
-                lr_t = self.lr * math.sqrt(1 - b2**epoch) / (1 - b1**epoch)
+                lr_t = lr * math.sqrt(1 - b2**epoch) / (1 - b1**epoch)
                 new_w.append((w - lr_t * mw / (np.sqrt(vw) + ae), b - lr_t * mb / (np.sqrt(vb) + ae)))
             self.weights = new_w
             if self.positive_prior == "auto" and val is not None:
                 prior = float(self.predict(val, features, "_pr").agg(F.avg("_pr")).collect()[0][0])
-            self.history.append({"epoch": epoch, "risk": float(risk), "prior": prior})
+            monitored = float(risk)
+            if use_plateau:
+                # Keras ReduceLROnPlateau: validation loss when there is validation data
+                if val is not None:
+                    vr = M.nnpu_risk(self.predict_proba(val, features, "_vp"), y, "_vp", prior).collect()[0]
+                    monitored = float(vr["nnpu_risk"]) if vr["nnpu_risk"] is not None else monitored
+                if monitored < best - min_delta:
+                    best, wait = monitored, 0
+                else:
+                    wait += 1
+                    if wait >= patience:
+                        lr, wait = lr * factor, 0
+            self.history.append({"epoch": epoch, "risk": float(risk), "monitored": monitored, "prior": prior, "lr": lr})
         self.prior = prior
         data.unpersist()
         return self

@@ -81,3 +81,13 @@ def test_calibrated_svm_probabilities(spark):
     out = model.predict(model.predict_proba(df, out="p"), out="pred").toPandas()
     assert out["p"].between(0, 1).all()
     assert (out["pred"] == pd.Series(y)[out["vec_id"].to_numpy()].to_numpy()).mean() > 0.85
+
+
+def test_nnpu_plateau_reduces_learning_rate(spark):
+    _, _, df = _fixture(spark)
+    df = df.withColumnRenamed("y", "y_pu")
+    algo = NonNegativePU([1], 0.4, epochs=8, learning_rate=0.5, reduce_lr_on_plateau=True, patience=1,
+                         min_delta=10.0).fit(df)
+    lrs = [h["lr"] for h in algo.history]
+    # min_delta is so large that no epoch improves after the first: the rate drops every epoch
+    assert lrs[0] == 0.5 and lrs[-1] < lrs[1] < 0.5
