@@ -36,8 +36,9 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder of the cluster.
 
-    The folder named by ``spark.checkpoint.dir`` is used as is. Only when the
-    session has none (local tests) is a fresh folder created and registered.
+    The folder named by ``spark.checkpoint.dir`` is used as is. Only a local-mode
+    session without one (tests) gets a fresh folder; a cluster session without one is
+    an error, since a machine-local folder is not shared by the executors.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -47,6 +48,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not conf_dir:
+        if not str(sc.master).startswith("local"):
+            raise RuntimeError(
+                "spark.checkpoint.dir is not set: name a folder shared by all executors"
+            )
+        # local mode only (tests): every task runs on this machine
         conf_dir = tempfile.mkdtemp(prefix="sparkpul-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
