@@ -101,17 +101,32 @@ def _text_features(batch):
     return np.stack([c.to_numpy() for c in cols], axis=1)
 
 
-@register("feature_store")
+def _feature_sql() -> str:
+    t = "coalesce(text, '')"
+    n = f"greatest(1, length({t}))"
+
+    def count(pattern: str) -> str:
+        return f"(length({t}) - length(regexp_replace({t}, '{pattern}', '', 'g')))"
+
+    shares = [count("[aeiouAEIOU]"), count(" "), count("[0-9]"), count("[A-Z]"), count("[.,;:!?]"),
+              count("\n"), count("[^\x00-\x7f]")]
+    cols = [f"round({c} / {n}, 6) AS f{i}" for i, c in enumerate(shares)]
+    cols.append(f"round(ln(1 + length({t})), 6) AS f7")
+    return "SELECT doc_id, lang, " + ", ".join(cols) + " FROM documents"
+
+
+@register("feature_store", _feature_sql())
 def q_feature_store(spark, sf_dir):
     """S6 + S7 + J1: document features from a store; the second request computes
-    only the ids the first one did not cover (rows only)."""
+    only the ids the first one did not cover. Features use the whole text."""
     docs = table(spark, sf_dir, "documents")
     store = scratch_path(spark, "feature-store")
     extract = SRC.batch_extractor(_text_features, 8)
     english = docs.where("lang = 'en'")
     SRC.feature_store(english, "doc_id", "text", store, "bench", "charclass", extract)
     feats = SRC.feature_store(docs, "doc_id", "text", store, "bench", "charclass", extract)
-    return SRC.attach_features(docs.select("doc_id", "lang"), feats, "doc_id")
+    out = SRC.attach_features(docs.select("doc_id", "lang"), feats, "doc_id")
+    return out.select("doc_id", "lang", *[r6(F.col("features")[i]).alias(f"f{i}") for i in range(8)])
 
 
 @register(

@@ -67,9 +67,9 @@ def batch_extractor(fn: Callable[[pd.Series], np.ndarray], dim: int):
     The caller supplies the model function; it sees whole column batches.
     """
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def _extract(batch: pd.Series) -> pd.Series:
-        out = np.asarray(fn(batch), dtype=np.float32).reshape(len(batch), dim)
+        out = np.asarray(fn(batch), dtype=np.float64).reshape(len(batch), dim)
         return pd.Series(list(out))
 
     return _extract
