@@ -114,9 +114,18 @@ class GaussianNB:
     def fit(self, df: DataFrame, label: str, features: str = "features", n_rows: int | None = None):
         long = df.select(F.col(label).cast("int").alias("_y"), F.posexplode(F.col(features).cast("array<double>")).alias("_i", "_x"))
         per = long.groupBy("_y", "_i").agg(F.avg("_x").alias("m"), F.var_pop("_x").alias("v"), F.count(F.lit(1)).alias("n")).collect()
-        allv = long.groupBy("_i").agg(F.var_pop("_x").alias("v")).collect()
-        eps = self.var_smoothing * max(r["v"] for r in allv)
         classes = sorted({r["_y"] for r in per})
+        # variance of each feature over all rows, from the class moments (one scan):
+        # n var = sum_c n_c (var_c + (m_c - m)^2)
+        by_dim: dict[int, list] = {}
+        for r in per:
+            by_dim.setdefault(r["_i"], []).append((r["n"], r["m"], r["v"]))
+        all_var = []
+        for parts in by_dim.values():
+            n_all = sum(n for n, _, _ in parts)
+            m_all = sum(n * m for n, m, _ in parts) / n_all
+            all_var.append(sum(n * (v + (m - m_all) ** 2) for n, m, v in parts) / n_all)
+        eps = self.var_smoothing * max(all_var)
         dim = 1 + max(r["_i"] for r in per)
         mean = {c: np.zeros(dim) for c in classes}
         var = {c: np.zeros(dim) for c in classes}
