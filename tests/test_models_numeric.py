@@ -91,3 +91,35 @@ def test_nnpu_plateau_reduces_learning_rate(spark):
     lrs = [h["lr"] for h in algo.history]
     # min_delta is so large that no epoch improves after the first: the rate drops every epoch
     assert lrs[0] == 0.5 and lrs[-1] < lrs[1] < 0.5
+
+
+def test_mlp_backprop_matches_finite_differences():
+    """Gradients of the three nnPU risk terms through a ReLU MLP."""
+    from sparkpul.plans.models import _backward, _forward
+
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(12, 3))
+    pos = rng.random(12) < 0.5
+    weights = [(rng.normal(size=(3, 5)), rng.normal(size=5)), (rng.normal(size=(5, 4)), rng.normal(size=4)),
+               (rng.normal(size=(4, 1)), rng.normal(size=1))]
+
+    def terms(ws):
+        p = _forward(x, ws)[-1][:, 0]
+        return np.array([(-np.log(p) * pos).sum(), (-np.log(1 - p) * pos).sum(), (-np.log(1 - p) * ~pos).sum()])
+
+    acts = _forward(x, weights)
+    p = acts[-1][:, 0]
+    d_out = [np.where(pos, -(1 - p), 0.0), np.where(pos, p, 0.0), np.where(~pos, p, 0.0)]
+    for t, d in enumerate(d_out):
+        grads = _backward(acts, weights, d[:, None])
+        for layer, (gw, gb) in enumerate(grads):
+            for arr_idx, g in ((0, gw), (1, gb)):
+                flat = weights[layer][arr_idx].ravel()
+                for j in range(flat.size):
+                    h = 1e-6
+                    plus = [(w.copy(), b.copy()) for w, b in weights]
+                    minus = [(w.copy(), b.copy()) for w, b in weights]
+                    plus[layer][arr_idx].ravel()[j] += h
+                    minus[layer][arr_idx].ravel()[j] -= h
+                    num = (terms(plus)[t] - terms(minus)[t]) / (2 * h)
+                    assert g.ravel()[j] == pytest.approx(num, rel=1e-4, abs=1e-6)
