@@ -45,6 +45,18 @@ def _maybe_broadcast(df: DataFrame, bound: int) -> DataFrame:
     return F.broadcast(df) if bound <= BROADCAST_ROWS else df
 
 
+def _join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` with null-safe equality, so a null group key or score
+    keeps its rows (still planned as a hash or sort-merge join)."""
+    keys = list(keys)
+    r = right.select(*[F.col(k).alias(f"_rk_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    cond = None
+    for k in keys:
+        c = left[k].eqNullSafe(r[f"_rk_{k}"])
+        cond = c if cond is None else cond & c
+    return left.join(r, cond, how).drop(*[f"_rk_{k}" for k in keys])
+
+
 def _parallelism(df: DataFrame) -> int:
     try:
         return int(df.sparkSession.sparkContext.defaultParallelism)
@@ -94,7 +106,7 @@ def hash_rank(
         offsets = _maybe_broadcast(offsets, 16**h)
     w_in = Window.partitionBy(*by, "_bucket").orderBy(F.col(key), F.col(id_col))
     return (
-        with_b.join(offsets, on=[*by, "_bucket"], how="inner")
+        _join(with_b, offsets, [*by, "_bucket"])
         .withColumn(rank_col, (F.col("_offset") + F.row_number().over(w_in)).cast("long"))
         .drop("_bucket", "_offset")
     )
@@ -172,7 +184,7 @@ def prefix_sums(
         # without groups the table has nb rows: broadcast; with groups its size is
         # groups x nb, unknown here, so the join strategy is left to AQE's size check
         offsets = _maybe_broadcast(offsets, nb) if not by else offsets
-        out = work.join(offsets, on=[*by, "_pb"], how="inner")
+        out = _join(work, offsets, [*by, "_pb"])
         for v in values:
             out = out.withColumn(
                 f"{v}_before",
@@ -206,7 +218,8 @@ def top_n(
         n_rows = df.count()
     amount = F.col(n) if isinstance(n, str) else (n if isinstance(n, Column) else F.lit(int(n)))
     base = df.withColumn("_amount", amount.cast("long"))
-    per_score = base.groupBy(*by, score).agg(
+    # rows without a score are kept but never selected
+    per_score = base.where(F.col(score).isNotNull()).groupBy(*by, score).agg(
         F.count(F.lit(1)).alias("_cnt"), F.first("_amount").alias("_amount")
     )
     # distinct scores and tied rows are both bounded by the row count
@@ -218,17 +231,20 @@ def top_n(
         .otherwise(F.lit(0)),
     ).withColumn("_rest", F.col("_amount") - F.col("_cnt_before"))
     states = per_score.select(*by, score, "_state", "_rest")
-    tagged = base.drop("_amount").join(states, on=[*by, score], how="inner")
+    tagged = _join(base.drop("_amount"), states, [*by, score], "left")
     # rows tied at the cut score: rank by id (unique within the tie group)
     cut = tagged.where(F.col("_state") == 1).withColumn("_one", F.lit(1))
     cut = prefix_sums(cut, id_col, ["_one"], by=[*by, score], n_rows=n_rows)
     cut_ids = cut.where(F.col("_one_before") < F.col("_rest")).select(*by, id_col).withColumn(
         "_tie_in", F.lit(True)
     )
-    out = tagged.join(cut_ids, on=[*by, id_col], how="left")
+    out = _join(tagged, cut_ids, [*by, id_col], "left")
     out = out.withColumn(
         flag,
-        (F.col("_state") == 2) | ((F.col("_state") == 1) & F.coalesce(F.col("_tie_in"), F.lit(False))),
+        F.coalesce(
+            (F.col("_state") == 2) | ((F.col("_state") == 1) & F.coalesce(F.col("_tie_in"), F.lit(False))),
+            F.lit(False),
+        ),
     )
     return out.drop("_state", "_rest", "_tie_in")
 
@@ -247,9 +263,10 @@ def global_rank(
     + rank of the id inside its tie group (running count over ids).
     """
     by = _cols(by)
-    per_score = df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("_cnt"))
+    per_score = df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count(F.lit(1)).alias("_cnt"))
     per_score = prefix_sums(per_score, score, ["_cnt"], by=by, descending=descending)
-    tagged = df.join(per_score.select(*by, score, "_cnt_before"), on=[*by, score], how="inner")
+    # rows without a score keep a null rank
+    tagged = _join(df, per_score.select(*by, score, "_cnt_before"), [*by, score], "left")
     tagged = tagged.withColumn("_one", F.lit(1))
     tagged = prefix_sums(tagged, id_col, ["_one"], by=[*by, score])
     return tagged.withColumn(
@@ -274,11 +291,12 @@ def tail_cuts(
     """
     by = _cols(by)
     n = df.count() if n_rows is None else n_rows
-    per_score = df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("_cnt"))
+    scored = df.where(F.col(score).isNotNull())
+    per_score = scored.groupBy(*by, score).agg(F.count(F.lit(1)).alias("_cnt"))
     if by:
-        sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_tot"))
+        sizes = scored.groupBy(*by).agg(F.count(F.lit(1)).alias("_tot"))
         # one row per group: the groups are the few classes of a PU table
-        per_score = per_score.join(F.broadcast(sizes), on=by, how="inner")
+        per_score = _join(per_score, F.broadcast(sizes), by)
     else:
         per_score = per_score.withColumn("_tot", F.lit(int(n)).cast("long"))
     per_score = prefix_sums(per_score, score, ["_cnt"], by=by, n_rows=n)
@@ -296,14 +314,12 @@ def tail_cuts(
         state(asc).alias("_ls"), (m - asc).alias("_lr"),
         state(desc).alias("_hs"), (m - desc).alias("_hr"),
     )
-    tagged = df.join(states, on=[*by, score], how="inner")
+    tagged = _join(df, states, [*by, score], "left")
     cut = tagged.where((F.col("_ls") == 1) | (F.col("_hs") == 1)).select(*by, score, id_col).withColumn("_one", F.lit(1))
     cut = prefix_sums(cut, id_col, ["_one"], by=[*by, score], n_rows=n).select(*by, id_col, "_one_before")
-    out = tagged.join(cut, on=[*by, id_col], how="left")
+    out = _join(tagged, cut, [*by, id_col], "left")
     tie_rank = F.coalesce(F.col("_one_before"), F.lit(-1))
-    out = out.withColumn(
-        "low", (F.col("_ls") == 2) | ((F.col("_ls") == 1) & (tie_rank >= 0) & (tie_rank < F.col("_lr")))
-    ).withColumn(
-        "high", (F.col("_hs") == 2) | ((F.col("_hs") == 1) & (tie_rank >= 0) & (tie_rank < F.col("_hr")))
-    )
+    low = (F.col("_ls") == 2) | ((F.col("_ls") == 1) & (tie_rank >= 0) & (tie_rank < F.col("_lr")))
+    high = (F.col("_hs") == 2) | ((F.col("_hs") == 1) & (tie_rank >= 0) & (tie_rank < F.col("_hr")))
+    out = out.withColumn("low", F.coalesce(low, F.lit(False))).withColumn("high", F.coalesce(high, F.lit(False)))
     return out.drop("_ls", "_lr", "_hs", "_hr", "_one_before")

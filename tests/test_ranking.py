@@ -90,3 +90,20 @@ def test_hash_rank_two_hex_digits(spark, monkeypatch):
     out = ranking.hash_rank(keyed, "h", "rid").toPandas()
     assert out.sort_values("rank")["rid"].tolist() == out.sort_values(["h", "rid"])["rid"].tolist()
     assert sorted(out["rank"]) == list(range(1, 301))
+
+
+def test_null_keys_and_scores_keep_their_rows(spark):
+    rows = [(1, None, 0.5), (2, None, 0.7), (3, "a", None), (4, "a", 0.1), (5, "a", 0.9), (6, "b", 0.3)]
+    df = spark.createDataFrame(rows, "id long, g string, s double")
+    top = ranking.top_n(df, "s", "id", 1, by=["g"]).toPandas()
+    assert sorted(top["id"]) == [1, 2, 3, 4, 5, 6]
+    assert sorted(top[top.selected]["id"]) == [2, 5, 6]
+    tails = ranking.tail_cuts(df, "s", "id", 0.5, by=["g"]).toPandas()
+    assert sorted(tails["id"]) == [1, 2, 3, 4, 5, 6]
+    assert not tails[tails.id == 3][["low", "high"]].values.any()
+    keyed = df.withColumn("h", md5_key(1, "id"))
+    ranks = ranking.hash_rank(keyed, "h", "id", by=["g"]).toPandas()
+    assert sorted(ranks["id"]) == [1, 2, 3, 4, 5, 6]
+    gr = ranking.global_rank(df, "s", "id").toPandas()
+    assert sorted(gr["id"]) == [1, 2, 3, 4, 5, 6]
+    assert gr[gr.id == 3]["rank"].isna().all()
