@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import bce_to
-from .ranking import prefix_sums
+from .ranking import _join, prefix_sums
 
 # Largest number of lift-curve points one expanded row emits.
 EXPAND_CHUNK = 1 << 20
@@ -150,7 +150,7 @@ def lift_curve(df: DataFrame, y: str, score: str, keys: Sequence[str] = (), expa
     tot = sc.groupBy(*keys).agg(F.sum("cnt").alias("_n"), F.sum("pos").alias("_p"))
     if keys:
         # one row per group; the optimizer picks broadcast or shuffle by its size
-        j = sc.join(tot, keys)
+        j = _join(sc, tot, keys)
     else:
         t = tot.collect()[0]
         j = sc.withColumn("_n", F.lit(t["_n"]).cast("long")).withColumn("_p", F.lit(t["_p"]).cast("long"))
