@@ -119,3 +119,24 @@ def test_nnpu_two_level_gradient_sum(spark, monkeypatch):
     monkeypatch.setattr(MOD, "DIRECT_GRADIENT_ROWS", 2)
     b = NonNegativePU([1], 0.5, epochs=3, learning_rate=0.05).fit(df)
     assert np.allclose(a.weights[0][0], b.weights[0][0], atol=1e-12)
+
+
+def test_empty_positive_set_is_a_clear_error(spark):
+    df = _blobs(spark).withColumn("y_pu", F.lit(0))
+    with pytest.raises(ValueError):
+        KNNDetector(0.1, 3).negatives(df, "vec_id")
+
+
+def test_empty_unlabeled_set(spark):
+    df = _blobs(spark).withColumn("y_pu", F.lit(1))
+    assert KNNDetector(0.1, 3).negatives(df, "vec_id").count() == 0
+    assert RandomDetector(0.5).negatives(df, "vec_id").count() == 0
+    roles = KMeansDetector(0.3, 2, centroids=[[2, 2, 2], [-2, -2, -2]]).detect(df, "vec_id")
+    assert {r["role"] for r in roles.collect()} == {"P"}
+
+
+def test_aul_without_positives_is_null(spark):
+    df = spark.createDataFrame([(0, 0.1), (0, 0.4)], "y int, s double")
+    from sparkpul.operators import metrics as M
+
+    assert M.aul(df, "y", "s").first()["aul"] is None
