@@ -1,6 +1,7 @@
-"""Experiment grids (M16-M21): a driver loop over parameter cells, each cell a set of
-DataFrame jobs over inputs checkpointed once. Results come back as one long table
-with the fixed schema of the reference's result files."""
+"""Experiment grids (M16-M21): parameter cells, each a set of DataFrame jobs over
+inputs checkpointed once, submitted from a small thread pool so Spark runs the jobs
+of several cells side by side. Results come back as one long table with the fixed
+schema of the reference's result files."""
 
 from __future__ import annotations
 
@@ -20,6 +21,21 @@ from .base import dot_plus, make_classifier
 from .models import NonNegativePU, NonStop, ProbTagging, TwoStep
 from .tables import table
 
+# Grid cells submitted at once; Spark schedules their jobs side by side.
+PARALLEL_CELLS = 4
+
+
+def run_cells(cells: list, fn, parallel: int | None = None) -> list:
+    """Run independent grid cells from a small thread pool; results keep cell order."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    workers = max(1, min(parallel or PARALLEL_CELLS, len(cells)))
+    if workers == 1:
+        return [fn(c) for c in cells]
+    with ThreadPoolExecutor(max_workers=workers) as pool:
+        return list(pool.map(fn, cells))
+
+
 RESULT_SCHEMA = (
     "extractor string, reliable_positive_threshold double, classifier string, detector string, "
     "balanced_accuracy double, accuracy double, f1 double, aul double"
@@ -65,14 +81,16 @@ def _rows_to_df(spark, rows: list[dict]) -> DataFrame:
 
 def pn_baselines(spark: SparkSession, sf_dir: str, classifiers: Sequence[str], seeds: Sequence[int] = (1234, 7)) -> DataFrame:
     """PN baselines (M16): every classifier trained on the true label, per setting."""
-    rows = []
-    for seed in seeds:
-        train, val, test = feature_splits(spark, sf_dir, 3, seed)
-        train_pn = train.unionByName(val)
-        for name in classifiers:
-            model = make_classifier(name).fit(train_pn, "y_true")
-            r = evaluate(model, test)
-            rows.append((f"seed-{seed}", name, r["balanced_accuracy"], r["accuracy"], r["f1"]))
+    splits = {seed: feature_splits(spark, sf_dir, 3, seed) for seed in seeds}
+
+    def cell(c):
+        seed, name = c
+        train, val, test = splits[seed]
+        model = make_classifier(name).fit(train.unionByName(val), "y_true")
+        r = evaluate(model, test)
+        return (f"seed-{seed}", name, r["balanced_accuracy"], r["accuracy"], r["f1"])
+
+    rows = run_cells([(seed, name) for seed in seeds for name in classifiers], cell)
     return spark.createDataFrame(rows, "setting string, classifier string, balanced_accuracy double, accuracy double, f1 double")
 
 
@@ -86,16 +104,17 @@ def experiment_grid(
     max_iterations: int = 2,
 ) -> DataFrame:
     """Threshold x classifier x detector grid of two-step runs."""
-    rows = []
-    for t in thresholds:
-        train, val, test = feature_splits(spark, sf_dir, t)
-        for cls in classifiers:
-            for det_name, det in detectors.items():
-                algo = TwoStep(det(), NonStop("aul"), make_classifier(cls), frac_to_move, max_iterations).fit(train, val)
-                r = evaluate(algo, test)
-                rows.append({"extractor": "embeddings", "reliable_positive_threshold": float(t), "classifier": cls,
-                             "detector": det_name, **r})
-    return _rows_to_df(spark, rows)
+    splits = {t: feature_splits(spark, sf_dir, t) for t in thresholds}
+
+    def cell(c):
+        t, cls, det_name = c
+        train, val, test = splits[t]
+        algo = TwoStep(detectors[det_name](), NonStop("aul"), make_classifier(cls), frac_to_move, max_iterations).fit(train, val)
+        return {"extractor": "embeddings", "reliable_positive_threshold": float(t), "classifier": cls,
+                "detector": det_name, **evaluate(algo, test)}
+
+    cells = [(t, cls, d) for t in thresholds for cls in classifiers for d in detectors]
+    return _rows_to_df(spark, run_cells(cells, cell))
 
 
 def make_algorithm(name: str):
@@ -111,38 +130,45 @@ def make_algorithm(name: str):
 
 def algorithm_comparison(spark: SparkSession, sf_dir: str, thresholds: Sequence[int], algorithms: Sequence[str]) -> DataFrame:
     """Algorithms x thresholds."""
-    rows = []
-    for t in thresholds:
-        train, val, test = feature_splits(spark, sf_dir, t)
-        for a in algorithms:
-            algo = make_algorithm(a).fit(train, val)
-            det = "knn-1" if a == "tsa" else ""
-            rows.append({"extractor": "embeddings", "reliable_positive_threshold": float(t), "classifier": a,
-                         "detector": det, **evaluate(algo, test)})
-    return _rows_to_df(spark, rows)
+    splits = {t: feature_splits(spark, sf_dir, t) for t in thresholds}
+
+    def cell(c):
+        t, a = c
+        train, val, test = splits[t]
+        algo = make_algorithm(a).fit(train, val)
+        return {"extractor": "embeddings", "reliable_positive_threshold": float(t), "classifier": a,
+                "detector": "knn-1" if a == "tsa" else "", **evaluate(algo, test)}
+
+    return _rows_to_df(spark, run_cells([(t, a) for t in thresholds for a in algorithms], cell))
 
 
 def k_selection(spark: SparkSession, sf_dir: str, ks: Sequence[int], seeds: Sequence[int], threshold: int = 3) -> DataFrame:
     """k of the kNN detector over seeds, scored by AUL on validation, pivoted detector x seed."""
-    rows = []
-    for seed in seeds:
-        train, val, _ = feature_splits(spark, sf_dir, threshold, seed)
-        for k in ks:
-            algo = TwoStep(KNNDetector(0.1, k), None, make_classifier("logistic"), 0.05, 1).fit(train, val)
-            rows.append((f"knn-{k}", str(seed), evaluate(algo, val.withColumn("y_true", F.col("y_pu")))["aul"]))
+    splits = {seed: feature_splits(spark, sf_dir, threshold, seed) for seed in seeds}
+
+    def cell(c):
+        seed, k = c
+        train, val, _ = splits[seed]
+        algo = TwoStep(KNNDetector(0.1, k), None, make_classifier("logistic"), 0.05, 1).fit(train, val)
+        return (f"knn-{k}", str(seed), evaluate(algo, val.withColumn("y_true", F.col("y_pu")))["aul"])
+
+    rows = run_cells([(seed, k) for seed in seeds for k in ks], cell)
     long = spark.createDataFrame(rows, "detector string, seed string, aul double")
     return pivot_results(long, "detector", "seed", "aul", values=[str(s) for s in seeds])
 
 
 def prior_threshold_grid(spark: SparkSession, sf_dir: str, priors: Sequence[float], thresholds: Sequence[int], epochs: int = 20) -> DataFrame:
     """nnPU over prior x threshold."""
-    rows = []
-    for t in thresholds:
-        train, val, test = feature_splits(spark, sf_dir, t)
-        for p in priors:
-            algo = NonNegativePU([1], p, epochs=epochs, learning_rate=0.01).fit(train, val)
-            r = evaluate(algo, test)
-            rows.append((float(t), float(p), r["balanced_accuracy"], r["accuracy"], r["f1"]))
+    splits = {t: feature_splits(spark, sf_dir, t) for t in thresholds}
+
+    def cell(c):
+        t, p = c
+        train, val, test = splits[t]
+        algo = NonNegativePU([1], p, epochs=epochs, learning_rate=0.01).fit(train, val)
+        r = evaluate(algo, test)
+        return (float(t), float(p), r["balanced_accuracy"], r["accuracy"], r["f1"])
+
+    rows = run_cells([(t, p) for t in thresholds for p in priors], cell)
     return spark.createDataFrame(rows, "quantile double, prior double, balanced_accuracy double, accuracy double, f1 double")
 
 
