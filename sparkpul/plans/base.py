@@ -210,8 +210,7 @@ class CalibratedSVM:
         folded = ranked.join(F.broadcast(sizes), "_y").withColumn(
             "_fold", F.floor((F.col("_r") - 1) * self.folds / F.col("_n")).cast("int")
         ).drop("_hk", "_r", "_n").checkpoint()
-        parts = []
-        for f in range(self.folds):
+        def fit_fold(f):
             tr = folded.where(F.col("_fold") != f)
             ho = folded.where(F.col("_fold") == f)
             svc = LinearSVC(featuresCol="_vec", labelCol="_y", regParam=1.0 / (self.C * max(n, 1)),
@@ -222,8 +221,11 @@ class CalibratedSVM:
             platt = LogisticRegression(featuresCol="_mv", labelCol="_y", regParam=0.0, maxIter=100).fit(
                 margins.select(_vec_of("_m").alias("_mv"), "_y")
             )
-            parts.append((svc, float(platt.coefficients[0]), float(platt.intercept)))
-        return _SVMFitted(parts)
+            return (svc, float(platt.coefficients[0]), float(platt.intercept))
+
+        from .parallel import run_parallel
+
+        return _SVMFitted(run_parallel(list(range(self.folds)), fit_fold))
 
 
 def _margin() -> Column:

@@ -19,6 +19,7 @@ from ..operators.results import pivot_results
 from ..session import checkpoint
 from .base import dot_plus, make_classifier
 from .models import NonNegativePU, NonStop, ProbTagging, TwoStep
+from .parallel import run_parallel
 from .tables import table
 
 # Grid cells submitted at once; Spark schedules their jobs side by side.
@@ -27,13 +28,7 @@ PARALLEL_CELLS = 4
 
 def run_cells(cells: list, fn, parallel: int | None = None) -> list:
     """Run independent grid cells from a small thread pool; results keep cell order."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    workers = max(1, min(parallel or PARALLEL_CELLS, len(cells)))
-    if workers == 1:
-        return [fn(c) for c in cells]
-    with ThreadPoolExecutor(max_workers=workers) as pool:
-        return list(pool.map(fn, cells))
+    return run_parallel(cells, fn, parallel or PARALLEL_CELLS)
 
 
 RESULT_SCHEMA = (

@@ -23,6 +23,7 @@ from ..operators.ranking import tail_cuts
 from ..operators.splits import DEFAULT_SEED, bernoulli_tags
 from ..session import checkpoint, ship_package
 from .base import Fitted
+from .parallel import run_parallel
 
 # ----------------------------------------------------------------------------- stop criteria
 
@@ -161,7 +162,8 @@ class ProbTagging(Fitted):
         cred = credibility(train.select(idc, features, y), self.k, idc, features, y)
         tags = bernoulli_tags(cred, idc, "credibility", self.m, self.seed).select(idc, "copy", "tag")
         data = checkpoint(train.where(F.col(y) == 0).select(idc, features).join(tags, idc))
-        self.models = [self.factory().fit(data.where(F.col("copy") == j), "tag", features) for j in range(self.m)]
+        # the m fits are independent: submitted side by side
+        self.models = run_parallel(list(range(self.m)), lambda j: self.factory().fit(data.where(F.col("copy") == j), "tag", features))
         if self.positive_prior is None:
             self.positive_prior = float(train.agg(F.avg(F.col(y).cast("double"))).collect()[0][0])
         self.threshold = self.positive_prior
