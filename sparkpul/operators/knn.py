@@ -235,7 +235,6 @@ def knn_join(
     kk = k
 
     def prune(batches):
-        order_up = None
         for pdf in batches:
             if len(pdf) == 0:
                 continue
