@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import greater, label, md5_key
 from ..session import checkpoint
-from .ranking import hash_rank
+from .ranking import _join, hash_rank
 
 DEFAULT_SEED = 1234
+# Per-class amounts inlined as literals up to this many classes; beyond, a join.
+MAX_LITERAL_CLASSES = 1000
 
 
 def class_counts(df: DataFrame, by: str) -> dict:
@@ -59,9 +61,20 @@ def exact_sample(
         raise ValueError("give exactly one of frac or n")
     keyed = df.withColumn("_hk", md5_key(seed, id_col))
     if by:
-        counts = class_counts(df, by)
-        ranked = hash_rank(keyed, "_hk", id_col, by=[by], rank_col="_hrank", n_rows=max(counts.values(), default=1))
-        amount = F.lit(int(n)) if n is not None else _amounts(by, counts, frac)
+        sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+        stat = sizes.agg(F.count(F.lit(1)).alias("k"), F.max("_n").alias("m")).first()
+        ranked = hash_rank(keyed, "_hk", id_col, by=[by], rank_col="_hrank", n_rows=int(stat["m"] or 1))
+        if n is not None:
+            amount = F.lit(int(n))
+        elif stat["k"] <= MAX_LITERAL_CLASSES:
+            # few classes (the usual case): amounts as literals, no join
+            amount = _amounts(by, {r[by]: r["_n"] for r in sizes.collect()}, frac)
+        else:
+            # many classes: per-class amounts joined by class (null-safe)
+            amt = sizes.select(by, F.floor(F.col("_n") * F.lit(float(frac))).cast("long").alias("_amt"))
+            ranked = _join(ranked, amt, [by])
+            amount = F.col("_amt")
+        return ranked.withColumn(flag, F.col("_hrank") <= amount).drop("_hrank", "_hk", "_amt")
     else:
         total = df.count()
         ranked = hash_rank(keyed, "_hk", id_col, rank_col="_hrank", n_rows=total)

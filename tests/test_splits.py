@@ -86,3 +86,15 @@ def test_single_table_recipe(spark):
     out = S.single_table_recipe(ev, "event_id", "value", 100.0, 50.0).toPandas()
     assert set(out.split) == {"train", "val", "test"}
     assert len(out) == ev.count() and not out.moved.any()
+
+
+def test_exact_sample_many_classes_uses_join(spark, monkeypatch):
+    monkeypatch.setattr(S, "MAX_LITERAL_CLASSES", 2)
+    df = spark.range(200).select(F.col("id"), (F.col("id") % 7).alias("c"))
+    out = S.exact_sample(df, "id", frac=0.3, by="c").toPandas()
+    assert len(out) == 200
+    for c, part in out.groupby("c"):
+        assert part.sampled.sum() == math.floor(0.3 * len(part))
+    monkeypatch.setattr(S, "MAX_LITERAL_CLASSES", 1000)
+    same = S.exact_sample(df, "id", frac=0.3, by="c").toPandas()
+    assert sorted(out[out.sampled]["id"]) == sorted(same[same.sampled]["id"])
