@@ -1,28 +1,22 @@
-"""Result-table operators; the pivot is checked against the golden pivot shipped with
-the reference (all 264 cells)."""
-
-import os
+"""Result-table operators: pivots (including the flattened tuple names of a pivot over
+several axes), quantiles, zips and widening."""
 
 import numpy as np
 import pandas as pd
 import pytest
 
 from sparkpul.operators import results as R
-from tests.conftest import REFERENCE
-
-CEDI = f"{REFERENCE}/experiments/cedi"
 
 
-@pytest.mark.skipif(not os.path.isdir(REFERENCE), reason="reference results not present")
-def test_flat_pivot_matches_golden(spark):
-    src = pd.read_csv(f"{CEDI}/ava_ava_twostep_results.csv").drop(columns=["Unnamed: 0"])
-    gold = pd.read_csv(f"{CEDI}/exreport_input.csv").set_index("extractor")
-    df = spark.createDataFrame(src)
-    wide = R.pivot_results(df, "extractor", ["reliable_positive_threshold", "classifier", "detector"],
-                           "balanced_accuracy").toPandas().set_index("extractor")
-    assert set(wide.columns) == set(gold.columns)
-    for c in gold.columns:
-        assert np.allclose(wide.loc[gold.index, c].to_numpy(), gold[c].to_numpy(), atol=1e-12)
+def test_flat_pivot_names_and_values(spark):
+    rows = [("b32", 5.386517, "logistic", "knn", 0.61), ("b32", 5.386517, "logistic", "k-means", 0.55),
+            ("l14", 5.386517, "logistic", "knn", 0.62), ("l14", 6.129032, "svm", "knn", 0.71)]
+    df = spark.createDataFrame(rows, "extractor string, threshold double, classifier string, detector string, v double")
+    wide = R.pivot_results(df, "extractor", ["threshold", "classifier", "detector"], "v").toPandas().set_index("extractor")
+    assert set(wide.columns) == {"(5.386517, 'logistic', 'knn')", "(5.386517, 'logistic', 'k-means')",
+                                 "(6.129032, 'svm', 'knn')"}
+    assert wide.loc["l14", "(6.129032, 'svm', 'knn')"] == pytest.approx(0.71)
+    assert pd.isna(wide.loc["b32", "(6.129032, 'svm', 'knn')"])
 
 
 def test_pivot_duplicate_keys_raise(spark):

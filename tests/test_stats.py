@@ -1,42 +1,92 @@
-"""Friedman / Holm against the published report numbers (golden inputs are the
-result CSVs shipped with the reference; skipped when that folder is absent)."""
+"""Friedman / Holm against the published comparison numbers.
 
-import os
+The inputs are the published per-method result tables, stated below as fixed values;
+the expected statistics are the published report figures.
+"""
 
 import pandas as pd
 import pytest
 
 from sparkpul.operators import stats as ST
-from tests.conftest import REFERENCE
 
-CEDI = f"{REFERENCE}/experiments/cedi"
-KNN = f"{REFERENCE}/experiments/knn/exreport_input.csv"
-needs_ref = pytest.mark.skipif(not os.path.isdir(REFERENCE), reason="reference results not present")
+# Published results, one row per method, one column per setting.
+SETTINGS = ["ava_ava", "ava_aadb", "aadb_ava", "aadb_aadb"]
+METHODS = ["logistic", "kneighbours-5", "kneighbours-9", "kneighbours-19", "naivebayes", "rf", "svm"]
+PUBLISHED = {
+    "balanced_accuracy": [
+        [0.604423330348314, 0.541773099530667, 0.5843651298281516, 0.6209406402836564],
+        [0.5735626718041735, 0.5466659262641345, 0.5239567833101437, 0.5838855502219151],
+        [0.5768403320677344, 0.5485642360896874, 0.5218290495245741, 0.5443089782033721],
+        [0.5730060105159752, 0.5328018888491265, 0.5178918615664095, 0.545008247261539],
+        [0.5302009855737865, 0.5161448885488522, 0.5701217206658059, 0.5085763293310464],
+        [0.6009772293708425, 0.5947859208345159, 0.50643225334136, 0.5718025922315321],
+        [0.6143602978449396, 0.5515649230187034, 0.5994451717937714, 0.630691330297683],
+    ],
+    "aul": [
+        [0.5302745663540922, 0.5174193825042882, 0.5244592631975487, 0.5504322469982847],
+        [0.5213273985927391, 0.5194596912521441, 0.5069455860441753, 0.5349802744425386],
+        [0.522277662703301, 0.5202512864493997, 0.5063287103186052, 0.5184768439108062],
+        [0.521166010528883, 0.5136783876500858, 0.505187234963525, 0.5187684391080617],
+        [0.5087559143982745, 0.5067324185248714, 0.5203297929502815, 0.5035763293310463],
+        [0.5292754676626661, 0.5395257289879931, 0.5018648484006378, 0.5299416809605488],
+        [0.5331555066653386, 0.5215025728987993, 0.52883129126434, 0.5544982847341338],
+    ],
+    "accuracy": [
+        [0.4635884783332354, 0.488, 0.7352797195950577, 0.603],
+        [0.5651961072274766, 0.557, 0.7114100530654605, 0.6],
+        [0.5722062307857996, 0.562, 0.7096085687990757, 0.565],
+        [0.5725782764495095, 0.548, 0.7112534022596879, 0.569],
+        [0.3366425816052791, 0.441, 0.4002036460475043, 0.427],
+        [0.5257788482249506, 0.594, 0.7122324697957665, 0.609],
+        [0.4808788110203842, 0.503, 0.7313830308014647, 0.608],
+    ],
+    "f1": [
+        [0.41615515771526, 0.3315926892950391, 0.8350355700357531, 0.6010050251256281],
+        [0.6439166760211036, 0.6157849089332177, 0.8268073704992008, 0.6649916247906199],
+        [0.6525770080943976, 0.6262798634812287, 0.8257139499353626, 0.6419753086419752],
+        [0.6552312357846853, 0.6169491525423729, 0.8279025255590308, 0.6510121457489878],
+        [0.1295511189907243, 0.1169036334913112, 0.2817885530727567, 0.0337268128161888],
+        [0.5582591565737633, 0.6288848263254113, 0.8309833237492813, 0.7035633055344958],
+        [0.4479980011243676, 0.3779724655819775, 0.8284563825530212, 0.5950413223140497],
+    ],
+}
 
+# Published AUL of the kNN detector per k (rows) over seeds 0-9 (columns).
+K_DETECTORS = ["knn-13", "knn-15", "knn-17", "knn-21", "knn-9"]
+K_PUBLISHED = [
+    [0.6994879583594571, 0.7026409485123255, 0.7012672525739077, 0.7003760255241568, 0.7026726004924734,
+     0.7021349697600993, 0.7034634470660306, 0.7036479344111678, 0.7018306578205399, 0.7010515661787623],
+    [0.7006468737630093, 0.7042805210839856, 0.7019572657411314, 0.6998944624957693, 0.7030709625121969,
+     0.7016543125919913, 0.7030836233042561, 0.7041236199736656, 0.7020386550292363, 0.7016669733840504],
+    [0.701026244594644, 0.7031347194026325, 0.7004189795059446, 0.7006862149296059, 0.7037605227492809,
+     0.7014517399190449, 0.7026404955821858, 0.7031482860549711, 0.7024067238592313, 0.7008245777819772],
+    [0.6996905310324035, 0.7015589037214078, 0.7012093731493619, 0.7016294439380127, 0.7018939617808356,
+     0.7019816814649702, 0.703558855936614, 0.7033133292818798, 0.7035968383127915, 0.701418276218338],
+    [0.6988160305200426, 0.7014824860389132, 0.7016534067317117, 0.7014901752253621, 0.7044265731228057,
+     0.7033820577779256, 0.7049782234376583, 0.703976662074566, 0.702070759939524, 0.7011465221192059],
+]
 
-def _long(spark, path, index):
-    pdf = pd.read_csv(path)
-    long = pdf.melt(id_vars=[index], var_name="dataset", value_name="score")
-    return spark.createDataFrame(long.rename(columns={index: "method"}))
+
+def _long(spark, methods, datasets, values):
+    rows = [(m, str(d), float(v)) for m, row in zip(methods, values) for d, v in zip(datasets, row)]
+    return spark.createDataFrame(pd.DataFrame(rows, columns=["method", "dataset", "score"]))
 
 
-@needs_ref
 @pytest.mark.parametrize(
     "metric,chi2,p",
     [("balanced_accuracy", 14.142857, 0.028080), ("aul", 14.142857, 0.028080),
      ("accuracy", 10.821429, 0.094055), ("f1", 13.607143, 0.034346)],
 )
-def test_friedman_cedi_reports(spark, metric, chi2, p):
-    df = _long(spark, f"{CEDI}/{metric}_exreport.csv", "classifier")
+def test_friedman_published_reports(spark, metric, chi2, p):
+    df = _long(spark, METHODS, SETTINGS, PUBLISHED[metric])
     r = ST.friedman(df, "method", "dataset", "score").first()
     assert r["chi2"] == pytest.approx(chi2, abs=1e-6)
     assert r["pvalue"] == pytest.approx(p, abs=1e-6)
     assert r["dof"] == 6
 
 
-@needs_ref
-def test_knn_report_friedman_and_control(spark):
-    df = _long(spark, KNN, "detector")
+def test_k_selection_report_friedman_and_control(spark):
+    df = _long(spark, K_DETECTORS, range(10), K_PUBLISHED)
     r = ST.friedman(df, "method", "dataset", "score").first()
     assert r["chi2"] == pytest.approx(3.68, abs=1e-9)
     assert r["pvalue"] == pytest.approx(0.451041490143654, abs=1e-9)
