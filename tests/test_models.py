@@ -140,3 +140,37 @@ def test_aul_without_positives_is_null(spark):
     from sparkpul.operators import metrics as M
 
     assert M.aul(df, "y", "s").first()["aul"] is None
+
+
+def test_two_step_negatives_only_and_label_ranking(spark):
+    df = _blobs(spark)
+    algo = TwoStep(RandomDetector(0.2), None, make_classifier("logistic"), frac_to_move=0.1, max_iterations=1,
+                   move_positive=False).fit(df)
+    roles = {r["role"]: r["count"] for r in algo.roles.groupBy("role").count().collect()}
+    # 12 detected negatives, then floor(0.1 * 48) = 4 more negatives and no new positive
+    assert roles == {"P": 40, "N": 16, "U": 44}
+    by_label = TwoStep(RandomDetector(0.2), None, make_classifier("logistic"), frac_to_move=0.1, max_iterations=1,
+                       rank_by="label").fit(df)
+    roles = {r["role"]: r["count"] for r in by_label.roles.groupBy("role").count().collect()}
+    assert roles == {"P": 44, "N": 16, "U": 40}
+
+
+class _FixedModel:
+    """Stub classifier whose predictions are a given column."""
+
+    def __init__(self, col):
+        self.col = col
+
+    def predict(self, df, features="features", out="prediction"):
+        return df.withColumn(out, F.col(self.col))
+
+
+def test_stop_on_metric_drop_sequence(spark):
+    val = spark.createDataFrame([(1, 1, 1, 1, 0), (2, 0, 0, 0, 1), (3, 1, 1, 1, 1), (4, 0, 1, 1, 0)],
+                                "id long, y_pu int, good int, same int, bad int")
+    stop = StopOnMetricDrop("accuracy")
+    assert stop.check(_FixedModel("good"), val) == (False, 0.75)
+    assert stop.check(_FixedModel("same"), val) == (False, 0.75)  # equal: continue
+    should_stop, value = stop.check(_FixedModel("bad"), val)
+    assert should_stop and value == 0.5
+    assert NonStop("aul").check(_FixedModel("bad"), val)[0] is False
