@@ -174,3 +174,19 @@ def test_stop_on_metric_drop_sequence(spark):
     should_stop, value = stop.check(_FixedModel("bad"), val)
     assert should_stop and value == 0.5
     assert NonStop("aul").check(_FixedModel("bad"), val)[0] is False
+
+
+class _FixedProbModel(_FixedModel):
+    def predict_proba(self, df, features="features", out="prob"):
+        return df.withColumn(out, F.col(self.col).cast("double"))
+
+
+def test_prob_tagging_vote_share_against_prior(spark):
+    df = spark.createDataFrame([(1, 1, 1, 0), (2, 1, 0, 0), (3, 0, 0, 0)], "vec_id long, a int, b int, c int")
+    algo = ProbTagging(3, lambda: None, 3)
+    algo.models = [_FixedProbModel("a"), _FixedProbModel("b"), _FixedProbModel("c")]
+    algo.positive_prior = 0.3
+    got = {r["vec_id"]: (r["prediction"], r["prob"]) for r in algo.predict(algo.predict_proba(df)).collect()}
+    # vote shares 2/3, 1/3, 0 against the prior 0.3
+    assert {k: v[0] for k, v in got.items()} == {1: 1, 2: 1, 3: 0}
+    assert got[2][1] == pytest.approx(1 / 3)
