@@ -190,3 +190,11 @@ def test_prob_tagging_vote_share_against_prior(spark):
     # vote shares 2/3, 1/3, 0 against the prior 0.3
     assert {k: v[0] for k, v in got.items()} == {1: 1, 2: 1, 3: 0}
     assert got[2][1] == pytest.approx(1 / 3)
+
+
+def test_kmeans_detector_fit_is_reproducible(spark):
+    df = _blobs(spark)
+    a = sorted(r["vec_id"] for r in KMeansDetector(0.3, 3, seed=7).negatives(df, "vec_id").collect())
+    b = sorted(r["vec_id"] for r in KMeansDetector(0.3, 3, seed=7).negatives(df, "vec_id").collect())
+    assert a == b and len(a) == math.floor(60 * 0.3)
+    assert all(i >= 40 for i in a)
