@@ -139,6 +139,7 @@ def prefix_sums(
     by: Sequence[str] | str | None = (),
     descending: bool = False,
     n_rows: int | None = None,
+    max_group: int | None = None,
 ) -> DataFrame:
     """Add ``{v}_before`` = sum of ``v`` over rows earlier in ``order`` within ``by``.
 
@@ -146,7 +147,8 @@ def prefix_sums(
     into quantile buckets of about ``ROWS_PER_BUCKET`` rows (sized by the largest
     group when there are groups); per-bucket totals give the offset, a window inside
     (group, bucket) gives the rest. ``n_rows`` (used without groups) bounds the row
-    count and is counted when not given.
+    count and is counted when not given; ``max_group`` bounds the largest group and
+    saves the job that finds it.
     """
     by = _cols(by)
     values = list(values)
@@ -158,7 +160,10 @@ def prefix_sums(
     if by:
         # buckets only need to split the largest group: many small groups already
         # spread over tasks through the window partitioning
-        n_rows = work.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+        if max_group is not None:
+            n_rows = max_group
+        else:
+            n_rows = work.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
     elif n_rows is None:
         n_rows = work.count()
     work, nb = _bucketize(work, order_key, n_rows, "_pb")
@@ -234,7 +239,7 @@ def top_n(
     tagged = _join(base.drop("_amount"), states, [*by, score], "left")
     # rows tied at the cut score: rank by id (unique within the tie group)
     cut = tagged.where(F.col("_state") == 1).withColumn("_one", F.lit(1))
-    cut = prefix_sums(cut, id_col, ["_one"], by=[*by, score], n_rows=n_rows)
+    cut = prefix_sums(cut, id_col, ["_one"], by=[*by, score], max_group=n_rows)
     cut_ids = cut.where(F.col("_one_before") < F.col("_rest")).select(*by, id_col).withColumn(
         "_tie_in", F.lit(True)
     )
@@ -316,7 +321,7 @@ def tail_cuts(
     )
     tagged = _join(df, states, [*by, score], "left")
     cut = tagged.where((F.col("_ls") == 1) | (F.col("_hs") == 1)).select(*by, score, id_col).withColumn("_one", F.lit(1))
-    cut = prefix_sums(cut, id_col, ["_one"], by=[*by, score], n_rows=n).select(*by, id_col, "_one_before")
+    cut = prefix_sums(cut, id_col, ["_one"], by=[*by, score], max_group=n).select(*by, id_col, "_one_before")
     out = _join(tagged, cut, [*by, id_col], "left")
     tie_rank = F.coalesce(F.col("_one_before"), F.lit(-1))
     low = (F.col("_ls") == 2) | ((F.col("_ls") == 1) & (tie_rank >= 0) & (tie_rank < F.col("_lr")))
