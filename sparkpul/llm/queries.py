@@ -10,8 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkpul.llm import bpe
+from sparkpul.llm import bpe, huffman
 from sparkpul.llm.common import table
+from sparkpul.session import scratch_path
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +20,17 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_documents(table(spark, sf_dir, "documents")))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written as Huffman-coded files and read back."""
+    path = scratch_path(spark, "op9-files")
+    huffman.write_token_files(table(spark, sf_dir, "documents"), path)
+    return huffman.digests(huffman.read_token_files(spark, path))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_byte_bpe": op4_byte_bpe,
+        "op9_token_files": op9_token_files,
     }
 
 
