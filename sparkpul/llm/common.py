@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,7 +52,7 @@ def in_slices(batches: Iterator[pa.RecordBatch], column: str, budget: int) -> It
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
         size, first = 0, 0
-        for i, length in enumerate(pa.compute.binary_length(texts).to_pylist()):
+        for i, length in enumerate(pc.binary_length(texts).to_pylist()):
             size += length or 0
             if size >= budget:
                 yield batch.slice(first, i + 1 - first)
