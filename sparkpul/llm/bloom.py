@@ -38,17 +38,27 @@ class BlockedBloom:
         while self.blocks < max_blocks and self.blocks * KEYS_PER_BLOCK < n:
             self.blocks *= 2
         masks = _masks(F.col("k"))
-        self.table = keys.groupBy(_block(F.col("k"), self.blocks).alias("bloom_block")).agg(
-            *[F.bit_or(m).alias(f"bloom_{w}") for w, m in enumerate(masks)]
+        self.table = keys.groupBy(_block(F.col("k"), self.blocks).alias("__bloom_block")).agg(
+            *[F.bit_or(m).alias(f"__bloom_{w}") for w, m in enumerate(masks)]
         )
 
+    def marked(self, df: DataFrame, key: str, name: str) -> DataFrame:
+        """``df`` with a column ``name``: whether ``key`` may be listed (null: no)."""
+        names = df.columns
+        probed = df.withColumn("__bloom_block", _block(F.col(key), self.blocks)).join(
+            F.broadcast(self.table), "__bloom_block", "left"  # at most max_blocks rows of 40 bytes
+        )
+        hit = F.col(key).isNotNull()
+        for w, m in enumerate(_masks(F.col(key))):
+            hit = hit & (F.coalesce(f"__bloom_{w}", F.lit(0)).bitwiseAND(m) != 0)
+        return probed.select(*names, hit.alias(name))
+
     def possible(self, df: DataFrame, key: str) -> DataFrame:
         """The rows of ``df`` whose ``key`` may be listed: no listed key is lost."""
-        names = df.columns
-        probed = df.withColumn("bloom_block", _block(F.col(key), self.blocks)).join(
-            F.broadcast(self.table), "bloom_block"  # at most max_blocks rows of 40 bytes
+        probed = df.withColumn("__bloom_block", _block(F.col(key), self.blocks)).join(
+            F.broadcast(self.table), "__bloom_block"  # at most max_blocks rows of 40 bytes
         )
         hit = F.lit(True)
         for w, m in enumerate(_masks(F.col(key))):
-            hit = hit & (F.col(f"bloom_{w}").bitwiseAND(m) != 0)
-        return probed.where(hit).select(*names)
+            hit = hit & (F.col(f"__bloom_{w}").bitwiseAND(m) != 0)
+        return probed.where(hit).select(*df.columns)

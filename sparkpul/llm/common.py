@@ -43,6 +43,12 @@ def ascii_words(c: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once: inside a lambda of a higher-order
+    function an outer expression would be computed again for every element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def in_slices(batches: Iterator[pa.RecordBatch], column: str, budget: int) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows whose ``column`` holds about ``budget`` bytes.
 

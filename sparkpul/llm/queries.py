@@ -10,16 +10,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkpul.llm import bpe, huffman, secrets, urls
+from sparkpul.llm import bpe, decontaminate, fingerprints, huffman, lm, secrets, simhash, urls
 from sparkpul.llm.common import table
 from sparkpul.session import scratch_path
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint and near-duplicate component of every document."""
+    return simhash.digests(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and log-bilinear log10 probabilities of every document."""
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document and the bytes they decode to, as digests."""
     return bpe.digests(bpe.encode_documents(table(spark, sf_dir, "documents")))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multiset fingerprints of every document and of its edited text, and their likeness."""
+    return fingerprints.digests(fingerprints.edited_fingerprints(table(spark, sf_dir, "documents")))
+
+
 #: the rules of operator 7: host, path, verdict
 URL_RULES = [
     ("net", "/", "block"),
@@ -66,16 +81,48 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.digests(huffman.read_token_files(spark, path))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items held by documents: every pair at containment 0.8 or more."""
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP10_SQL = """
+WITH words AS (
+  SELECT 'd' AS kind, doc_id AS id,
+         list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+  UNION ALL
+  SELECT 'b', item_id,
+         list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')
+  FROM benchmark),
+shingles AS (
+  SELECT DISTINCT kind, id, unnest(
+    CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+  FROM words),
+items AS (SELECT id AS item_id, s, count(*) OVER (PARTITION BY id) AS item_shingles FROM shingles WHERE kind = 'b')
+SELECT d.id AS doc_id, item_id, count(*) AS matched, any_value(item_shingles) AS item_shingles,
+       count(*) / any_value(item_shingles) AS containment
+FROM (SELECT id, s FROM shingles WHERE kind = 'd') d JOIN items USING (s)
+GROUP BY ALL HAVING count(*) >= 0.8 * any_value(item_shingles)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_simhash": op1_simhash,
+        "op2_lm_scores": op2_lm_scores,
         "op4_byte_bpe": op4_byte_bpe,
+        "op6_fingerprints": op6_fingerprints,
         "op7_url_filter": op7_url_filter,
         "op8_secret_scan": op8_secret_scan,
         "op9_token_files": op9_token_files,
+        "op10_decontamination": op10_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op7_url_filter": OP7_SQL,
+        "op10_decontamination": OP10_SQL,
     }
