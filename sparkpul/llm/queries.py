@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkpul.llm import bpe, decontaminate, fingerprints, huffman, lm, secrets, simhash, urls
+from sparkpul.llm import bpe, decontaminate, fingerprints, huffman, lm, secrets, simhash, suffix_dedup, urls
 from sparkpul.llm.common import table
 from sparkpul.session import scratch_path
 
@@ -30,6 +30,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_documents(table(spark, sf_dir, "documents")))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document keeps without its bytes in 400-byte strings that start elsewhere too."""
+    return suffix_dedup.digests(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multiset fingerprints of every document and of its edited text, and their likeness."""
     return fingerprints.digests(fingerprints.edited_fingerprints(table(spark, sf_dir, "documents")))
@@ -113,6 +118,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": op1_simhash,
         "op2_lm_scores": op2_lm_scores,
         "op4_byte_bpe": op4_byte_bpe,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_fingerprints": op6_fingerprints,
         "op7_url_filter": op7_url_filter,
         "op8_secret_scan": op8_secret_scan,
