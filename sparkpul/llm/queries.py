@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkpul.llm import bpe, decontaminate, fingerprints, huffman, lm, secrets, simhash, suffix_dedup, urls
+from sparkpul.llm import bpe, decontaminate, fingerprints, huffman, lm, quality, secrets, simhash, suffix_dedup, urls
 from sparkpul.llm.common import table
 from sparkpul.session import scratch_path
 
@@ -25,6 +25,11 @@ def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by a network trained on the labelled ones."""
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document and the bytes they decode to, as digests."""
     return bpe.digests(bpe.encode_documents(table(spark, sf_dir, "documents")))
@@ -117,6 +122,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op2_lm_scores": op2_lm_scores,
+        "op3_quality": op3_quality,
         "op4_byte_bpe": op4_byte_bpe,
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_fingerprints": op6_fingerprints,
