@@ -28,11 +28,13 @@ def greater(score, threshold: float, inclusive: bool = False) -> Column:
     """``score > t`` (or ``>=``) with Python semantics for NaN and null.
 
     Spark orders NaN above every number, so ``NaN > t`` is true there; the
-    reference evaluates it in Python where it is false.
+    reference evaluates it in Python where it is false. A null score gives null, which
+    a filter drops and ``label`` counts as 0: the bare comparison reaches the scan as a
+    pushed filter. Negate ``safe_pred(greater(..))``, not this.
     """
     s = _col(score)
     cmp = s >= F.lit(threshold) if inclusive else s > F.lit(threshold)
-    return safe_pred(cmp & ~F.isnan(s.cast("double")))
+    return cmp & ~F.isnan(s.cast("double"))
 
 
 def label(pred: Column) -> Column:
@@ -77,11 +79,19 @@ def path_join(root: str, path) -> Column:
 
 
 def parse_list(text, nested: bool = False) -> Column:
-    """Text list ``'[0.1, 0.9]'`` -> ``array<double>`` (F2); nested lists flattened."""
+    """Text list ``'[0.1, 0.9]'`` -> ``array<double>`` (F2); nested lists flattened.
+
+    ``nan``, ``inf`` and ``-inf`` (as Python writes them) are numbers; ``None`` is a null
+    entry; any other text is an error, never a missing list. Null text gives null.
+    """
     t = F.trim(_col(text))
-    if nested:
-        return F.flatten(F.from_json(t, "array<array<double>>"))
-    return F.from_json(t, "array<double>")
+    for word, name in (("nan", "NaN"), ("inf", "Infinity"), ("None", "null")):
+        t = F.regexp_replace(t, rf"\b{word}\b", name)
+    kind = "array<array<double>>" if nested else "array<double>"
+    parsed = F.from_json(t, kind, {"allowNonNumericNumbers": "true"})
+    wrong = _col(text).isNotNull() & (parsed.isNull() | ~t.startswith("[") | ~t.endswith("]"))
+    checked = F.when(wrong, F.raise_error(F.concat(F.lit("not a list of numbers: "), F.substring(t, 1, 80)))).otherwise(parsed)
+    return F.flatten(checked) if nested else checked
 
 
 def every_second_if_double(pred, truth) -> Column:
@@ -152,15 +162,16 @@ def format_setting(template: str, *cols) -> Column:
 
 
 def zip_explode(x, y, names=("x", "y")):
-    """Paired lists -> rows ``(pos, x, y)``; extra entries of the longer list dropped.
+    """Paired lists -> rows ``(pos, x, y)`` (F10). Lists of different lengths are an error:
+    cutting the longer one would pair entries that do not belong together.
 
-    Returns a list of columns for ``select(*zip_explode(...))`` after an
-    ``inline`` of the zipped array.
+    Returns a column for ``select(*zip_explode(...))`` after an ``inline`` of the zipped
+    array.
     """
     xs, ys = _col(x), _col(y)
-    n = F.least(F.size(xs), F.size(ys))
-    zipped = F.slice(F.arrays_zip(xs.alias(names[0]), ys.alias(names[1])), 1, n)
-    return F.posexplode(zipped)
+    message = F.format_string("paired lists of %s and %s entries", F.size(xs), F.size(ys))
+    zipped = F.arrays_zip(xs.alias(names[0]), ys.alias(names[1]))
+    return F.posexplode(F.when(F.size(xs).eqNullSafe(F.size(ys)), zipped).otherwise(F.raise_error(message)))
 
 
 def clipped_bce(y, p, eps: float = BCE_EPSILON) -> Column:

@@ -7,8 +7,9 @@ functions here split the order into buckets first:
   hex digits gives equal-sized buckets whatever the data; counts per bucket are a
   small table whose running sum is the offset of each bucket.
 * ``prefix_sums`` - running sums over a key that is unique within its group (for
-  example distinct scores after a pre-aggregation). Buckets come from approximate
-  quantiles of that key, which are balanced precisely because the key is unique.
+  example distinct scores after a pre-aggregation). Buckets are the partitions of a
+  range partitioning on the key itself, whatever its type, balanced precisely because
+  the key is unique.
 * ``top_n``     - the first ``n`` rows by (score, id). Rows are first counted per
   distinct score (a hot tie group is a single pre-aggregated row), the cut score is
   found by a running count, and only the rows tied at the cut are ranked by id.
@@ -25,6 +26,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 # Rows per bucket a single task sorts; bounded independent of the table size.
 ROWS_PER_BUCKET = 1 << 20
 # Below this many rows per bucket, more buckets only add overhead.
@@ -112,24 +115,20 @@ def hash_rank(
     )
 
 
-def _bucketize(df: DataFrame, order: str, n_rows: int, out: str) -> tuple[DataFrame, int]:
-    """Monotone bucket of ``order`` from approximate quantiles (key assumed unique)."""
+def _range_buckets(df: DataFrame, by: list[str], order: Column, n_rows: int, out: str) -> tuple[DataFrame, int]:
+    """Contiguous buckets of (``by``, ``order``): the partitions of a range partitioning.
+
+    Spark samples the keys in their own type, so text, decimals and large integers are
+    ordered as they are, in either direction. Written out once, since a partition number
+    must not change between the totals and the rows.
+    """
     nb = max(1, math.ceil(n_rows / ROWS_PER_BUCKET))
     if n_rows > MIN_ROWS_PER_BUCKET:
         nb = max(nb, min(2 * _parallelism(df), math.ceil(n_rows / MIN_ROWS_PER_BUCKET)))
     if nb == 1:
         return df.withColumn(out, F.lit(0)), 1
-    from pyspark.ml.feature import Bucketizer
-
-    probs = [i / nb for i in range(1, nb)]
-    tmp = "_order_d"
-    dd = df.withColumn(tmp, F.col(order).cast("double"))
-    cuts = dd.approxQuantile(tmp, probs, 1.0 / (4 * nb))
-    splits = [-math.inf] + sorted({c for c in cuts if not math.isnan(c)}) + [math.inf]
-    splits = [s for i, s in enumerate(splits) if i == 0 or s > splits[i - 1]]
-    bz = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
-    out_df = bz.transform(dd).withColumn(out, F.col(out).cast("int")).drop(tmp)
-    return out_df, len(splits)
+    dealt = df.repartitionByRange(nb, *[F.col(c) for c in by], order).withColumn(out, F.spark_partition_id())
+    return materialize(dealt, "range-buckets"), nb
 
 
 def prefix_sums(
@@ -143,20 +142,18 @@ def prefix_sums(
 ) -> DataFrame:
     """Add ``{v}_before`` = sum of ``v`` over rows earlier in ``order`` within ``by``.
 
-    ``order`` must be unique within each ``by`` group and not null. Rows are split
-    into quantile buckets of about ``ROWS_PER_BUCKET`` rows (sized by the largest
-    group when there are groups); per-bucket totals give the offset, a window inside
-    (group, bucket) gives the rest. ``n_rows`` (used without groups) bounds the row
-    count and is counted when not given; ``max_group`` bounds the largest group and
-    saves the job that finds it.
+    ``order`` must be unique within each ``by`` group and not null; it may have any
+    orderable type. Rows are split into range buckets of about ``ROWS_PER_BUCKET`` rows
+    (when the largest group has more); per-bucket totals give the offset, a window
+    inside (group, bucket) gives the rest. ``n_rows`` (used without groups) bounds the
+    row count and is counted when not given; ``max_group`` bounds the largest group and
+    saves the job that finds it. The bounds choose how the work is split, never what
+    is returned.
     """
     by = _cols(by)
     values = list(values)
     work = df
-    order_key = order
-    if descending:
-        order_key = "_neg_order"
-        work = work.withColumn(order_key, -F.col(order).cast("double"))
+    order_key = F.col(order).desc() if descending else F.col(order).asc()
     if by:
         # buckets only need to split the largest group: many small groups already
         # spread over tasks through the window partitioning
@@ -166,7 +163,7 @@ def prefix_sums(
             n_rows = work.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
     elif n_rows is None:
         n_rows = work.count()
-    work, nb = _bucketize(work, order_key, n_rows, "_pb")
+    work, nb = _range_buckets(work, by, order_key, n_rows, "_pb")
     w_in = Window.partitionBy(*by, "_pb").orderBy(order_key).rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -195,10 +192,7 @@ def prefix_sums(
                 f"{v}_before",
                 F.col(f"_o_{v}") + F.coalesce(F.sum(v).over(w_in), F.lit(0)),
             ).drop(f"_o_{v}")
-    out = out.drop("_pb")
-    if descending:
-        out = out.drop(order_key)
-    return out
+    return out.drop("_pb")
 
 
 def top_n(
@@ -236,7 +230,9 @@ def top_n(
         .otherwise(F.lit(0)),
     ).withColumn("_rest", F.col("_amount") - F.col("_cnt_before"))
     states = per_score.select(*by, score, "_state", "_rest")
-    tagged = _join(base.drop("_amount"), states, [*by, score], "left")
+    # rows without a score never join: a hot null score moves nowhere
+    scored, unscored = base.drop("_amount").where(F.col(score).isNotNull()), base.drop("_amount").where(F.col(score).isNull())
+    tagged = _join(scored, states, [*by, score], "left").unionByName(unscored, allowMissingColumns=True)
     # rows tied at the cut score: rank by id (unique within the tie group)
     cut = tagged.where(F.col("_state") == 1).withColumn("_one", F.lit(1))
     cut = prefix_sums(cut, id_col, ["_one"], by=[*by, score], max_group=n_rows)
@@ -292,17 +288,19 @@ def tail_cuts(
     Adds ``low`` and ``high`` booleans. One running count over the distinct scores
     serves both tails (rows above a score = total - rows below - rows at it), and one
     id ranking serves the rows tied at either cut. Ties go to the smaller id in both
-    directions. With ``frac <= 0.5`` the tails are disjoint.
+    directions. With ``frac <= 0.5`` the tails are disjoint. ``n`` counts the rows with
+    a score; rows without one are in neither tail. ``n_rows`` only bounds the input size.
     """
     by = _cols(by)
-    n = df.count() if n_rows is None else n_rows
     scored = df.where(F.col(score).isNotNull())
     per_score = scored.groupBy(*by, score).agg(F.count(F.lit(1)).alias("_cnt"))
+    # the total is that of the scored rows, with and without groups
     if by:
+        n = df.count() if n_rows is None else n_rows
         sizes = scored.groupBy(*by).agg(F.count(F.lit(1)).alias("_tot"))
-        # one row per group: the groups are the few classes of a PU table
-        per_score = _join(per_score, F.broadcast(sizes), by)
+        per_score = _join(per_score, sizes, by)  # any number of groups: AQE picks the join
     else:
+        n = scored.count()
         per_score = per_score.withColumn("_tot", F.lit(int(n)).cast("long"))
     per_score = prefix_sums(per_score, score, ["_cnt"], by=by, n_rows=n)
     m = F.floor(F.col("_tot") * F.lit(float(frac)))

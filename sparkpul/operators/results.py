@@ -180,17 +180,15 @@ def metric_fall(df: DataFrame, key: str, setting_col: str, metric: str, pairs, t
     """
     from ..functions.columns import round_even
 
-    outs = []
-    for diff, same in pairs:
-        d = df.where(F.col(setting_col) == template.format(*diff)).select(key, F.col(metric).alias("_d"))
-        s = df.where(F.col(setting_col) == template.format(*same)).select(key, F.col(metric).alias("_s"))
-        j = d.join(s, key).select(
-            F.lit(diff[0]).alias(label_col),
-            key,
-            round_even((F.lit(1.0) - F.col("_d") / F.col("_s")) * 100, 2).alias("fall"),
-        )
-        outs.append(j)
-    return stack(outs)
+    wanted = df.sparkSession.createDataFrame(
+        [(diff[0], template.format(*diff), template.format(*same)) for diff, same in pairs],
+        f"{label_col} string, _diff string, _same string",
+    )
+    # one join for all pairs, on the setting names
+    d = df.select(F.col(setting_col).alias("_diff"), key, F.col(metric).alias("_d"))
+    s = df.select(F.col(setting_col).alias("_same"), key, F.col(metric).alias("_s"))
+    fall = round_even((F.lit(1.0) - F.col("_d") / F.col("_s")) * 100, 2).alias("fall")
+    return wanted.join(d, "_diff").join(s, ["_same", key]).select(label_col, key, fall)
 
 
 def with_baseline(df: DataFrame, base: DataFrame, keys: Sequence[str], metric: str, out: str = "baseline") -> DataFrame:
@@ -208,22 +206,58 @@ def metric_by_k(df: DataFrame, k_col: str, metric: str) -> DataFrame:
 
 # ----------------------------------------------------------------------------- grids
 
+# Most values an axis taken from a table may have (checked when the plan runs).
+MAX_AXIS = 10_000
+
+
+def axis(df: DataFrame, value, name: str) -> DataFrame:
+    """The sorted distinct values of an expression as a one-row array column ``name``.
+
+    Values are made distinct before they are gathered; more than ``MAX_AXIS`` are an error.
+    """
+    distinct = df.select((F.col(value) if isinstance(value, str) else value).alias(name)).distinct()
+    gathered = distinct.agg(F.count(F.lit(1)).alias("_n"), F.collect_list(name).alias(name))
+    message = F.format_string(f"axis {name} has %s values, at most {MAX_AXIS} are allowed", F.col("_n"))
+    return gathered.select(F.when(F.col("_n") <= MAX_AXIS, F.array_sort(name)).otherwise(F.raise_error(message)).alias(name))
+
+
+def _one_row(spark, axes: dict) -> DataFrame:
+    """All axes as array columns of one row; an axis is a list or a one-row frame (``axis``)."""
+    row = spark.range(1).select(F.lit(0).alias("_key"))
+    for name, values in axes.items():
+        if isinstance(values, DataFrame):
+            # one row against one row, on a constant
+            row = row.join(values.select(F.lit(0).alias("_key"), F.col(values.columns[0]).alias(name)), "_key")
+        else:
+            row = row.withColumn(name, F.array(*[F.lit(v) for v in values]))
+    return row.drop("_key")
+
+
 def grid(spark, **axes) -> DataFrame:
-    """Cartesian parameter grid (J12), built by exploding one array per axis.
+    """Cartesian parameter grid (J12), built in Spark by exploding one array per axis.
 
-    Axis lists are parameters (bounded); every axis becomes a column.
+    An axis is a list (a parameter) or a one-row frame taken from a table (``axis``).
     """
-    df = spark.range(1).select()
-    for name, vals in axes.items():
-        df = df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in vals])))
+    df = _one_row(spark, axes)
+    for name in axes:
+        df = df.withColumn(name, F.explode(name))
     return df
 
 
 def zip_axes(spark, **axes) -> DataFrame:
-    """Lock-step zip of axes, truncated to the shortest."""
-    n = min(len(v) for v in axes.values())
-    rows = [tuple(v[i] for v in axes.values()) for i in range(n)]
-    return spark.createDataFrame(rows, list(axes))
+    """Lock-step zip of axes (J13) with a 1-based ``pos``, truncated to the shortest; struct
+    entries become their fields."""
+    row = _one_row(spark, axes)
+    shortest = F.least(*[F.size(n) for n in axes]) if len(axes) > 1 else F.size(next(iter(axes)))
+    zipped = F.slice(F.arrays_zip(*axes), F.lit(1), shortest)
+    out = row.select(F.posexplode(zipped).alias("_pos", "_at"))
+    columns = []
+    for name in axes:
+        kind = row.schema[name].dataType.elementType
+        columns += (
+            [F.col(f"_at.{name}.{f}").alias(f) for f in kind.names] if hasattr(kind, "names") else [F.col(f"_at.{name}").alias(name)]
+        )
+    return out.select((F.col("_pos") + 1).cast("long").alias("pos"), *columns)
 
 
 def pending_cells(grid_df: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -20,8 +20,6 @@ from ..session import checkpoint
 from .ranking import _join, hash_rank
 
 DEFAULT_SEED = 1234
-# Per-class amounts inlined as literals up to this many classes; beyond, a join.
-MAX_LITERAL_CLASSES = 1000
 
 
 def class_counts(df: DataFrame, by: str) -> dict:
@@ -29,12 +27,11 @@ def class_counts(df: DataFrame, by: str) -> dict:
     return {r[by]: r["n"] for r in df.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def _amounts(by: str, counts: dict, frac: float):
-    """Per-class ``floor(frac * n)`` as a literal expression (one small aggregate gave n)."""
-    expr = F.lit(0).cast("long")
-    for cls, n in counts.items():
-        expr = F.when(F.col(by) == F.lit(cls), F.lit(int(math.floor(n * frac)))).otherwise(expr)
-    return expr
+def _with_amounts(ranked: DataFrame, df: DataFrame, by: str, frac: float, out: str) -> DataFrame:
+    """Attach ``floor(frac * n)`` of each row's class: one aggregate row per class of
+    ``df``, joined null-safely (a null class is a class), whatever their number."""
+    sizes = df.groupBy(by).agg(F.floor(F.count(F.lit(1)) * F.lit(float(frac))).cast("long").alias(out))
+    return _join(ranked, sizes, [by])
 
 
 def _rank_by_hash(df: DataFrame, id_col: str, by, seed: int, salt: str | None = None) -> DataFrame:
@@ -61,18 +58,12 @@ def exact_sample(
         raise ValueError("give exactly one of frac or n")
     keyed = df.withColumn("_hk", md5_key(seed, id_col))
     if by:
-        sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
-        stat = sizes.agg(F.count(F.lit(1)).alias("k"), F.max("_n").alias("m")).first()
-        ranked = hash_rank(keyed, "_hk", id_col, by=[by], rank_col="_hrank", n_rows=int(stat["m"] or 1))
+        largest = df.groupBy(by).count().agg(F.max("count")).first()[0]
+        ranked = hash_rank(keyed, "_hk", id_col, by=[by], rank_col="_hrank", n_rows=int(largest or 1))
         if n is not None:
             amount = F.lit(int(n))
-        elif stat["k"] <= MAX_LITERAL_CLASSES:
-            # few classes (the usual case): amounts as literals, no join
-            amount = _amounts(by, {r[by]: r["_n"] for r in sizes.collect()}, frac)
         else:
-            # many classes: per-class amounts joined by class (null-safe)
-            amt = sizes.select(by, F.floor(F.col("_n") * F.lit(float(frac))).cast("long").alias("_amt"))
-            ranked = _join(ranked, amt, [by])
+            ranked = _with_amounts(ranked, df, by, frac, "_amt")
             amount = F.col("_amt")
         return ranked.withColumn(flag, F.col("_hrank") <= amount).drop("_hrank", "_hk", "_amt")
     else:
@@ -107,64 +98,61 @@ def pn_test_split(
     keyed = labelled.withColumn("_hk", md5_key(seed, id_col))
     ranked = hash_rank(keyed, "_hk", id_col, by=["y_true"], rank_col="_hrank", n_rows=max(counts.values(), default=1))
     return (
-        ranked.withColumn("_amt", _amounts("y_true", counts, test_frac))
+        _with_amounts(ranked, labelled, "y_true", test_frac, "_amt")
         .withColumn("split", F.when(F.col("_hrank") <= F.col("_amt"), "test").otherwise("train"))
         .drop("_hrank", "_amt", "_hk")
     )
 
 
-@dataclass
+@dataclass(frozen=True)
 class SplitPlan:
-    """Split sizes of ``build_pu`` (A20); names follow the reference's printout."""
-
-    n_positive: int
-    n_unlabeled: int
-    total_amount: int
-    val_amount: int
-    val_positive_amount: int
-    val_unlabeled_amount: int
-    train_amount: int
-    known_positive_amount: int
-    positive_in_unlabeled_amount: int
-    unlabeled_amount: int
+    """Row counts that ``build_pu`` draws (A20). ``positives`` and ``unlabeled`` are what it
+    has, the ``val_`` and ``hidden`` fields what it takes from each; the rest follows."""
+
+    positives: int
+    unlabeled: int
+    requested: int
+    val_rows: int
+    val_positives: int
+    hidden_positives: int
+    known_positives: int
+
+    @property
+    def val_unlabeled(self) -> int:
+        return self.val_rows - self.val_positives
+
+    @property
+    def train_rows(self) -> int:
+        return self.positives + self.unlabeled - self.val_rows
+
+    @property
+    def train_unlabeled(self) -> int:
+        return self.unlabeled - self.val_unlabeled + self.hidden_positives
 
     def as_dict(self) -> dict:
-        return asdict(self)
+        return asdict(self) | {
+            k: getattr(self, k) for k in ("val_unlabeled", "train_rows", "train_unlabeled")
+        }
 
 
 def plan_sizes(
     n_pos: int, n_unl: int, frac: float, val_split: float, val_share, move_frac: float
 ) -> SplitPlan:
-    """Scalar arithmetic of the split plan, with the size check done on both sides."""
-    total = math.floor((n_pos + n_unl) * frac)
-    val_amount = math.floor(total * val_split)
-    if val_share == "same":
-        share = n_pos / (n_pos + n_unl) if (n_pos + n_unl) else 0.0
-    else:
-        share = float(val_share)
-        am = math.floor(val_amount * share)
-        if am > n_pos or (val_amount - am) > n_unl:
-            raise ValueError(
-                "A validation split positive fraction was specified, but there are not "
-                "enough positive or unlabeled examples"
-            )
-    val_pos = math.floor(val_amount * share)
-    val_unl = val_amount - val_pos
-    rem_pos = n_pos - val_pos
-    rem_unl = n_unl - val_unl
-    known = math.floor(rem_pos * (1.0 - move_frac))
-    moved = math.floor(rem_pos * move_frac)
+    """Sizes of the draws: ``floor(val_split * floor(frac * n))`` validation rows, of which a
+    share is positive (``"same"``: the table's own share), then of the positives left
+    ``floor(move_frac * rest)`` hidden and ``floor((1 - move_frac) * rest)`` known."""
+    n = n_pos + n_unl
+    requested = math.floor(n * frac)
+    val_rows = math.floor(requested * val_split)
+    share = (n_pos / n if n else 0.0) if val_share == "same" else float(val_share)
+    val_pos = math.floor(val_rows * share)
+    for kind, want, have in (("positive", val_pos, n_pos), ("unlabeled", val_rows - val_pos, n_unl)):
+        if val_share != "same" and want > have:
+            raise ValueError(f"validation needs {want} {kind} rows (share {share}), the table has {have}")
+    rest = n_pos - val_pos
     return SplitPlan(
-        n_positive=n_pos,
-        n_unlabeled=n_unl,
-        total_amount=total,
-        val_amount=val_amount,
-        val_positive_amount=val_pos,
-        val_unlabeled_amount=val_unl,
-        train_amount=rem_pos + rem_unl,
-        known_positive_amount=known,
-        positive_in_unlabeled_amount=moved,
-        unlabeled_amount=rem_unl + moved,
+        positives=n_pos, unlabeled=n_unl, requested=requested, val_rows=val_rows, val_positives=val_pos,
+        hidden_positives=math.floor(rest * move_frac), known_positives=math.floor(rest * (1.0 - move_frac)),
     )
 
 
@@ -196,7 +184,7 @@ def build_pu(
     keyed = train.withColumn("_hk", md5_key(seed, F.lit("val"), id_col))
     ranked = hash_rank(keyed, "_hk", id_col, by=["y_pu"], rank_col="_hrank",
                        n_rows=max(counts.values(), default=1)).drop("_hk")
-    vp, vu, mv = plan.val_positive_amount, plan.val_unlabeled_amount, plan.positive_in_unlabeled_amount
+    vp, vu, mv = plan.val_positives, plan.val_unlabeled, plan.hidden_positives
     is_pos = F.col("y_pu") == 1
     r = F.col("_hrank")
     in_val = F.when(is_pos, r <= vp).otherwise(r <= vu)

@@ -1,19 +1,24 @@
 """Statistical comparison of methods over datasets.
 
-Ranks, rank sums, chi-square and z statistics are DataFrame aggregates. The
-distribution tails (chi-square survival, normal two-sided p) need ``erfc``, which
-neither Spark SQL nor DuckDB has, so they are evaluated by a pandas UDF on the
-method-level rows.
+Everything is DataFrame aggregates, windows and joins over the method table: ranks, rank
+sums, statistics, p-values, the pairs of methods and the step-down adjustments. The
+distribution tails come from power series written as built-in expressions
+(``normal_tail``, ``chi2_tail``). ``chi2_sf``, ``normal_two_sided`` and ``holm`` state the
+same for single Python values.
 """
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
+# Terms of the error function's series; at |z| = 8 the rest is under 1e-16.
+ERF_TERMS = 160
+
 
 # ----------------------------------------------------------------------------- tails
 
@@ -47,14 +52,43 @@ def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2.0))
 
 
-def chi2_sf_udf(x, dof):
-    """Column form of ``chi2_sf`` (a pandas UDF, created when first used)."""
-
-    @F.pandas_udf("double")
-    def _sf(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([chi2_sf(float(u), int(v)) for u, v in zip(a, b)])
-
-    return _sf(x, dof)
+def erf(x: Column) -> Column:
+    """``erf(x)`` for ``x >= 0`` by ``2/sqrt(pi) e^(-x^2) sum 2^n x^(2n+1) / (2n+1)!!``, whose
+    terms are all positive (no cancellation)."""
+    start = F.struct(x.alias("term"), x.alias("total"))
+    step = F.aggregate(
+        F.sequence(F.lit(1), F.lit(ERF_TERMS)),
+        start,
+        lambda a, n: F.struct(
+            (a["term"] * 2 * x * x / (2 * n + 1)).alias("term"),
+            (a["total"] + a["term"] * 2 * x * x / (2 * n + 1)).alias("total"),
+        ),
+        lambda a: a["total"],
+    )
+    return F.when(x > 6, F.lit(1.0)).otherwise(F.lit(2 / math.sqrt(math.pi)) * F.exp(-x * x) * step)
+
+
+def normal_tail(z: Column) -> Column:
+    """Two-sided normal p-value of ``z``."""
+    return F.lit(1.0) - erf(F.abs(z) / F.lit(math.sqrt(2.0)))
+
+
+def chi2_tail(x: Column, dof: Column) -> Column:
+    """Survival function of the chi-square distribution with integer ``dof``: a finite sum
+    of ``h^i / Gamma(i + 1)`` over i = 0, 1, .. or 1/2, 3/2, .. below ``dof / 2``."""
+    h = x / 2
+    odd = dof % 2 == 1
+    shift = F.when(odd, F.lit(0.5)).otherwise(F.lit(0.0))
+    count = F.floor(dof / 2).cast("int")
+    first = F.when(odd, F.sqrt(h) / F.lit(math.gamma(1.5))).otherwise(F.lit(1.0))
+    series = F.aggregate(
+        F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1),
+        F.struct(first.alias("term"), F.lit(0.0).alias("total")),
+        lambda a, i: F.struct((a["term"] * h / (i + 1 + shift)).alias("term"), (a["total"] + a["term"]).alias("total")),
+        lambda a: a["total"],
+    )
+    tail = F.when(odd, F.lit(1.0) - erf(F.sqrt(h))).otherwise(F.lit(0.0))
+    return F.when(x <= 0, F.lit(1.0)).otherwise(tail + F.when(count > 0, F.exp(-h) * series).otherwise(F.lit(0.0)))
 
 
 # ----------------------------------------------------------------------------- ranks
@@ -75,15 +109,28 @@ def mean_ranks(df: DataFrame, method: str, dataset: str, score: str, maximize: b
     return r.groupBy(method).agg(F.avg("rank").alias("mean_rank"), F.count(F.lit(1)).alias("n_datasets"))
 
 
+def complete_blocks(df: DataFrame, method: str, dataset: str, score: str) -> None:
+    """Raise unless every dataset holds every method exactly once, with a score (the tests
+    compare complete blocks; anything else gives wrong ranks). One aggregate job."""
+    cells = df.groupBy(method, dataset).agg(F.count(F.lit(1)).alias("n"), F.count(score).alias("scored"))
+    seen = cells.agg(
+        F.count(F.lit(1)).alias("cells"), F.countDistinct(method).alias("methods"),
+        F.countDistinct(dataset).alias("datasets"), F.max("n").alias("most"), F.min("scored").alias("least"),
+    ).first()
+    if seen["cells"] and (seen["cells"] != seen["methods"] * seen["datasets"] or seen["most"] != 1 or seen["least"] != 1):
+        raise ValueError(
+            f"incomplete blocks: {seen['methods']} methods x {seen['datasets']} datasets need one score each, "
+            f"found {seen['cells']} cells, up to {seen['most']} rows and at least {seen['least']} scores in a cell"
+        )
+
+
 def friedman(df: DataFrame, method: str, dataset: str, score: str, maximize: bool = True) -> DataFrame:
     """Friedman test (A25): ``12 N / (k (k+1)) * (sum R_j^2 - k (k+1)^2 / 4)``.
 
     One row: ``chi2, dof, pvalue, n_datasets, n_methods``. Datasets must hold every
-    method once (complete block design), as in the reports.
+    method once (complete block design), which is checked.
     """
-    from ..session import ship_package
-
-    ship_package(df.sparkSession)
+    complete_blocks(df, method, dataset, score)
     mr = mean_ranks(df, method, dataset, score, maximize)
     agg = mr.agg(
         F.sum(F.col("mean_rank") * F.col("mean_rank")).alias("_s2"),
@@ -98,7 +145,7 @@ def friedman(df: DataFrame, method: str, dataset: str, score: str, maximize: boo
         (F.col("n_methods") - 1).cast("long").alias("dof"),
         "n_datasets",
         "n_methods",
-    ).withColumn("pvalue", chi2_sf_udf(F.col("chi2"), F.col("dof")))
+    ).withColumn("pvalue", chi2_tail(F.col("chi2"), F.col("dof")))
 
 
 def holm(pvalues: list[float]) -> list[float]:
@@ -112,12 +159,45 @@ def holm(pvalues: list[float]) -> list[float]:
     return out
 
 
-def _rank_summary(df: DataFrame, method: str, dataset: str, score: str, maximize: bool):
-    """Mean ranks per method, collected: one row per compared method (a small table)."""
-    rows = mean_ranks(df, method, dataset, score, maximize).collect()
-    ranks = {r[method]: float(r["mean_rank"]) for r in rows}
-    n = max((r["n_datasets"] for r in rows), default=0)
-    return ranks, n
+def _ranked_methods(df: DataFrame, method: str, dataset: str, score: str, maximize: bool) -> DataFrame:
+    """``method, r, k, n``: mean rank, number of methods and of datasets, computed once."""
+    complete_blocks(df, method, dataset, score)
+    ranks = materialize(mean_ranks(df, method, dataset, score, maximize), "mean-ranks")
+    # one row per compared method: a window over all of them is as small
+    whole = Window.partitionBy(F.lit(1))
+    return ranks.select(
+        method, F.col("mean_rank").alias("r"), F.count(F.lit(1)).over(whole).alias("k"),
+        F.max("n_datasets").over(whole).alias("n"),
+    )
+
+
+def _standard_error() -> Column:
+    return F.sqrt(F.col("k") * (F.col("k") + 1) / (F.lit(6.0) * F.col("n")))
+
+
+def step_down(tests: DataFrame, p: str, order: list[str], out: str, factor: Column | None = None) -> DataFrame:
+    """Step-down adjustment ``max_{j <= i} min(1, f_j p_(j))`` over all rows.
+
+    ``factor`` gives ``f_j`` from the 1-based position ``_j`` and the number of rows
+    ``_m``; Holm's ``m - j + 1`` by default. Equal p-values are ordered by ``order``.
+    """
+    w = Window.partitionBy(F.lit(1)).orderBy(p, *order)
+    numbered = tests.withColumn("_j", F.row_number().over(w)).withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
+    factor = (F.col("_m") - F.col("_j") + 1) if factor is None else factor
+    scaled = numbered.withColumn("_s", F.least(F.lit(1.0), factor * F.col(p)))
+    running = w.rowsBetween(Window.unboundedPreceding, 0)
+    return scaled.withColumn(out, F.max("_s").over(running)).drop("_j", "_m", "_s")
+
+
+def shaffer_counts(k: int) -> list[int]:
+    """The possible numbers of true hypotheses among all pairs of ``k`` means, ascending.
+
+    Equal means form groups; a group of size g holds ``g (g - 1) / 2`` true pairs.
+    """
+    possible: list[set[int]] = [{0}]
+    for size in range(1, k + 1):
+        possible.append({g * (g - 1) // 2 + rest for g in range(1, size + 1) for rest in possible[size - g]})
+    return sorted(possible[k])
 
 
 def control_posthoc(
@@ -129,29 +209,24 @@ def control_posthoc(
     adjusted over the ``k - 1`` comparisons; win / tie / loss of the control against
     each method over the datasets (an equi-join on the dataset).
     """
-    spark = df.sparkSession
-    ranks, n = _rank_summary(df, method, dataset, score, maximize)
-    k = len(ranks)
-    control = min(ranks, key=lambda m: (ranks[m], m))
-    se = math.sqrt(k * (k + 1) / (6.0 * n)) if n else float("nan")
-    others = [m for m in sorted(ranks) if m != control]
-    zs = [(ranks[m] - ranks[control]) / se for m in others]
-    ps = [normal_two_sided(z) for z in zs]
-    adj = holm(ps)
-    rows = [(m, control, ranks[m], z, p, a) for m, z, p, a in zip(others, zs, ps, adj)]
-    comp = spark.createDataFrame(
-        rows, f"{method} string, control string, mean_rank double, z double, pvalue double, p_holm double"
-    )
-    cs = df.where(F.col(method) == control).select(dataset, F.col(score).alias("_cs"))
-    ms = df.where(F.col(method) != control).select(method, dataset, F.col(score).alias("_ms"))
+    ranks = _ranked_methods(df, method, dataset, score, maximize)
+    best = Window.partitionBy(F.lit(1)).orderBy("r", method)
+    comp = ranks.select(
+        method, "r", "k", "n", F.first(method).over(best).alias("control"), F.first("r").over(best).alias("rc")
+    ).where(F.col(method) != F.col("control"))
+    comp = comp.withColumn("z", (F.col("r") - F.col("rc")) / _standard_error())
+    comp = step_down(comp.withColumn("pvalue", normal_tail(F.col("z"))), "pvalue", [method], "p_holm")
+    control = ranks.orderBy("r", method).limit(1).select(F.col(method).alias("_c"))
+    cs = df.join(control, F.col(method) == F.col("_c")).select(dataset, F.col(score).alias("_cs"), "_c")
+    ms = df.select(method, dataset, F.col(score).alias("_ms"))
     better = (F.col("_cs") > F.col("_ms")) if maximize else (F.col("_cs") < F.col("_ms"))
     worse = (F.col("_cs") < F.col("_ms")) if maximize else (F.col("_cs") > F.col("_ms"))
-    wtl = ms.join(cs, dataset).groupBy(method).agg(
+    wtl = ms.join(cs, dataset).where(F.col(method) != F.col("_c")).groupBy(method).agg(
         F.sum(better.cast("long")).alias("win"),
         F.sum((F.col("_cs") == F.col("_ms")).cast("long")).alias("tie"),
         F.sum(worse.cast("long")).alias("loss"),
     )
-    out = comp.join(wtl, method, "left")
+    out = comp.withColumnRenamed("r", "mean_rank").join(wtl, method, "left")
     cols = [method, "control", "mean_rank", "z", "win", "tie", "loss"] + (["pvalue", "p_holm"] if with_p else [])
     return out.select(*cols)
 
@@ -159,22 +234,29 @@ def control_posthoc(
 def pairwise_posthoc(
     df: DataFrame, method: str, dataset: str, score: str, maximize: bool = True, with_p: bool = True
 ) -> DataFrame:
-    """All method pairs ``a < b`` (A27): z of the mean-rank difference, two-sided p,
-    Holm adjusted over the ``k (k-1) / 2`` pairs. Pairs are of methods, not rows."""
-    spark = df.sparkSession
-    ranks, n = _rank_summary(df, method, dataset, score, maximize)
-    k = len(ranks)
-    se = math.sqrt(k * (k + 1) / (6.0 * n)) if n else float("nan")
-    names = sorted(ranks)
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
-    zs = [(ranks[a] - ranks[b]) / se for a, b in pairs]
-    ps = [normal_two_sided(z) for z in zs]
-    adj = holm(ps)
-    rows = [(a, b, ranks[a], ranks[b], z, p, h) for (a, b), z, p, h in zip(pairs, zs, ps, adj)]
-    out = spark.createDataFrame(
-        rows, "method_a string, method_b string, rank_a double, rank_b double, z double, pvalue double, p_holm double"
-    )
-    return out if with_p else out.drop("pvalue", "p_holm")
+    """All method pairs ``a < b`` (A27): z of the mean-rank difference, two-sided p, and its
+    Holm and static Shaffer adjustments over the ``k (k-1) / 2`` pairs.
+
+    Pairs are of methods, not rows: a self-join of the method table on ``a < b``. Shaffer's
+    factor at step j is the largest possible number of true hypotheses that is at most
+    ``m - j + 1`` (``shaffer_counts``, at most ``k (k-1) / 2 + 1`` numbers).
+    """
+    ranks = _ranked_methods(df, method, dataset, score, maximize)
+    a = ranks.select(F.col(method).alias("method_a"), F.col("r").alias("rank_a"), "k", "n")
+    b = ranks.select(F.col(method).alias("method_b"), F.col("r").alias("rank_b"))
+    pairs = a.join(b, F.col("method_a") < F.col("method_b"))
+    pairs = pairs.withColumn("z", (F.col("rank_a") - F.col("rank_b")) / _standard_error())
+    cols = ["method_a", "method_b", "rank_a", "rank_b", "z"]
+    if not with_p:
+        return pairs.select(*cols)
+    pairs = pairs.withColumn("pvalue", normal_tail(F.col("z")))
+    counts = shaffer_counts(ranks.count())
+    left = F.col("_m") - F.col("_j") + 1
+    true_left = F.array_max(F.filter(F.array(*[F.lit(c) for c in counts]), lambda c: c <= left))
+    names = ["method_a", "method_b"]
+    adjusted = step_down(pairs, "pvalue", names, "p_holm")
+    adjusted = step_down(adjusted, "pvalue", names, "p_shaffer", F.greatest(true_left, F.lit(1)))
+    return adjusted.select(*cols, "pvalue", "p_holm", "p_shaffer")
 
 
 def mark_best(df: DataFrame, method: str, dataset: str, score: str, maximize: bool = True) -> DataFrame:

@@ -18,7 +18,14 @@ from ..operators.detectors import KMeansDetector, KNNDetector, RandomDetector
 from ..operators.knn import credibility, knn_classify, knn_join
 from ..operators.ranking import tail_cuts
 from ..operators.results import exact_quantiles
-from .tables import embedding_pu, events_positive, events_reliable, table
+from .tables import (
+    EVENTS_POSITIVE_FROM,
+    EVENTS_RELIABLE_ABOVE,
+    embedding_pu,
+    events_positive,
+    events_reliable,
+    table,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -212,10 +219,9 @@ def q_build_pu(spark, sf_dir):
     "split_plan",
     BUILD_PU_SQL.split(",\ntr_r")[0]
     + """
-SELECT np AS n_positive, nu AS n_unlabeled, floor((np + nu) * 1.0)::BIGINT AS total_amount, val_amount,
-       vp AS val_positive_amount, vu AS val_unlabeled_amount, (np - vp + nu - vu)::BIGINT AS train_amount,
-       floor((np - vp) * (1.0 - 0.2))::BIGINT AS known_positive_amount, mv AS positive_in_unlabeled_amount,
-       (nu - vu + mv)::BIGINT AS unlabeled_amount
+SELECT np AS positives, nu AS unlabeled, floor((np + nu) * 1.0)::BIGINT AS requested, val_amount AS val_rows,
+       vp AS val_positives, mv AS hidden_positives, floor((np - vp) * (1.0 - 0.2))::BIGINT AS known_positives,
+       vu AS val_unlabeled, (np + nu - val_amount)::BIGINT AS train_rows, (nu - vu + mv)::BIGINT AS train_unlabeled
 FROM pl3
 """,
 )
@@ -343,14 +349,15 @@ def q_whole_as_test(spark, sf_dir):
     f"""
 WITH {EVENTS}
 SELECT event_id, y_true, y_pu,
-       CASE WHEN event_type IN ('click', 'view', 'signup') THEN 'train' WHEN event_type = 'error' THEN 'val' ELSE 'test' END AS split
-FROM ev WHERE event_type IN ('click', 'view', 'signup', 'error', 'purchase')
+       CASE WHEN event_type = 'error' THEN 'val' WHEN event_type = 'purchase' THEN 'test' ELSE 'train' END AS split
+FROM ev
 """,
 )
 def q_presplit_recipe(spark, sf_dir):
     """A dataset that comes as train / val / test tables (here: by event type)."""
     ev = table(spark, sf_dir, "events")
-    train = ev.where(F.col("event_type").isin("click", "view", "signup"))
+    # every other event type, new ones and null included, is training data
+    train = ev.where(~F.coalesce(F.col("event_type").isin("error", "purchase"), F.lit(False)))
     val = ev.where(F.col("event_type") == "error")
     test = ev.where(F.col("event_type") == "purchase")
     out = S.presplit_recipe(train, val, test, "event_id", events_reliable(), events_positive())
@@ -371,6 +378,83 @@ def q_score_rank(spark, sf_dir):
     return global_rank(ev, "value", "event_id").select("event_id", "rank")
 
 
+@register(
+    "score_rank_text_ids",
+    """
+SELECT doc_id, row_number() OVER (ORDER BY lang, md5(text) || ':' || doc_id)::BIGINT AS rank FROM documents
+""",
+)
+def q_score_rank_text_ids(spark, sf_dir):
+    """W1 over text: rank of every document by language, ties by a text id."""
+    from ..operators.ranking import global_rank
+
+    d = table(spark, sf_dir, "documents").select(
+        "doc_id", "lang", F.concat(F.md5("text"), F.lit(":"), F.col("doc_id").cast("string")).alias("key")
+    )
+    return global_rank(d, "lang", "key").select("doc_id", "rank")
+
+
+@register(
+    "move_tails_nulls",
+    """
+WITH e AS (SELECT event_id, user_id % 5 AS g, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS s FROM events),
+r AS (SELECT *, row_number() OVER (ORDER BY s, event_id) AS lo, row_number() OVER (ORDER BY s DESC, event_id) AS hi,
+             floor(count(*) OVER () * 0.1) AS m FROM e WHERE s IS NOT NULL)
+SELECT e.event_id, coalesce(lo <= m, false) AS low, coalesce(hi <= m, false) AS high FROM e LEFT JOIN r USING (event_id)
+""",
+)
+def q_move_tails_nulls(spark, sf_dir):
+    """T2 with missing scores: 10 % of the scored events at either end; the others in neither."""
+    from ..operators.ranking import tail_cuts
+
+    e = table(spark, sf_dir, "events").select(
+        "event_id", F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("s")
+    )
+    return tail_cuts(e, "s", "event_id", 0.1).select("event_id", "low", "high")
+
+
+@register(
+    "stratified_split_null_class",
+    """
+WITH o AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_custkey % 2000 END AS c FROM orders),
+h AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY md5('1234:' || o_orderkey), o_orderkey) AS rk,
+             floor(count(*) OVER (PARTITION BY c) * 0.25) AS amt FROM o)
+SELECT o_orderkey, coalesce(c, -1) AS c, CASE WHEN rk <= amt THEN 'val' ELSE 'train' END AS split FROM h
+""",
+)
+def q_stratified_split_null_class(spark, sf_dir):
+    """D3 with up to 2,000 classes and a null class, each drawn on its own."""
+    o = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_custkey") % 2000).alias("c")
+    )
+    out = S.stratified_split(o, "o_orderkey", "c", 0.25)
+    return out.select("o_orderkey", F.coalesce("c", F.lit(-1).cast("long")).alias("c"), "split")
+
+
+@register(
+    "single_table_recipe",
+    f"""
+WITH {EVENTS_TEST},
+tr AS (SELECT * FROM ev_s WHERE split = 'train'),
+c AS (SELECT sum(y_pu)::BIGINT AS np, (count(*) - sum(y_pu))::BIGINT AS nu FROM tr),
+pl AS (SELECT np, nu, floor((np + nu) * 0.2)::BIGINT AS val_amount FROM c),
+pl2 AS (SELECT *, floor(val_amount * (np / (np + nu)))::BIGINT AS vp FROM pl),
+pl3 AS (SELECT *, val_amount - vp AS vu FROM pl2),
+tr_r AS (SELECT tr.*, row_number() OVER (PARTITION BY y_pu ORDER BY md5('1234:val:' || event_id), event_id) AS r2 FROM tr)
+SELECT event_id, y_true, y_pu,
+       CASE WHEN (y_pu = 1 AND r2 <= vp) OR (y_pu = 0 AND r2 <= vu) THEN 'val' ELSE 'train' END AS split
+FROM tr_r, pl3
+UNION ALL
+SELECT event_id, y_true, y_pu, split FROM ev_s WHERE split = 'test'
+""",
+)
+def q_single_table_recipe(spark, sf_dir):
+    """The single-table recipe with its defaults (20 % test, 20 % validation, nothing hidden)."""
+    ev = table(spark, sf_dir, "events")
+    out = S.single_table_recipe(ev, "event_id", "value", EVENTS_RELIABLE_ABOVE, EVENTS_POSITIVE_FROM)
+    return out.select("event_id", "y_true", "y_pu", "split")
+
+
 QUANTILE_PROBS = [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 0.99]
 
 

@@ -12,6 +12,7 @@ from ..functions import columns as C
 from ..operators import metrics as M
 from ..operators import results as R
 from ..operators import stats as ST
+from ..session import materialize
 from .queries import register, r6, sql_round_even
 from .tables import result_table, table
 
@@ -85,7 +86,7 @@ def q_matrix_pivot(spark, sf_dir):
     + ", ".join(
         f"round(max(CASE WHEN dataset = '{y}' THEN metric END), 6) AS metric_{y}, "
         f"max(CASE WHEN dataset = '{y}' THEN n END)::BIGINT AS n_{y}"
-        for y in YEARS[:3]
+        for y in YEARS
     )
     + "\nFROM (SELECT r.*, c.n FROM res r JOIN (SELECT o_orderpriority AS method, CAST(year(o_orderdate) AS VARCHAR) AS dataset,"
     " count(*) AS n FROM orders GROUP BY 1, 2) c USING (method, dataset)) GROUP BY method",
@@ -96,7 +97,9 @@ def q_widen_by_setting(spark, sf_dir):
     res = o.groupBy(
         F.col("o_orderpriority").alias("method"), F.year("o_orderdate").cast("string").alias("dataset")
     ).agg(F.avg("o_totalprice").alias("metric"), F.count(F.lit(1)).alias("n"))
-    frames = {y: res.where(F.col("dataset") == y) for y in YEARS[:3]}
+    # the aggregate of a few rows is read once per setting: computed once
+    res = materialize(res, "by-setting")
+    frames = {y: res.where(F.col("dataset") == y) for y in YEARS}
     wide = R.widen_by_setting(frames, "method", ["metric", "n"], drop=["dataset"])
     metric_cols = R.select_prefix(wide, "metric_", keep=["method"]).columns
     n_cols = [c for c in wide.columns if c.startswith("n_")]
@@ -112,8 +115,8 @@ FALL_RES = """r AS (SELECT o_orderpriority AS classifier, 'S+' || o_orderstatus
     "metric_fall",
     f"""WITH {FALL_RES}
 SELECT t.train AS train_ds, d.classifier, {sql_round_even("(1 - d.metric / s.metric) * 100", 2)} AS fall
-FROM (VALUES ('F'), ('O')) t(train)
-JOIN r d ON d.setting = 'S+' || t.train || '-1996'
+FROM (VALUES ('F'), ('O'), ('P')) t(train), (VALUES ('1996'), ('1997'), ('1998'), ('1999'), ('2000'), ('2001')) y(test)
+JOIN r d ON d.setting = 'S+' || t.train || '-' || y.test
 JOIN r s ON s.setting = 'S+' || t.train || '-1995' AND s.classifier = d.classifier""",
 )
 def q_metric_fall(spark, sf_dir):
@@ -123,8 +126,8 @@ def q_metric_fall(spark, sf_dir):
         F.col("o_orderpriority").alias("classifier"),
         C.format_setting("S+{}-{}", F.col("o_orderstatus"), F.year("o_orderdate")).alias("setting"),
     ).agg(F.avg("o_totalprice").alias("metric"))
-    pairs = [(("F", "1996"), ("F", "1995")), (("O", "1996"), ("O", "1995"))]
-    return R.metric_fall(res, "classifier", "setting", "metric", pairs, "S+{}-{}")
+    pairs = [((s, y), (s, YEARS[0])) for s in STATUS_NAMES for y in YEARS[1:]]
+    return R.metric_fall(materialize(res, "by-setting"), "classifier", "setting", "metric", pairs, "S+{}-{}")
 
 
 @register(
@@ -239,11 +242,38 @@ def q_control_posthoc_z(spark, sf_dir):
     return out.select("method", "control", r6("mean_rank").alias("mean_rank"), r6("z").alias("z"), "win", "tie", "loss")
 
 
-@register("control_posthoc")
+def _erf_sql(x: str) -> str:
+    """erf of a non-negative value by its series of positive terms, as one list expression."""
+    return (
+        f"(2 / sqrt(pi()) * exp(-({x}) * ({x})) * list_sum(list_transform(range(0, 161), lambda i: "
+        f"CASE WHEN ({x}) = 0 THEN 0 ELSE exp(2 * i * ln(2) + (2 * i + 1) * ln({x}) + lgamma(i + 1) - lgamma(2 * i + 2)) END)))"
+    )
+
+
+@register(
+    "control_posthoc",
+    f"""WITH {RANKS},
+mr AS (SELECT method, avg(rank) AS r, count(*) AS n FROM rk GROUP BY method),
+ctl AS (SELECT method AS control, r AS rc FROM mr ORDER BY r, method LIMIT 1),
+kn AS (SELECT count(*) AS k, max(n) AS n FROM mr),
+wtl AS (SELECT m.method, sum((c.metric > m.metric)::INTEGER)::BIGINT AS win, sum((c.metric = m.metric)::INTEGER)::BIGINT AS tie,
+               sum((c.metric < m.metric)::INTEGER)::BIGINT AS loss
+        FROM res m JOIN res c ON m.dataset = c.dataset JOIN ctl ON c.method = ctl.control
+        WHERE m.method <> ctl.control GROUP BY m.method),
+z AS (SELECT mr.method, control, r, (r - rc) / sqrt(k * (k + 1) / (6.0 * kn.n)) AS z FROM mr, ctl, kn WHERE mr.method <> control),
+x AS (SELECT *, abs(z) / sqrt(2) AS x FROM z),
+p AS (SELECT *, 1 - {_erf_sql("x")} AS pvalue FROM x),
+j AS (SELECT *, row_number() OVER (ORDER BY pvalue, method) AS j, count(*) OVER () AS m FROM p),
+h AS (SELECT *, max(least(1.0, (m - j + 1) * pvalue)) OVER (ORDER BY j) AS p_holm FROM j)
+SELECT method, control, round(r, 6) AS mean_rank, round(z, 6) AS z, win, tie, loss, round(pvalue, 6) AS pvalue,
+       round(p_holm, 6) AS p_holm FROM h JOIN wtl USING (method)""",
+)
 def q_control_posthoc(spark, sf_dir):
-    """A26 with normal p-values and Holm adjustment (rows only: erfc)."""
+    """A26 with normal p-values and Holm adjustment."""
     res = result_table(spark, sf_dir)
-    return ST.control_posthoc(res, "method", "dataset", "metric")
+    out = ST.control_posthoc(res, "method", "dataset", "metric")
+    return out.select("method", "control", *[r6(c).alias(c) for c in ("mean_rank", "z")], "win", "tie", "loss",
+                      *[r6(c).alias(c) for c in ("pvalue", "p_holm")])
 
 
 @register(
@@ -262,11 +292,29 @@ def q_pairwise_posthoc_z(spark, sf_dir):
     return out.select("method_a", "method_b", r6("rank_a").alias("rank_a"), r6("rank_b").alias("rank_b"), r6("z").alias("z"))
 
 
-@register("pairwise_posthoc")
+@register(
+    "pairwise_posthoc",
+    f"""WITH {RANKS},
+mr AS (SELECT method, avg(rank) AS r, count(*) AS n FROM rk GROUP BY method),
+kn AS (SELECT count(*) AS k, max(n) AS n FROM mr),
+z AS (SELECT a.method AS method_a, b.method AS method_b, a.r AS rank_a, b.r AS rank_b,
+             (a.r - b.r) / sqrt(kn.k * (kn.k + 1) / (6.0 * kn.n)) AS z
+      FROM mr a JOIN mr b ON a.method < b.method, kn),
+x AS (SELECT *, abs(z) / sqrt(2) AS x FROM z),
+p AS (SELECT *, 1 - {_erf_sql("x")} AS pvalue FROM x),
+j AS (SELECT *, row_number() OVER (ORDER BY pvalue, method_a, method_b) AS j, count(*) OVER () AS m FROM p),
+-- five methods: 0, 1, 2, 3, 4, 6 or 10 of the ten pairs can be equal
+t AS (SELECT *, CASE WHEN m - j + 1 >= 10 THEN 10 WHEN m - j + 1 >= 6 THEN 6 WHEN m - j + 1 >= 4 THEN 4 ELSE m - j + 1 END AS f FROM j),
+h AS (SELECT *, max(least(1.0, (m - j + 1) * pvalue)) OVER (ORDER BY j) AS p_holm,
+             max(least(1.0, f * pvalue)) OVER (ORDER BY j) AS p_shaffer FROM t)
+SELECT method_a, method_b, round(rank_a, 6) AS rank_a, round(rank_b, 6) AS rank_b, round(z, 6) AS z,
+       round(pvalue, 6) AS pvalue, round(p_holm, 6) AS p_holm, round(p_shaffer, 6) AS p_shaffer FROM h""",
+)
 def q_pairwise_posthoc(spark, sf_dir):
-    """A27 with p-values, Holm adjusted over all pairs (rows only: erfc)."""
+    """A27 with p-values, Holm and static Shaffer adjustments over all pairs."""
     res = result_table(spark, sf_dir)
-    return ST.pairwise_posthoc(res, "method", "dataset", "metric")
+    out = ST.pairwise_posthoc(res, "method", "dataset", "metric")
+    return out.select("method_a", "method_b", *[r6(c).alias(c) for c in ("rank_a", "rank_b", "z", "pvalue", "p_holm", "p_shaffer")])
 
 
 @register(
@@ -289,9 +337,9 @@ FROM (SELECT DISTINCT o_orderpriority FROM orders) p, (SELECT DISTINCT l_returnf
 )
 def q_parameter_grid(spark, sf_dir):
     """Cartesian grid of axes taken from the data (bounded distinct sets)."""
-    pri = [r[0] for r in R.distinct_values(table(spark, sf_dir, "orders"), "o_orderpriority").collect()]
-    flags = [r[0] for r in R.distinct_values(table(spark, sf_dir, "lineitem"), "l_returnflag").collect()]
-    return R.grid(spark, classifier=sorted(pri), flag=sorted(flags), detector=["knn", "k-means"])
+    pri = R.axis(table(spark, sf_dir, "orders"), "o_orderpriority", "classifier")
+    flags = R.axis(table(spark, sf_dir, "lineitem"), "l_returnflag", "flag")
+    return R.grid(spark, classifier=pri, flag=flags, detector=["knn", "k-means"])
 
 
 @register(
@@ -309,12 +357,10 @@ SELECT q.pos::BIGINT AS pos, q.prob, q.threshold, y.dataset FROM q JOIN y ON q.p
 def q_zip_axes(spark, sf_dir):
     """Lock-step zip of thresholds (from events) with datasets (from orders), truncated."""
     probs = [0.5, 0.6, 0.7, 0.8, 0.9, 0.95]
-    th = R.exact_quantiles(table(spark, sf_dir, "events"), "value", probs).collect()
-    years = sorted(r[0] for r in R.distinct_values(
-        table(spark, sf_dir, "orders").select(F.year("o_orderdate").cast("string").alias("y")), "y").collect())
-    z = R.zip_axes(spark, pos=list(range(1, len(th) + 1)), prob=[r["prob"] for r in th],
-                   threshold=[round(r["threshold"], 6) for r in th], dataset=years)
-    return z.select(F.col("pos").cast("long"), "prob", "threshold", "dataset")
+    th = R.exact_quantiles(table(spark, sf_dir, "events"), "value", probs)
+    limits = R.axis(th, F.struct("prob", r6("threshold").alias("threshold")), "limits")
+    years = R.axis(table(spark, sf_dir, "orders"), F.year("o_orderdate").cast("string"), "dataset")
+    return R.zip_axes(spark, limits=limits, dataset=years)
 
 
 @register(
@@ -327,9 +373,7 @@ SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM done WHERE done.method = g.metho
 def q_pending_cells(spark, sf_dir):
     """J8 + S10: grid cells without a result (finished = any order above 400,000)."""
     o = table(spark, sf_dir, "orders")
-    pri = sorted(r[0] for r in R.distinct_values(o, "o_orderpriority").collect())
-    st = sorted(r[0] for r in R.distinct_values(o, "o_orderstatus").collect())
-    g = R.grid(spark, method=pri, status=st)
+    g = R.grid(spark, method=R.axis(o, "o_orderpriority", "method"), status=R.axis(o, "o_orderstatus", "status"))
     done = o.where("o_totalprice > 400000").select(
         F.col("o_orderpriority").alias("method"), F.col("o_orderstatus").alias("status"))
     return R.pending_cells(g, done, ["method", "status"])

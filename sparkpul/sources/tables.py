@@ -115,26 +115,32 @@ def feature_store(
     spark = df.sparkSession
     ship_package(spark)
     wanted = df.select(id_col, input_col)
-    try:
-        have = (
-            spark.read.parquet(store_path)
-            .where((F.col("experiment") == experiment) & (F.col("extractor") == extractor))
-            .select(id_col, "features")
-        )
-        have.schema  # noqa: B018  (touch the schema: fails when the store is empty)
-    except Exception:
-        have = None
-    missing = wanted if have is None else wanted.join(have.select(id_col), id_col, "left_anti")
+    # an id asked for twice is extracted once
+    once = wanted.dropDuplicates([id_col])
+    missing = once
+    if path_exists(spark, store_path):
+        missing = once.join(_stored(spark, store_path, experiment, extractor, id_col).select(id_col), id_col, "left_anti")
     new = missing.select(id_col, extract(F.col(input_col)).alias("features")).withColumn(
         "experiment", F.lit(experiment)
     ).withColumn("extractor", F.lit(extractor))
     new.write.mode("append").partitionBy("experiment", "extractor").parquet(store_path)
-    stored = (
-        spark.read.parquet(store_path)
+    # two writers may have stored an id at the same time: one row per id is read
+    stored = _stored(spark, store_path, experiment, extractor, id_col).dropDuplicates([id_col])
+    return wanted.select(id_col).join(stored, id_col, "inner")
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists, asked of the file system Spark uses for it."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+
+
+def _stored(spark: SparkSession, path: str, experiment: str, extractor: str, id_col: str) -> DataFrame:
+    return (
+        spark.read.parquet(path)
         .where((F.col("experiment") == experiment) & (F.col("extractor") == extractor))
         .select(id_col, "features")
     )
-    return wanted.select(id_col).join(stored, id_col, "inner")
 
 
 def attach_features(df: DataFrame, feats: DataFrame, id_col: str) -> DataFrame:
@@ -173,13 +179,9 @@ def write_results(df: DataFrame, path: str, keys: Sequence[str] = (), fmt: str =
         w.mode("ignore").format(fmt).save(path)
         return
     if keys:
-        spark = df.sparkSession
-        prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        try:
-            w.mode("overwrite").partitionBy(*keys).format(fmt).save(path)
-        finally:
-            spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+        # an option of this write alone: the session's setting is left as it is
+        w = w.option("partitionOverwriteMode", "dynamic")
+        w.mode("overwrite").partitionBy(*keys).format(fmt).save(path)
     else:
         w.mode("overwrite").format(fmt).save(path)
 

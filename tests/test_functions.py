@@ -57,3 +57,25 @@ def test_clipped_bce(spark):
     r = spark.createDataFrame([(1, 0.0), (0, 1.0)], "y int, p double").select(C.clipped_bce("y", "p").alias("l")).collect()
     import math
     assert r[0]["l"] == pytest.approx(-math.log(1e-7))
+
+
+def test_parse_list_special_values_and_errors(spark):
+    import math
+
+    import pytest
+
+    rows = spark.createDataFrame([(1, "[0.1, nan, -inf, 2]"), (2, "[]"), (3, None)], "i int, s string")
+    got = {r["i"]: r["l"] for r in rows.select("i", C.parse_list("s").alias("l")).collect()}
+    assert got[1][0] == 0.1 and math.isnan(got[1][1]) and got[1][2] == -math.inf and got[1][3] == 2.0
+    assert got[2] == [] and got[3] is None
+    for bad in ("0.1, 0.2", "[0.1, x]"):
+        with pytest.raises(Exception):
+            spark.createDataFrame([(bad,)], "s string").select(C.parse_list("s")).collect()
+
+
+def test_zip_explode_refuses_lists_of_different_length(spark):
+    import pytest
+
+    df = spark.createDataFrame([([1.0, 2.0], [1.0])], "a array<double>, b array<double>")
+    with pytest.raises(Exception, match="paired lists of 2 and 1 entries"):
+        df.select(C.zip_explode("a", "b")).collect()

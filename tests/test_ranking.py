@@ -4,6 +4,7 @@ shrunk so that the multi-bucket code path runs."""
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from sparkpul.functions.columns import md5_key
 from sparkpul.operators import ranking
@@ -107,3 +108,35 @@ def test_null_keys_and_scores_keep_their_rows(spark):
     gr = ranking.global_rank(df, "s", "id").toPandas()
     assert sorted(gr["id"]) == [1, 2, 3, 4, 5, 6]
     assert gr[gr.id == 3]["rank"].isna().all()
+
+
+@pytest.mark.parametrize("rows_per_bucket", [3, 1 << 20])
+def test_text_ids_and_null_scores(spark, monkeypatch, rows_per_bucket):
+    """Every path gives the same with tiny and huge buckets, for text ids, big integers and null scores."""
+    monkeypatch.setattr(ranking, "ROWS_PER_BUCKET", rows_per_bucket)
+    pdf, _ = _frame(spark)
+    pdf["t"] = [f"id-{i * 7919 % 60:02d}" for i in range(60)]
+    pdf["big"] = np.arange(60, dtype=np.int64) + 2**60
+    pdf["s"] = pdf["s"].where(pdf["id"] % 4 != 0)
+    df = spark.createDataFrame(pdf).withColumn("s", F.expr("nanvl(s, null)"))
+    scored = pdf[pdf.s.notna()]
+    for key in ("t", "big"):
+        order = scored.sort_values(["s", key])
+        got = ranking.global_rank(df, "s", key).where("rank is not null").toPandas().sort_values("rank")
+        assert got[key].tolist() == order[key].tolist()
+        top = ranking.top_n(df, "s", key, 9).toPandas()
+        want = scored.sort_values(["s", key], ascending=[False, True])[key].head(9)
+        assert set(top[top.selected][key]) == set(want) and len(top) == 60
+        tails = ranking.tail_cuts(df, "s", key, 0.2).toPandas()
+        assert set(tails[tails.low][key]) == set(order[key].head(9)) and len(tails) == 60
+        assert set(tails[tails.high][key]) == set(want)
+    text = ranking.prefix_sums(df.select("t", F.lit(1).alias("one")), "t", ["one"], descending=True).toPandas()
+    assert text.sort_values("t", ascending=False)["one_before"].tolist() == list(range(60))
+
+
+def test_tail_cuts_count_scored_rows(spark):
+    """Half the scores missing: both tails take 20 % of the scored rows, with and without groups."""
+    df = spark.range(10).select("id", F.when(F.col("id") < 5, F.col("id").cast("double")).alias("s"), F.lit(1).alias("g"))
+    for by in ((), ["g"]):
+        out = ranking.tail_cuts(df, "s", "id", 0.2, by=by).toPandas()
+        assert out[out.low]["id"].tolist() == [0] and out[out.high]["id"].tolist() == [4]

@@ -36,11 +36,11 @@ def test_build_pu_plan_and_roles(spark):
                            move_frac=0.3, return_plan=True)
     pdf = out.toPandas()
     val = pdf[pdf.split == "val"]
-    assert len(val) == plan.val_amount
-    assert (val.y_pu == 1).sum() == plan.val_positive_amount
-    assert pdf.moved.sum() == plan.positive_in_unlabeled_amount
+    assert len(val) == plan.val_rows
+    assert (val.y_pu == 1).sum() == plan.val_positives
+    assert pdf.moved.sum() == plan.hidden_positives
     train = pdf[pdf.split == "train"]
-    assert (train.y_pu == 1).sum() == plan.n_positive - plan.val_positive_amount - plan.positive_in_unlabeled_amount
+    assert (train.y_pu == 1).sum() == plan.positives - plan.val_positives - plan.hidden_positives
 
 
 def test_plan_rejects_impossible_share():
@@ -88,13 +88,23 @@ def test_single_table_recipe(spark):
     assert len(out) == ev.count() and not out.moved.any()
 
 
-def test_exact_sample_many_classes_uses_join(spark, monkeypatch):
-    monkeypatch.setattr(S, "MAX_LITERAL_CLASSES", 2)
-    df = spark.range(200).select(F.col("id"), (F.col("id") % 7).alias("c"))
+@pytest.mark.parametrize("classes", [7, 2000])
+def test_exact_sample_any_number_of_classes(spark, classes):
+    df = spark.range(8000).select(F.col("id"), (F.col("id") % classes).alias("c"))
     out = S.exact_sample(df, "id", frac=0.3, by="c").toPandas()
-    assert len(out) == 200
-    for c, part in out.groupby("c"):
+    assert len(out) == 8000
+    for _, part in out.groupby("c"):
         assert part.sampled.sum() == math.floor(0.3 * len(part))
-    monkeypatch.setattr(S, "MAX_LITERAL_CLASSES", 1000)
-    same = S.exact_sample(df, "id", frac=0.3, by="c").toPandas()
-    assert sorted(out[out.sampled]["id"]) == sorted(same[same.sampled]["id"])
+
+
+def test_exact_sample_null_class_is_a_class(spark):
+    df = spark.range(30).select(F.col("id"), F.when(F.col("id") % 3 != 0, F.col("id") % 3).alias("c"))
+    out = S.exact_sample(df, "id", frac=0.5, by="c").toPandas()
+    assert out[out.c.isna()].sampled.sum() == 5 and out.sampled.sum() == 15
+
+
+def test_pu_filters_reach_the_scan(spark):
+    """A label threshold used as a filter is pushed to the Parquet scan."""
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet").where(greater("value", 100.0)).select("event_id")
+    plan = ev._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(value,100.0)" in plan

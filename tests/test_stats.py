@@ -107,3 +107,37 @@ def test_chi2_tail_values():
 
 def test_holm_step_down():
     assert ST.holm([0.01, 0.04, 0.03]) == pytest.approx([0.03, 0.06, 0.06])
+
+
+def test_incomplete_blocks_are_refused(spark):
+    rows = [("a", "x", 1.0), ("b", "x", 2.0), ("a", "y", 3.0)]
+    for bad in (rows, rows + [("b", "y", None)], rows + [("b", "y", 1.0), ("b", "y", 2.0)]):
+        df = spark.createDataFrame(bad, "method string, dataset string, score double")
+        for test in (ST.friedman, ST.control_posthoc, ST.pairwise_posthoc):
+            with pytest.raises(ValueError, match="incomplete blocks"):
+                test(df, "method", "dataset", "score")
+
+
+def test_tails_as_expressions(spark):
+    from pyspark.sql import functions as F
+
+    cases = [(x, d) for x in (0.0, 0.3, 3.68, 14.2, 40.0) for d in (1, 2, 3, 4, 7, 10)]
+    df = spark.createDataFrame(cases, "x double, d long")
+    for r in df.select("x", "d", ST.chi2_tail(F.col("x"), F.col("d")).alias("p")).collect():
+        assert r["p"] == pytest.approx(ST.chi2_sf(r["x"], r["d"]), abs=1e-12)
+    zs = spark.createDataFrame([(z,) for z in (-9.0, -2.5, 0.0, 0.01, 1.96, 4.0)], "z double")
+    for r in zs.select("z", ST.normal_tail(F.col("z")).alias("p")).collect():
+        assert r["p"] == pytest.approx(ST.normal_two_sided(r["z"]), abs=1e-12)
+
+
+def test_shaffer_counts_and_order(spark):
+    assert ST.shaffer_counts(4) == [0, 1, 2, 3, 6]
+    assert ST.shaffer_counts(5) == [0, 1, 2, 3, 4, 6, 10]
+    df = _long(spark, METHODS, SETTINGS, PUBLISHED["balanced_accuracy"])
+    rows = ST.pairwise_posthoc(df, "method", "dataset", "score").orderBy("pvalue", "method_a", "method_b").collect()
+    assert len(rows) == 21
+    assert ST.holm([r["pvalue"] for r in rows]) == pytest.approx([r["p_holm"] for r in rows])
+    run = 0.0
+    for j, r in enumerate(rows, 1):
+        run = max(run, min(1.0, max(t for t in ST.shaffer_counts(7) if t <= 21 - j + 1) * r["pvalue"]))
+        assert r["p_shaffer"] == pytest.approx(run) and r["p_shaffer"] <= r["p_holm"] + 1e-12
