@@ -12,10 +12,11 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import md5_key
-from ..session import checkpoint
-from .knn import mean_knn_distance
+from ..session import checkpoint, ship_package
+from .knn import _as_matrix, _topk_in_steps, mean_knn_distance
 from .ranking import hash_rank, top_n
 
 DEFAULT_SEED = 1234
@@ -83,52 +84,26 @@ class KNNDetector:
         return f"knn-{self.k}"
 
 
-# Centroid values kept as literals in the plan; larger models go through a broadcast.
-LITERAL_MODEL_VALUES = 20_000
-
-
 def nearest_centroid(df: DataFrame, vec_col: str, centroids: np.ndarray, out: str = "cluster") -> DataFrame:
-    """Index of the nearest centroid (ties: lowest index).
+    """Index of the nearest centroid by the distance of differences rounded to 9 digits
+    (ties: lowest index), as in the kNN join.
 
-    A small model is inlined as literals (JVM-side); a large one is broadcast once and
-    applied with numpy in ``mapInPandas``.
+    The model (centroids x dimensions, a parameter of the method) is broadcast once; the
+    tasks work on Arrow batches. One rule for every model size.
     """
-    centroids = np.asarray(centroids, dtype=np.float64)
-    if centroids.size > LITERAL_MODEL_VALUES:
-        return _nearest_centroid_broadcast(df, vec_col, centroids, out)
-    cents = [[float(x) for x in c] for c in centroids]
-    lit = F.array(*[F.array(*[F.lit(x) for x in c]) for c in cents])
-    v = F.col(vec_col).cast("array<double>")
-    dists = F.transform(
-        lit,
-        lambda c, i: F.struct(
-            F.aggregate(F.zip_with(v, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x).alias("d"),
-            i.alias("i"),
-        ),
-    )
-    return df.withColumn(out, F.array_min(dists)["i"].cast("int"))
-
-
-def _nearest_centroid_broadcast(df: DataFrame, vec_col: str, centroids: np.ndarray, out: str) -> DataFrame:
-    from pyspark.sql import types as T
-
-    from ..session import ship_package
-    from .knn import _as_matrix, _pairwise
-
-    spark = df.sparkSession
-    ship_package(spark)
-    bc = spark.sparkContext.broadcast(centroids)
-    schema = T.StructType(df.schema.fields + [T.StructField(out, T.IntegerType())])
+    ship_package(df.sparkSession)
+    bc = df.sparkSession.sparkContext.broadcast(np.asarray(centroids, dtype=np.float64))
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.IntegerType())])
 
-    def assign(batches):
-        c = bc.value
+    def run(batches):
+        model = bc.value
+        ids = np.arange(len(model))
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            d = _pairwise(_as_matrix(pdf[vec_col]), c)
-            yield pdf.assign(**{out: d.argmin(axis=1).astype(np.int32)})
+            if len(pdf):
+                found = [c for _, c, _ in _topk_in_steps(_as_matrix(pdf[vec_col]), model, ids, 1)]
+                yield pdf.assign(**{out: np.concatenate(found).astype(np.int32)})
 
-    return df.mapInPandas(assign, schema)
+    return df.mapInPandas(run, schema)
 
 
 def rank_clusters(shares: dict[int, float], centroids: np.ndarray) -> tuple[list[int], dict[int, float]]:

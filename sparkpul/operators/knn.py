@@ -1,29 +1,23 @@
 """Exact k-nearest-neighbour join, Euclidean.
 
-Plan, designed so that neither side is broadcast whole and no query row is paired
-with every reference row unless the data leave no other choice:
-
-1. *Pivots.* ``m`` reference rows with the smallest md5 key are the pivots (``m`` is
-   bounded, so they are shipped to the tasks in the closure).
-2. *Cells.* Every reference row goes to its nearest pivot (numpy in ``mapInPandas``).
-   Per cell the radius and count are aggregated - one row per pivot.
-3. *Blocks.* A cell is cut into blocks of about ``block_rows`` rows by a hash of the id,
-   so a crowded cell becomes many bounded blocks.
-4. *Pruning.* For a query row q with pivot distances d_c, an upper bound t of its k-th
-   neighbour distance comes from the pivots themselves (they are reference rows) and
-   from ``d_c + r_c``. Only cells with ``d_c - r_c <= t`` can hold a neighbour
-   (triangle inequality), so q is sent to the blocks of those cells only. Exact.
-5. *Salting.* Blocks wanted by many query rows are split: the query rows get a salt
-   in ``[0, s)``, and the block is replicated ``s`` times, so each cogroup holds at
-   most ``query_rows_per_group`` query rows and one block.
-6. *Distances.* ``cogroup().applyInPandas`` computes one distance matrix per group,
-   keeps k per query row with ``argpartition``, and recomputes those k distances by
-   difference (the matrix form loses digits near zero).
-7. *Merge.* ``row_number() <= k`` over the candidates of each query row; Spark puts a
-   partial ``WindowGroupLimit`` before the shuffle. The result (query rows x k) is
-   checkpointed to the shared folder, since every caller aggregates it more than once.
-
-Ties are broken by ``round(d, 9)`` then the neighbour id, in every engine (N5).
+Two plans give the same rows:
+
+* ``broadcast``: a reference whose counted bytes are at most ``BROADCAST_BYTES`` goes to
+  every executor once; each task answers its query rows without a shuffle.
+* ``blocks``: both sides are cut into tiles of bounded size by a hash, and every pair of
+  a query tile and a reference tile is one group (``cogroup().applyInPandas``) that finds
+  the k nearest of its reference rows for each of its query rows. The k best of all tiles
+  are merged by ``row_number() <= k``, which Spark cuts down before the shuffle.
+  With Q and R rows and tiles of ``t`` rows the shuffle moves ``Q * R / t`` rows of either
+  side and ``Q * k * R / t`` candidates of three numbers; the tile size, not the data,
+  bounds a task's memory. In many dimensions no exact method compares fewer pairs:
+  triangle bounds from pivots keep every pair on the benchmark vectors.
+
+Order and ties. A neighbour's distance is always computed by difference; neighbours are
+ordered by that distance rounded to 9 digits, then by id, in every plan (N5). The matrix
+form ``|q|^2 + |p|^2 - 2 q.p`` only preselects: both sides are first moved by the
+reference mean, and every row within the form's rounding error of the k-th place, or tied
+with it after rounding, is kept for the exact step.
 """
 
 from __future__ import annotations
@@ -33,24 +27,20 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import md5_key
 from ..session import checkpoint, ship_package
 
-# Reference sets up to this many doubles (32 MB) are broadcast; larger ones use blocks.
-BROADCAST_REF_VALUES = 4_000_000
+# References of up to this many bytes (vectors, ids and carried columns) are broadcast.
+BROADCAST_BYTES = 32 << 20
 # Distance-matrix cells computed at once inside a task.
 TASK_MATRIX_CELLS = 4_000_000
-BLOCK_ROWS = 1024
-QUERY_ROWS_PER_GROUP = 4096
-# (query, block) pairs emitted per slice by the pruning step.
-PAIR_SLICE = 1 << 18
-MAX_PIVOTS = 512
-# pivots x dims doubles kept in every task closure
-MAX_PIVOT_VALUES = 4_000_000
+# Rows of a reference and of a query tile, lowered so that a tile has at most TILE_VALUES doubles.
+BLOCK_ROWS = 16_384
+QUERY_ROWS_PER_GROUP = 16_384
+TILE_VALUES = 1 << 21
 
 
 def _as_matrix(series: pd.Series) -> np.ndarray:
@@ -59,78 +49,80 @@ def _as_matrix(series: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in series.to_numpy()])
 
 
-def _pairwise(q: np.ndarray, p: np.ndarray) -> np.ndarray:
-    qq = np.einsum("ij,ij->i", q, q)[:, None]
-    pp = np.einsum("ij,ij->i", p, p)[None, :]
-    d2 = qq + pp - 2.0 * (q @ p.T)
-    np.maximum(d2, 0.0, out=d2)
-    return np.sqrt(d2)
-
-
 def _topk_rows(q: np.ndarray, p: np.ndarray, ids: np.ndarray, k: int):
-    """Exact k nearest of every row of ``q`` among ``p``, ordered by (round(d, 9), id).
+    """Exact ``min(k, len(p))`` nearest of every row of ``q`` among ``p``, ordered by
+    (round(d, 9), id).
 
-    Returns (row index, reference index, distance) arrays; distances of the winners
-    are recomputed by difference.
+    Returns (row index, reference index, distance) arrays, row after row.
     """
-    n_p = p.shape[0]
-    d = _pairwise(q, p)
-    extra = min(n_p, k + 8)
-    if extra < n_p:
-        cand = np.argpartition(d, extra - 1, axis=1)[:, :extra]
+    n_p, dim = p.shape
+    k = min(k, n_p)
+    if k < n_p:
+        middle = p.mean(axis=0)
+        qc, pc = q - middle, p - middle
+        qq, pp = np.einsum("ij,ij->i", qc, qc), np.einsum("ij,ij->i", pc, pc)
+        d2 = qq[:, None] + pp[None, :] - 2.0 * (qc @ pc.T)
+        # rounding error of one entry of the matrix form
+        error = 4 * (dim + 4) * np.finfo(float).eps * (qq + pp.max())
+        kth = np.partition(d2, k - 1, axis=1)[:, k - 1]
+        reach = (np.sqrt(np.maximum(kth + error, 0)) + 2e-9) ** 2 + error
+        rows, cols = np.nonzero(d2 <= reach[:, None])
     else:
-        cand = np.tile(np.arange(n_p), (q.shape[0], 1))
-    cd = np.take_along_axis(d, cand, axis=1)
-    # lexicographic (round(d, 9), id): stable sort by id, then by rounded distance
-    o1 = np.argsort(ids[cand], axis=1, kind="stable")
-    cand, cd = np.take_along_axis(cand, o1, axis=1), np.take_along_axis(cd, o1, axis=1)
-    o2 = np.argsort(np.round(cd, 9), axis=1, kind="stable")
-    cand, cd = np.take_along_axis(cand, o2, axis=1), np.take_along_axis(cd, o2, axis=1)
-    # a tie group wider than the candidate set at the k-th place: sort that row fully
-    if extra < n_p:
-        kth = np.round(cd[:, k - 1], 9)
-        last = np.round(cd[:, -1], 9)
-        for r in np.nonzero(last <= kth)[0]:
-            order = np.lexsort((ids, np.round(d[r], 9)))[:extra]
-            cand[r] = order
-    rows = np.repeat(np.arange(q.shape[0]), k)
-    cols = cand[:, :k].ravel()
+        rows, cols = np.repeat(np.arange(len(q)), n_p), np.tile(np.arange(n_p), len(q))
     diff = q[rows] - p[cols]
-    return rows, cols, np.sqrt(np.einsum("ij,ij->i", diff, diff))
-
-
-def _knn_broadcast(query: DataFrame, refd: DataFrame, k: int, query_id: str, query_vec: str, carry: list) -> DataFrame:
-    """kNN against a reference of checked, bounded size shipped once per executor."""
-    spark = query.sparkSession
-    pdf = refd.toPandas()  # size checked by the caller: at most BROADCAST_REF_VALUES doubles
-    ref_ids = pdf["_rid"].to_numpy()
-    ref_vec = _as_matrix(pdf["_rv"])
-    ref_carry = {c: pdf[f"_c_{c}"].to_numpy(dtype=object) for c in carry}
-    bc = spark.sparkContext.broadcast((ref_ids, ref_vec, ref_carry))
-    qd = query.select(F.col(query_id).alias("_qid"), F.col(query_vec).cast("array<double>").alias("_qv"))
+    dist = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+    by_id = np.argsort(ids[cols], kind="stable")
+    rows, cols, dist = rows[by_id], cols[by_id], dist[by_id]
+    order = np.lexsort((np.round(dist, 9), rows))
+    rows, cols, dist = rows[order], cols[order], dist[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+    best = place < k
+    return rows[best], cols[best], dist[best]
+
+
+def _topk_in_steps(q: np.ndarray, p: np.ndarray, ids: np.ndarray, k: int):
+    """``_topk_rows`` over slices of ``q`` whose distance matrix stays bounded."""
+    step = max(1, TASK_MATRIX_CELLS // max(1, len(p)))
+    for start in range(0, len(q), step):
+        rows, cols, dist = _topk_rows(q[start: start + step], p, ids, k)
+        yield rows + start, cols, dist
+
+
+def _checked(vec: Column, dim: int, side: str) -> Column:
+    """The vector, or a clear error for a null, ragged or partly null one."""
+    whole = vec.isNotNull() & (F.size(vec) == dim) & ~F.exists(vec, lambda x: x.isNull() | F.isnan(x))
+    message = F.format_string(f"{side} vector needs {dim} numbers, found %s", vec.cast("string"))
+    return F.when(F.coalesce(whole, F.lit(False)), vec).otherwise(F.raise_error(F.coalesce(message, F.lit(f"null {side} vector"))))
+
+
+def _broadcast_parts(refd: DataFrame, carry: list):
+    """The reference as arrays, shipped once per executor; its size is checked by the caller."""
+    pdf = refd.toPandas()
+    parts = (pdf["_rid"].to_numpy(), _as_matrix(pdf["_rv"]), {c: pdf[f"_c_{c}"].to_numpy(dtype=object) for c in carry})
+    return refd.sparkSession.sparkContext.broadcast(parts)
+
+
+def _knn_broadcast(qd: DataFrame, refd: DataFrame, k: int, query_id: str, carry: list) -> DataFrame:
+    bc = _broadcast_parts(refd, carry)
     fields = [
         T.StructField(query_id, qd.schema["_qid"].dataType),
         T.StructField("nn_id", refd.schema["_rid"].dataType),
         T.StructField("distance", T.DoubleType()),
         T.StructField("nn_rank", T.IntegerType()),
     ] + [T.StructField(c, refd.schema[f"_c_{c}"].dataType) for c in carry]
-    kk = k
 
     def run(batches):
         ids, p, cv = bc.value
-        step = max(1, TASK_MATRIX_CELLS // max(1, p.shape[0]))
         for pdf in batches:
-            for start in range(0, len(pdf), step):
-                part = pdf.iloc[start: start + step]
-                if len(part) == 0:
-                    continue
-                q = _as_matrix(part["_qv"])
-                r, c, dist = _topk_rows(q, p, ids, kk)
+            if len(pdf) == 0:
+                continue
+            qids = pdf["_qid"].to_numpy()
+            for r, c, dist in _topk_in_steps(_as_matrix(pdf["_qv"]), p, ids, k):
                 out = {
-                    query_id: part["_qid"].to_numpy()[r],
+                    query_id: qids[r],
                     "nn_id": ids[c],
                     "distance": dist,
-                    "nn_rank": np.tile(np.arange(1, kk + 1, dtype=np.int32), q.shape[0]),
+                    "nn_rank": (np.arange(len(r)) % k + 1).astype(np.int32),
                 }
                 for name in cv:
                     out[name] = cv[name][c]
@@ -139,6 +131,75 @@ def _knn_broadcast(query: DataFrame, refd: DataFrame, k: int, query_id: str, que
     return qd.mapInPandas(run, T.StructType(fields))
 
 
+def _knn_blocks(qd: DataFrame, refd: DataFrame, k: int, query_id: str, carry: list, tiles: tuple[int, int]) -> DataFrame:
+    """All pairs of query and reference tiles, then the k best per query row."""
+    q_tiles, r_tiles = tiles
+    # the vector is hashed too, so rows that share an id do not share a tile
+    q_side = qd.withColumn("_qt", F.pmod(F.xxhash64("_qid", "_qv"), F.lit(q_tiles)).cast("int")).withColumn(
+        "_rt", F.explode(F.sequence(F.lit(0), F.lit(r_tiles - 1)))
+    )
+    r_side = refd.withColumn("_rt", F.pmod(F.xxhash64("_rid", "_rv"), F.lit(r_tiles)).cast("int")).withColumn(
+        "_qt", F.explode(F.sequence(F.lit(0), F.lit(q_tiles - 1)))
+    )
+    fields = [
+        T.StructField("_qid", qd.schema["_qid"].dataType),
+        T.StructField("_nn", refd.schema["_rid"].dataType),
+        T.StructField("_d", T.DoubleType()),
+    ] + [T.StructField(f"_c_{c}", refd.schema[f"_c_{c}"].dataType) for c in carry]
+
+    def tile_topk(qpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
+        if len(qpdf) == 0 or len(rpdf) == 0:
+            return pd.DataFrame({f.name: [] for f in fields})
+        qids, ids = qpdf["_qid"].to_numpy(), rpdf["_rid"].to_numpy()
+        found = list(_topk_in_steps(_as_matrix(qpdf["_qv"]), _as_matrix(rpdf["_rv"]), ids, k))
+        rows, cols, dist = (np.concatenate(x) for x in zip(*found))
+        out = {"_qid": qids[rows], "_nn": ids[cols], "_d": dist}
+        for c in carry:
+            out[f"_c_{c}"] = rpdf[f"_c_{c}"].to_numpy()[cols]
+        return pd.DataFrame(out)
+
+    keys = ["_qt", "_rt"]
+    cands = q_side.groupBy(*keys).cogroup(r_side.groupBy(*keys)).applyInPandas(tile_topk, T.StructType(fields))
+    w = Window.partitionBy("_qid").orderBy(F.round("_d", 9), F.col("_nn"))
+    return (
+        cands.withColumn("nn_rank", F.row_number().over(w))
+        .where(F.col("nn_rank") <= k)
+        .select(
+            F.col("_qid").alias(query_id),
+            F.col("_nn").alias("nn_id"),
+            F.col("_d").alias("distance"),
+            F.col("nn_rank").cast("int").alias("nn_rank"),
+            *[F.col(f"_c_{c}").alias(c) for c in carry],
+        )
+    )
+
+
+def _sides(query: DataFrame, ref: DataFrame, k: int, query_id, ref_id, query_vec, ref_vec, carry, method):
+    """Both sides with checked vectors, the reference's rows and dimension, and whether to broadcast it."""
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    if method not in ("auto", "broadcast", "blocks"):
+        raise ValueError(f"unknown method {method}")
+    ship_package(query.sparkSession)
+    raw = ref.select(
+        F.col(ref_id).alias("_rid"),
+        F.col(ref_vec).cast("array<double>").alias("_rv"),
+        *[F.col(c).alias(f"_c_{c}") for c in carry],
+    )
+    text = [F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) for c in raw.columns if c != "_rv"]
+    size = raw.agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.size("_rv")).alias("d"), F.sum(sum(text[1:], text[0])).alias("other")
+    ).first()
+    n_ref, dim = int(size["n"]), int(size["d"] or 0)
+    if n_ref < k:
+        raise ValueError(f"k={k} is larger than the {n_ref} reference rows")
+    refd = raw.withColumn("_rv", _checked(F.col("_rv"), dim, "reference"))
+    qv = F.col(query_vec).cast("array<double>")
+    qd = query.select(F.col(query_id).alias("_qid"), _checked(qv, dim, "query").alias("_qv"))
+    small = 8 * n_ref * dim + 4 * int(size["other"] or 0) <= BROADCAST_BYTES
+    return qd, refd, n_ref, dim, method == "broadcast" or (method == "auto" and small)
+
+
 def knn_join(
     query: DataFrame,
     ref: DataFrame,
@@ -148,7 +209,6 @@ def knn_join(
     query_vec: str = "features",
     ref_vec: str = "features",
     carry: Sequence[str] = (),
-    seed: int = 1234,
     block_rows: int = BLOCK_ROWS,
     query_rows_per_group: int = QUERY_ROWS_PER_GROUP,
     method: str = "auto",
@@ -156,209 +216,48 @@ def knn_join(
     """For every query row, its ``k`` nearest reference rows.
 
     ``method='auto'`` broadcasts the reference when its counted size is at most
-    ``BROADCAST_REF_VALUES`` doubles, and otherwise uses the pruned block plan.
+    ``BROADCAST_BYTES``, and otherwise uses the tile plan; both give the same rows.
 
     Returns ``(query_id, nn_id, distance, nn_rank, *carry)`` where ``nn_id`` is the
     reference id and ``carry`` are reference columns passed through (J4). A row that
-    is in both inputs counts as its own neighbour (J3). Raises ``ValueError`` when the
-    reference has fewer than ``k`` rows.
+    is in both inputs counts as its own neighbour (J3). Query ids must be unique. Raises
+    ``ValueError`` when the reference has fewer than ``k`` rows; a null, ragged or partly
+    null vector fails the job with a message that says so.
     """
-    if k < 1:
-        raise ValueError("k must be at least 1")
     carry = list(carry)
-    spark = query.sparkSession
-    ship_package(spark)
-    refd = ref.select(
-        F.col(ref_id).alias("_rid"),
-        F.col(ref_vec).cast("array<double>").alias("_rv"),
-        *[F.col(c).alias(f"_c_{c}") for c in carry],
-    )
-    size = refd.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_rv")).alias("d")).first()
-    n_ref, dim = int(size["n"]), int(size["d"] or 0)
-    if n_ref < k:
-        raise ValueError(f"k={k} is larger than the {n_ref} reference rows")
-    if method not in ("auto", "broadcast", "blocks"):
-        raise ValueError(f"unknown method {method}")
-    if method == "broadcast" or (method == "auto" and n_ref * dim <= BROADCAST_REF_VALUES):
-        return checkpoint(_knn_broadcast(query, refd, k, query_id, query_vec, carry))
-
-    # 1. pivots: bounded number of reference rows, md5 order (deterministic)
-    m = int(min(n_ref, MAX_PIVOTS, max(k, 16, math.ceil(math.sqrt(n_ref)))))
-    piv_rows = (
-        refd.select("_rid", "_rv", md5_key(seed, "_rid").alias("_h"))
-        .orderBy("_h", "_rid")
-        .limit(m)
-        .collect()
-    )
-    pivots = np.array([r["_rv"] for r in piv_rows], dtype=np.float64)
-    if pivots.size > MAX_PIVOT_VALUES:
-        keep = max(1, MAX_PIVOT_VALUES // pivots.shape[1])
-        pivots = pivots[:keep]
-    m = pivots.shape[0]
-
-    # 2. cells: nearest pivot of every reference row
-    ref_schema = T.StructType(
-        refd.schema.fields
-        + [T.StructField("_cell", T.IntegerType()), T.StructField("_dp", T.DoubleType())]
-    )
-
-    def assign(batches):
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = _as_matrix(pdf["_rv"])
-            d = _pairwise(x, pivots)
-            cell = d.argmin(axis=1)
-            pdf = pdf.assign(_cell=cell.astype(np.int32), _dp=d[np.arange(len(pdf)), cell])
-            yield pdf
-
-    cells = refd.mapInPandas(assign, ref_schema)
-    stats = cells.groupBy("_cell").agg(F.max("_dp").alias("_r"), F.count(F.lit(1)).alias("_n")).collect()
-    radius = np.zeros(m)
-    count = np.zeros(m, dtype=np.int64)
-    for r in stats:
-        radius[r["_cell"]] = r["_r"]
-        count[r["_cell"]] = r["_n"]
-    n_blocks = np.maximum(1, np.ceil(count / block_rows)).astype(np.int64)
-
-    # 3. blocks of each cell, hash of the id
-    ref_blocks = cells.withColumn(
-        "_blk",
-        F.pmod(F.xxhash64("_rid"), F.element_at(F.array(*[F.lit(int(b)) for b in n_blocks]), F.col("_cell") + 1)).cast("int"),
-    ).drop("_dp")
-
-    # 4. pruning: query row -> (cell, block) pairs that may hold a neighbour
-    qd = query.select(F.col(query_id).alias("_qid"), F.col(query_vec).cast("array<double>").alias("_qv"))
-    q_schema = T.StructType(
-        qd.schema.fields + [T.StructField("_cell", T.IntegerType()), T.StructField("_blk", T.IntegerType())]
-    )
-    kk = k
-
-    def prune(batches):
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = _as_matrix(pdf["_qv"])
-            d = _pairwise(x, pivots)  # rows x m
-            # bound a: k-th smallest distance to a pivot (pivots are reference rows)
-            if m >= kk:
-                bound_a = np.partition(d, kk - 1, axis=1)[:, kk - 1]
-            else:
-                bound_a = np.full(len(pdf), np.inf)
-            # bound b: cells by d + r, running count reaching k
-            up = d + radius[None, :]
-            order_up = np.argsort(up, axis=1)
-            cum = np.cumsum(count[order_up], axis=1)
-            first = np.argmax(cum >= kk, axis=1)
-            bound_b = np.take_along_axis(up, order_up, axis=1)[np.arange(len(pdf)), first]
-            tau = np.minimum(bound_a, bound_b)
-            lower = d - radius[None, :]
-            slack = 1e-9 * np.maximum(1.0, tau)
-            ok = (lower <= (tau + slack)[:, None]) & (count[None, :] > 0)
-            rows, cols = np.nonzero(ok)
-            nb = n_blocks[cols]
-            cum = np.cumsum(nb)
-            qids, qvs = pdf["_qid"].to_numpy(), pdf["_qv"].to_numpy()
-            # stream the (query, block) pairs in slices: when pruning is weak a batch
-            # expands into many pairs, so none is built whole
-            lo = 0
-            while lo < len(rows):
-                base = cum[lo - 1] if lo > 0 else 0
-                hi = max(lo + 1, int(np.searchsorted(cum, base + PAIR_SLICE, side="right")))
-                r, c, b = rows[lo:hi], cols[lo:hi], nb[lo:hi]
-                rep_rows = np.repeat(r, b)
-                starts = np.repeat(np.cumsum(b) - b, b)
-                yield pd.DataFrame(
-                    {
-                        "_qid": qids[rep_rows],
-                        "_qv": qvs[rep_rows],
-                        "_cell": np.repeat(c, b).astype(np.int32),
-                        "_blk": (np.arange(int(b.sum())) - starts).astype(np.int32),
-                    }
-                )
-                lo = hi
-
-    q_pairs = qd.mapInPandas(prune, q_schema)
-
-    # 5. salting of blocks wanted by many query rows
-    demand = q_pairs.groupBy("_cell", "_blk").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(float(query_rows_per_group))).cast("int").alias("_s")
-    )
-    total_blocks = int(n_blocks.sum())
-    demand = F.broadcast(demand) if total_blocks <= 2_000_000 else demand
-    q_salted = q_pairs.join(demand, ["_cell", "_blk"]).withColumn(
-        "_salt", F.pmod(F.xxhash64("_qid"), F.col("_s")).cast("int")
-    ).drop("_s")
-    r_salted = ref_blocks.join(demand, ["_cell", "_blk"]).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.col("_s") - 1))
-    ).drop("_s")
-
-    # 6. distances per (cell, block, salt)
-    cand_fields = [
-        T.StructField("_qid", qd.schema["_qid"].dataType),
-        T.StructField("_nn", refd.schema["_rid"].dataType),
-        T.StructField("_d", T.DoubleType()),
-    ] + [T.StructField(f"_c_{c}", refd.schema[f"_c_{c}"].dataType) for c in carry]
-    cand_schema = T.StructType(cand_fields)
-    carry_cols = [f"_c_{c}" for c in carry]
-
-    def block_topk(qpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(qpdf) == 0 or len(rpdf) == 0:
-            return pd.DataFrame({f.name: [] for f in cand_fields})
-        q = _as_matrix(qpdf["_qv"])
-        p = _as_matrix(rpdf["_rv"])
-        d = _pairwise(q, p)
-        kb = min(kk, p.shape[0])
-        if kb < p.shape[0]:
-            idx = np.argpartition(d, kb - 1, axis=1)[:, :kb]
-            # widen by ties at the k-th value so the id tie-break stays exact
-            kth = np.take_along_axis(d, idx, axis=1).max(axis=1)
-            mask = d <= (kth + 1e-9 * np.maximum(1.0, kth))[:, None]
-            rows, cols = np.nonzero(mask)
-        else:
-            rows = np.repeat(np.arange(q.shape[0]), p.shape[0])
-            cols = np.tile(np.arange(p.shape[0]), q.shape[0])
-        diff = q[rows] - p[cols]
-        exact = np.sqrt(np.einsum("ij,ij->i", diff, diff))
-        out = {
-            "_qid": qpdf["_qid"].to_numpy()[rows],
-            "_nn": rpdf["_rid"].to_numpy()[cols],
-            "_d": exact,
-        }
-        for c in carry_cols:
-            out[c] = rpdf[c].to_numpy()[cols]
-        return pd.DataFrame(out)
-
-    keys = ["_cell", "_blk", "_salt"]
-    cands = (
-        q_salted.groupBy(*keys)
-        .cogroup(r_salted.groupBy(*keys))
-        .applyInPandas(block_topk, cand_schema)
-    )
-
-    # 7. merge: k per query row
-    w = Window.partitionBy("_qid").orderBy(F.round("_d", 9), F.col("_nn"))
-    result = (
-        cands.withColumn("nn_rank", F.row_number().over(w))
-        .where(F.col("nn_rank") <= kk)
-        .select(
-            F.col("_qid").alias(query_id),
-            F.col("_nn").alias("nn_id"),
-            F.col("_d").alias("distance"),
-            F.col("nn_rank").cast("int").alias("nn_rank"),
-            *[F.col(f"_c_{c}").alias(c) for c in carry],
-        )
-    )
-    # |query| x k rows that every caller reads more than once: cut the lineage here
-    return checkpoint(result)
+    qd, refd, n_ref, dim, small = _sides(query, ref, k, query_id, ref_id, query_vec, ref_vec, carry, method)
+    if small:
+        return checkpoint(_knn_broadcast(qd, refd, k, query_id, carry))
+    rows = max(1, TILE_VALUES // max(1, dim))
+    r_tiles = max(1, math.ceil(n_ref / min(block_rows, rows)))
+    q_tiles = max(1, math.ceil(query.count() / min(query_rows_per_group, rows)))
+    # |query| x k rows that callers read more than once: cut the lineage here
+    return checkpoint(_knn_blocks(qd, refd, k, query_id, carry, (q_tiles, r_tiles)))
 
 
 def mean_knn_distance(
     query: DataFrame, ref: DataFrame, k: int, id_col: str, vec_col: str = "features", **kw
 ) -> DataFrame:
-    """Mean distance of each query row to its ``k`` nearest reference rows."""
-    nn = knn_join(query, ref, k, id_col, id_col, vec_col, vec_col, **kw)
-    return nn.groupBy(id_col).agg(F.avg("distance").alias("mean_dist"))
+    """Mean distance of each query row to its ``k`` nearest reference rows.
+
+    With a small reference the mean is taken in the task that finds the neighbours: no
+    rows per neighbour, no shuffle."""
+    qd, refd, _, _, small = _sides(query, ref, k, id_col, id_col, vec_col, vec_col, [], kw.get("method", "auto"))
+    if not small:
+        nn = knn_join(query, ref, k, id_col, id_col, vec_col, vec_col, **kw)
+        return nn.groupBy(id_col).agg(F.avg("distance").alias("mean_dist"))
+    bc = _broadcast_parts(refd, [])
+    schema = T.StructType([T.StructField(id_col, qd.schema["_qid"].dataType), T.StructField("mean_dist", T.DoubleType())])
+
+    def run(batches):
+        ids, p, _ = bc.value
+        for pdf in batches:
+            if len(pdf):
+                found = _topk_in_steps(_as_matrix(pdf["_qv"]), p, ids, k)
+                means = np.concatenate([dist.reshape(-1, k).mean(axis=1) for _, _, dist in found])
+                yield pd.DataFrame({id_col: pdf["_qid"].to_numpy(), "mean_dist": means})
+
+    return qd.mapInPandas(run, schema)
 
 
 def credibility(

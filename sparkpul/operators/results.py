@@ -14,6 +14,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .ranking import prefix_sums
 
 FEATURE_MARK = "__feature__"
@@ -123,6 +124,9 @@ def pivot_results(
     """
     index = [index] if isinstance(index, str) else list(index)
     columns = [columns] if isinstance(columns, str) else list(columns)
+    if strict or values is None:
+        # the check, the names and the pivot read a result table computed once
+        df = materialize(df, "pivot")
     if strict:
         check_unique(df, index + columns)
     if len(columns) == 1:

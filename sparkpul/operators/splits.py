@@ -229,6 +229,15 @@ def bernoulli_tags(
     )
 
 
+def bernoulli_tag_array(id_col: str, p_col: str, m: int, seed: int = DEFAULT_SEED) -> Column:
+    """The tags of ``bernoulli_tags`` for all ``m`` copies as one array of a row."""
+    from ..functions.columns import md5_uniform
+
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(m - 1)), lambda j: (md5_uniform(seed, id_col, j) < F.col(p_col)).cast("int")
+    )
+
+
 def cross_source_pu(
     p_df: DataFrame, u_df: DataFrame, id_col: str, val_frac: float, seed: int = DEFAULT_SEED
 ) -> DataFrame:

@@ -50,8 +50,9 @@ class Fitted:
 
 
 class _MLlibFitted(Fitted):
-    def __init__(self, model):
-        self.model = model
+    def __init__(self, model, linear=None):
+        #: weights and intercept of a linear model
+        self.model, self.linear = model, linear
 
     def predict_proba(self, df, features="features", out="prob"):
         cols = df.columns
@@ -77,7 +78,7 @@ class LogisticClassifier:
             standardization=False, maxIter=self.max_iter, family="binomial",
         )
         m = lr.fit(df.select(_vec(features).alias("_vec"), F.col(label).cast("double").alias("_y")))
-        return _MLlibFitted(m)
+        return _MLlibFitted(m, (m.coefficients.toArray(), float(m.intercept)))
 
 
 class RandomForest:
@@ -112,29 +113,25 @@ class GaussianNB:
         self.var_smoothing = var_smoothing
 
     def fit(self, df: DataFrame, label: str, features: str = "features", n_rows: int | None = None):
-        long = df.select(F.col(label).cast("int").alias("_y"), F.posexplode(F.col(features).cast("array<double>")).alias("_i", "_x"))
-        per = long.groupBy("_y", "_i").agg(F.avg("_x").alias("m"), F.var_pop("_x").alias("v"), F.count(F.lit(1)).alias("n")).collect()
-        classes = sorted({r["_y"] for r in per})
-        # variance of each feature over all rows, from the class moments (one scan):
+        from pyspark.ml.stat import Summarizer
+
+        # mean and variance vectors per class in one pass, rows as they are
+        stats = Summarizer.metrics("count", "mean", "variance").summary(F.col("_vec")).alias("s")
+        per = df.select(F.col(label).cast("int").alias("_y"), _vec(features).alias("_vec")).groupBy("_y").agg(stats).select(
+            "_y", "s.count", "s.mean", "s.variance"
+        ).collect()  # one row per class
+        cnt = {r["_y"]: int(r["count"]) for r in per}
+        mean = {r["_y"]: r["mean"].toArray() for r in per}
+        # the summarizer's variance has n - 1 below
+        var = {r["_y"]: r["variance"].toArray() * (r["count"] - 1) / r["count"] for r in per}
+        classes, total = sorted(cnt), sum(cnt.values())
+        # variance of each feature over all rows, from the class moments:
         # n var = sum_c n_c (var_c + (m_c - m)^2)
-        by_dim: dict[int, list] = {}
-        for r in per:
-            by_dim.setdefault(r["_i"], []).append((r["n"], r["m"], r["v"]))
-        all_var = []
-        for parts in by_dim.values():
-            n_all = sum(n for n, _, _ in parts)
-            m_all = sum(n * m for n, m, _ in parts) / n_all
-            all_var.append(sum(n * (v + (m - m_all) ** 2) for n, m, v in parts) / n_all)
-        eps = self.var_smoothing * max(all_var)
-        dim = 1 + max(r["_i"] for r in per)
-        mean = {c: np.zeros(dim) for c in classes}
-        var = {c: np.zeros(dim) for c in classes}
-        cnt = {c: 0 for c in classes}
-        for r in per:
-            mean[r["_y"]][r["_i"]] = r["m"]
-            var[r["_y"]][r["_i"]] = r["v"] + eps
-            cnt[r["_y"]] = r["n"]
-        total = sum(cnt.values())
+        middle = sum(cnt[c] * mean[c] for c in classes) / total
+        spread = sum(cnt[c] * (var[c] + (mean[c] - middle) ** 2) for c in classes) / total
+        # constant features everywhere: any positive width gives the same posterior
+        eps = self.var_smoothing * float(spread.max()) or self.var_smoothing
+        var = {c: var[c] + eps for c in classes}
         return _NBFitted(classes, mean, var, {c: cnt[c] / total for c in classes})
 
 
@@ -207,20 +204,28 @@ class CalibratedSVM:
         keyed = data.withColumn("_hk", md5_key(self.seed, self.id_col))
         ranked = hash_rank(keyed, "_hk", self.id_col, by=["_y"], rank_col="_r", n_rows=n)
         sizes = ranked.groupBy("_y").agg(F.count(F.lit(1)).alias("_n"))
-        folded = ranked.join(F.broadcast(sizes), "_y").withColumn(
+        folded = ranked.join(sizes, "_y").withColumn(
             "_fold", F.floor((F.col("_r") - 1) * self.folds / F.col("_n")).cast("int")
         ).drop("_hk", "_r", "_n").checkpoint()
         def fit_fold(f):
             tr = folded.where(F.col("_fold") != f)
             ho = folded.where(F.col("_fold") == f)
-            svc = LinearSVC(featuresCol="_vec", labelCol="_y", regParam=1.0 / (self.C * max(n, 1)),
+            # C weighs the sum of losses over the rows of this fit
+            svc = LinearSVC(featuresCol="_vec", labelCol="_y", regParam=1.0 / (self.C * max(tr.count(), 1)),
                             maxIter=self.max_iter, standardization=False).fit(tr)
-            margins = svc.transform(ho).select(
-                _margin().alias("_m"), "_y"
-            )
-            platt = LogisticRegression(featuresCol="_mv", labelCol="_y", regParam=0.0, maxIter=100).fit(
-                margins.select(_vec_of("_m").alias("_mv"), "_y")
-            )
+            margins = svc.transform(ho).select(_margin().alias("_m"), "_y")
+            # Platt's targets (n1 + 1) / (n1 + 2) and 1 / (n0 + 2), as weighted rows of both labels
+            sizes = {r["_y"]: r["n"] for r in ho.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
+            high, low = (sizes.get(1.0, 0) + 1) / (sizes.get(1.0, 0) + 2), 1 / (sizes.get(0.0, 0) + 2)
+            target = F.when(F.col("_y") == 1, F.lit(high)).otherwise(F.lit(low))
+            soft = margins.select(
+                _vec_of("_m").alias("_mv"),
+                F.explode(F.array(
+                    F.struct(F.lit(1.0).alias("_t"), target.alias("_w")),
+                    F.struct(F.lit(0.0).alias("_t"), (F.lit(1.0) - target).alias("_w")),
+                )).alias("_s"),
+            ).select("_mv", "_s._t", "_s._w")
+            platt = LogisticRegression(featuresCol="_mv", labelCol="_t", weightCol="_w", regParam=0.0, maxIter=100).fit(soft)
             return (svc, float(platt.coefficients[0]), float(platt.intercept))
 
         from .parallel import run_parallel

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from ..operators import metrics as M
 from ..operators.knn import credibility
 from ..operators.ranking import tail_cuts
-from ..operators.splits import DEFAULT_SEED, bernoulli_tags
-from ..session import checkpoint, ship_package
+from ..operators.splits import DEFAULT_SEED, bernoulli_tag_array
+from ..session import materialize, ship_package
 from .base import Fitted
 from .parallel import run_parallel
 
@@ -96,37 +96,38 @@ class TwoStep:
 
     def fit(self, train: DataFrame, val: DataFrame | None = None, features: str = "features", y: str = "y_pu") -> "TwoStep":
         idc = self.id_col
-        roles = self.detector.detect(train.select(idc, features, y), idc, y, features)
-        roles = checkpoint(roles.select(idc, features, y, "role"))
+        base = train.select(idc, features, y)
+        # the state of a round is the id and the role: features are read where they lie
+        roles = materialize(self.detector.detect(base, idc, y, features).select(idc, "role"), "roles")
         model = None
         for it in range(self.max_iterations):
             self.iterations = it + 1
             sizes = {r["role"]: r["n"] for r in roles.groupBy("role").agg(F.count(F.lit(1)).alias("n")).collect()}
-            lab = roles.where(F.col("role").isin("P", "N")).withColumn("_label", (F.col("role") == "P").cast("int"))
+            known = roles.where(F.col("role").isin("P", "N")).select(idc, (F.col("role") == "P").cast("int").alias("_label"))
+            lab = base.join(known, idc)
             model = self.classifier.fit(lab, "_label", features, n_rows=sizes.get("P", 0) + sizes.get("N", 0))
             if self.stop is not None and val is not None:
                 should_stop, value = self.stop.check(model, val, y)
                 self.validation_results.append(value)
                 if should_stop:
                     break
-            unl = roles.where(F.col("role") == "U")
             n_unl = sizes.get("U", 0)
             if math.floor(n_unl * self.frac) == 0:
                 break
+            unl = base.join(roles.where(F.col("role") == "U").select(idc), idc, "left_semi")
             if self.rank_by == "label":
                 scored = model.predict(unl, features, "_s")
             else:
                 scored = model.predict_proba(unl, features, "_s")
-            scored = checkpoint(scored.select(idc, F.round(F.col("_s").cast("double"), 12).alias("_s")))
+            scored = materialize(scored.select(idc, F.round(F.col("_s").cast("double"), 12).alias("_s")), "scores")
             cuts = tail_cuts(scored, "_s", idc, self.frac, n_rows=n_unl)
             moved = cuts.where(F.col("low") | (F.col("high") & F.lit(self.move_positive))).select(
                 idc, F.when(F.col("low"), "N").otherwise("P").alias("_new")
             )
-            roles = checkpoint(
-                roles.join(moved, idc, "left")
-                .withColumn("role", F.coalesce(F.col("_new"), F.col("role")))
-                .drop("_new")
+            roles = materialize(
+                roles.join(moved, idc, "left").select(idc, F.coalesce(F.col("_new"), F.col("role")).alias("role")), "roles"
             )
+        roles = base.join(roles, idc)
         self.model = model
         self.roles = roles
         return self
@@ -160,16 +161,22 @@ class ProbTagging(Fitted):
     def fit(self, train: DataFrame, val: DataFrame | None = None, features: str = "features", y: str = "y_pu"):
         idc = self.id_col
         cred = credibility(train.select(idc, features, y), self.k, idc, features, y)
-        tags = bernoulli_tags(cred, idc, "credibility", self.m, self.seed).select(idc, "copy", "tag")
-        data = checkpoint(train.where(F.col(y) == 0).select(idc, features).join(tags, idc))
+        # every row once, with the tags of all m copies in one array
+        tags = cred.select(idc, bernoulli_tag_array(idc, "credibility", self.m, self.seed).alias("tags"))
+        data = materialize(train.where(F.col(y) == 0).select(idc, features).join(tags, idc), "tagged")
         # the m fits are independent: submitted side by side
-        self.models = run_parallel(list(range(self.m)), lambda j: self.factory().fit(data.where(F.col("copy") == j), "tag", features))
+        self.models = run_parallel(
+            list(range(self.m)),
+            lambda j: self.factory().fit(data.select(idc, features, F.col("tags")[j].alias("tag")), "tag", features),
+        )
         if self.positive_prior is None:
             self.positive_prior = float(train.agg(F.avg(F.col(y).cast("double"))).collect()[0][0])
         self.threshold = self.positive_prior
         return self
 
     def _mean(self, df, features, hard: bool, out: str):
+        if all(getattr(m, "linear", None) is not None for m in self.models):
+            return df.withColumn(out, self._linear_mean(hard)(F.col(features).cast("array<double>")))
         cur = df
         cols = []
         for j, m in enumerate(self.models):
@@ -178,6 +185,21 @@ class ProbTagging(Fitted):
         mean = sum(cols[1:], cols[0]) / len(cols)
         return cur.withColumn(out, mean).drop(*[f"_v{j}" for j in range(len(self.models))])
 
+    def _linear_mean(self, hard: bool):
+        """All linear members at once: one matrix product per Arrow batch."""
+        w = np.array([m.linear[0] for m in self.models])
+        b = np.array([m.linear[1] for m in self.models])
+
+        @F.pandas_udf("double")
+        def mean(x: pd.Series) -> pd.Series:
+            if len(x) == 0:
+                return pd.Series([], dtype="float64")
+            margin = np.stack(x.to_numpy()) @ w.T + b
+            votes = (margin > 0).astype(float) if hard else 1.0 / (1.0 + np.exp(-margin))
+            return pd.Series(votes.mean(axis=1))
+
+        return mean
+
     def predict_proba(self, df, features="features", out="prob"):
         return self._mean(df, features, False, out)
 
@@ -257,8 +279,10 @@ class NonNegativePU(Fitted):
 
     def fit(self, train: DataFrame, val: DataFrame | None = None, features: str = "features", y: str = "y_pu"):
         ship_package(train.sparkSession)
-        # read once per epoch: checkpointed (lineage) and kept in memory while training
-        data = checkpoint(train.select(F.col(features).cast("array<double>").alias("_x"), F.col(y).cast("int").alias("_y")))
+        # read once per epoch: written out (lineage) and kept in memory while training
+        data = materialize(
+            train.select(F.col(features).cast("array<double>").alias("_x"), F.col(y).cast("int").alias("_y")), "nnpu-rows"
+        )
         data = data.persist()
         dim = len(data.select("_x").first()["_x"])
         n_parts = data.rdd.getNumPartitions()

@@ -125,6 +125,15 @@ def q_knn_join(spark, sf_dir):
     return nn.select("vec_id", "nn_id", r6("distance").alias("distance"), F.col("nn_rank").cast("long"))
 
 
+@register("knn_join_blocks", ORACLE["knn_join"])
+def q_knn_join_blocks(spark, sf_dir):
+    """J2 + T3 by the tile plan, with tiles small enough that both sides have several."""
+    pu = embedding_pu(spark, sf_dir)
+    nn = knn_join(pu.where("y_pu = 0"), pu.where("y_pu = 1"), 3, "vec_id", "vec_id", method="blocks",
+                  block_rows=64, query_rows_per_group=64)
+    return nn.select("vec_id", "nn_id", r6("distance").alias("distance"), F.col("nn_rank").cast("long"))
+
+
 @register(
     "knn_credibility",
     f"""

@@ -68,13 +68,46 @@ def test_credibility_counts_self(spark):
     assert got == {2: 0.5, 3: 0.0, 4: 0.0}
 
 
-def test_block_plan_streams_small_slices(spark, monkeypatch):
+def test_plans_agree_with_small_tiles(spark, monkeypatch):
     from sparkpul.operators import knn as K
 
-    monkeypatch.setattr(K, "PAIR_SLICE", 3)
+    monkeypatch.setattr(K, "TASK_MATRIX_CELLS", 50)
     e = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").withColumn("features", F.col("embedding").cast("array<double>"))
     q, r = e.where("label >= 5"), e.where("label < 5")
     a = {(x["vec_id"], x["nn_rank"]): x["nn_id"] for x in knn_join(q, r, 3, "vec_id", "vec_id", method="broadcast").collect()}
     b = {(x["vec_id"], x["nn_rank"]): x["nn_id"] for x in
          knn_join(q, r, 3, "vec_id", "vec_id", method="blocks", block_rows=8).collect()}
     assert a == b
+
+
+@pytest.mark.parametrize("method", ["blocks", "broadcast"])
+def test_far_offset_and_near_duplicates(spark, method):
+    """Vectors a million away from the origin that differ in the sixth digit."""
+    rng = np.random.default_rng(4)
+    p = 1e6 + rng.normal(size=(300, 16))
+    p[100:200] = p[:100] + rng.normal(scale=1e-6, size=(100, 16))
+    q = p[rng.permutation(300)[:80]] + rng.normal(scale=1e-6, size=(80, 16))
+    frame = lambda x: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, features array<double>")
+    got = knn_join(frame(q), frame(p), 5, "id", "id", method=method, block_rows=64, query_rows_per_group=32).toPandas()
+    exp = _brute(q, range(80), p, range(300), 5)
+    for qid, part in got.groupby("id"):
+        assert part.sort_values("nn_rank")["nn_id"].tolist() == [a for a, _ in exp[qid]]
+
+
+@pytest.mark.parametrize("bad", [None, [1.0], [1.0, None]])
+def test_bad_vectors_fail_with_a_message(spark, bad):
+    ref = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(5)], "id long, features array<double>")
+    q = spark.createDataFrame([(1, bad)], "id long, features array<double>")
+    with pytest.raises(Exception, match="query vector"):
+        knn_join(q, ref, 2, "id", "id").collect()
+
+
+def test_mean_distance_in_both_plans(spark):
+    from sparkpul.operators.knn import mean_knn_distance
+
+    e = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").withColumn("features", F.col("embedding").cast("array<double>"))
+    q, r = e.where("label >= 5"), e.where("label < 5")
+    a, b = (
+        {x["vec_id"]: x["mean_dist"] for x in mean_knn_distance(q, r, 3, "vec_id", method=m).collect()} for m in ("broadcast", "blocks")
+    )
+    assert a.keys() == b.keys() and all(abs(a[i] - b[i]) < 1e-12 for i in a)

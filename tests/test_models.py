@@ -100,15 +100,16 @@ def test_prob_tagging_predicts(spark):
     assert set(out.prediction.unique()) <= {0, 1}
 
 
-def test_nearest_centroid_broadcast_matches_literals(spark, monkeypatch):
+def test_nearest_centroid(spark):
+    """The nearest by exact distance, the lowest index among equals."""
     from sparkpul.operators import detectors as D
 
     df = _blobs(spark)
-    cents = np.array([[2, 2, 2], [-2, -2, -2], [0, 0, 0]], dtype=float)
-    a = {r["vec_id"]: r["cluster"] for r in D.nearest_centroid(df, "features", cents).collect()}
-    monkeypatch.setattr(D, "LITERAL_MODEL_VALUES", 1)
-    b = {r["vec_id"]: r["cluster"] for r in D.nearest_centroid(df, "features", cents).collect()}
-    assert a == b
+    cents = np.array([[2, 2, 2], [-2, -2, -2], [0, 0, 0], [2, 2, 2]], dtype=float)
+    got = {r["vec_id"]: r["cluster"] for r in D.nearest_centroid(df, "features", cents).collect()}
+    for r in df.collect():
+        d = np.linalg.norm(cents - np.array(r["features"]), axis=1)
+        assert got[r["vec_id"]] == int(np.argmin(np.round(d, 9)))
 
 
 def test_nnpu_two_level_gradient_sum(spark, monkeypatch):
