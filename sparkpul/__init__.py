@@ -6,7 +6,6 @@ Sub-packages:
 * ``sources``    CSV / feature-store / result readers and writers.
 * ``operators``  splits, ranking, kNN, metrics, detectors, result tables, statistics.
 * ``plans``      PU algorithms (two-step, ProbTagging, nnPU), base classifiers, grids.
-* ``streaming``  intentionally empty: the reference has no stream operator.
 """
 
 __version__ = "0.1.0"

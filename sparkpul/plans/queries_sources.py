@@ -6,6 +6,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..functions.columns import greater
 from ..session import scratch_path
 from ..sources import tables as SRC
@@ -137,10 +138,8 @@ def q_quarantine_pages(spark, sf_dir):
     """Pages whose payload is a complete HTML document vs the rest."""
     pages = table(spark, sf_dir, "pages")
     ok = F.col("html").startswith("<!DOCTYPE html>") & F.col("html").contains("</html>")
-    good, bad = SRC.quarantine(pages, ok)
-    return good.select("page_id", F.lit(True).alias("valid")).unionByName(
-        bad.select("page_id", F.lit(False).alias("valid"))
-    )
+    # one scan of the payload: the flag is what separates the two sides
+    return SRC.validity(pages, ok).select("page_id", "valid")
 
 
 RESULT_SCHEMA = "classifier string, dataset string, metric double, n long"
@@ -152,24 +151,61 @@ RESULT_SCHEMA = "classifier string, dataset string, metric double, n long"
        round(avg(o_totalprice), 6) AS metric, count(*)::BIGINT AS n FROM orders GROUP BY 1, 2, 3""",
 )
 def q_result_files(spark, sf_dir):
-    """S9 + S10 + S11 + S12: per-setting result CSVs are written (a second write of a
-    finished cell is skipped), read back, tagged and stacked."""
+    """S9 + S10 + S12: result files per setting are written by one job, a second write of a
+    finished table is skipped, and they are read back, tagged and stacked."""
     o = table(spark, sf_dir, "orders")
-    base = scratch_path(spark, "results")
-    settings = sorted(r[0] for r in o.select("o_orderstatus").distinct().collect())
-    files = []
-    for s in settings:
-        res = o.where(F.col("o_orderstatus") == s).groupBy(
-            F.col("o_orderpriority").alias("classifier"), F.year("o_orderdate").cast("string").alias("dataset")
-        ).agg(F.avg("o_totalprice").alias("metric"), F.count(F.lit(1)).alias("n"))
-        path = f"{base}/{s}"
-        SRC.write_results(res, path, fmt="csv")
-        SRC.write_results(res, path, fmt="csv", skip_existing=True)
-        files.append((path, s))
-    out = SRC.stack_results(spark, files, RESULT_SCHEMA)
+    path = scratch_path(spark, "results")
+    res = o.groupBy(
+        F.col("o_orderstatus").alias("setting"), F.col("o_orderpriority").alias("classifier"),
+        F.year("o_orderdate").cast("string").alias("dataset"),
+    ).agg(F.avg("o_totalprice").alias("metric"), F.count(F.lit(1)).alias("n"))
+    SRC.write_results(res, path, keys=["setting"], fmt="csv")
+    SRC.write_results(res.limit(0), path, fmt="csv", skip_existing=True)
+    out = spark.read.schema(RESULT_SCHEMA + ", setting string").option("header", True).csv(path)
     return out.select("setting", "classifier", "dataset", r6("metric").alias("metric"), "n")
 
 
+@register(
+    "result_cell_overwrite",
+    """WITH r AS (SELECT o_orderstatus AS cell, o_orderpriority AS classifier, avg(o_totalprice) AS metric FROM orders GROUP BY 1, 2)
+SELECT cell, classifier, round(CASE WHEN cell = 'F' THEN -metric ELSE metric END, 6) AS metric FROM r""",
+)
+def q_result_cell_overwrite(spark, sf_dir):
+    """Writing one cell again replaces that cell and leaves the others."""
+    o = table(spark, sf_dir, "orders")
+    path = scratch_path(spark, "result-cells")
+    res = o.groupBy(F.col("o_orderstatus").alias("cell"), F.col("o_orderpriority").alias("classifier")).agg(
+        F.avg("o_totalprice").alias("metric")
+    )
+    SRC.write_results(res, path, keys=["cell"])
+    again = res.where("cell = 'F'").withColumn("metric", -F.col("metric"))
+    SRC.write_results(again, path, keys=["cell"])
+    out = spark.read.parquet(path)
+    return out.select(F.col("cell").cast("string").alias("cell"), "classifier", r6("metric").alias("metric"))
+
+
+@register(
+    "result_lists",
+    """SELECT l_orderkey, count(*)::BIGINT AS n, round(sum(l_discount), 6) AS total FROM lineitem GROUP BY 1""",
+)
+def q_result_lists(spark, sf_dir):
+    """S9 list columns: result rows with a list of predictions are written as CSV text and
+    read back as lists."""
+    li = table(spark, sf_dir, "lineitem")
+    path = scratch_path(spark, "result-lists")
+    # a stored row holds at most 1,000 entries, so a hot order becomes several rows
+    rows = li.groupBy("l_orderkey", F.floor(F.col("l_linenumber") / 1000).alias("chunk")).agg(
+        F.collect_list("l_discount").alias("y_pred")
+    )
+    SRC.write_results(rows, path, fmt="csv")
+    back = spark.read.schema("l_orderkey long, chunk long, y_pred string").option("header", True).option("escape", '"').csv(path)
+    lists = back.select("l_orderkey", C.parse_list("y_pred").alias("p"))
+    return lists.groupBy("l_orderkey").agg(
+        F.sum(F.size("p")).cast("long").alias("n"),
+        r6(F.sum(F.aggregate("p", F.lit(0.0), lambda a, x: a + x))).alias("total"),
+    )
+
+
 PROJ_DIM, PROJ_OUT, PROJ_SEED = 64, 8, 1234
 
 

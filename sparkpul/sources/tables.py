@@ -151,9 +151,14 @@ def attach_features(df: DataFrame, feats: DataFrame, id_col: str) -> DataFrame:
 # ----------------------------------------------------------------------------- quarantine
 
 
+def validity(df: DataFrame, is_valid: Column, out: str = "valid") -> DataFrame:
+    """``df`` with a flag whether its payload validates; null counts as invalid."""
+    return df.withColumn(out, F.coalesce(is_valid, F.lit(False)))
+
+
 def quarantine(df: DataFrame, is_valid: Column) -> tuple[DataFrame, DataFrame]:
-    """Split rows whose payload validates from the rest (S8); null counts as invalid."""
-    flagged = df.withColumn("_ok", F.coalesce(is_valid, F.lit(False)))
+    """Split rows whose payload validates from the rest."""
+    flagged = validity(df, is_valid, "_ok")
     return flagged.where("_ok").drop("_ok"), flagged.where(~F.col("_ok")).drop("_ok")
 
 
