@@ -140,7 +140,7 @@ class KMeansDetector:
     them with the given seed.
     """
 
-    def __init__(self, frac: float, n_clusters: int, seed: int = DEFAULT_SEED, centroids=None, max_iter: int = 20):
+    def __init__(self, frac: float, n_clusters: int, seed: int = DEFAULT_SEED, centroids=None, max_iter: int = 300):
         self.frac, self.n_clusters, self.seed = frac, n_clusters, seed
         self.centroids = None if centroids is None else np.asarray(centroids, dtype=np.float64)
         self.max_iter = max_iter

@@ -1,11 +1,20 @@
-"""Experiment grids (M16-M21): parameter cells, each a set of DataFrame jobs over
-inputs checkpointed once, submitted from a small thread pool so Spark runs the jobs
-of several cells side by side. Results come back as one long table with the fixed
-schema of the reference's result files."""
+"""Experiment grids (M16-M21) over the caller's own splits.
+
+``run_grid`` takes settings (named train / val / test frames, the test rows from any
+source), cells (one dict of axis values each) and a function that builds the algorithm of
+a cell. Cells run from a small thread pool so Spark runs the jobs of several side by
+side. Each cell writes its test predictions and then one result row under its own folder,
+so a run that stops is taken up where it was: finished cells are skipped (S10), a cell
+written again replaces itself (S11). The runners below are the experiments' grids with
+their published parameters as defaults.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +25,8 @@ from ..operators import metrics as M
 from ..operators import splits as S
 from ..operators.detectors import KNNDetector
 from ..operators.results import pivot_results
-from ..session import checkpoint
+from ..session import materialize, scratch_path
+from ..sources.tables import path_exists
 from .base import dot_plus, make_classifier
 from .models import NonNegativePU, NonStop, ProbTagging, TwoStep
 from .parallel import run_parallel
@@ -25,20 +35,106 @@ from .tables import table
 # Grid cells submitted at once; Spark schedules their jobs side by side.
 PARALLEL_CELLS = 4
 
+KEYS = "setting string, extractor string, reliable_positive_threshold double, classifier string, detector string"
+METRICS = "balanced_accuracy double, accuracy double, f1 double, aul double"
+RESULT_SCHEMA = f"{KEYS}, {METRICS}"
+NAMES = [c.split()[0] for c in KEYS.split(", ")]
+
+
+@dataclass(frozen=True)
+class Setting:
+    """Data of a cell: frames with id, features, ``y_pu`` and ``y_true``. ``splits`` gives
+    train, validation and test; the test rows may come from another source."""
+
+    name: str
+    splits: Callable[[], tuple[DataFrame, DataFrame, DataFrame]]
+    extractor: str = ""
+    threshold: float | None = None
+
+
+def cross(**axes: Sequence) -> list[dict]:
+    """Cells of the cartesian product of the axes."""
+    return [dict(zip(axes, values)) for values in product(*axes.values())]
+
+
+def lock_step(**axes: Sequence) -> list[dict]:
+    """Cells that walk the axes together, to the end of the shortest."""
+    return [dict(zip(axes, values)) for values in zip(*axes.values())]
+
 
 def run_cells(cells: list, fn, parallel: int | None = None) -> list:
     """Run independent grid cells from a small thread pool; results keep cell order."""
     return run_parallel(cells, fn, parallel or PARALLEL_CELLS)
 
 
-RESULT_SCHEMA = (
-    "extractor string, reliable_positive_threshold double, classifier string, detector string, "
-    "balanced_accuracy double, accuracy double, f1 double, aul double"
-)
+def cell_name(key: Sequence) -> str:
+    """A folder name for the key values of a cell."""
+    return hashlib.md5(repr(tuple(key)).encode()).hexdigest()
+
+
+def finished_cells(spark: SparkSession, path: str) -> set[str]:
+    """Cells whose result row is written (one small row per cell)."""
+    if not path_exists(spark, f"{path}/results"):
+        return set()
+    return {r["cell"] for r in spark.read.parquet(f"{path}/results").select("cell").distinct().collect()}
+
+
+def run_grid(
+    spark: SparkSession,
+    settings: Sequence[Setting],
+    cells: Sequence[dict],
+    build: Callable[[dict], object],
+    path: str | None = None,
+    id_col: str = "vec_id",
+    features: str = "features",
+    parallel: int | None = None,
+) -> DataFrame:
+    """Run every cell that has no result under ``path`` yet; the results of all its cells.
+
+    A cell is a dict with ``setting`` (a name) and optionally ``classifier`` and
+    ``detector`` labels; ``build(cell)`` returns an algorithm with ``fit(train, val)`` and
+    ``predict``. Predictions (id, ``y_true``, ``y_pu``, ``y_pred``) are under
+    ``path/predictions`` by cell, see ``predictions``.
+    """
+    path = path or scratch_path(spark, "grid")
+    by_name = {s.name: s for s in settings}
+    done = finished_cells(spark, path)
+    splits: dict[str, tuple] = {}
+
+    def key(cell: dict) -> tuple:
+        s = by_name[cell["setting"]]
+        return (s.name, s.extractor, s.threshold, cell.get("classifier", ""), cell.get("detector", ""))
+
+    todo = [c for c in cells if cell_name(key(c)) not in done]
+    for name in dict.fromkeys(c["setting"] for c in todo):
+        splits[name] = tuple(materialize(f, "split") for f in by_name[name].splits())
+
+    def run(cell: dict) -> None:
+        train, val, test = splits[cell["setting"]]
+        name = cell_name(key(cell))
+        algorithm = build(cell).fit(train, val)
+        labelled = algorithm.predict(test, features, "y_pred").select(id_col, "y_true", "y_pu", F.col("y_pred").cast("int"))
+        where = f"{path}/predictions/cell={name}"
+        labelled.write.mode("overwrite").parquet(where)
+        scores = evaluate_predictions(spark.read.parquet(where))
+        row = spark.createDataFrame([key(cell) + tuple(scores[m.split()[0]] for m in METRICS.split(", "))], RESULT_SCHEMA)
+        row.coalesce(1).write.mode("overwrite").parquet(f"{path}/results/cell={name}")
+
+    run_cells(todo, run, parallel)
+    # what this grid asked for, of all that is there
+    wanted = spark.createDataFrame([(cell_name(key(c)),) for c in cells], "cell string").distinct()
+    stored = spark.read.schema(f"{RESULT_SCHEMA}, cell string").parquet(f"{path}/results")
+    return stored.join(wanted, "cell", "left_semi").drop("cell")
+
+
+def predictions(spark: SparkSession, path: str) -> DataFrame:
+    """Test predictions of all finished cells with the key columns of their cell."""
+    keys = spark.read.schema(f"{RESULT_SCHEMA}, cell string").parquet(f"{path}/results").select("cell", *NAMES)
+    return spark.read.parquet(f"{path}/predictions").join(keys, "cell").drop("cell")
 
 
 def feature_splits(spark: SparkSession, sf_dir: str, threshold: int, seed: int = S.DEFAULT_SEED, positive_below: int = 5):
-    """Train / val / test of the feature table for a known-positive threshold."""
+    """Train / val / test of the benchmark's feature table for a known-positive threshold."""
     e = table(spark, sf_dir, "embeddings")
     pu = e.select(
         "vec_id",
@@ -50,17 +146,21 @@ def feature_splits(spark: SparkSession, sf_dir: str, threshold: int, seed: int =
     test = sp.where("split = 'val'").drop("split")
     rest = sp.where("split = 'train'").drop("split")
     tv = S.stratified_split(rest, "vec_id", "y_pu", 0.2, seed)
-    train = checkpoint(tv.where("split = 'train'").drop("split"))
-    val = checkpoint(tv.where("split = 'val'").drop("split"))
-    return train, val, checkpoint(test)
+    return tv.where("split = 'train'").drop("split"), tv.where("split = 'val'").drop("split"), test
 
 
-def evaluate(model, test: DataFrame) -> dict:
+def threshold_settings(spark: SparkSession, sf_dir: str, thresholds: Sequence[int], seed: int = S.DEFAULT_SEED) -> list[Setting]:
+    """The benchmark's feature table under several known-positive thresholds."""
+    return [
+        Setting(f"embeddings-{t}", lambda t=t: feature_splits(spark, sf_dir, t, seed), "embeddings", float(t)) for t in thresholds
+    ]
+
+
+def evaluate_predictions(pred: DataFrame) -> dict:
     """balanced accuracy, accuracy, F1 against the truth; AUL of hard predictions
     against the known-positive flag (B8)."""
-    pred = model.predict(test, out="prediction")
-    m = M.classification_metrics(pred, "y_true", "prediction").collect()[0]
-    a = M.aul_binary(pred, "y_pu", "prediction").collect()[0]["aul"]
+    m = M.classification_metrics(pred, "y_true", "y_pred").collect()[0]
+    a = M.aul_binary(pred, "y_pu", "y_pred").collect()[0]["aul"]
     return {
         "balanced_accuracy": float(m["balanced_accuracy"]),
         "accuracy": float(m["accuracy"]),
@@ -69,102 +169,105 @@ def evaluate(model, test: DataFrame) -> dict:
     }
 
 
-def _rows_to_df(spark, rows: list[dict]) -> DataFrame:
-    cols = [c.split()[0] for c in RESULT_SCHEMA.split(", ")]
-    return spark.createDataFrame([tuple(r.get(c) for c in cols) for r in rows], RESULT_SCHEMA)
+class Supervised:
+    """A base classifier on the true labels of train and validation rows."""
 
+    def __init__(self, classifier, y: str = "y_true"):
+        self.classifier, self.y = classifier, y
+
+    def fit(self, train: DataFrame, val: DataFrame | None = None):
+        return self.classifier.fit(train if val is None else train.unionByName(val), self.y)
 
-def pn_baselines(spark: SparkSession, sf_dir: str, classifiers: Sequence[str], seeds: Sequence[int] = (1234, 7)) -> DataFrame:
-    """PN baselines (M16): every classifier trained on the true label, per setting."""
-    splits = {seed: feature_splits(spark, sf_dir, 3, seed) for seed in seeds}
 
-    def cell(c):
-        seed, name = c
-        train, val, test = splits[seed]
-        model = make_classifier(name).fit(train.unionByName(val), "y_true")
-        r = evaluate(model, test)
-        return (f"seed-{seed}", name, r["balanced_accuracy"], r["accuracy"], r["f1"])
+# the seven classifiers of the published baselines
+BASELINES = ["logistic", "kneighbours-5", "kneighbours-9", "kneighbours-19", "naivebayes", "rf", "svm"]
 
-    rows = run_cells([(seed, name) for seed in seeds for name in classifiers], cell)
-    return spark.createDataFrame(rows, "setting string, classifier string, balanced_accuracy double, accuracy double, f1 double")
+
+def pn_baselines(
+    spark: SparkSession, settings: Sequence[Setting], classifiers: Sequence[str] = BASELINES, path: str | None = None
+) -> DataFrame:
+    """PN baselines (M16): every classifier trained on the true label, per setting."""
+    cells = cross(setting=[s.name for s in settings], classifier=classifiers)
+    out = run_grid(spark, settings, cells, lambda c: Supervised(make_classifier(c["classifier"])), path)
+    return out.select("setting", "classifier", "balanced_accuracy", "accuracy", "f1")
 
 
 def experiment_grid(
     spark: SparkSession,
-    sf_dir: str,
-    thresholds: Sequence[int],
+    settings: Sequence[Setting],
     classifiers: Sequence[str],
     detectors: dict[str, Callable[[], object]],
-    frac_to_move: float = 0.05,
-    max_iterations: int = 2,
+    frac_to_move: float = 0.01,
+    max_iterations: int = 20,
+    path: str | None = None,
 ) -> DataFrame:
-    """Threshold x classifier x detector grid of two-step runs."""
-    splits = {t: feature_splits(spark, sf_dir, t) for t in thresholds}
+    """Setting x classifier x detector grid of two-step runs."""
 
-    def cell(c):
-        t, cls, det_name = c
-        train, val, test = splits[t]
-        algo = TwoStep(detectors[det_name](), NonStop("aul"), make_classifier(cls), frac_to_move, max_iterations).fit(train, val)
-        return {"extractor": "embeddings", "reliable_positive_threshold": float(t), "classifier": cls,
-                "detector": det_name, **evaluate(algo, test)}
+    def build(c: dict) -> TwoStep:
+        return TwoStep(detectors[c["detector"]](), NonStop("aul"), make_classifier(c["classifier"]), frac_to_move, max_iterations)
 
-    cells = [(t, cls, d) for t in thresholds for cls in classifiers for d in detectors]
-    return _rows_to_df(spark, run_cells(cells, cell))
+    cells = cross(setting=[s.name for s in settings], classifier=classifiers, detector=list(detectors))
+    return run_grid(spark, settings, cells, build, path)
 
 
-def make_algorithm(name: str):
-    """The three algorithms compared in the article setting (M18), at test scale."""
+def make_algorithm(name: str, rounds: int = 20, epochs: int = 200, members: int = 50):
+    """The three algorithms compared in the article setting (M18), with its parameters."""
     if name == "tsa":
-        return TwoStep(KNNDetector(frac=0.1, k=1), NonStop("aul"), make_classifier("logistic"), 0.05, 2)
+        return TwoStep(KNNDetector(frac=0.1, k=1), NonStop("aul"), make_classifier("logistic"), 0.01, rounds)
     if name == "nnpu":
-        return NonNegativePU([1], 0.7, epochs=30, learning_rate=0.01, reduce_lr_on_plateau=True)
+        return NonNegativePU([1], 0.7, epochs=epochs, learning_rate=0.01, reduce_lr_on_plateau=True)
     if name == "pt":
-        return ProbTagging(18, lambda: make_classifier("logistic"), 3, positive_prior=0.7)
+        return ProbTagging(18, lambda: make_classifier("logistic"), members, positive_prior=0.7)
     raise ValueError(name)
 
 
-def algorithm_comparison(spark: SparkSession, sf_dir: str, thresholds: Sequence[int], algorithms: Sequence[str]) -> DataFrame:
-    """Algorithms x thresholds."""
-    splits = {t: feature_splits(spark, sf_dir, t) for t in thresholds}
-
-    def cell(c):
-        t, a = c
-        train, val, test = splits[t]
-        algo = make_algorithm(a).fit(train, val)
-        return {"extractor": "embeddings", "reliable_positive_threshold": float(t), "classifier": a,
-                "detector": "knn-1" if a == "tsa" else "", **evaluate(algo, test)}
-
-    return _rows_to_df(spark, run_cells([(t, a) for t in thresholds for a in algorithms], cell))
+def algorithm_comparison(
+    spark: SparkSession, settings: Sequence[Setting], algorithms: Sequence[str], path: str | None = None, **work
+) -> DataFrame:
+    """Algorithms over settings whose axes walk in lock-step (M18); ``work`` goes to ``make_algorithm``."""
+    cells = cross(setting=[s.name for s in settings], classifier=algorithms)
+    for c in cells:
+        c["detector"] = "knn-1" if c["classifier"] == "tsa" else ""
+    return run_grid(spark, settings, cells, lambda c: make_algorithm(c["classifier"], **work), path)
 
 
-def k_selection(spark: SparkSession, sf_dir: str, ks: Sequence[int], seeds: Sequence[int], threshold: int = 3) -> DataFrame:
-    """k of the kNN detector over seeds, scored by AUL on validation, pivoted detector x seed."""
-    splits = {seed: feature_splits(spark, sf_dir, threshold, seed) for seed in seeds}
+def k_selection(
+    spark: SparkSession,
+    settings: Sequence[Setting],
+    ks: Sequence[int] = (9, 13, 15, 17, 21),
+    max_iterations: int = 20,
+    frac_to_move: float = 0.01,
+    path: str | None = None,
+) -> DataFrame:
+    """k of the kNN detector over settings (one per seed), scored by AUL on the validation
+    rows and pivoted detector x setting (M19, A15)."""
+    on_val = [Setting(s.name, lambda s=s: _test_on_val(*s.splits()), s.extractor, s.threshold) for s in settings]
 
-    def cell(c):
-        seed, k = c
-        train, val, _ = splits[seed]
-        algo = TwoStep(KNNDetector(0.1, k), None, make_classifier("logistic"), 0.05, 1).fit(train, val)
-        return (f"knn-{k}", str(seed), evaluate(algo, val.withColumn("y_true", F.col("y_pu")))["aul"])
+    def build(c: dict) -> TwoStep:
+        k = int(c["detector"].split("-")[1])
+        return TwoStep(KNNDetector(0.1, k), NonStop("aul"), make_classifier("logistic"), frac_to_move, max_iterations)
 
-    rows = run_cells([(seed, k) for seed in seeds for k in ks], cell)
-    long = spark.createDataFrame(rows, "detector string, seed string, aul double")
-    return pivot_results(long, "detector", "seed", "aul", values=[str(s) for s in seeds])
+    cells = cross(setting=[s.name for s in settings], detector=[f"knn-{k}" for k in ks])
+    long = run_grid(spark, on_val, cells, build, path)
+    return pivot_results(long.select("detector", "setting", "aul"), "detector", "setting", "aul", values=[s.name for s in settings])
 
 
-def prior_threshold_grid(spark: SparkSession, sf_dir: str, priors: Sequence[float], thresholds: Sequence[int], epochs: int = 20) -> DataFrame:
-    """nnPU over prior x threshold."""
-    splits = {t: feature_splits(spark, sf_dir, t) for t in thresholds}
+def _test_on_val(train: DataFrame, val: DataFrame, test: DataFrame):
+    return train, val, val.withColumn("y_true", F.col("y_pu"))
 
-    def cell(c):
-        t, p = c
-        train, val, test = splits[t]
-        algo = NonNegativePU([1], p, epochs=epochs, learning_rate=0.01).fit(train, val)
-        r = evaluate(algo, test)
-        return (float(t), float(p), r["balanced_accuracy"], r["accuracy"], r["f1"])
 
-    rows = run_cells([(t, p) for t in thresholds for p in priors], cell)
-    return spark.createDataFrame(rows, "quantile double, prior double, balanced_accuracy double, accuracy double, f1 double")
+def prior_threshold_grid(
+    spark: SparkSession, settings: Sequence[Setting], priors: Sequence[float], epochs: int = 200, path: str | None = None
+) -> DataFrame:
+    """nnPU over prior x setting."""
+    cells = cross(setting=[s.name for s in settings], classifier=[str(p) for p in priors])
+    out = run_grid(
+        spark, settings, cells, lambda c: NonNegativePU([1], float(c["classifier"]), epochs=epochs, learning_rate=0.01), path
+    )
+    return out.select(
+        F.col("reliable_positive_threshold").alias("quantile"), F.col("classifier").cast("double").alias("prior"),
+        "balanced_accuracy", "accuracy", "f1",
+    )
 
 
 def pca_projection(df: DataFrame, id_col: str, features: str = "features", k: int = 2) -> DataFrame:

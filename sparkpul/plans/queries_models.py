@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import splits as S
 from ..operators.detectors import KMeansDetector, KNNDetector, RandomDetector
 from . import grid as G
-from .base import GaussianNB, make_classifier
+from .base import Fitted, GaussianNB, make_classifier
 from .models import NonNegativePU, NonStop, ProbTagging, StopOnMetricDrop, TwoStep
 from .queries import register, r6
 from .tables import embedding_pu
@@ -28,8 +28,12 @@ def pu_splits(spark, sf_dir):
 
 
 def _scored(model, test):
+    # the label follows from the probability where the model says how: test rows are scored once
     p = model.predict_proba(test, out="prob")
-    p = model.predict(p, out="prediction") if not hasattr(model, "predict_from_prob") else p
+    if isinstance(getattr(model, "model", model), Fitted) and not isinstance(model, ProbTagging):
+        p = p.withColumn("prediction", (F.col("prob") > getattr(model, "model", model).threshold).cast("int"))
+    else:
+        p = model.predict(p, out="prediction")
     return p.select("vec_id", "y_true", F.round("prob", 6).alias("prob"), F.col("prediction").cast("int"))
 
 
@@ -81,10 +85,10 @@ register("calibrated_svm")(_pn("svm"))  # M15
 @register("two_step")
 def q_two_step(spark, sf_dir):
     """M4 + M5: two-step with kNN negatives (k 5, 10 %), logistic base, 5 % moved per
-    round, stop on AUL drop, at most 4 rounds; test predictions."""
+    round, stop on AUL drop, at most 20 rounds; test predictions."""
     train, val, test = pu_splits(spark, sf_dir)
     algo = TwoStep(KNNDetector(0.1, 5), StopOnMetricDrop("aul"), make_classifier("logistic"),
-                   frac_to_move=0.05, max_iterations=4).fit(train, val)
+                   frac_to_move=0.05, max_iterations=20).fit(train, val)
     return _scored(algo, test)
 
 
@@ -99,9 +103,9 @@ def q_two_step_nonstop(spark, sf_dir):
 
 @register("prob_tagging")
 def q_prob_tagging(spark, sf_dir):
-    """M7: ProbTagging with 9-NN credibility and 5 logistic classifiers."""
+    """M7: ProbTagging with 9-NN credibility and 20 logistic classifiers."""
     train, _, test = pu_splits(spark, sf_dir)
-    algo = ProbTagging(9, lambda: make_classifier("logistic"), 5).fit(train)
+    algo = ProbTagging(9, lambda: make_classifier("logistic"), 20).fit(train)
     return _scored(algo, test)
 
 
@@ -131,33 +135,41 @@ def q_nnpu_mlp(spark, sf_dir):
 
 @register("pn_baselines")
 def q_pn_baselines(spark, sf_dir):
-    """PN baselines (logistic, naive Bayes, 5-NN) on two settings of the feature table."""
-    return G.pn_baselines(spark, sf_dir, ["logistic", "naivebayes", "kneighbours-5"])
+    """The seven published PN baselines on two settings of the feature table."""
+    settings = [G.Setting(f"seed-{seed}", lambda seed=seed: G.feature_splits(spark, sf_dir, 3, seed)) for seed in (1234, 7)]
+    return G.pn_baselines(spark, settings)
 
 
 @register("experiment_grid")
 def q_experiment_grid(spark, sf_dir):
-    """M17 + J12: thresholds x classifiers x detectors, one two-step run per cell."""
-    return G.experiment_grid(spark, sf_dir, thresholds=[2, 3], classifiers=["logistic", "naivebayes"],
-                             detectors={"knn-5": lambda: KNNDetector(0.1, 5), "random": lambda: RandomDetector(0.1)})
+    """M17 + J12: thresholds x classifiers x detectors, one two-step run of 3 rounds per cell."""
+    return G.experiment_grid(spark, G.threshold_settings(spark, sf_dir, [2, 3]), ["logistic", "naivebayes"],
+                             {"knn-5": lambda: KNNDetector(0.1, 5), "random": lambda: RandomDetector(0.1)},
+                             frac_to_move=0.05, max_iterations=3)
 
 
 @register("algorithm_comparison")
 def q_algorithm_comparison(spark, sf_dir):
-    """M18 + J13: two-step, nnPU and ProbTagging over lock-step zipped threshold axes."""
-    return G.algorithm_comparison(spark, sf_dir, thresholds=[3], algorithms=["tsa", "nnpu", "pt"])
+    """M18 + J13: two-step, nnPU and ProbTagging over threshold and positive-class axes that
+    walk in lock-step (rounds, epochs and members below the published ones)."""
+    settings = [
+        G.Setting(f"t{c['t']}-p{c['p']}", lambda c=c: G.feature_splits(spark, sf_dir, c["t"], positive_below=c["p"]), "embeddings", float(c["t"]))
+        for c in G.lock_step(t=[2, 3], p=[4, 5])
+    ]
+    return G.algorithm_comparison(spark, settings, ["tsa", "nnpu", "pt"], rounds=3, epochs=30, members=10)
 
 
 @register("k_selection")
 def q_k_selection(spark, sf_dir):
-    """M19 + A15 + A25: AUL on validation for k x seed, pivoted by seed."""
-    return G.k_selection(spark, sf_dir, ks=[3, 5, 7], seeds=[0, 1, 2])
+    """M19 + A15: AUL on validation for the five published k over three seeds, pivoted by seed."""
+    settings = [G.Setting(str(seed), lambda seed=seed: G.feature_splits(spark, sf_dir, 3, seed)) for seed in (0, 1, 2)]
+    return G.k_selection(spark, settings, max_iterations=1, frac_to_move=0.05)
 
 
 @register("prior_threshold_grid")
 def q_prior_threshold_grid(spark, sf_dir):
     """nnPU over prior x threshold."""
-    return G.prior_threshold_grid(spark, sf_dir, priors=[0.3, 0.5], thresholds=[2, 3])
+    return G.prior_threshold_grid(spark, G.threshold_settings(spark, sf_dir, [2, 3]), [0.3, 0.5], epochs=20)
 
 
 @register("pca_projection")
