@@ -109,6 +109,103 @@ def q_prob_tagging(spark, sf_dir):
     return _scored(algo, test)
 
 
+# The splits of pu_splits as DuckDB tables: te (test), va (validation), tr (train).
+SPLITS_SQL = """e AS (SELECT vec_id, embedding::DOUBLE[] AS v, coalesce(label < 3, false)::INTEGER AS y_pu,
+              coalesce(label < 5, false)::INTEGER AS y_true FROM embeddings),
+s1 AS (SELECT *, row_number() OVER (PARTITION BY y_true ORDER BY md5('1234:' || vec_id), vec_id)
+              <= floor(count(*) OVER (PARTITION BY y_true) * 0.25) AS is_test FROM e),
+te AS (SELECT * FROM s1 WHERE is_test),
+s2 AS (SELECT *, row_number() OVER (PARTITION BY y_pu ORDER BY md5('1234:' || vec_id), vec_id)
+              <= floor(count(*) OVER (PARTITION BY y_pu) * 0.2) AS is_val FROM s1 WHERE NOT is_test),
+va AS (SELECT * FROM s2 WHERE is_val), tr AS (SELECT * FROM s2 WHERE NOT is_val)"""
+
+
+def _nb_sql(name: str, source: str, group: str = "0") -> str:
+    """Naive Bayes moments of ``source`` (columns v, c) per ``group`` as tables name_m, name_e, name_p."""
+    return f"""{name}_x AS (SELECT {group} AS g, c, unnest(v) AS x, unnest(range(len(v))) AS i FROM {source}),
+{name}_m AS (SELECT g, c, i, avg(x) AS m, var_pop(x) AS s FROM {name}_x GROUP BY g, c, i),
+{name}_e AS (SELECT g, 1e-9 * max(vv) AS eps FROM (SELECT g, i, var_pop(x) AS vv FROM {name}_x GROUP BY g, i) GROUP BY g),
+{name}_p AS (SELECT g, c, n / sum(n) OVER (PARTITION BY g) AS p
+             FROM (SELECT {group} AS g, c, count(*) AS n FROM {source} GROUP BY ALL))"""
+
+
+def _nb_score_sql(name: str, source: str, out: str) -> str:
+    """Probability of class 1 of every row of ``source`` by the moments of ``name``, per group."""
+    return f"""{out}_x AS (SELECT vec_id, unnest(v) AS x, unnest(range(len(v))) AS i FROM {source}),
+{out}_l AS (SELECT t.vec_id, m.g, m.c, sum(-0.5 * ln(2 * pi() * (m.s + eps)) - (t.x - m.m) * (t.x - m.m) / (2 * (m.s + eps))) AS ll
+            FROM {out}_x t JOIN {name}_m m USING (i) JOIN {name}_e USING (g) GROUP BY ALL),
+{out} AS (SELECT vec_id, g, 1 / (1 + exp(max(ll + ln(p)) FILTER (WHERE c = 0) - max(ll + ln(p)) FILTER (WHERE c = 1))) AS prob
+          FROM {out}_l JOIN {name}_p USING (g, c) GROUP BY vec_id, g)"""
+
+
+@register(
+    "two_step_naive_bayes",
+    f"""WITH {SPLITS_SQL},
+u0 AS (SELECT vec_id FROM (SELECT vec_id, row_number() OVER (ORDER BY md5('1234:' || vec_id), vec_id) AS r, count(*) OVER () AS n
+       FROM tr WHERE y_pu = 0) WHERE r <= floor(n * 0.3)),
+r0 AS (SELECT *, CASE WHEN y_pu = 1 THEN 'P' WHEN vec_id IN (FROM u0) THEN 'N' ELSE 'U' END AS role FROM tr),
+f0 AS (SELECT v, (role = 'P')::INTEGER AS c FROM r0 WHERE role <> 'U'), {_nb_sql("a", "f0")},
+w0 AS (SELECT vec_id, v FROM r0 WHERE role = 'U'), {_nb_score_sql("a", "w0", "q0")},
+k0 AS (SELECT vec_id, row_number() OVER (ORDER BY round(prob, 12), vec_id) AS lo,
+              row_number() OVER (ORDER BY round(prob, 12) DESC, vec_id) AS hi, floor(count(*) OVER () * 0.05) AS m FROM q0),
+r1 AS (SELECT r0.* EXCLUDE (role), CASE WHEN lo <= m THEN 'N' WHEN hi <= m THEN 'P' ELSE role END AS role
+       FROM r0 LEFT JOIN k0 USING (vec_id)),
+f1 AS (SELECT v, (role = 'P')::INTEGER AS c FROM r1 WHERE role <> 'U'), {_nb_sql("b", "f1")},
+{_nb_score_sql("b", "te", "q1")}
+SELECT vec_id, te.y_true, round(prob, 6) AS prob, (prob > 0.5)::INTEGER AS prediction FROM q1 JOIN te USING (vec_id)""",
+)
+def q_two_step_naive_bayes(spark, sf_dir):
+    """M4 + M6 + X2-X4: two rounds of two-step with random negatives and naive Bayes."""
+    train, val, test = pu_splits(spark, sf_dir)
+    algo = TwoStep(RandomDetector(0.3), NonStop("accuracy"), make_classifier("naivebayes"),
+                   frac_to_move=0.05, max_iterations=2).fit(train, val)
+    return _scored(algo, test)
+
+
+@register(
+    "prob_tagging_naive_bayes",
+    f"""WITH {SPLITS_SQL},
+d AS (SELECT a.vec_id, b.vec_id AS nn, b.y_pu, list_distance(a.v, b.v) AS dist FROM tr a, tr b WHERE a.y_pu = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(dist, 9), nn) AS rk FROM d),
+cr AS (SELECT vec_id, avg(y_pu) AS cred FROM k WHERE rk <= 9 GROUP BY vec_id),
+cp AS (SELECT vec_id, cred, unnest(range(0, 4)) AS copy FROM cr),
+tg AS (SELECT vec_id, copy, ((('0x' || substr(md5('1234:' || vec_id || ':' || copy), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0)
+              < cred)::INTEGER AS c FROM cp),
+f AS (SELECT tr.v, tg.c, tg.copy FROM tg JOIN tr USING (vec_id)), {_nb_sql("a", "f", "copy")},
+{_nb_score_sql("a", "te", "q")},
+pr AS (SELECT avg(y_pu) AS prior FROM tr)
+SELECT vec_id, any_value(te.y_true) AS y_true, round(avg(prob), 6) AS prob,
+       (avg((prob > 0.5)::INTEGER) > any_value(prior))::INTEGER AS prediction
+FROM q JOIN te USING (vec_id), pr GROUP BY vec_id""",
+)
+def q_prob_tagging_naive_bayes(spark, sf_dir):
+    """M7 + A13 + X6: ProbTagging with 9-NN credibility and 4 naive Bayes members."""
+    train, _, test = pu_splits(spark, sf_dir)
+    algo = ProbTagging(9, lambda: make_classifier("naivebayes"), 4).fit(train)
+    return _scored(algo, test)
+
+
+@register(
+    "pn_baseline_grid",
+    f"""WITH {SPLITS_SQL},
+f AS (SELECT v, y_true AS c FROM s2), {_nb_sql("a", "f")}, {_nb_score_sql("a", "te", "q")},
+nb AS (SELECT vec_id, (prob > 0.5)::INTEGER AS p FROM q),
+d AS (SELECT t.vec_id, r.y_true AS y, row_number() OVER (PARTITION BY t.vec_id ORDER BY round(list_distance(t.v, r.v), 9), r.vec_id) AS rk
+      FROM te t, s2 r),
+kn AS (SELECT vec_id, (avg(y) > 0.5)::INTEGER AS p FROM d WHERE rk <= 5 GROUP BY vec_id),
+al AS (SELECT 'naivebayes' AS classifier, * FROM nb UNION ALL SELECT 'kneighbours-5', * FROM kn),
+c AS (SELECT classifier, sum(p * y_true) AS tp, sum(p * (1 - y_true)) AS fp, sum((1 - p) * y_true) AS fn,
+             sum((1 - p) * (1 - y_true)) AS tn FROM al JOIN te USING (vec_id) GROUP BY classifier)
+SELECT classifier, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS balanced_accuracy,
+       round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM c""",
+)
+def q_pn_baseline_grid(spark, sf_dir):
+    """M16 by the grid runner: naive Bayes and 5-NN on the true labels, scored on the test rows."""
+    settings = [G.Setting("embeddings", lambda: pu_splits(spark, sf_dir), "embeddings", 3.0)]
+    out = G.pn_baselines(spark, settings, ["naivebayes", "kneighbours-5"])
+    return out.select("classifier", *[r6(c).alias(c) for c in ("balanced_accuracy", "accuracy", "f1")])
+
+
 @register("nnpu")
 def q_nnpu(spark, sf_dir):
     """M8: non-negative PU, linear-sigmoid model, prior 0.5, 60 full-batch Adam steps."""
