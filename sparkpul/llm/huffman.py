@@ -1,8 +1,9 @@
 """Token ids of a corpus in files of canonical length-limited Huffman codes (operator 9).
 
-Writing takes two passes over the texts. The first counts every id of the whole corpus;
-from the counts come code lengths (package-merge, at most ``limit`` bits), and from the
-lengths alone the canonical codes. The second encodes each document and deals it by
+The texts are tokenized once, into a table of ids in the shared scratch folder. Every id
+of the whole corpus is counted; from the counts come code lengths (package-merge, at most
+``limit`` bits), and from the lengths alone the canonical codes. A second pass over the
+ids encodes each document and deals it by
 ``doc_id`` range to files, inside a file in ascending ``doc_id`` order. A file is a
 Parquet part whose rows are containers of about ``CONTAINER_IDS`` ids of whole documents:
 their ``doc_id`` and number of ids, one bit stream per document (each from a full byte
@@ -23,6 +24,7 @@ are ignored.
 from __future__ import annotations
 
 import os
+import re
 from itertools import chain
 
 import numpy as np
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkpul.llm.common import in_slices, map_slices
+from sparkpul.llm.common import in_slices, map_slices, materialize
 
 TOKENIZER_FILE = "word_bpe_49k.json"
 END_ID = 2
@@ -40,7 +42,9 @@ BLOCK_IDS = 256
 CONTAINER_IDS = 1 << 20
 #: most bits of a code; raised where a vocabulary needs more
 LIMIT = 18
-CACHE_WORDS = 1 << 19
+CACHE_WORDS = 3 << 18
+#: a full stop or comma that may belong to a run of signs
+STOP_AFTER_SIGN = re.compile(r"(?:[^\w ]|_)[.,] ")
 
 CODED = "pid int, doc_id long, n_tokens long, payload binary, checkpoints binary"
 CONTAINER = (
@@ -56,8 +60,9 @@ READ = "doc_id long, start long, n_tokens long, token_ids binary"
 class Words:
     """Ids of texts by a tokenizer whose rules never look across a space or line feed.
 
-    The tokenizer drops white space and cuts at it, so the words between spaces and line
-    feeds are encoded once each by the library and remembered (up to ``CACHE_WORDS``).
+    The tokenizer drops white space and cuts at it, and it cuts between a letter or digit
+    and a full stop or comma. So the parts between are encoded by the library, those met
+    first (the frequent ones) are remembered, up to ``CACHE_WORDS``.
     """
 
     def __init__(self, path: str):
@@ -68,15 +73,24 @@ class Words:
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
 
+    @staticmethod
+    def cut(text: str) -> list[str]:
+        text = text.replace("\n", " ")
+        if not STOP_AFTER_SIGN.search(text):
+            text = text.replace(". ", " . ").replace(", ", " , ")
+        return text.split(" ")
+
     def encode_all(self, texts: list[str], end_id: int) -> list[np.ndarray]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+        cut = list(map(self.cut, texts))
         new = list(set(chain.from_iterable(cut)).difference(self.known))
-        for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(found.ids, "<u4").tobytes()
+        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+        own = {w: np.array(x.ids, "<u4").tobytes() for w, x in zip(new, found, strict=True)}
+        self.known.update(own)
         get, end = self.known.__getitem__, np.array([end_id], "<u4").tobytes()
-        return [np.frombuffer(b"".join([*map(get, words), end]), "<u4") for words in cut]
+        out = [np.frombuffer(b"".join([*map(get, words), end]), "<u4") for words in cut]
+        while len(self.known) > CACHE_WORDS:
+            self.known.popitem()  # the last that came
+        return out
 
 
 _WORDS: dict[str, Words] = {}
@@ -196,20 +210,53 @@ class Code:
 # -- writing -----------------------------------------------------------------------
 
 
-def id_counts(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+TOKENIZED = "doc_id long, n_tokens long, ids binary"
+
+
+def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+    """``doc_id, n_tokens, ids`` (little-endian, two bytes an id where the vocabulary allows)."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words = words_of(path)
+        kind = id_kind(max(words.tokenizer.get_vocab_size(), end_id + 1))
+        ids = words.encode_all([t or "" for t in batch.column(1).to_pylist()], end_id)
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column(0),
+                pa.array([len(x) for x in ids], pa.int64()),
+                pa.array([x.astype(kind).tobytes() for x in ids], pa.binary()),
+            ],
+            ["doc_id", "n_tokens", "ids"],
+        )
+
+    return map_slices(docs, run, TOKENIZED)
+
+
+def id_kind(vocabulary: int) -> str:
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+def _ids(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The ids of the rows of ``doc_id, n_tokens, ids``."""
+    return [
+        np.frombuffer(x, "<u2" if len(x) == 2 * n else "<u4")
+        for x, n in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True)
+    ]
+
+
+def id_counts(tokenized: DataFrame) -> DataFrame:
     """``id, n``: occurrences of every id over the whole corpus, end ids included."""
 
     def run(batches):
         total = np.zeros(0, np.int64)
-        for piece in in_slices(batches, "text", 2 << 20):
-            found = words_of(path).encode_all([t or "" for t in piece.column(0).to_pylist()], end_id)
-            more = np.bincount(np.concatenate([*found, np.zeros(0, np.uint32)]), minlength=len(total))
+        for piece in in_slices(batches, "ids", 2 << 20):
+            more = np.bincount(np.concatenate(_ids(piece)), minlength=len(total))
             more[: len(total)] += total
             total = more
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
-    return docs.select("text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokenized.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def _containers(batches):
@@ -274,7 +321,8 @@ def write_token_files(
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long"), "text")
 
-    found = id_counts(docs, tokenizer, end_id).toPandas()  # one row per used vocabulary entry
+    tokenized = materialize(tokenize(docs, tokenizer, end_id), "token-ids")
+    found = id_counts(tokenized).toPandas()  # one row per used vocabulary entry
     counts = np.zeros(int(found["id"].max()) + 1 if len(found) else 0, np.int64)
     counts[found["id"].to_numpy(int)] = found["n"].to_numpy()
     limit = max(LIMIT, int(np.count_nonzero(counts)).bit_length() + 1)
@@ -284,25 +332,24 @@ def write_token_files(
     ).coalesce(1).write.parquet(f"{path}/codebook")
 
     shares = [i / files for i in range(1, files)]
-    cuts = docs.agg(F.percentile_approx("doc_id", shares, 100 * files)).first()[0] if shares else None
+    cuts = tokenized.agg(F.percentile_approx("doc_id", shares, 100 * files)).first()[0] if shares else None
     bounds = np.array(cuts or [], np.int64)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = words_of(tokenizer).encode_all([t or "" for t in batch.column(1).to_pylist()], end_id)
-        coded = code_of(lengths).encode(ids)
+        coded = code_of(lengths).encode([x.astype(np.uint32) for x in _ids(batch)])
         where = np.searchsorted(bounds, batch.column(0).fill_null(-(2**63)).to_numpy(), side="left")
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(where.astype(np.int32)),
                 batch.column(0),
-                pa.array([len(x) for x in ids], pa.int64()),
+                batch.column(1),
                 pa.array([c[0] for c in coded], pa.binary()),
                 pa.array([c[1] for c in coded], pa.binary()),
             ],
             ["pid", "doc_id", "n_tokens", "payload", "checkpoints"],
         )
 
-    dealt = map_slices(docs, run, CODED).repartitionById(files, F.col("pid"))
+    dealt = map_slices(tokenized, run, CODED, column="ids").repartitionById(files, F.col("pid"))
     ordered = dealt.sortWithinPartitions("pid", "doc_id", "n_tokens", "payload")
     ordered.mapInArrow(_containers, CONTAINER).write.parquet(f"{path}/containers")
 
