@@ -50,7 +50,11 @@ ALL = E.queries()
 DUCK_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
 
 
-@pytest.mark.parametrize("name", sorted(SQL))
+# the queries of the llm subpackage have their own tests
+OWN = {n for n in ALL if n == "pipeline" or n[:2] == "op" and n[2].isdigit()}
+
+
+@pytest.mark.parametrize("name", sorted(set(SQL) - OWN))
 def test_query_matches_oracle(spark, con, name):
     sdf = ALL[name](spark, SF_SMALL)
     rel = con.sql(SQL[name])
@@ -63,9 +67,9 @@ def test_query_matches_oracle(spark, con, name):
     assert got[1] == exp[1]
 
 
-@pytest.mark.parametrize("name", sorted(n for n in ALL if n not in SQL and n not in HEAVY))
+@pytest.mark.parametrize("name", sorted(n for n in ALL if n not in SQL and n not in HEAVY | OWN))
 def test_rows_only_query_runs(spark, name):
-    assert ALL[name](spark, SF_SMALL).count() >= 0
+    assert ALL[name](spark, SF_SMALL).count() > 0
 
 
 def test_entry_smoke(spark):
