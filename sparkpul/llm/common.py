@@ -9,7 +9,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkpul.session import scratch_path
+from sparkpul.session import materialize
+
+__all__ = ["SPACE_CLASS", "ascii_lower", "in_slices", "let", "map_slices", "materialize", "table"]
 
 #: white space of the word rule ``[^\\x20\\x09-\\x0D]+``
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -21,28 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared scratch folder and read it back.
-
-    Cuts the lineage: a lost executor costs a re-read of shared files, and columns
-    that hang on the task (row numbers, partition ids) keep the values first written.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, UPPER, LOWER)
 
 
-def ascii_words(c: Column) -> Column:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of a text, lower-cased, as an array (null text: empty)."""
-    parts = F.split(ascii_lower(F.coalesce(c, F.lit(""))), SPACE_CLASS + "+")
-    return F.filter(parts, lambda w: w != "")
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once: inside a lambda of a higher-order
     function an outer expression would be computed again for every element."""

@@ -88,6 +88,15 @@ def test_op9_small_containers(spark, monkeypatch):
     assert bag(huffman.digests(huffman.read_token_files(spark, path))) == want_op9()
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abAZ \n.,'!*_-9éÉ\u0130\u0307\u0958σΣ²\u00a0\t", max_size=60))
+def test_op9_words_equal_library(text):
+    """Texts cut into remembered parts have the ids of the whole text."""
+    words = huffman.words_of(P.path(huffman.TOKENIZER_FILE))
+    want = words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert words.encode_all([text], 2)[0].tolist() == [*want, 2]
+
+
 def test_op9_empty_table(spark):
     path = scratch_path(spark, "t-op9")
     huffman.write_token_files(docs(spark, []), path)
