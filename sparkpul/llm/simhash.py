@@ -175,6 +175,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     own = distinct.join(linked_ids, "fp", "left").select(
         "fp", F.coalesce("component_id", "first").alias("component_id")
     )
+    # written out, so that the last join stands alone and a fingerprint of very many
+    # copies can be split among tasks
+    own = materialize(own, "components")
     return prints.join(own, "fp").select("doc_id", "fp", "component_id")
 
 
