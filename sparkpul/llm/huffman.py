@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -42,9 +43,14 @@ BLOCK_IDS = 256
 CONTAINER_IDS = 1 << 20
 #: most bits of a code; raised where a vocabulary needs more
 LIMIT = 18
-CACHE_WORDS = 3 << 18
-#: a full stop or comma that may belong to a run of signs
-STOP_AFTER_SIGN = re.compile(r"(?:[^\w ]|_)[.,] ")
+CACHE_WORDS = 1 << 20
+# letters that lower-casing and normalisation leave one letter (others may end in a mark,
+# which would go with the signs behind it)
+LETTER = "a-zA-ZÀ-ÖØ-öø-ÿ"
+#: a full stop or comma that may belong to a run of signs or marks
+STOP_AFTER_SIGN = re.compile(rf"[.,] (?<![{LETTER}0-9 ][.,] )")
+#: letters followed by signs, an apostrophe not among them: the tokenizer cuts between
+LETTERS_SIGNS = re.compile(rf"([^\W\d_]*[{LETTER}])([!-&(-/:-@\[-`{{-~]+)").fullmatch
 
 CODED = "pid int, doc_id long, n_tokens long, payload binary, checkpoints binary"
 CONTAINER = (
@@ -60,8 +66,8 @@ READ = "doc_id long, start long, n_tokens long, token_ids binary"
 class Words:
     """Ids of texts by a tokenizer whose rules never look across a space or line feed.
 
-    The tokenizer drops white space and cuts at it, and it cuts between a letter or digit
-    and a full stop or comma. So the parts between are encoded by the library, those met
+    The tokenizer drops white space and cuts at it, and it cuts between letters and the
+    signs behind them. So the parts between are encoded by the library, and the words met
     first (the frequent ones) are remembered, up to ``CACHE_WORDS``.
     """
 
@@ -75,17 +81,23 @@ class Words:
 
     @staticmethod
     def cut(text: str) -> list[str]:
-        text = text.replace("\n", " ")
+        # the tokenizer lower-cases; doing so for A-Z before makes fewer words
+        text = text.encode().lower().decode().replace("\n", " ")
         if not STOP_AFTER_SIGN.search(text):
             text = text.replace(". ", " . ").replace(", ", " , ")
         return text.split(" ")
 
     def encode_all(self, texts: list[str], end_id: int) -> list[np.ndarray]:
         cut = list(map(self.cut, texts))
-        new = list(set(chain.from_iterable(cut)).difference(self.known))
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        own = {w: np.array(x.ids, "<u4").tobytes() for w, x in zip(new, found, strict=True)}
-        self.known.update(own)
+        new = set(chain.from_iterable(cut)).difference(self.known)
+        # letters with signs behind them are two parts, and both may be known
+        pairs = {w: m.groups() for w, m in zip(new, map(LETTERS_SIGNS, new), strict=True) if m}
+        parts = list(new.difference(pairs).union(*pairs.values()).difference(self.known))
+        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+        self.known.update((w, array("I", x.ids).tobytes()) for w, x in zip(parts, found, strict=True))
+        del found
+        known = self.known
+        known.update([(w, known[head] + known[tail]) for w, (head, tail) in pairs.items()])
         get, end = self.known.__getitem__, np.array([end_id], "<u4").tobytes()
         out = [np.frombuffer(b"".join([*map(get, words), end]), "<u4") for words in cut]
         while len(self.known) > CACHE_WORDS:
@@ -229,7 +241,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             ["doc_id", "n_tokens", "ids"],
         )
 
-    return map_slices(docs, run, TOKENIZED)
+    return map_slices(docs, run, TOKENIZED, budget=4 << 20)
 
 
 def id_kind(vocabulary: int) -> str:
