@@ -23,7 +23,9 @@ by a Bloom filter of their keys. Words are lower-cased runs of characters other
 
 Defined results: null and empty texts hold and are nothing; rows with one ``doc_id``
 (``item_id``) count each for itself, and a pair of ids gets its best containment; null ids
-are kept; extra columns are ignored; an empty table on either side gives no pairs.
+are kept; extra columns are ignored; an empty table on either side gives no pairs. Which
+rows go is told by ``doc_id`` and text together, so a clean text stays whatever other texts
+share its id, a null id included.
 """
 
 from __future__ import annotations
@@ -81,10 +83,8 @@ def signatures(items: DataFrame, k: int, threshold: float) -> DataFrame:
     )
 
 
-def contained_items(
-    docs: DataFrame, items: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD
-) -> DataFrame:
-    """``doc_id, item_id, matched, item_shingles, containment`` of every pair at the threshold."""
+def _held_items(docs: DataFrame, items: DataFrame, k: int, threshold: float) -> DataFrame:
+    """``doc_id, text_hash, item, matched, item_shingles`` of every text and item at the threshold."""
     items = items.select("item_id", F.col("text").alias("t")).distinct().select(
         F.struct("item_id", F.xxhash64("t").alias("hash")).alias("item"), _words(F.col("t")).alias("words")
     )
@@ -117,14 +117,20 @@ def contained_items(
     pair = F.struct("doc_id", "text_hash", "item")
     searched = candidates.select(F.xxhash64("doc_id", "text_hash", "item.item_id", "item.hash").alias("pair_key"), pair.alias("pair"))
     verified = counted.where(F.col("matched") >= _need(F.col("item_shingles"), threshold)).withColumn("own", pair)
-    verified = verified.withColumn("own_key", F.xxhash64("doc_id", "text_hash", "item.item_id", "item.hash")).join(
+    return verified.withColumn("own_key", F.xxhash64("doc_id", "text_hash", "item.item_id", "item.hash")).join(
         searched, (F.col("own_key") == F.col("pair_key")) & F.col("own").eqNullSafe(F.col("pair")), "left_semi"
     )
+
+
+def contained_items(
+    docs: DataFrame, items: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD
+) -> DataFrame:
+    """``doc_id, item_id, matched, item_shingles, containment`` of every pair at the threshold."""
     best = F.struct(
         (F.col("matched") / F.col("item_shingles")).alias("containment"), F.col("matched"), F.col("item_shingles")
     )
     return (
-        verified.groupBy("doc_id", F.col("item.item_id").alias("item_id")).agg(F.max(best).alias("best"))
+        _held_items(docs, items, k, threshold).groupBy("doc_id", F.col("item.item_id").alias("item_id")).agg(F.max(best).alias("best"))
         .select("doc_id", "item_id", "best.matched", "best.item_shingles", "best.containment")
     )
 
@@ -132,15 +138,17 @@ def contained_items(
 def decontaminate(
     docs: DataFrame, items: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD
 ) -> DataFrame:
-    """``docs`` without the documents that hold a test item; columns as they are.
+    """``docs`` without the rows whose text holds a test item; columns as they are.
 
-    Only documents that a Bloom filter of the flagged ids lets pass are joined.
+    Only rows that a Bloom filter of the flagged texts lets pass are joined.
     """
-    found = contained_items(docs, items, k, threshold)
-    flagged = materialize(found.select(F.col("doc_id").alias("__flagged")).distinct(), "leaks")
-    bloom = BlockedBloom(flagged, "__flagged")
-    marked = bloom.marked(docs.withColumn("__known", F.col("doc_id").cast("long")), "__known", "__maybe")
-    maybe = F.col("__maybe") | F.col("__known").isNull()
-    clean = marked.where(~maybe).select(*docs.columns)
-    kept = marked.where(maybe).join(flagged, F.col("__known").eqNullSafe(F.col("__flagged")), "left_anti")
+    held = _held_items(docs, items, k, threshold)
+    flagged = materialize(
+        held.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__flagged")).distinct(), "leaks"
+    )
+    own = docs.withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    marked = BlockedBloom(flagged, "__flagged").marked(own, "__hash", "__maybe")
+    clean = marked.where("not __maybe").select(*docs.columns)
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__flagged"))
+    kept = marked.where("__maybe").join(flagged, same, "left_anti")
     return clean.unionByName(kept.select(*docs.columns))

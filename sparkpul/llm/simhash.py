@@ -70,16 +70,19 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp`` (a signed long with the fingerprint's bits), in the tasks that read the texts."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, fp`` (a signed long with the fingerprint's bits) and the long columns ``keys``,
+    in the tasks that read the texts."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [fingerprint(t or "", shingle) for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], ["doc_id", "fp"]
+            [batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64)), *batch.columns[2:]],
+            ["doc_id", "fp", *keys],
         )
 
-    return map_slices(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fp long")
+    schema = "".join(["doc_id long, fp long", *[f", {k} long" for k in keys]])
+    return map_slices(docs.select(F.col("doc_id").cast("long"), "text", *keys), run, schema)
 
 
 # -- pivot tables ------------------------------------------------------------------
@@ -161,24 +164,27 @@ def linked(distinct: DataFrame, max_bits: int = MAX_BITS, cell: int = CELL) -> D
 # -- documents ---------------------------------------------------------------------
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """``doc_id, fp, component_id`` of every document."""
-    prints = materialize(fingerprints(docs, shingle), "fingerprints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+def _with_least(prints: DataFrame, key: Column, max_bits: int) -> DataFrame:
+    """``prints`` with ``least``: the least ``key`` of the fingerprint's component."""
+    distinct = materialize(prints.groupBy("fp").agg(F.min(key).alias("first")), "distinct-fingerprints")
     stars = components(linked(distinct.select("fp"), max_bits))
     # only linked fingerprints can get another document's id
     hung = stars.select(F.col("u").alias("fp"), F.col("v").alias("root"))
     nodes = hung.unionByName(stars.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct())
     rooted = nodes.join(distinct, "fp")
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    linked_ids = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    own = distinct.join(linked_ids, "fp", "left").select(
-        "fp", F.coalesce("component_id", "first").alias("component_id")
-    )
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    linked_ids = rooted.select("fp", "root").join(least, "root").select("fp", "least")
+    own = distinct.join(linked_ids, "fp", "left").select("fp", F.coalesce("least", "first").alias("least"))
     # written out, so that the last join stands alone and a fingerprint of very many
     # copies can be split among tasks
     own = materialize(own, "components")
-    return prints.join(own, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(own, "fp")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """``doc_id, fp, component_id`` of every document."""
+    prints = materialize(fingerprints(docs, shingle), "fingerprints")
+    return _with_least(prints, F.col("doc_id"), max_bits).select("doc_id", "fp", F.col("least").alias("component_id"))
 
 
 def digests(found: DataFrame) -> DataFrame:
@@ -189,18 +195,36 @@ def digests(found: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one document (the least ``doc_id``) of each component; columns as they are.
+    """``docs`` with one document of each component; columns as they are.
 
-    Rows without an id cannot be named by the decision and stay; rows with one id count
-    as one document. Only documents that a Bloom filter of the dropped ids lets pass are
-    joined (and so shuffled).
+    A document is a ``doc_id`` with a text: other texts under its id are other documents,
+    and rows equal in both are one document given more than once, which stay or go
+    together. Without an id every row is a document of its own. The least ``doc_id`` (a row
+    without one only if no other has one), then the least hash of the text, stays.
+
+    Only documents that a Bloom filter of the dropped ones lets pass are joined (and so
+    shuffled), and rows without an id, which are gathered by their text.
     """
-    found = near_duplicates(docs, shingle, max_bits)
+    doc_id, text_hash = F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))
+    hashed = docs.select("doc_id", "text", text_hash.alias("text_hash"))
+    prints = materialize(fingerprints(hashed, shingle, ("text_hash",)), "fingerprints")
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    lost = _with_least(prints, key, max_bits).where(~key.eqNullSafe(F.col("least")))
     dropped = materialize(
-        found.where("doc_id <> component_id").select(F.col("doc_id").alias("__dropped")).distinct(), "dropped"
+        lost.select(
+            F.col("doc_id").alias("__id"), F.col("text_hash").alias("__dropped"),
+            F.xxhash64("doc_id", "text_hash").alias("__pair"),
+        ).distinct(),
+        "dropped",
     )
-    bloom = BlockedBloom(dropped, "__dropped")
-    marked = bloom.marked(docs.withColumn("__own", F.col("doc_id").cast("long")), "__own", "__maybe")
+    own = docs.withColumn("__hash", text_hash)
+    named = own.where("doc_id is not null").withColumn("__own", F.xxhash64(doc_id, "__hash"))
+    marked = BlockedBloom(dropped, "__pair").marked(named, "__own", "__maybe")
     clean = marked.where("not __maybe").select(*docs.columns)
-    kept = marked.where("__maybe").join(dropped, F.col("__own") == F.col("__dropped"), "left_anti")
-    return clean.unionByName(kept.select(*docs.columns))
+    same = (doc_id == F.col("__id")) & (F.col("__hash") == F.col("__dropped"))
+    kept = marked.where("__maybe").join(dropped, same, "left_anti").select(*docs.columns)
+    unnamed = own.where("doc_id is null").join(
+        dropped.where("__id is null"), F.col("__hash") == F.col("__dropped"), "left_anti"
+    )
+    single = unnamed.groupBy("__hash").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return clean.unionByName(kept).unionByName(single)
