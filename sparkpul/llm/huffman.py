@@ -68,7 +68,8 @@ class Words:
 
     The tokenizer drops white space and cuts at it, and it cuts between letters and the
     signs behind them. So the parts between are encoded by the library, and the words met
-    first (the frequent ones) are remembered, up to ``CACHE_WORDS``.
+    first (the frequent ones) are remembered, up to ``CACHE_WORDS``. Texts that hold an added
+    token go to the library whole: it finds those in the text as it is, before any rule.
     """
 
     def __init__(self, path: str):
@@ -76,7 +77,7 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
     @staticmethod
@@ -88,18 +89,27 @@ class Words:
         return text.split(" ")
 
     def encode_all(self, texts: list[str], end_id: int) -> list[np.ndarray]:
+        whole = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
         cut = list(map(self.cut, texts))
+        for i in whole:
+            cut[i] = []
         new = set(chain.from_iterable(cut)).difference(self.known)
         # letters with signs behind them are two parts, and both may be known
         pairs = {w: m.groups() for w, m in zip(new, map(LETTERS_SIGNS, new), strict=True) if m}
         parts = list(new.difference(pairs).union(*pairs.values()).difference(self.known))
+        # lower-casing can make an added token of a part where the text has none
+        self.tokenizer.encode_special_tokens = True
         found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+        self.tokenizer.encode_special_tokens = False
         self.known.update((w, array("I", x.ids).tobytes()) for w, x in zip(parts, found, strict=True))
         del found
         known = self.known
         known.update([(w, known[head] + known[tail]) for w, (head, tail) in pairs.items()])
         get, end = self.known.__getitem__, np.array([end_id], "<u4").tobytes()
         out = [np.frombuffer(b"".join([*map(get, words), end]), "<u4") for words in cut]
+        for i in whole:
+            ids = self.tokenizer.encode(texts[i], add_special_tokens=False).ids
+            out[i] = np.array([*ids, end_id], "<u4")
         while len(self.known) > CACHE_WORDS:
             self.known.popitem()  # the last that came
         return out

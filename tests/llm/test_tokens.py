@@ -133,3 +133,28 @@ def test_code_lengths_match_plain_huffman():
         heapq.heappush(heap, (a[0] + b[0], n, ()))
         n += 1
     assert (huffman.code_lengths(counts, 18) * counts).sum() == cost
+
+
+ADDED = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|end\noftext|>", "<|ENDOFTEXT|>."]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([*ADDED, "end of page", "Next", " ", "\n", ". ", "é", "<|", "|>", "7"]), max_size=8).map("".join))
+def test_op9_added_tokens_equal_library(text):
+    """Added tokens have their own ids, as the library gives them without any flag."""
+    plain = Tokenizer.from_file(P.path(huffman.TOKENIZER_FILE))
+    words = huffman.words_of(P.path(huffman.TOKENIZER_FILE))
+    assert words.encode_all([text], 2)[0].tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_op9_added_tokens_in_files(spark):
+    plain = Tokenizer.from_file(P.path(huffman.TOKENIZER_FILE))
+    texts = ["end of page <|endoftext|> next", "<|startoftext|>", "x <|EndOfText|> y", "plain", None]
+    path = scratch_path(spark, "t-op9")
+    huffman.write_token_files(docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), path, files=2)
+    got = {r["doc_id"]: r for r in huffman.read_token_files(spark, path).collect()}
+    start = 0
+    for i, text in enumerate(texts):
+        ids = [*plain.encode(text or "", add_special_tokens=False).ids, huffman.END_ID]
+        assert np.frombuffer(got[i]["token_ids"], "<u4").tolist() == ids and got[i]["start"] == start
+        start += len(ids)
