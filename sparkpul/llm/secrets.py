@@ -9,6 +9,9 @@ copied example; one that stays with few owners looks live. Live opaque candidate
 spans of kind ``opaque``; base spans stay whatever their frequency, their class is told
 in ``n_live`` and ``n_example``.
 
+Redaction leaves those opaque spans alone that read like a URL path, file path or slug
+(between ``+ / _ = -`` there are only words and numbers) or are a UUID.
+
 DataFrame functions only. Positions come from the texts between the matches: the matches
 of a pattern and the pieces it splits a text into alternate, so a match starts after the
 lengths of all pieces and matches before it. The texts are read once and never shuffled;
@@ -42,6 +45,10 @@ KINDS = [
 ]
 OPAQUE = ("opaque", "[A-Za-z0-9+/_=-]{20,}", 0, 20)
 NAMES = [k[0] for k in KINDS] + [OPAQUE[0]]
+#: what redaction takes for no credential: a UUID, or a run whose parts are all words or numbers
+UUID = "^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"
+SEPARATORS = "[+/_=-]+"
+PLAIN_PART = "^([A-Z]?[a-z]+|[A-Z]+|[0-9]{1,12}|[A-Za-z]{1,4}[0-9]{1,4}|[A-Z]?[a-z]{1,10}[0-9]{1,2})?$"
 MAX_OWNERS = 2
 MASK = "[SECRET]"
 
@@ -168,14 +175,23 @@ def digests(found: DataFrame) -> DataFrame:
     )
 
 
+def _readable(value: Column) -> Column:
+    """Whether a run is a UUID or all its parts are words or numbers."""
+    return value.rlike(UUID) | F.forall(F.split(value, SEPARATORS), lambda part: part.rlike(PLAIN_PART))
+
+
 def redact(docs: DataFrame, max_owners: int = MAX_OWNERS, mask: str = MASK) -> DataFrame:
-    """``docs`` with every span of its texts replaced by ``mask``; other columns as they are.
+    """``docs`` with every span of its texts replaced by ``mask``, but for readable opaque
+    ones; other columns as they are.
 
     Overlapping spans become one mask. Only documents with spans are joined (and so
     shuffled); all others pass straight through.
     """
+    masks = F.filter("spans", lambda s: (s["kind"] < len(KINDS)) | ~_readable(s["value"]))
     spans = materialize(
-        find_secrets(docs, max_owners).where("size(spans) > 0").dropDuplicates(["doc_id", "text_hash"]), "secret-spans"
+        find_secrets(docs, max_owners).withColumn("spans", masks).where("size(spans) > 0")
+        .dropDuplicates(["doc_id", "text_hash"]),
+        "secret-spans",
     ).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
     text = F.coalesce("text", F.lit(""))
     suspect = F.lit(False)

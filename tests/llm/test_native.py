@@ -118,3 +118,18 @@ def test_redact(spark):
 def test_op8_single(spark, text):
     row = secrets.find_secrets(docs(spark, [(1, text, "en", "s")])).first()
     assert [(s["start"], s["kind"], s["stop"]) for s in row["spans"] if s["kind"] < 3] == base_spans(text)
+
+
+def test_redact_leaves_readable_runs(spark):
+    """URL paths, slugs, file paths and UUIDs stay; opaque credentials go."""
+    stay = [
+        "see https://example.com/blog/2021-05-how-to-cook now",
+        "state-of-the-art-2021-results",
+        "id 123e4567-e89b-12d3-a456-426614174000.",
+        "/usr/share/doc/python3/Changes_2020",
+    ]
+    go = [f"key {OWN_TOKEN}", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "sk_live_9f8e7d6c5b4a3a2b1c0d"]
+    rows = [(i, t, "en", "a") for i, t in enumerate([*stay, *go])]
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(docs(spark, rows)).collect()}
+    masked = [f"key {secrets.MASK}", secrets.MASK, secrets.MASK]
+    assert [got[i] for i in range(len(rows))] == [*stay, *masked]
