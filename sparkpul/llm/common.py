@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sparkpul.session import materialize
 
@@ -55,7 +56,7 @@ def in_slices(batches: Iterator[pa.RecordBatch], column: str, budget: int) -> It
 def map_slices(
     df: DataFrame,
     fn: Callable[[pa.RecordBatch], pa.RecordBatch],
-    schema: str,
+    schema: str | StructType,
     column: str = "text",
     budget: int = 2 << 20,
 ) -> DataFrame:
