@@ -13,8 +13,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import md5_key
 from ..operators.knn import knn_join
+from ..operators.ranking import hash_rank
 from ..operators.splits import DEFAULT_SEED
+from ..session import materialize
+from . import newton
+from .blocks import pack
 
 
 def _vec(col: str = "features") -> Column:
@@ -50,9 +55,8 @@ class Fitted:
 
 
 class _MLlibFitted(Fitted):
-    def __init__(self, model, linear=None):
-        #: weights and intercept of a linear model
-        self.model, self.linear = model, linear
+    def __init__(self, model):
+        self.model = model
 
     def predict_proba(self, df, features="features", out="prob"):
         cols = df.columns
@@ -60,9 +64,26 @@ class _MLlibFitted(Fitted):
         return t.select(*cols, _p1("probability").alias(out))
 
 
+class LinearFitted(Fitted):
+    """A logistic model ``1 / (1 + exp(-(w x + b)))``; an infinite ``b`` is a constant."""
+
+    def __init__(self, weights: np.ndarray, intercept: float, passes: int = 0):
+        #: weights and intercept, as callers that combine linear models read them
+        self.linear = (weights, intercept)
+        #: passes over the data, one Spark job each
+        self.passes = passes
+
+    def predict_proba(self, df, features="features", out="prob"):
+        w, b = self.linear
+        if math.isinf(b):
+            return df.withColumn(out, F.lit(1.0 if b > 0 else 0.0))
+        return df.withColumn(out, F.lit(1.0) / (F.lit(1.0) + F.exp(-dot_plus(features, w, b))))
+
+
 class LogisticClassifier:
-    """Logistic regression (M11). ``regParam = 1 / (C n)`` and no standardization give
-    sklearn's ``C * sum(loss) + |w|^2 / 2`` objective."""
+    """Logistic regression (M11) by Newton's method on ``C * sum(loss) + |w|^2 / 2`` with a
+    free intercept, one pass over the rows a step. ``fit_many`` fits one model per label
+    column in the same passes."""
 
     name = "logistic"
 
@@ -70,15 +91,16 @@ class LogisticClassifier:
         self.C, self.max_iter = C, max_iter
 
     def fit(self, df: DataFrame, label: str, features: str = "features", n_rows: int | None = None):
-        from pyspark.ml.classification import LogisticRegression
+        return self._fit(df, F.array(F.col(label).cast("double")), 1, features)[0]
 
-        n = df.count() if n_rows is None else n_rows
-        lr = LogisticRegression(
-            featuresCol="_vec", labelCol="_y", regParam=1.0 / (self.C * max(n, 1)), elasticNetParam=0.0,
-            standardization=False, maxIter=self.max_iter, family="binomial",
-        )
-        m = lr.fit(df.select(_vec(features).alias("_vec"), F.col(label).cast("double").alias("_y")))
-        return _MLlibFitted(m, (m.coefficients.toArray(), float(m.intercept)))
+    def fit_many(self, df: DataFrame, labels: str, members: int, features: str = "features") -> list[LinearFitted]:
+        """One model per entry of the array column ``labels``."""
+        return self._fit(df, F.col(labels).cast("array<double>"), members, features)
+
+    def _fit(self, df: DataFrame, labels: Column, members: int, features: str) -> list[LinearFitted]:
+        blocks = pack(df, {"x": F.col(features), "y": labels})
+        found = newton.fit(blocks, members, "logistic", self.C, max_passes=self.max_iter)
+        return [LinearFitted(w[:-1], float(w[-1]), found.passes) for w in found.weights]
 
 
 class RandomForest:
@@ -184,9 +206,11 @@ class _KNNFitted(Fitted):
 class CalibratedSVM:
     """Linear SVM calibrated by a sigmoid in stratified folds.
 
-    For each of ``folds`` folds: fit ``LinearSVC`` on the rest, fit a Platt sigmoid
-    ``1 / (1 + exp(a m + b))`` on the held-out margins; the probability is the mean
-    over folds. MLlib uses the hinge loss where sklearn's ``LinearSVC`` uses its square.
+    The SVM minimises ``C * sum(max(0, 1 - s f)^2) + (|w|^2 + b^2) / 2``, as the published
+    experiments' solver does, by Newton steps on the rows inside the margin. The models of
+    all folds are fitted in the same passes: a row weighs 0 in the model of its own fold.
+    Then a sigmoid ``1 / (1 + exp(-(a m + b)))`` per fold is fitted to the held-out margins
+    with Platt's soft targets; the probability is the mean over the folds.
     """
 
     name = "svm"
@@ -194,75 +218,48 @@ class CalibratedSVM:
     def __init__(self, folds: int = 5, C: float = 1.0, max_iter: int = 100, seed: int = DEFAULT_SEED, id_col: str = "vec_id"):
         self.folds, self.C, self.max_iter, self.seed, self.id_col = folds, C, max_iter, seed, id_col
 
-    def fit(self, df: DataFrame, label: str, features: str = "features", n_rows: int | None = None):
-        from pyspark.ml.classification import LinearSVC, LogisticRegression
-
-        from ..functions.columns import md5_key
-        from ..operators.ranking import hash_rank
-
-        data = df.select(self.id_col, _vec(features).alias("_vec"), F.col(label).cast("double").alias("_y"))
-        n = data.count()
+    def _folded(self, data: DataFrame) -> DataFrame:
+        """``data`` with ``_fold``: equal shares of each label, in the order of md5 keys."""
         keyed = data.withColumn("_hk", md5_key(self.seed, self.id_col))
-        ranked = hash_rank(keyed, "_hk", self.id_col, by=["_y"], rank_col="_r", n_rows=n)
+        ranked = hash_rank(keyed, "_hk", self.id_col, by=["_y"], rank_col="_r", n_rows=data.count())
         sizes = ranked.groupBy("_y").agg(F.count(F.lit(1)).alias("_n"))
-        folded = ranked.join(sizes, "_y").withColumn(
-            "_fold", F.floor((F.col("_r") - 1) * self.folds / F.col("_n")).cast("int")
-        ).drop("_hk", "_r", "_n").checkpoint()
-        def fit_fold(f):
-            tr = folded.where(F.col("_fold") != f)
-            ho = folded.where(F.col("_fold") == f)
-            # C weighs the sum of losses over the rows of this fit
-            svc = LinearSVC(featuresCol="_vec", labelCol="_y", regParam=1.0 / (self.C * max(tr.count(), 1)),
-                            maxIter=self.max_iter, standardization=False).fit(tr)
-            margins = svc.transform(ho).select(_margin().alias("_m"), "_y")
-            # Platt's targets (n1 + 1) / (n1 + 2) and 1 / (n0 + 2), as weighted rows of both labels
-            sizes = {r["_y"]: r["n"] for r in ho.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
-            high, low = (sizes.get(1.0, 0) + 1) / (sizes.get(1.0, 0) + 2), 1 / (sizes.get(0.0, 0) + 2)
-            target = F.when(F.col("_y") == 1, F.lit(high)).otherwise(F.lit(low))
-            soft = margins.select(
-                _vec_of("_m").alias("_mv"),
-                F.explode(F.array(
-                    F.struct(F.lit(1.0).alias("_t"), target.alias("_w")),
-                    F.struct(F.lit(0.0).alias("_t"), (F.lit(1.0) - target).alias("_w")),
-                )).alias("_s"),
-            ).select("_mv", "_s._t", "_s._w")
-            platt = LogisticRegression(featuresCol="_mv", labelCol="_t", weightCol="_w", regParam=0.0, maxIter=100).fit(soft)
-            return (svc, float(platt.coefficients[0]), float(platt.intercept))
-
-        from .parallel import run_parallel
-
-        return _SVMFitted(run_parallel(list(range(self.folds)), fit_fold))
-
-
-def _margin() -> Column:
-    from pyspark.ml.functions import vector_to_array
-
-    return vector_to_array(F.col("rawPrediction"))[1]
-
+        fold = F.floor((F.col("_r") - 1) * self.folds / F.col("_n")).cast("int")
+        return materialize(ranked.join(sizes, "_y").select("_x", "_y", fold.alias("_fold")), "folds")
 
-def _vec_of(col: str) -> Column:
-    from pyspark.ml.functions import array_to_vector
-
-    return array_to_vector(F.array(F.col(col)))
+    def fit(self, df: DataFrame, label: str, features: str = "features", n_rows: int | None = None):
+        folded = self._folded(df.select(self.id_col, F.col(features).alias("_x"), F.col(label).cast("double").alias("_y")))
+        k = range(self.folds)
+        outside = F.array(*[(F.col("_fold") != j).cast("double") for j in k])
+        same = F.array_repeat("_y", self.folds)
+        blocks = pack(folded, {"x": F.col("_x"), "y": same, "w": outside})
+        svm = newton.fit(blocks, self.folds, "squared_hinge", self.C, penalize_intercept=True, weighted=True,
+                         max_passes=self.max_iter)
+        margin = F.lit(None).cast("double")
+        for j in k:
+            margin = F.when(F.col("_fold") == j, dot_plus("_x", svm.weights[j][:-1], float(svm.weights[j][-1]))).otherwise(margin)
+        # Platt's targets (n1 + 1) / (n1 + 2) and 1 / (n0 + 2) of the held-out rows of a fold
+        sizes = {(r["_fold"], r["_y"]): r["n"] for r in folded.groupBy("_fold", "_y").agg(F.count("*").alias("n")).collect()}
+        target = F.lit(None).cast("double")
+        for j in k:
+            n1, n0 = sizes.get((j, 1.0), 0), sizes.get((j, 0.0), 0)
+            soft = F.when(F.col("_y") == 1, F.lit((n1 + 1) / (n1 + 2))).otherwise(F.lit(1 / (n0 + 2)))
+            target = F.when(F.col("_fold") == j, soft).otherwise(target)
+        inside = F.array(*[(F.col("_fold") == j).cast("double") for j in k])
+        held = pack(folded, {"x": F.array(margin), "y": F.array_repeat(target, self.folds), "w": inside})
+        platt = newton.fit(held, self.folds, "logistic", penalty=0.0, weighted=True, max_passes=self.max_iter)
+        return _SVMFitted(svm.weights, platt.weights, svm.passes + platt.passes)
 
 
 class _SVMFitted(Fitted):
-    def __init__(self, parts):
-        self.parts = parts
+    def __init__(self, svms: np.ndarray, sigmoids: np.ndarray, passes: int):
+        self.svms, self.sigmoids, self.passes = svms, sigmoids, passes
 
     def predict_proba(self, df, features="features", out="prob"):
-        cols = df.columns
-        cur = df.withColumn("_vec", _vec(features))
         probs = []
-        for i, (svc, a, b) in enumerate(self.parts):
-            cur = svc.setRawPredictionCol(f"_raw{i}").setPredictionCol(f"_pred{i}").transform(cur)
-            from pyspark.ml.functions import vector_to_array
-
-            m = vector_to_array(F.col(f"_raw{i}"))[1]
-            cur = cur.withColumn(f"_pp{i}", F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(a) * m + F.lit(b)))))
-            probs.append(F.col(f"_pp{i}"))
-        mean = sum(probs[1:], probs[0]) / len(probs)
-        return cur.select(*cols, mean.alias(out))
+        for w, (a, b) in zip(self.svms, self.sigmoids, strict=True):
+            margin = dot_plus(features, w[:-1], float(w[-1]))
+            probs.append(F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(float(a)) * margin + F.lit(float(b))))))
+        return df.withColumn(out, sum(probs[1:], probs[0]) / len(probs))
 
 
 def make_classifier(name: str, **kw):

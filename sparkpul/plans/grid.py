@@ -30,11 +30,15 @@ from ..sources.tables import path_exists
 from .base import dot_plus, make_classifier
 from .models import NonNegativePU, NonStop, ProbTagging, TwoStep
 from .parallel import run_parallel
+from .stacked import Cell, Settings, StackedNonNegativePU
 from .tables import table
 
 # Grid cells submitted at once; Spark schedules their jobs side by side.
 PARALLEL_CELLS = 4
 
+# rows of a mini-batch in the published experiments
+BATCH_ROWS = 32
+
 KEYS = "setting string, extractor string, reliable_positive_threshold double, classifier string, detector string"
 METRICS = "balanced_accuracy double, accuracy double, f1 double, aul double"
 RESULT_SCHEMA = f"{KEYS}, {METRICS}"
@@ -88,12 +92,15 @@ def run_grid(
     id_col: str = "vec_id",
     features: str = "features",
     parallel: int | None = None,
+    train_together: Callable[[list[dict], DataFrame, DataFrame | None], list] | None = None,
 ) -> DataFrame:
     """Run every cell that has no result under ``path`` yet; the results of all its cells.
 
     A cell is a dict with ``setting`` (a name) and optionally ``classifier`` and
     ``detector`` labels; ``build(cell)`` returns an algorithm with ``fit(train, val)`` and
-    ``predict``. Predictions (id, ``y_true``, ``y_pu``, ``y_pred``) are under
+    ``predict``. With ``train_together`` the cells of a setting are trained in one program
+    instead: it gets them with the train and validation rows and returns their models.
+    Predictions (id, ``y_true``, ``y_pu``, ``y_pred``) are under
     ``path/predictions`` by cell, see ``predictions``.
     """
     path = path or scratch_path(spark, "grid")
@@ -109,10 +116,14 @@ def run_grid(
     for name in dict.fromkeys(c["setting"] for c in todo):
         splits[name] = tuple(materialize(f, "split") for f in by_name[name].splits())
 
-    def run(cell: dict) -> None:
-        train, val, test = splits[cell["setting"]]
+    def run(group: list[dict]) -> None:
+        train, val, test = splits[group[0]["setting"]]
+        models = train_together(group, train, val) if train_together else [build(c).fit(train, val) for c in group]
+        for cell, model in zip(group, models, strict=True):
+            finish(cell, model, test)
+
+    def finish(cell: dict, algorithm, test: DataFrame) -> None:
         name = cell_name(key(cell))
-        algorithm = build(cell).fit(train, val)
         labelled = algorithm.predict(test, features, "y_pred").select(id_col, "y_true", "y_pu", F.col("y_pred").cast("int"))
         where = f"{path}/predictions/cell={name}"
         labelled.write.mode("overwrite").parquet(where)
@@ -120,7 +131,10 @@ def run_grid(
         row = spark.createDataFrame([key(cell) + tuple(scores[m.split()[0]] for m in METRICS.split(", "))], RESULT_SCHEMA)
         row.coalesce(1).write.mode("overwrite").parquet(f"{path}/results/cell={name}")
 
-    run_cells(todo, run, parallel)
+    groups = [[c] for c in todo]
+    if train_together:
+        groups = [[c for c in todo if c["setting"] == name] for name in splits]
+    run_cells(groups, run, parallel)
     # what this grid asked for, of all that is there
     wanted = spark.createDataFrame([(cell_name(key(c)),) for c in cells], "cell string").distinct()
     stored = spark.read.schema(f"{RESULT_SCHEMA}, cell string").parquet(f"{path}/results")
@@ -215,7 +229,7 @@ def make_algorithm(name: str, rounds: int = 20, epochs: int = 200, members: int
     if name == "tsa":
         return TwoStep(KNNDetector(frac=0.1, k=1), NonStop("aul"), make_classifier("logistic"), 0.01, rounds)
     if name == "nnpu":
-        return NonNegativePU([1], 0.7, epochs=epochs, learning_rate=0.01, reduce_lr_on_plateau=True)
+        return NonNegativePU([1], 0.7, epochs=epochs, reduce_lr_on_plateau=True, batch_rows=BATCH_ROWS)
     if name == "pt":
         return ProbTagging(18, lambda: make_classifier("logistic"), members, positive_prior=0.7)
     raise ValueError(name)
@@ -259,11 +273,14 @@ def _test_on_val(train: DataFrame, val: DataFrame, test: DataFrame):
 def prior_threshold_grid(
     spark: SparkSession, settings: Sequence[Setting], priors: Sequence[float], epochs: int = 200, path: str | None = None
 ) -> DataFrame:
-    """nnPU over prior x setting."""
+    """nnPU over prior x setting (M20): the priors of a setting are one stack of weights."""
     cells = cross(setting=[s.name for s in settings], classifier=[str(p) for p in priors])
-    out = run_grid(
-        spark, settings, cells, lambda c: NonNegativePU([1], float(c["classifier"]), epochs=epochs, learning_rate=0.01), path
-    )
+
+    def train_together(group: list[dict], train: DataFrame, val: DataFrame | None) -> list:
+        stack = [Cell(float(c["classifier"])) for c in group]
+        return StackedNonNegativePU(stack, [1], epochs, settings=Settings(BATCH_ROWS)).fit(train, val).models
+
+    out = run_grid(spark, settings, cells, lambda c: None, path, train_together=train_together)
     return out.select(
         F.col("reliable_positive_threshold").alias("quantile"), F.col("classifier").cast("double").alias("prior"),
         "balanced_accuracy", "accuracy", "f1",

@@ -164,11 +164,16 @@ class ProbTagging(Fitted):
         # every row once, with the tags of all m copies in one array
         tags = cred.select(idc, bernoulli_tag_array(idc, "credibility", self.m, self.seed).alias("tags"))
         data = materialize(train.where(F.col(y) == 0).select(idc, features).join(tags, idc), "tagged")
-        # the m fits are independent: submitted side by side
-        self.models = run_parallel(
-            list(range(self.m)),
-            lambda j: self.factory().fit(data.select(idc, features, F.col("tags")[j].alias("tag")), "tag", features),
-        )
+        member = self.factory()
+        if hasattr(member, "fit_many"):
+            # one pass over the rows serves all members
+            self.models = member.fit_many(data, "tags", self.m, features)
+        else:
+            # the m fits are independent: submitted side by side
+            self.models = run_parallel(
+                list(range(self.m)),
+                lambda j: self.factory().fit(data.select(idc, features, F.col("tags")[j].alias("tag")), "tag", features),
+            )
         if self.positive_prior is None:
             self.positive_prior = float(train.agg(F.avg(F.col(y).cast("double"))).collect()[0][0])
         self.threshold = self.positive_prior
@@ -251,7 +256,9 @@ class NonNegativePU(Fitted):
     """Non-negative PU classifier.
 
     Model: dense layers ``layer_sizes`` (ReLU, sigmoid output); ``[1]`` is the linear
-    model the experiments use. Each epoch is one full-batch step: ``mapInPandas``
+    model the experiments use. With ``batch_rows`` the epochs are mini-batch passes inside
+    tasks, several epochs a job (see ``plans.stacked``, which also trains many cells at
+    once). Without, each epoch is one full-batch step: ``mapInPandas``
     sums the gradients of the three risk terms per partition, the driver adds the
     partition rows and takes an Adam step on the small weight vector. With
     ``positive_prior='auto'`` the prior starts at 0.5 and becomes the predicted
@@ -262,28 +269,44 @@ class NonNegativePU(Fitted):
     def __init__(self, layer_sizes: Sequence[int] = (1,), positive_prior=0.5, epochs: int = 200,
                  learning_rate: float = 0.001, seed: int = DEFAULT_SEED, eps: float = 1e-7,
                  reduce_lr_on_plateau: bool = False, patience: int = 10, factor: float = 0.1,
-                 min_delta: float = 1e-4):
+                 min_delta: float = 1e-4, batch_rows: int | None = None, id_col: str = "vec_id"):
+        self.batch_rows, self.id_col = batch_rows, id_col
         self.layer_sizes, self.positive_prior = list(layer_sizes), positive_prior
         self.epochs, self.lr, self.seed, self.eps = epochs, learning_rate, seed, eps
         self.plateau = (reduce_lr_on_plateau, patience, factor, min_delta)
         self.history: list[dict] = []
 
     def _init(self, dim: int):
-        rng = np.random.default_rng(self.seed)
-        ws, fan_in = [], dim
-        for size in self.layer_sizes:
-            lim = math.sqrt(6.0 / (fan_in + size))  # Glorot uniform, Keras' default
-            ws.append((rng.uniform(-lim, lim, size=(fan_in, size)), np.zeros(size)))
-            fan_in = size
-        return ws
+        from .stacked import initial_weights
+
+        return initial_weights(self.layer_sizes, dim, self.seed)
 
     def fit(self, train: DataFrame, val: DataFrame | None = None, features: str = "features", y: str = "y_pu"):
+        if self.batch_rows:
+            return self._fit_batches(train, val, features, y)
         ship_package(train.sparkSession)
         # read once per epoch: written out (lineage) and kept in memory while training
         data = materialize(
             train.select(F.col(features).cast("array<double>").alias("_x"), F.col(y).cast("int").alias("_y")), "nnpu-rows"
         )
         data = data.persist()
+        try:
+            return self._fit_full(data, val, features, y)
+        finally:
+            data.unpersist()
+
+    def _fit_batches(self, train: DataFrame, val: DataFrame | None, features: str, y: str):
+        from .stacked import Cell, Settings, StackedNonNegativePU
+
+        use_plateau, patience, factor, min_delta = self.plateau
+        how = Settings(self.batch_rows, self.eps, use_plateau, patience, factor, min_delta)
+        cell = Cell(self.positive_prior, self.seed, self.lr)
+        one = StackedNonNegativePU([cell], self.layer_sizes, self.epochs, settings=how, id_col=self.id_col)
+        fitted = one.fit(train, val, features, y).models[0]
+        self.weights, self.prior, self.history = fitted.weights, fitted.prior, fitted.history
+        return self
+
+    def _fit_full(self, data: DataFrame, val: DataFrame | None, features: str, y: str):
         dim = len(data.select("_x").first()["_x"])
         n_parts = data.rdd.getNumPartitions()
         self.weights = self._init(dim)
@@ -373,7 +396,6 @@ class NonNegativePU(Fitted):
                         lr, wait = lr * factor, 0
             self.history.append({"epoch": epoch, "risk": float(risk), "monitored": monitored, "prior": prior, "lr": lr})
         self.prior = prior
-        data.unpersist()
         return self
 
     def predict_proba(self, df, features="features", out="prob"):

@@ -77,9 +77,85 @@ def _pn(name):
     return q
 
 
-register("logistic_regression")(_pn("logistic"))  # M11
+def _inverse_sql(name: str, gram: str) -> str:
+    """Inverses of the matrices ``gram`` (g, i, j, h) as table ``name`` (g, inv), a list of
+    rows each, by Gauss-Jordan elimination with one recursion step per pivot."""
+    return f"""{name}_a AS (SELECT g, i, list(h ORDER BY j) AS a FROM {gram} GROUP BY g, i),
+{name}_r AS (
+  SELECT 1 AS k, g, list(a || list_transform(a, lambda x, j: (j = i)::INTEGER::DOUBLE) ORDER BY i) AS m FROM {name}_a GROUP BY g
+  UNION ALL
+  SELECT k + 1, g, list_transform(m, lambda r, i: CASE WHEN i = k THEN p ELSE list_transform(r, lambda x, j: x - r[k] * p[j]) END)
+  FROM (SELECT k, g, m, list_transform(m[k], lambda x: x / m[k][k]) AS p FROM {name}_r WHERE k <= len(m))),
+{name} AS (SELECT g, list_transform(m, lambda r: r[len(m) + 1:]) AS inv FROM {name}_r WHERE k = len(m) + 1)"""
+
+
+def _fixed_newton_sql(name: str, source: str, slope: str, bound: float, free: bool, steps: int, shared: bool = False) -> str:
+    """Weights of linear models as table ``name`` (g, w): ``steps`` Newton steps with the
+    greatest curvature the loss can have, which go down to the same optimum.
+
+    ``source`` has g, va (features and a 1) and y; ``slope`` is the loss's slope in ``z``;
+    ``free`` leaves the last weight without penalty; ``shared``: all g have the same rows.
+    """
+    pen = "(i < len(va))::INTEGER" if free else "1"
+    key = "(SELECT min(g) FROM " + source + ")"
+    only = f"WHERE g = {key}" if shared else ""
+    match = "" if shared else "AND v.g = o.g"
+    return f"""{name}_n AS (SELECT row_number() OVER () AS n, * FROM {source}),
+{name}_x AS (SELECT g, n, unnest(va) AS x, unnest(range(1, len(va) + 1)) AS i, len(va) AS d FROM {name}_n {only}),
+{name}_h AS (SELECT a.g, a.i, b.i AS j, {bound} * sum(a.x * b.x) + (a.i = b.i AND {'a.i < any_value(a.d)' if free else 'true'})::INTEGER AS h
+             FROM {name}_x a JOIN {name}_x b USING (n) GROUP BY a.g, a.i, b.i),
+{_inverse_sql(name + "_i", name + "_h")},
+{name}_w AS (
+  SELECT 0 AS it, g, list_transform(any_value(va), lambda x: 0.0::DOUBLE) AS w FROM {source} GROUP BY g
+  UNION ALL
+  SELECT it + 1, o.g, list_transform(w, lambda x, i: x - list_dot_product(inv[i], grad))
+  FROM (SELECT it, g, any_value(w) AS w, list(s ORDER BY i) AS grad
+        FROM (SELECT it, g, i, any_value(w) AS w, sum(r * x) + any_value({pen} * w[i]) AS s
+              FROM (SELECT it, g, w, va, {slope} AS r, unnest(va) AS x, unnest(range(1, len(va) + 1)) AS i
+                    FROM (SELECT it, f.g, w, va, y, list_dot_product(w, va) AS z FROM {name}_w JOIN {name}_n f USING (g) WHERE it < {steps}))
+              GROUP BY it, g, i) GROUP BY it, g) o JOIN {name}_i v ON true {match}),
+{name} AS (SELECT g, w FROM {name}_w WHERE it = {steps})"""
+
+
+LOGISTIC_SLOPE = "1 / (1 + exp(-z)) - y"
+HINGE_SLOPE = "-2 * (2 * y - 1) * greatest(0, 1 - (2 * y - 1) * z)"
+
+# train and test rows of the PN queries
+PN_SQL = """e AS (SELECT vec_id, list_append(embedding::DOUBLE[], 1.0) AS va, coalesce(label < 5, false)::INTEGER AS y FROM embeddings),
+h AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5('1234:' || vec_id), vec_id) AS rk,
+             floor(count(*) OVER (PARTITION BY y) * 0.25) AS amt FROM e),
+tr AS (SELECT * FROM h WHERE rk > amt), te AS (SELECT * FROM h WHERE rk <= amt)"""
+
+register(
+    "logistic_regression",
+    f"""WITH RECURSIVE {PN_SQL}, f AS (SELECT 0 AS g, va, y FROM tr),
+{_fixed_newton_sql("l", "f", LOGISTIC_SLOPE, 0.25, True, 60)},
+s AS (SELECT vec_id, y, 1 / (1 + exp(-list_dot_product(w, va))) AS prob FROM te, l)
+SELECT vec_id, y AS y_true, round(prob, 6) AS prob, (prob > 0.5)::INTEGER AS prediction FROM s""",
+)(_pn("logistic"))  # M11
 register("random_forest")(_pn("rf"))  # M14
-register("calibrated_svm")(_pn("svm"))  # M15
+register(
+    "calibrated_svm",
+    f"""WITH RECURSIVE {PN_SQL},
+fo AS (SELECT vec_id, va, y, floor((row_number() OVER (PARTITION BY y ORDER BY md5('1234:' || vec_id), vec_id) - 1) * 5
+              / count(*) OVER (PARTITION BY y))::INTEGER AS fold FROM tr),
+f AS (SELECT g, va, y FROM fo, unnest(range(5)) AS t(g) WHERE fold <> g),
+{_fixed_newton_sql("s", "f", HINGE_SLOPE, 2.0, False, 80)},
+held AS (SELECT fold AS g, list_dot_product(w, va) AS m, y, sum(y) OVER (PARTITION BY fold) AS n1, sum(1 - y) OVER (PARTITION BY fold) AS n0
+         FROM fo JOIN s ON s.g = fold),
+soft AS (SELECT g, m, CASE WHEN y = 1 THEN (n1 + 1) / (n1 + 2) ELSE 1 / (n0 + 2) END AS t FROM held),
+pl AS (
+  SELECT 0 AS it, g, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM s
+  UNION ALL
+  SELECT it + 1, g, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab)
+  FROM (SELECT it, g, a, b, sum((p - t) * m) AS ga, sum(p - t) AS gb, sum(p * (1 - p) * m * m) AS haa, sum(p * (1 - p) * m) AS hab,
+               sum(p * (1 - p)) AS hbb
+        FROM (SELECT it, soft.g, a, b, m, t, 1 / (1 + exp(-(a * m + b))) AS p FROM pl JOIN soft USING (g) WHERE it < 30)
+        GROUP BY it, g, a, b)),
+sc AS (SELECT vec_id, any_value(y) AS y, avg(1 / (1 + exp(-(a * list_dot_product(w, va) + b)))) AS prob
+       FROM te, s JOIN pl USING (g) WHERE it = 30 GROUP BY vec_id)
+SELECT vec_id, y AS y_true, round(prob, 6) AS prob, (prob > 0.5)::INTEGER AS prediction FROM sc""",
+)(_pn("svm"))  # M15
 
 
 @register("two_step")
@@ -101,14 +177,6 @@ def q_two_step_nonstop(spark, sf_dir):
     return _scored(algo, test)
 
 
-@register("prob_tagging")
-def q_prob_tagging(spark, sf_dir):
-    """M7: ProbTagging with 9-NN credibility and 20 logistic classifiers."""
-    train, _, test = pu_splits(spark, sf_dir)
-    algo = ProbTagging(9, lambda: make_classifier("logistic"), 20).fit(train)
-    return _scored(algo, test)
-
-
 # The splits of pu_splits as DuckDB tables: te (test), va (validation), tr (train).
 SPLITS_SQL = """e AS (SELECT vec_id, embedding::DOUBLE[] AS v, coalesce(label < 3, false)::INTEGER AS y_pu,
               coalesce(label < 5, false)::INTEGER AS y_true FROM embeddings),
@@ -185,6 +253,30 @@ def q_prob_tagging_naive_bayes(spark, sf_dir):
     return _scored(algo, test)
 
 
+@register(
+    "prob_tagging",
+    f"""WITH RECURSIVE {SPLITS_SQL},
+d AS (SELECT a.vec_id, b.vec_id AS nn, b.y_pu, list_distance(a.v, b.v) AS dist FROM tr a, tr b WHERE a.y_pu = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(dist, 9), nn) AS rk FROM d),
+cr AS (SELECT vec_id, avg(y_pu) AS cred FROM k WHERE rk <= 9 GROUP BY vec_id),
+cp AS (SELECT vec_id, cred, unnest(range(0, 50)) AS copy FROM cr),
+f AS (SELECT copy AS g, list_append(tr.v, 1.0) AS va,
+             ((('0x' || substr(md5('1234:' || vec_id || ':' || copy), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0) < cred)::INTEGER AS y
+      FROM cp JOIN tr USING (vec_id) ORDER BY copy, vec_id),
+{_fixed_newton_sql("l", "f", LOGISTIC_SLOPE, 0.25, True, 80, shared=True)},
+q AS (SELECT vec_id, y_true, list_dot_product(w, list_append(v, 1.0)) AS z FROM te, l),
+pr AS (SELECT avg(y_pu) AS prior FROM tr)
+SELECT vec_id, any_value(y_true) AS y_true, round(avg(1 / (1 + exp(-z))), 6) AS prob,
+       (avg((z > 0)::INTEGER) > any_value(prior))::INTEGER AS prediction
+FROM q, pr GROUP BY vec_id""",
+)
+def q_prob_tagging(spark, sf_dir):
+    """M7: ProbTagging with 9-NN credibility and the 50 logistic members of the experiments."""
+    train, _, test = pu_splits(spark, sf_dir)
+    algo = ProbTagging(9, lambda: make_classifier("logistic"), 50).fit(train)
+    return _scored(algo, test)
+
+
 @register(
     "pn_baseline_grid",
     f"""WITH {SPLITS_SQL},
@@ -208,9 +300,9 @@ def q_pn_baseline_grid(spark, sf_dir):
 
 @register("nnpu")
 def q_nnpu(spark, sf_dir):
-    """M8: non-negative PU, linear-sigmoid model, prior 0.5, 60 full-batch Adam steps."""
+    """M8: non-negative PU, linear-sigmoid model, prior 0.5, the published 200 epochs."""
     train, _, test = pu_splits(spark, sf_dir)
-    algo = NonNegativePU([1], 0.5, epochs=60, learning_rate=0.01).fit(train)
+    algo = NonNegativePU([1], 0.5, batch_rows=G.BATCH_ROWS).fit(train)
     return _scored(algo, test)
 
 
@@ -218,7 +310,7 @@ def q_nnpu(spark, sf_dir):
 def q_nnpu_auto(spark, sf_dir):
     """M9: nnPU with the prior re-estimated on validation rows every epoch."""
     train, val, test = pu_splits(spark, sf_dir)
-    algo = NonNegativePU([1], "auto", epochs=20, learning_rate=0.01).fit(train, val)
+    algo = NonNegativePU([1], "auto", batch_rows=G.BATCH_ROWS).fit(train, val)
     return _scored(algo, test)
 
 
@@ -226,7 +318,7 @@ def q_nnpu_auto(spark, sf_dir):
 def q_nnpu_mlp(spark, sf_dir):
     """nnPU with one hidden layer of 16 ReLU units."""
     train, _, test = pu_splits(spark, sf_dir)
-    algo = NonNegativePU([16, 1], 0.5, epochs=30, learning_rate=0.01).fit(train)
+    algo = NonNegativePU([16, 1], 0.5, batch_rows=G.BATCH_ROWS).fit(train)
     return _scored(algo, test)
 
 
@@ -248,12 +340,12 @@ def q_experiment_grid(spark, sf_dir):
 @register("algorithm_comparison")
 def q_algorithm_comparison(spark, sf_dir):
     """M18 + J13: two-step, nnPU and ProbTagging over threshold and positive-class axes that
-    walk in lock-step (rounds, epochs and members below the published ones)."""
+    walk in lock-step, at the published rounds, epochs and members."""
     settings = [
         G.Setting(f"t{c['t']}-p{c['p']}", lambda c=c: G.feature_splits(spark, sf_dir, c["t"], positive_below=c["p"]), "embeddings", float(c["t"]))
         for c in G.lock_step(t=[2, 3], p=[4, 5])
     ]
-    return G.algorithm_comparison(spark, settings, ["tsa", "nnpu", "pt"], rounds=3, epochs=30, members=10)
+    return G.algorithm_comparison(spark, settings, ["tsa", "nnpu", "pt"])
 
 
 @register("k_selection")
@@ -266,7 +358,7 @@ def q_k_selection(spark, sf_dir):
 @register("prior_threshold_grid")
 def q_prior_threshold_grid(spark, sf_dir):
     """nnPU over prior x threshold."""
-    return G.prior_threshold_grid(spark, G.threshold_settings(spark, sf_dir, [2, 3]), [0.3, 0.5], epochs=20)
+    return G.prior_threshold_grid(spark, G.threshold_settings(spark, sf_dir, [2, 3]), [0.3, 0.5, 0.7])
 
 
 @register("pca_projection")
