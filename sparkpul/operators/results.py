@@ -14,8 +14,10 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import md5_key
 from ..session import materialize
 from .ranking import prefix_sums
+from .splits import DEFAULT_SEED
 
 FEATURE_MARK = "__feature__"
 # Widest pivot result accepted (its column names pass through the driver).
@@ -208,6 +210,60 @@ def metric_by_k(df: DataFrame, k_col: str, metric: str) -> DataFrame:
     )
 
 
+# Hex digits of a bootstrap uniform: one md5 key serves four replicates.
+BOOTSTRAP_DIGITS = 8
+
+
+def poisson_one_cdf() -> list[float]:
+    """``P(X <= n)`` of a Poisson variable of mean 1, as far as uniforms of 32 bits reach."""
+    out, term, total = [], math.exp(-1.0), 0.0
+    while total < 1 - 2.0 ** (-4 * BOOTSTRAP_DIGITS):
+        total += term
+        out.append(total)
+        term /= len(out)
+    return out
+
+
+def bootstrap_weight(uniform: Column) -> Column:
+    """How often a row is drawn: the number of Poisson(1) steps at or below ``uniform``."""
+    weight = F.lit(0)
+    for step in poisson_one_cdf():
+        weight = weight + (uniform >= F.lit(step)).cast("int")
+    return weight
+
+
+def bootstrap_band(
+    df: DataFrame, k_col: str, metric: str, row_key: Sequence[str], replicates: int = 1000, level: float = 0.95,
+    seed: int = DEFAULT_SEED,
+) -> DataFrame:
+    """``k, low, high``: the band that holds ``level`` of the bootstrap means of a metric per
+    k (the shaded band of the k plot, A23).
+
+    Poisson bootstrap: in replicate b a row counts as often as a Poisson(1) variable drawn
+    from the md5 key of its ``row_key`` and b says, so rows need no numbering and no group
+    is gathered. All replicates come from one scan: a row becomes its nonzero weights, which
+    are summed per (k, replicate) before the shuffle; what is shuffled has at most one row
+    per task, k and replicate. Replicates that draw no row of a k have no mean. Rows without
+    a metric count for nothing; without ``row_key`` duplicates the rows draw independently.
+    """
+    fours = F.sequence(F.lit(0), F.lit(math.ceil(replicates / 4) - 1))
+    keys = F.transform(fours, lambda i: md5_key(seed, *row_key, i))
+    drawn = df.where(F.col(metric).isNotNull()).select(
+        F.col(k_col), F.col(metric).cast("double").alias("_m"), F.posexplode(keys).alias("_four", "_key")
+    )
+    one = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.substring("_key", 1 + 8 * i, 8).alias("u")) for i in range(4)]))
+    each = drawn.select(k_col, "_m", "_four", one.alias("_s")).select(
+        k_col, "_m", (F.col("_four") * 4 + F.col("_s.i")).alias("_b"),
+        (F.conv("_s.u", 16, 10).cast("long").cast("double") / F.lit(2.0**32)).alias("_u"),
+    )
+    weighed = each.where(F.col("_b") < replicates).withColumn("_w", bootstrap_weight(F.col("_u"))).where("_w > 0")
+    means = weighed.groupBy(k_col, "_b").agg((F.sum(F.col("_w") * F.col("_m")) / F.sum("_w")).alias("_mean"))
+    tail = (1 - level) / 2
+    return means.groupBy(k_col).agg(
+        F.percentile("_mean", F.lit(tail)).alias("low"), F.percentile("_mean", F.lit(1 - tail)).alias("high")
+    )
+
+
 # ----------------------------------------------------------------------------- grids
 
 # Most values an axis taken from a table may have (checked when the plan runs).
@@ -277,41 +333,74 @@ def match_vectors(df: DataFrame, probes: DataFrame, vec_col: str) -> DataFrame:
 
 # ----------------------------------------------------------------------------- quantiles
 
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> DataFrame:
-    """Exact linear-interpolated quantiles (A19), equal to ``quantile_cont``.
+#: accuracy of the sketch of the first scan: ranks are right to one part in so many
+SKETCH_ACCURACY = 10_000
+
 
-    Values are counted per distinct value and a running count gives every value its
-    position range; only the rows that hold the needed positions (two per
-    probability) reach the driver.
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], accuracy: int = SKETCH_ACCURACY) -> DataFrame:
+    """Exact linear-interpolated quantiles (A19), equal to ``quantile_cont``, in two scans.
+
+    The first scan merges a rank sketch per task; its values a little below and above each
+    probability bracket the quantile for certain, since ranks are right to ``1 / accuracy``.
+    The second scan counts values, those outside all brackets as one count per gap, so that
+    only about ``4 / accuracy`` of the values per probability are shuffled. A running count
+    over that small table gives the values at the needed positions, two per probability.
+    Should a bracket miss its position all the same, every value is counted.
     """
     spark = df.sparkSession
     vals = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    counts = vals.groupBy("v").agg(F.count(F.lit(1)).alias("cnt"))
-    n = counts.agg(F.sum("cnt")).collect()[0][0] or 0
-    if n == 0:
-        return spark.createDataFrame([(float(p), None) for p in probs], "prob double, threshold double")
-    ranked = prefix_sums(counts, "v", ["cnt"])
-    need = sorted({int(math.floor((n - 1) * p)) for p in probs} | {int(math.ceil((n - 1) * p)) for p in probs})
-    arr = F.array(*[F.lit(i) for i in need])
-    hits = ranked.where(
-        F.exists(arr, lambda i: (F.col("cnt_before") <= i) & (i < F.col("cnt_before") + F.col("cnt")))
-    ).select("v", "cnt_before", "cnt").collect()
-
-    def at(i: int) -> float:
-        for r in hits:
-            if r["cnt_before"] <= i < r["cnt_before"] + r["cnt"]:
-                return r["v"]
-        raise RuntimeError("position not found")
-
+    empty = spark.createDataFrame([(float(p), None) for p in probs], "prob double, threshold double")
+    if not probs:
+        return empty
+    room = 2.0 / accuracy
+    edges = [min(max(e, 0.0), 1.0) for p in probs for e in (p - room, p + room)]
+    told = vals.agg(
+        F.count("v").alias("n"), F.percentile_approx("v", edges, accuracy).alias("e"), F.min("v").alias("a"), F.max("v").alias("b")
+    ).first()
+    n = told["n"]
+    if not n:
+        return empty
+    # the sketch does not promise the extremes
+    brackets = [
+        (told["a"] if lo == 0.0 else told["e"][2 * i], told["b"] if hi == 1.0 else told["e"][2 * i + 1])
+        for i, (lo, hi) in enumerate(zip(edges[::2], edges[1::2], strict=True))
+    ]
+    need = sorted({f((n - 1) * p) for p in probs for f in (math.floor, math.ceil)})
+    found = _at_positions(_counted(vals, brackets), need, n)
+    if set(found) != set(need):
+        found = _at_positions(_counted(vals, [(told["a"], told["b"])]), need, n)
     rows = []
     for p in probs:
         h = (n - 1) * p
-        lo, hi = int(math.floor(h)), int(math.ceil(h))
-        a, b = at(lo), at(hi)
-        rows.append((float(p), a + (h - lo) * (b - a)))
+        low, high = found[math.floor(h)], found[math.ceil(h)]
+        rows.append((float(p), low + (h - math.floor(h)) * (high - low)))
     return spark.createDataFrame(rows, "prob double, threshold double")
 
 
+def _counted(vals: DataFrame, brackets: list[tuple[float, float]]) -> DataFrame:
+    """``o, cnt``: how often each value inside a bracket occurs, and before each bracket
+    the number of values in the gap; ``o`` (value, inside) is the order."""
+    inside = F.lit(False)
+    for lo, hi in brackets:
+        inside = inside | F.col("v").between(lo, hi)
+    starts = sorted({lo for lo, _ in brackets})
+    gap = F.lit(float("inf"))  # above all brackets
+    for lo in reversed(starts):
+        gap = F.when(F.col("v") < lo, F.lit(lo)).otherwise(gap)
+    key = F.struct(F.when(inside, F.col("v")).otherwise(gap).alias("v"), inside.alias("inside"))
+    return vals.select(key.alias("o")).groupBy("o").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def _at_positions(counted: DataFrame, need: list[int], n: int) -> dict[int, float]:
+    """The values at the 0-based positions ``need``; a position in a gap has none."""
+    counted = materialize(counted, "quantile-counts")
+    ranked = prefix_sums(counted, "o", ["cnt"])
+    positions = F.array(*[F.lit(i) for i in need])
+    held = F.filter(positions, lambda i: (F.col("cnt_before") <= i) & (i < F.col("cnt_before") + F.col("cnt")))
+    hits = ranked.where("o.inside").select("o.v", held.alias("at")).where(F.size("at") > 0)
+    return {i: r["v"] for r in hits.collect() for i in r["at"]}  # two per probability
+
+
 def approx_quantiles(df: DataFrame, col: str, probs: Sequence[float], accuracy: int = 10000) -> DataFrame:
     """``percentile_approx`` thresholds for very large inputs (A19 at scale)."""
     return df.select(

@@ -231,16 +231,89 @@ def control_posthoc(
     return out.select(*cols)
 
 
+#: most methods the exhaustive sets are searched for
+MAX_EXHAUSTIVE = 16
+
+
+def most_true_pairs(k: int, false_pairs: set[tuple[int, int]]) -> int:
+    """The most pairs of ``k`` means that can be equal at once when ``false_pairs`` differ.
+
+    Equal means form groups without a false pair inside. The search runs over partitions of
+    the means: the first mean left is put with every set of others it may be equal to,
+    largest first, and a branch is left when even one group of all the rest gains nothing.
+    """
+    enemies = [0] * k
+    for a, b in false_pairs:
+        enemies[a] |= 1 << b
+        enemies[b] |= 1 << a
+    seen: dict[int, int] = {}
+
+    def best(left: int) -> int:
+        if left in seen:
+            return seen[left]
+        if not left:
+            return 0
+        first = left & -left
+        others = left & ~first & ~enemies[first.bit_length() - 1]
+        top, group = -1, others
+        while True:
+            size = group.bit_count() + 1
+            rest = left.bit_count() - size
+            if size * (size - 1) // 2 + rest * (rest - 1) // 2 > top and _friendly(group, enemies):
+                top = max(top, size * (size - 1) // 2 + best(left & ~first & ~group))
+            if not group:
+                break
+            group = (group - 1) & others
+        seen[left] = top
+        return top
+
+    return best((1 << k) - 1)
+
+
+def _friendly(group: int, enemies: list[int]) -> bool:
+    left = group
+    while left:
+        i = left.bit_length() - 1
+        if enemies[i] & group:
+            return False
+        left &= ~(1 << i)
+    return True
+
+
+def _dynamic_factors(pairs: DataFrame, names: list[str]) -> DataFrame:
+    """``names, _true``: for each pair, in the order of p-values, the most pairs that can be
+    true when all pairs before it are false. One small group: a row per pair of methods."""
+
+    def factors(table):
+        table = table.sort_values(["pvalue", *names])
+        methods = {m: i for i, m in enumerate(sorted(set(table[names[0]]) | set(table[names[1]])))}
+        if len(methods) > MAX_EXHAUSTIVE:
+            raise ValueError(f"exhaustive sets of {len(methods)} methods, at most {MAX_EXHAUSTIVE} are searched")
+        rejected, out = set(), []
+        for a, b in zip(table[names[0]], table[names[1]], strict=True):
+            out.append(max(1, most_true_pairs(len(methods), rejected)))
+            rejected.add((methods[a], methods[b]))
+        return table[names].assign(_true=out)
+
+    kinds = ", ".join(f"{n} {pairs.schema[n].dataType.simpleString()}" for n in names)
+    return pairs.select(*names, "pvalue", F.lit(0).alias("_one")).groupBy("_one").applyInPandas(factors, f"{kinds}, _true int")
+
+
 def pairwise_posthoc(
-    df: DataFrame, method: str, dataset: str, score: str, maximize: bool = True, with_p: bool = True
+    df: DataFrame, method: str, dataset: str, score: str, maximize: bool = True, with_p: bool = True,
+    adjust: str = "shaffer",
 ) -> DataFrame:
     """All method pairs ``a < b`` (A27): z of the mean-rank difference, two-sided p, and its
-    Holm and static Shaffer adjustments over the ``k (k-1) / 2`` pairs.
+    Holm and Shaffer adjustments over the ``k (k-1) / 2`` pairs.
 
     Pairs are of methods, not rows: a self-join of the method table on ``a < b``. Shaffer's
-    factor at step j is the largest possible number of true hypotheses that is at most
-    ``m - j + 1`` (``shaffer_counts``, at most ``k (k-1) / 2 + 1`` numbers).
+    static factor at step j is the largest possible number of true hypotheses that is at
+    most ``m - j + 1`` (``shaffer_counts``, at most ``k (k-1) / 2 + 1`` numbers).
+    ``adjust='shaffer-dynamic'`` adds ``p_shaffer_dynamic``, whose factor is the largest
+    number that can be true when the very pairs rejected before are false.
     """
+    if adjust not in ("shaffer", "shaffer-dynamic"):
+        raise ValueError(f"unknown adjustment {adjust}")
     ranks = _ranked_methods(df, method, dataset, score, maximize)
     a = ranks.select(F.col(method).alias("method_a"), F.col("r").alias("rank_a"), "k", "n")
     b = ranks.select(F.col(method).alias("method_b"), F.col("r").alias("rank_b"))
@@ -256,7 +329,12 @@ def pairwise_posthoc(
     names = ["method_a", "method_b"]
     adjusted = step_down(pairs, "pvalue", names, "p_holm")
     adjusted = step_down(adjusted, "pvalue", names, "p_shaffer", F.greatest(true_left, F.lit(1)))
-    return adjusted.select(*cols, "pvalue", "p_holm", "p_shaffer")
+    out = [*cols, "pvalue", "p_holm", "p_shaffer"]
+    if adjust == "shaffer-dynamic":
+        factors = _dynamic_factors(pairs, names)
+        adjusted = step_down(adjusted.join(factors, names), "pvalue", names, "p_shaffer_dynamic", F.col("_true"))
+        out.append("p_shaffer_dynamic")
+    return adjusted.select(*out)
 
 
 def mark_best(df: DataFrame, method: str, dataset: str, score: str, maximize: bool = True) -> DataFrame:

@@ -188,6 +188,23 @@ def q_metric_by_k(spark, sf_dir):
     return out.select("k", r6("mean").alias("mean"), r6("std").alias("std"), "n")
 
 
+@register(
+    "metric_band",
+    f"""WITH d AS (SELECT CAST(substr(o_orderpriority, 1, 1) AS INTEGER) * 4 + 1 AS k, o_orderkey AS key, o_totalprice AS m FROM orders),
+s AS (SELECT k, m, r.b, ('0x' || substr(md5('1234:' || key || ':' || r.b // 4), 1 + 8 * (r.b % 4), 8))::BIGINT::DOUBLE / 4294967296.0 AS u
+      FROM d, unnest(range(100)) AS r(b)),
+w AS (SELECT k, b, m, {" + ".join(f"(u >= {c!r})::INTEGER" for c in R.poisson_one_cdf())} AS w FROM s),
+e AS (SELECT k, b, sum(w * m) / sum(w) AS mean FROM w WHERE w > 0 GROUP BY k, b)
+SELECT k, round(quantile_cont(mean, 0.025), 3) AS low, round(quantile_cont(mean, 0.975), 3) AS high FROM e GROUP BY k""",
+)
+def q_metric_band(spark, sf_dir):
+    """Bootstrap band of the mean metric per k, 100 replicates in one scan of all orders."""
+    k = F.substring("o_orderpriority", 1, 1).cast("int") * 4 + 1
+    d = table(spark, sf_dir, "orders").select(k.alias("k"), "o_orderkey", "o_totalprice")
+    out = R.bootstrap_band(d, "k", "o_totalprice", ["o_orderkey"], 100)
+    return out.select("k", F.round("low", 3).alias("low"), F.round("high", 3).alias("high"))
+
+
 RANKS = f"""{RES},
 rk AS (SELECT *, rank() OVER (PARTITION BY dataset ORDER BY metric DESC)
               + (count(*) OVER (PARTITION BY dataset, metric) - 1) / 2.0 AS rank FROM res)"""
@@ -317,6 +334,34 @@ def q_pairwise_posthoc(spark, sf_dir):
     return out.select("method_a", "method_b", *[r6(c).alias(c) for c in ("rank_a", "rank_b", "z", "pvalue", "p_holm", "p_shaffer")])
 
 
+@register(
+    "pairwise_posthoc_dynamic",
+    f"""WITH RECURSIVE {RANKS},
+mr AS (SELECT method, avg(rank) AS r, count(*) AS n FROM rk GROUP BY method),
+kn AS (SELECT count(*) AS k, max(n) AS n FROM mr),
+z AS (SELECT a.method AS method_a, b.method AS method_b, (a.r - b.r) / sqrt(kn.k * (kn.k + 1) / (6.0 * kn.n)) AS z
+      FROM mr a JOIN mr b ON a.method < b.method, kn),
+x AS (SELECT *, abs(z) / sqrt(2) AS x FROM z),
+p AS (SELECT *, 1 - {_erf_sql("x")} AS pvalue FROM x),
+j AS (SELECT *, row_number() OVER (ORDER BY pvalue, method_a, method_b) AS j FROM p),
+ms AS (SELECT method, row_number() OVER (ORDER BY method) AS i FROM mr),
+-- every partition of the methods into groups of equals: the group of each, first met first
+gr AS (SELECT [0] AS g, 0 AS top UNION ALL
+       SELECT list_append(g, u.x), greatest(top, u.x) FROM gr, unnest(range(0, top + 2)) AS u(x) WHERE len(g) < (SELECT k FROM kn)),
+pa AS (SELECT row_number() OVER () AS q, g FROM gr WHERE len(g) = (SELECT k FROM kn)),
+eq AS (SELECT q, j.j, g[a.i] = g[b.i] AS same FROM pa, j JOIN ms a ON a.method = method_a JOIN ms b ON b.method = method_b),
+fit AS (SELECT q, sum(same::INTEGER) AS n, min(CASE WHEN same THEN j END) AS first FROM eq GROUP BY q),
+f AS (SELECT j.*, (SELECT max(greatest(n, 1)) FROM fit WHERE coalesce(first, 1000) >= j.j) AS f FROM j),
+h AS (SELECT *, max(least(1.0, f * pvalue)) OVER (ORDER BY j) AS adjusted FROM f)
+SELECT method_a, method_b, round(pvalue, 6) AS pvalue, round(adjusted, 6) AS p_shaffer_dynamic FROM h""",
+)
+def q_pairwise_posthoc_dynamic(spark, sf_dir):
+    """A27 with Shaffer's dynamic procedure: exhaustive sets of the pairs that can be equal."""
+    res = result_table(spark, sf_dir)
+    out = ST.pairwise_posthoc(res, "method", "dataset", "metric", adjust="shaffer-dynamic")
+    return out.select("method_a", "method_b", r6("pvalue").alias("pvalue"), r6("p_shaffer_dynamic").alias("p_shaffer_dynamic"))
+
+
 @register(
     "mark_best",
     f"""WITH {RES}

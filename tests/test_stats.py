@@ -141,3 +141,60 @@ def test_shaffer_counts_and_order(spark):
     for j, r in enumerate(rows, 1):
         run = max(run, min(1.0, max(t for t in ST.shaffer_counts(7) if t <= 21 - j + 1) * r["pvalue"]))
         assert r["p_shaffer"] == pytest.approx(run) and r["p_shaffer"] <= r["p_holm"] + 1e-12
+
+
+def partitions(items):
+    """All partitions of a list into groups."""
+    if not items:
+        yield []
+        return
+    for rest in partitions(items[1:]):
+        yield [[items[0]], *rest]
+        for i in range(len(rest)):
+            yield [*rest[:i], [items[0], *rest[i]], *rest[i + 1 :]]
+
+
+def plain_most_true(k, false_pairs):
+    best = 0
+    for groups in partitions(list(range(k))):
+        true = {(a, b) for g in groups for a in g for b in g if a < b}
+        if not true & false_pairs:
+            best = max(best, len(true))
+    return best
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 4, 5, 6, 7])
+def test_exhaustive_sets_against_all_partitions(k):
+    """The search equals brute force while pairs are rejected one by one, in random orders."""
+    import random
+
+    pairs = [(a, b) for a in range(k) for b in range(a + 1, k)]
+    for seed in range(3):
+        random.Random(seed).shuffle(pairs)
+        for n in range(0, len(pairs) + 1, 1 if k < 7 else 4):
+            assert ST.most_true_pairs(k, set(pairs[:n])) == plain_most_true(k, set(pairs[:n]))
+        # the counts of the static procedure hold them all
+        assert ST.most_true_pairs(k, set()) == k * (k - 1) // 2
+
+
+def test_shaffer_dynamic_on_published_ranks(spark):
+    df = _long(spark, METHODS, SETTINGS, PUBLISHED["balanced_accuracy"])
+    rows = ST.pairwise_posthoc(df, "method", "dataset", "score", adjust="shaffer-dynamic").orderBy("pvalue", "method_a", "method_b").collect()
+    names = sorted({r["method_a"] for r in rows} | {r["method_b"] for r in rows})
+    run, rejected = 0.0, set()
+    for r in rows:
+        run = max(run, min(1.0, max(1, plain_most_true(7, rejected)) * r["pvalue"]))
+        assert r["p_shaffer_dynamic"] == pytest.approx(run)
+        # at least as sharp as the static procedure, which is as sharp as Holm's
+        assert r["pvalue"] <= r["p_shaffer_dynamic"] <= r["p_shaffer"] + 1e-12 <= r["p_holm"] + 2e-12
+        rejected.add((names.index(r["method_a"]), names.index(r["method_b"])))
+    with pytest.raises(ValueError, match="unknown adjustment"):
+        ST.pairwise_posthoc(df, "method", "dataset", "score", adjust="other")
+
+
+def test_shaffer_dynamic_ties(spark):
+    """Equal ranks give equal p-values; the order of names decides and nothing breaks."""
+    rows = [(m, f"d{i}", 1.0) for m in "abcd" for i in range(3)]
+    df = spark.createDataFrame(rows, "method string, dataset string, score double")
+    got = ST.pairwise_posthoc(df, "method", "dataset", "score", adjust="shaffer-dynamic").collect()
+    assert len(got) == 6 and {r["p_shaffer_dynamic"] for r in got} == {1.0}
