@@ -26,12 +26,12 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,19 +81,17 @@ class Words:
         self.known: dict[str, bytes] = {}
 
     @staticmethod
-    def cut(text: str) -> list[str]:
+    def spaced(text: str) -> str:
+        """``text`` with a space wherever it may be cut."""
         # the tokenizer lower-cases; doing so for A-Z before makes fewer words
         text = text.encode().lower().decode().replace("\n", " ")
         if not STOP_AFTER_SIGN.search(text):
             text = text.replace(". ", " . ").replace(", ", " , ")
-        return text.split(" ")
+        return text
 
-    def encode_all(self, texts: list[str], end_id: int) -> list[np.ndarray]:
-        whole = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
-        cut = list(map(self.cut, texts))
-        for i in whole:
-            cut[i] = []
-        new = set(chain.from_iterable(cut)).difference(self.known)
+    def learn(self, words: list[str]) -> None:
+        """Put the ids of all ``words`` among the known."""
+        new = set(words).difference(self.known)
         # letters with signs behind them are two parts, and both may be known
         pairs = {w: m.groups() for w, m in zip(new, map(LETTERS_SIGNS, new), strict=True) if m}
         parts = list(new.difference(pairs).union(*pairs.values()).difference(self.known))
@@ -101,15 +99,35 @@ class Words:
         self.tokenizer.encode_special_tokens = True
         found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
         self.tokenizer.encode_special_tokens = False
-        self.known.update((w, array("I", x.ids).tobytes()) for w, x in zip(parts, found, strict=True))
-        del found
         known = self.known
+        known.update((w, array("I", x.ids).tobytes()) for w, x in zip(parts, found, strict=True))
         known.update([(w, known[head] + known[tail]) for w, (head, tail) in pairs.items()])
-        get, end = self.known.__getitem__, np.array([end_id], "<u4").tobytes()
-        out = [np.frombuffer(b"".join([*map(get, words), end]), "<u4") for words in cut]
+
+    def encode_all(self, texts: list[str], end_id: int) -> list[np.ndarray]:
+        whole = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        cut = list(map(self.spaced, texts))
+        for i in whole:
+            cut[i] = ""
+        # Arrow cuts and numbers the words, so Python meets each word of a slice once
+        parts = pc.split_pattern(pa.array(cut, pa.large_string()), " ")
+        coded = parts.values.dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.learn(words)
+        ids = [self.known[w] for w in words]
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        at = coded.indices.to_numpy()
+        # ids of all texts in a row: the run of each word, taken out of ``flat``
+        runs = lengths[at]
+        before = np.cumsum(runs) - runs
+        pick = np.repeat((np.cumsum(lengths) - lengths)[at] - before, runs) + np.arange(runs.sum())
+        bounds = np.append(before, runs.sum())[parts.offsets.to_numpy()]
+        end = np.array([end_id], "<u4")
+        stream = flat[pick]
+        out = [np.concatenate([stream[a:b], end]) for a, b in zip(bounds, bounds[1:])]
         for i in whole:
-            ids = self.tokenizer.encode(texts[i], add_special_tokens=False).ids
-            out[i] = np.array([*ids, end_id], "<u4")
+            found = self.tokenizer.encode(texts[i], add_special_tokens=False).ids
+            out[i] = np.array([*found, end_id], "<u4")
         while len(self.known) > CACHE_WORDS:
             self.known.popitem()  # the last that came
         return out
