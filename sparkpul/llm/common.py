@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from sparkpul.session import materialize
 
-__all__ = ["SPACE_CLASS", "ascii_lower", "in_slices", "let", "map_slices", "materialize", "table"]
+__all__ = ["SPACE_CLASS", "ascii_lower", "free_name", "in_slices", "let", "map_slices", "materialize", "packed", "table"]
 
 #: white space of the word rule ``[^\\x20\\x09-\\x0D]+``
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -29,6 +29,21 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def packed(df: DataFrame, **keys: Column) -> DataFrame:
+    """``df`` as a struct column ``row`` beside ``keys``: whatever its columns are called,
+    they cannot clash with those of an operator. ``select("row.*")`` gives them back."""
+    columns = [df[f"`{c.replace('`', '``')}`"] for c in df.columns]
+    return df.select(F.struct(*columns).alias("row"), *[key.alias(name) for name, key in keys.items()])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once: inside a lambda of a higher-order
     function an outer expression would be computed again for every element."""

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkpul.llm.bloom import BlockedBloom
-from sparkpul.llm.common import SPACE_CLASS, let, materialize
+from sparkpul.llm.common import SPACE_CLASS, let, materialize, packed
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -144,11 +144,11 @@ def decontaminate(
     """
     held = _held_items(docs, items, k, threshold)
     flagged = materialize(
-        held.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__flagged")).distinct(), "leaks"
+        held.select(F.col("doc_id").alias("leaked_id"), F.col("text_hash").alias("leaked")).distinct(), "leaks"
     )
-    own = docs.withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    marked = BlockedBloom(flagged, "__flagged").marked(own, "__hash", "__maybe")
-    clean = marked.where("not __maybe").select(*docs.columns)
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__flagged"))
-    kept = marked.where("__maybe").join(flagged, same, "left_anti")
-    return clean.unionByName(kept.select(*docs.columns))
+    own = packed(docs, id=F.col("doc_id"), hash=F.xxhash64(F.coalesce("text", F.lit(""))))
+    marked = BlockedBloom(flagged, "leaked").marked(own, "hash", "maybe")
+    clean = marked.where("not maybe").select("row.*")
+    same = F.col("id").eqNullSafe(F.col("leaked_id")) & (F.col("hash") == F.col("leaked"))
+    kept = marked.where("maybe").join(flagged, same, "left_anti").select("row.*")
+    return clean.unionByName(kept)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkpul.llm.common import map_slices
+from sparkpul.llm.common import free_name, map_slices
 
 CHUNK = 512
 WIDTH = 6
@@ -195,5 +195,6 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without those scored under ``threshold``; columns as they are. No shuffle."""
-    scored = with_scores(docs, train(docs, labels), "__quality")
-    return scored.where(F.col("__quality") >= threshold).select(*docs.columns)
+    name = free_name(docs, "quality")
+    scored = with_scores(docs, train(docs, labels), name)
+    return scored.where(F.col(name) >= threshold).drop(name)

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkpul.llm.common import materialize
+from sparkpul.llm.common import materialize, packed
 
 # fixed values: kind, pattern, group that holds the value, least length of that group
 KINDS = [
@@ -192,8 +192,8 @@ def redact(docs: DataFrame, max_owners: int = MAX_OWNERS, mask: str = MASK) -> D
         find_secrets(docs, max_owners).withColumn("spans", masks).where("size(spans) > 0")
         .dropDuplicates(["doc_id", "text_hash"]),
         "secret-spans",
-    ).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
-    text = F.coalesce("text", F.lit(""))
+    ).select(F.col("doc_id").alias("found_id"), F.col("text_hash").alias("found_hash"), "spans")
+    text = F.coalesce("row.text", F.lit(""))
     suspect = F.lit(False)
     for _, pattern, _, _ in [*KINDS, OPAQUE]:
         suspect = suspect | text.rlike(pattern)
@@ -207,11 +207,11 @@ def redact(docs: DataFrame, max_owners: int = MAX_OWNERS, mask: str = MASK) -> D
             F.when(fresh, F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"]).alias("out"),
         )
 
-    masked = F.aggregate(
-        "__spans", zero, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1))
-    )
-    hit = docs.where(suspect).join(
-        spans, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash")), "left"
+    masked = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
+    own = packed(docs, id=F.col("doc_id"))
+    hit = own.where(suspect).join(
+        spans, F.col("id").eqNullSafe(F.col("found_id")) & (F.xxhash64(text) == F.col("found_hash")), "left"
     )
-    changed = hit.withColumn("text", F.when(F.col("__spans").isNotNull(), masked).otherwise(F.col("text")))
-    return changed.select(*docs.columns).unionByName(docs.where(~suspect))
+    new = F.when(F.col("spans").isNotNull(), masked).otherwise(F.col("row.text"))
+    changed = hit.select(F.col("row").withField("text", new).alias("row"))
+    return changed.unionByName(own.where(~suspect).select("row")).select("row.*")

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkpul.llm.bloom import BlockedBloom
-from sparkpul.llm.common import map_slices, materialize
+from sparkpul.llm.common import map_slices, materialize, packed
 from sparkpul.llm.components import components
 
 SHINGLE = 3
@@ -212,19 +212,21 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int
     lost = _with_least(prints, key, max_bits).where(~key.eqNullSafe(F.col("least")))
     dropped = materialize(
         lost.select(
-            F.col("doc_id").alias("__id"), F.col("text_hash").alias("__dropped"),
-            F.xxhash64("doc_id", "text_hash").alias("__pair"),
+            F.col("doc_id").alias("lost_id"), F.col("text_hash").alias("lost_hash"),
+            F.xxhash64("doc_id", "text_hash").alias("lost_pair"),
         ).distinct(),
         "dropped",
     )
-    own = docs.withColumn("__hash", text_hash)
-    named = own.where("doc_id is not null").withColumn("__own", F.xxhash64(doc_id, "__hash"))
-    marked = BlockedBloom(dropped, "__pair").marked(named, "__own", "__maybe")
-    clean = marked.where("not __maybe").select(*docs.columns)
-    same = (doc_id == F.col("__id")) & (F.col("__hash") == F.col("__dropped"))
-    kept = marked.where("__maybe").join(dropped, same, "left_anti").select(*docs.columns)
-    unnamed = own.where("doc_id is null").join(
-        dropped.where("__id is null"), F.col("__hash") == F.col("__dropped"), "left_anti"
+    own = packed(docs, id=doc_id, hash=text_hash)
+    named = own.where("id is not null").withColumn("pair", F.xxhash64("id", "hash"))
+    marked = BlockedBloom(dropped, "lost_pair").marked(named, "pair", "maybe")
+    clean = marked.where("not maybe").select("row.*")
+    same = (F.col("id") == F.col("lost_id")) & (F.col("hash") == F.col("lost_hash"))
+    kept = marked.where("maybe").join(dropped, same, "left_anti").select("row.*")
+    unnamed = own.where("id is null").join(
+        dropped.where("lost_id is null"), F.col("hash") == F.col("lost_hash"), "left_anti"
     )
-    single = unnamed.groupBy("__hash").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    # one row of those equal in text: JSON stands for columns that have no order, as maps
+    rank = F.xxhash64(F.to_json("row"))
+    single = unnamed.groupBy("hash").agg(F.min_by("row", rank).alias("row")).select("row.*")
     return clean.unionByName(kept).unionByName(single)

@@ -258,8 +258,10 @@ def test_op10(spark):
     got = {(r["doc_id"], r["item_id"]): (r["containment"], r["matched"], r["item_shingles"]) for r in found}
     assert got == want and len(found) == len(want) and len(want) > 30
     clean = decontaminate.decontaminate(docs(spark, rows), frame)
-    flagged = {d for d, _ in want}
-    assert Counter(r["doc_id"] for r in clean.collect()) == Counter(r[0] for r in rows if r[0] not in flagged)
+    leaks = lambda text: any(q and len(q & grams(text)) >= 0.8 * len(q) for q in (grams(t) for _, t in items))
+    stay = Counter((r[0], r[1]) for r in rows if not leaks(r[1]))
+    assert Counter((r["doc_id"], r["text"]) for r in clean.collect()) == stay
+    assert stay[None, "a row without an id"] == 1 and (None, items[4][1]) not in stay
     assert clean.columns == docs(spark).columns
 
 

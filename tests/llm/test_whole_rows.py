@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
-from sparkpul.llm import decontaminate, simhash
+import pytest
+
+from sparkpul.llm import decontaminate, quality, secrets, simhash
 from tests.llm.fixtures import docs
 
 
@@ -48,3 +50,31 @@ def test_drop_near_duplicates_by_row(spark):
     assert [r for r in got if r[0] is not None] == sorted(
         [(5, x), (1, y), (5, z), (20, own), (30, "two rows of one document"), (30, "two rows of one document")], key=str
     )
+
+
+CLASHING = """row id hash maybe pair spans quality lost_id lost_hash lost_pair leaked leaked_id found_id found_hash fp least
+__hash __own __maybe __id __spans __dropped __pair __flagged __quality __bloom_block __bloom_0 QUALITY_""".split()
+
+
+@pytest.mark.parametrize("stage", ["quality", "simhash", "decontamination", "secrets"])
+def test_columns_stay_as_they_are(spark, stage):
+    """Extra columns with any name, one of them a map, come through every stage unchanged."""
+    texts = [(i % 9 or None, prose(i), "en", "s") for i in range(40)]
+    texts += [(3, "password=hunter2secret", "en", "s"), (None, prose(1), "en", "s"), (None, prose(1), "en", "s")]
+    base = docs(spark, texts).drop("spans")
+    frame = base.selectExpr("*", *[f"concat('{c}', n_chars) AS {c}" for c in CLASHING], "map('k', doc_id) AS `a map`")
+    if stage == "quality":
+        labels = spark.createDataFrame([(i, i % 2) for i in range(1, 9)], "doc_id long, quality int")
+        out = quality.keep_good(frame, labels, 0.0)
+    elif stage == "simhash":
+        out = simhash.drop_near_duplicates(frame)
+    elif stage == "decontamination":
+        out = decontaminate.decontaminate(frame, spark.createDataFrame([(1, prose(2))], "item_id long, text string"))
+    else:
+        out = secrets.redact(frame)
+    assert out.columns == frame.columns
+    rows = out.collect()
+    assert 0 < len(rows) <= len(texts) and {r["doc_id"] for r in rows} >= {None, 3}
+    for r in rows:
+        assert all(r[c] == f"{c}{r['n_chars']}" for c in CLASHING) and r["a map"] == {"k": r["doc_id"]}
+    assert all(r["text"] in {t[1] for t in texts} or "[SECRET]" in r["text"] for r in rows)
