@@ -1,6 +1,6 @@
 """Exact k-nearest-neighbour join, Euclidean.
 
-Two plans give the same rows:
+Three plans give the same rows:
 
 * ``broadcast``: a reference whose counted bytes are at most ``BROADCAST_BYTES`` goes to
   every executor once; each task answers its query rows without a shuffle.
@@ -10,8 +10,9 @@ Two plans give the same rows:
   are merged by ``row_number() <= k``, which Spark cuts down before the shuffle.
   With Q and R rows and tiles of ``t`` rows the shuffle moves ``Q * R / t`` rows of either
   side and ``Q * k * R / t`` candidates of three numbers; the tile size, not the data,
-  bounds a task's memory. In many dimensions no exact method compares fewer pairs:
-  triangle bounds from pivots keep every pair on the benchmark vectors.
+  bounds a task's memory.
+* ``quantised``: tiles of one byte a dimension with distance bounds, exact distances for the
+  survivors alone (``knn_quantised``).
 
 Order and ties. A neighbour's distance is always computed by difference; neighbours are
 ordered by that distance rounded to 9 digits, then by id, in every plan (N5). The matrix
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import checkpoint, ship_package
+from .knn_quantised import knn_quantised
 
 # References of up to this many bytes (vectors, ids and carried columns) are broadcast.
 BROADCAST_BYTES = 32 << 20
@@ -178,7 +180,7 @@ def _sides(query: DataFrame, ref: DataFrame, k: int, query_id, ref_id, query_vec
     """Both sides with checked vectors, the reference's rows and dimension, and whether to broadcast it."""
     if k < 1:
         raise ValueError("k must be at least 1")
-    if method not in ("auto", "broadcast", "blocks"):
+    if method not in ("auto", "broadcast", "blocks", "quantised"):
         raise ValueError(f"unknown method {method}")
     ship_package(query.sparkSession)
     raw = ref.select(
@@ -216,7 +218,8 @@ def knn_join(
     """For every query row, its ``k`` nearest reference rows.
 
     ``method='auto'`` broadcasts the reference when its counted size is at most
-    ``BROADCAST_BYTES``, and otherwise uses the tile plan; both give the same rows.
+    ``BROADCAST_BYTES``, and otherwise uses the quantised plan; ``'blocks'`` is the plain
+    tile plan. All give the same rows.
 
     Returns ``(query_id, nn_id, distance, nn_rank, *carry)`` where ``nn_id`` is the
     reference id and ``carry`` are reference columns passed through (J4). A row that
@@ -229,6 +232,8 @@ def knn_join(
     if small:
         return checkpoint(_knn_broadcast(qd, refd, k, query_id, carry))
     rows = max(1, TILE_VALUES // max(1, dim))
+    if method in ("auto", "quantised") and dim:
+        return checkpoint(knn_quantised(qd, refd, k, query_id, carry, n_ref, dim, min(block_rows, query_rows_per_group, rows)))
     r_tiles = max(1, math.ceil(n_ref / min(block_rows, rows)))
     q_tiles = max(1, math.ceil(query.count() / min(query_rows_per_group, rows)))
     # |query| x k rows that callers read more than once: cut the lineage here

@@ -21,7 +21,7 @@ from ..operators import metrics as M
 from ..operators.knn import credibility
 from ..operators.ranking import tail_cuts
 from ..operators.splits import DEFAULT_SEED, bernoulli_tag_array
-from ..session import materialize, ship_package
+from ..session import materialize, materialize_bucketed, ship_package
 from .base import Fitted
 from .parallel import run_parallel
 
@@ -96,15 +96,16 @@ class TwoStep:
 
     def fit(self, train: DataFrame, val: DataFrame | None = None, features: str = "features", y: str = "y_pu") -> "TwoStep":
         idc = self.id_col
-        base = train.select(idc, features, y)
-        # the state of a round is the id and the role: features are read where they lie
+        # written once in buckets by id: every round joins ids and roles with it where it
+        # lies, and no vector is shuffled again
+        base = materialize_bucketed(train.select(idc, features, y), "two-step-rows", idc)
         roles = materialize(self.detector.detect(base, idc, y, features).select(idc, "role"), "roles")
         model = None
         for it in range(self.max_iterations):
             self.iterations = it + 1
             sizes = {r["role"]: r["n"] for r in roles.groupBy("role").agg(F.count(F.lit(1)).alias("n")).collect()}
             known = roles.where(F.col("role").isin("P", "N")).select(idc, (F.col("role") == "P").cast("int").alias("_label"))
-            lab = base.join(known, idc)
+            lab = self._joined(base, known)
             model = self.classifier.fit(lab, "_label", features, n_rows=sizes.get("P", 0) + sizes.get("N", 0))
             if self.stop is not None and val is not None:
                 should_stop, value = self.stop.check(model, val, y)
@@ -114,7 +115,7 @@ class TwoStep:
             n_unl = sizes.get("U", 0)
             if math.floor(n_unl * self.frac) == 0:
                 break
-            unl = base.join(roles.where(F.col("role") == "U").select(idc), idc, "left_semi")
+            unl = self._joined(base, roles.where(F.col("role") == "U").select(idc), "left_semi")
             if self.rank_by == "label":
                 scored = model.predict(unl, features, "_s")
             else:
@@ -132,6 +133,10 @@ class TwoStep:
         self.roles = roles
         return self
 
+    def _joined(self, base: DataFrame, ids: DataFrame, how: str = "inner") -> DataFrame:
+        """Bucketed rows with what is known of their ids: only the ids move."""
+        return base.join(ids.hint("merge"), self.id_col, how)
+
     def predict_proba(self, df, features="features", out="prob"):
         return self.model.predict_proba(df, features, out)
 

@@ -134,6 +134,15 @@ def q_knn_join_blocks(spark, sf_dir):
     return nn.select("vec_id", "nn_id", r6("distance").alias("distance"), F.col("nn_rank").cast("long"))
 
 
+@register("knn_join_quantised", ORACLE["knn_join"])
+def q_knn_join_quantised(spark, sf_dir):
+    """J2 + T3 by one-byte bounds: exact distances for the pairs that the bounds leave."""
+    pu = embedding_pu(spark, sf_dir)
+    nn = knn_join(pu.where("y_pu = 0"), pu.where("y_pu = 1"), 3, "vec_id", "vec_id", method="quantised",
+                  block_rows=512, query_rows_per_group=512)
+    return nn.select("vec_id", "nn_id", r6("distance").alias("distance"), F.col("nn_rank").cast("long"))
+
+
 @register(
     "knn_credibility",
     f"""

@@ -99,7 +99,8 @@ def q_widen_by_setting(spark, sf_dir):
     ).agg(F.avg("o_totalprice").alias("metric"), F.count(F.lit(1)).alias("n"))
     # the aggregate of a few rows is read once per setting: computed once
     res = materialize(res, "by-setting")
-    frames = {y: res.where(F.col("dataset") == y) for y in YEARS}
+    settings = res.select("dataset").distinct().orderBy("dataset").limit(R.MAX_PIVOT_COLUMNS).collect()
+    frames = {r["dataset"]: res.where(F.col("dataset") == r["dataset"]) for r in settings}
     wide = R.widen_by_setting(frames, "method", ["metric", "n"], drop=["dataset"])
     metric_cols = R.select_prefix(wide, "metric_", keep=["method"]).columns
     n_cols = [c for c in wide.columns if c.startswith("n_")]

@@ -74,6 +74,22 @@ def materialize(df, name: str):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_bucketed(df, name: str, key: str, buckets: int | None = None):
+    """Like ``materialize``, as a table hashed into buckets by ``key`` and sorted in them.
+
+    Joins on ``key`` with smaller tables read it where it lies: no exchange and no sort
+    above its scan, however often it is joined. The table is external; its files are in the
+    shared scratch folder.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.repartition(n, key).write.format("parquet").option("path", path)
+    writer.bucketBy(n, key).sortBy(key).saveAsTable(table)
+    return spark.table(table)
+
+
 def checkpoint(df):
     """Cut the lineage with a reliable checkpoint in the shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -18,7 +18,7 @@ def _brute(q, qid, p, pid, k):
     return out
 
 
-@pytest.mark.parametrize("block_rows,per_group,method", [(1024, 4096, "blocks"), (16, 8, "blocks"), (1024, 4096, "broadcast")])
+@pytest.mark.parametrize("block_rows,per_group,method", [(1024, 4096, "blocks"), (16, 8, "blocks"), (1024, 4096, "broadcast"), (1024, 4096, "quantised"), (16, 8, "quantised")])
 def test_knn_join_matches_brute_force(spark, block_rows, per_group, method):
     e = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
     pdf = e.toPandas()
@@ -43,7 +43,7 @@ def test_k_larger_than_reference_is_an_error(spark):
         knn_join(df, df, 5, "id", "id")
 
 
-@pytest.mark.parametrize("method", ["blocks", "broadcast"])
+@pytest.mark.parametrize("method", ["blocks", "broadcast", "quantised"])
 def test_duplicate_vectors_tie_broken_by_id(spark, method):
     rows = [(1, [0.0, 0.0]), (3, [1.0, 1.0]), (2, [1.0, 1.0]), (4, [5.0, 5.0])]
     ref = spark.createDataFrame(rows, "id long, features array<double>")
@@ -80,7 +80,7 @@ def test_plans_agree_with_small_tiles(spark, monkeypatch):
     assert a == b
 
 
-@pytest.mark.parametrize("method", ["blocks", "broadcast"])
+@pytest.mark.parametrize("method", ["blocks", "broadcast", "quantised"])
 def test_far_offset_and_near_duplicates(spark, method):
     """Vectors a million away from the origin that differ in the sixth digit."""
     rng = np.random.default_rng(4)
@@ -111,3 +111,63 @@ def test_mean_distance_in_both_plans(spark):
         {x["vec_id"]: x["mean_dist"] for x in mean_knn_distance(q, r, 3, "vec_id", method=m).collect()} for m in ("broadcast", "blocks")
     )
     assert a.keys() == b.keys() and all(abs(a[i] - b[i]) < 1e-12 for i in a)
+
+
+def _frame(spark, x, ids=None):
+    return spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(range(len(x)) if ids is None else ids, x)], "id long, features array<double>")
+
+
+def test_quantised_bounds_hold():
+    """Every distance lies between its bounds, outside the grid and at its edges too."""
+    from sparkpul.operators.knn_quantised import Grid
+
+    rng = np.random.default_rng(2)
+    r = rng.normal(size=(60, 7)) * [1, 1e-6, 1e6, 1, 0, 3, 1]
+    q = np.concatenate([rng.normal(size=(20, 7)) * 5, r[:10], r.max(axis=0, keepdims=True), r.min(axis=0, keepdims=True)])
+    grid = Grid(r.min(axis=0), r.max(axis=0))
+    lower, upper = grid.bounds(*grid.codes(q), *grid.codes(r))
+    d = np.sqrt(((q[:, None] - r[None]) ** 2).sum(-1))
+    assert (lower <= d).all() and (d <= upper).all()
+
+
+def _survivors(spark, q, r, k, tile_rows):
+    from sparkpul.operators import knn as K
+    from sparkpul.operators.knn_quantised import candidates
+
+    qd, refd, n_ref, dim, _ = K._sides(_frame(spark, q), _frame(spark, r), k, "id", "id", "features", "features", [], "quantised")
+    return candidates(qd, refd, k, n_ref, dim, tile_rows)[0].count()
+
+
+def test_quantised_compares_few_pairs(spark):
+    """The share of exact distances: spread vectors and clusters far apart."""
+    rng = np.random.default_rng(3)
+    q, r = rng.normal(size=(150, 32)), rng.normal(size=(900, 32))
+    assert 150 * 4 <= _survivors(spark, q, r, 4, 128) < 0.02 * 150 * 900
+    middle = 50 * rng.normal(size=(9, 32))
+    q, r = q + middle[rng.integers(0, 9, 150)], r + middle[rng.integers(0, 9, 900)]
+    got = {(x["id"], x["nn_rank"]): x["nn_id"] for x in
+           knn_join(_frame(spark, q), _frame(spark, r), 4, "id", "id", method="quantised", block_rows=64).collect()}
+    want = _brute(q, range(150), r, range(900), 4)
+    assert got == {(i, n + 1): j for i, found in want.items() for n, (j, _) in enumerate(found)}
+
+
+def test_quantised_with_a_crowded_vector(spark):
+    """A third of the reference is one vector: its least ids win, and it does not multiply."""
+    rng = np.random.default_rng(8)
+    r = np.concatenate([np.tile([[0.5, 0.5, 0.5]], (300, 1)), rng.normal(size=(600, 3))])
+    ids = rng.permutation(900)
+    q = np.concatenate([rng.normal(size=(40, 3)), [[0.5, 0.5, 0.5]]])
+    got = knn_join(_frame(spark, q), _frame(spark, r, ids), 6, "id", "id", method="quantised", block_rows=100).toPandas()
+    want = _brute(q, range(41), r, ids, 6)
+    for i, part in got.groupby("id"):
+        assert part.sort_values("nn_rank")["nn_id"].tolist() == [j for j, _ in want[i]]
+    # cells of up to 300 rows, of which the crowd gives 6
+    assert _survivors(spark, q, r, 6, 100) < 41 * 60
+
+
+def test_quantised_carries_columns(spark):
+    ref = spark.createDataFrame([(i, [float(i), 1.0], f"name {i}", None) for i in range(9)], "id long, features array<double>, a string, b int")
+    q = spark.createDataFrame([(3, [2.2, 1.0])], "id long, features array<double>")
+    got = knn_join(q, ref, 2, "id", "id", carry=["a", "b"], method="quantised").orderBy("nn_rank").collect()
+    assert [(r["id"], r["nn_id"], r["a"], r["b"]) for r in got] == [(3, 2, "name 2", None), (3, 3, "name 3", None)]
+    assert knn_join(q.limit(0), ref, 2, "id", "id", method="quantised").collect() == []

@@ -199,3 +199,37 @@ def test_kmeans_detector_fit_is_reproducible(spark):
     b = sorted(r["vec_id"] for r in KMeansDetector(0.3, 3, seed=7).negatives(df, "vec_id").collect())
     assert a == b and len(a) == math.floor(60 * 0.3)
     assert all(i >= 40 for i in a)
+
+
+def test_two_step_moves_no_features(spark):
+    """Every join of a round reads the vectors from their buckets: no exchange above them."""
+    import numpy as np
+
+    from sparkpul.plans.models import NonStop, TwoStep
+
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=3).tolist(), int(i % 5 == 0)) for i in range(200)]
+    train = spark.createDataFrame(rows, "vec_id long, features array<double>, y_pu int")
+    plans = []
+
+    class Watched(TwoStep):
+        def _joined(self, base, ids, how="inner"):
+            out = super()._joined(base, ids, how)
+            plans.append(out._jdf.queryExecution().executedPlan().toString())
+            return out
+
+    fitted = Watched(RandomDetector(0.2), NonStop("accuracy"), make_classifier("naivebayes"), 0.05, 3).fit(train, train)
+    assert len(plans) == 6 and fitted.iterations == 3
+    for plan in plans:
+        lines = plan.splitlines()
+        scans = [i for i, line in enumerate(lines) if "features" in line and "FileScan" in line]
+        assert len(scans) == 1 and "Bucketed: true" in lines[scans[0]]
+        # the lines above the scan on its branch: a join, then nothing that exchanges rows
+        depth = lambda line: len(line) - len(line.lstrip(" :+-*(0123456789)"))
+        above, at = [], depth(lines[scans[0]])
+        for line in reversed(lines[: scans[0]]):
+            if depth(line) < at:
+                above.append(line)
+                at = depth(line)
+        assert not any("Exchange" in line for line in above), plan
+        assert any("Exchange" in line for line in lines) and any("SortMergeJoin" in line for line in above)
