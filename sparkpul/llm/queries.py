@@ -100,31 +100,35 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _matches_sql(kind: int, pattern: str, group: int, least: int) -> str:
     p = pattern.replace("'", "''")
-    return f"""SELECT n, owner, {kind} AS kind, {least} AS least, regexp_extract_all(t, '{p}', 0) AS hits,
+    return f"""SELECT n, owner, repository, {kind} AS kind, {least} AS least, regexp_extract_all(t, '{p}', 0) AS hits,
        regexp_extract_all(t, '{p}', {group}) AS found, string_split_regex(t, '{p}') AS gaps FROM docs"""
 
 
 #: a match starts after the pieces and the matches before it
 OP8_SQL = f"""
-WITH docs AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner FROM documents),
+WITH docs AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner, coalesce(lang, '') AS repository FROM documents),
 hits AS ({" UNION ALL ".join(_matches_sql(i, *k[1:]) for i, k in enumerate([*secrets.KINDS, secrets.OPAQUE]))}),
 each AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM hits WHERE len(hits) > 0),
 spans AS (
-  SELECT n, owner, kind, found[i] AS v,
+  SELECT n, owner, repository, kind, found[i] AS v,
          list_sum(list_transform(gaps[1:i], lambda x: length(x)))
          + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS a, length(hits[i]) AS w
   FROM each WHERE length(found[i]) >= least),
-placed AS (SELECT n, owner, kind, v, a::BIGINT AS a, (a + w)::BIGINT AS b FROM spans),
+placed AS (SELECT n, owner, repository, kind, v, a::BIGINT AS a, (a + w)::BIGINT AS b FROM spans),
 kept AS (
   SELECT * FROM placed WHERE kind < 3
   UNION ALL
   SELECT o.* FROM placed o WHERE kind = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')
+    AND NOT regexp_matches(v, '{secrets.UUID}')
+    AND len(list_filter(string_split_regex(v, '{secrets.SEPARATORS}'), lambda x: NOT regexp_matches(x, '{secrets.PLAIN_PART}'))) > 0
     AND NOT EXISTS (SELECT 1 FROM placed x WHERE x.n = o.n AND x.kind < 3 AND x.a < o.b AND o.a < x.b)),
-owners AS (SELECT v, count(DISTINCT owner) AS owners FROM kept GROUP BY v),
+owners AS (
+  SELECT v, count(DISTINCT owner) <= {secrets.MAX_OWNERS} AND count(DISTINCT (owner, repository)) <= {secrets.MAX_REPOSITORIES} AS live
+  FROM kept GROUP BY v),
 judged AS (
-  SELECT kept.*, owners <= {secrets.MAX_OWNERS} AS live,
+  SELECT kept.*, live,
          ['assign', 'access', 'hex', 'opaque'][kind + 1] || ':' || a || ':' || b AS said
-  FROM kept JOIN owners USING (v) WHERE kind < 3 OR owners <= {secrets.MAX_OWNERS}),
+  FROM kept JOIN owners USING (v) WHERE kind < 3 OR live),
 told AS (
   SELECT n, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access,
          count(*) FILTER (WHERE kind = 2) AS n_hex,

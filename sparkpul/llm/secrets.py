@@ -2,15 +2,14 @@
 
 The base kinds are fixed patterns, matched leftmost and without overlap per kind. The
 method adds further candidates: opaque runs of at least 20 characters with a letter and a
-digit that touch no base span. The hash of every candidate's value, base or opaque, is
-aggregated over the whole corpus by distinct owners (``source``) and repositories
-(``source`` and ``lang``). A value that more than ``max_owners`` owners hold is a widely
-copied example; one that stays with few owners looks live. Live opaque candidates become
-spans of kind ``opaque``; base spans stay whatever their frequency, their class is told
-in ``n_live`` and ``n_example``.
-
-Redaction leaves those opaque spans alone that read like a URL path, file path or slug
-(between ``+ / _ = -`` there are only words and numbers) or are a UUID.
+digit that touch no base span and look like a credential: they are no UUID and do not read
+like a URL path, file path or slug (between ``+ / _ = -`` only words and numbers). The hash
+of every candidate's value, base or opaque, is aggregated over the whole corpus by distinct
+owners (``source``) and repositories (``source`` and ``lang``). A value that more than
+``max_owners`` owners or more than ``max_repositories`` repositories hold, be they of one
+owner, is a widely copied example; one that stays with few of both looks live. Live opaque
+candidates become spans of kind ``opaque``; base spans stay whatever their frequency, their
+class is told in ``n_live`` and ``n_example``. Redaction masks these very spans.
 
 DataFrame functions only. Positions come from the texts between the matches: the matches
 of a pattern and the pieces it splits a text into alternate, so a match starts after the
@@ -45,11 +44,12 @@ KINDS = [
 ]
 OPAQUE = ("opaque", "[A-Za-z0-9+/_=-]{20,}", 0, 20)
 NAMES = [k[0] for k in KINDS] + [OPAQUE[0]]
-#: what redaction takes for no credential: a UUID, or a run whose parts are all words or numbers
+#: what is no credential: a UUID, or a run whose parts are all words or numbers
 UUID = "^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"
 SEPARATORS = "[+/_=-]+"
 PLAIN_PART = "^([A-Z]?[a-z]+|[A-Z]+|[0-9]{1,12}|[A-Za-z]{1,4}[0-9]{1,4}|[A-Z]?[a-z]{1,10}[0-9]{1,2})?$"
 MAX_OWNERS = 2
+MAX_REPOSITORIES = 4
 MASK = "[SECRET]"
 
 
@@ -86,6 +86,11 @@ def _matches(text: Column, kind: int, pattern: str, group: int, least: int) -> C
     return F.when(text.rlike(pattern), spans).otherwise(zero["out"])
 
 
+def _readable(value: Column) -> Column:
+    """Whether a run is a UUID or all its parts are words or numbers."""
+    return value.rlike(UUID) | F.forall(F.split(value, SEPARATORS), lambda part: part.rlike(PLAIN_PART))
+
+
 def candidates(docs: DataFrame, owner: str = "source", repository: str = "lang") -> DataFrame:
     """``doc_id, text_hash, owner, repository, base, opaque``: span arrays of every document."""
     text = F.coalesce("text", F.lit(""))
@@ -101,15 +106,18 @@ def candidates(docs: DataFrame, owner: str = "source", repository: str = "lang")
         "opaque",
         lambda o: o["value"].rlike("[0-9]")
         & o["value"].rlike("[A-Za-z]")
+        & ~_readable(o["value"])
         & ~F.exists("base", lambda b: (b["start"] < o["stop"]) & (o["start"] < b["stop"])),
     )
     return read.withColumn("opaque", clear)
 
 
-def find_secrets(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
+def find_secrets(
+    docs: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES
+) -> DataFrame:
     """``doc_id, text_hash, spans`` for every document, in the input's number of rows.
 
-    ``spans`` holds ``struct(start, kind, stop, value, owners, live)`` in order; ``kind``
+    ``spans`` holds ``struct(start, kind, stop, value, owners, repositories, live)`` in order; ``kind``
     counts in ``NAMES``; ``live`` tells owner-specific values.
     """
     read = materialize(candidates(docs), "secret-candidates")
@@ -124,7 +132,7 @@ def find_secrets(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
         "text_hash",
         F.struct(
             "s.start", "s.kind", "s.stop", "s.value", "owners", "repositories",
-            (F.col("owners") <= max_owners).alias("live"),
+            ((F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)).alias("live"),
         ).alias("s"),
     )
     kept = judged.where(f"s.kind < {len(KINDS)} or s.live")
@@ -175,22 +183,16 @@ def digests(found: DataFrame) -> DataFrame:
     )
 
 
-def _readable(value: Column) -> Column:
-    """Whether a run is a UUID or all its parts are words or numbers."""
-    return value.rlike(UUID) | F.forall(F.split(value, SEPARATORS), lambda part: part.rlike(PLAIN_PART))
-
-
-def redact(docs: DataFrame, max_owners: int = MAX_OWNERS, mask: str = MASK) -> DataFrame:
-    """``docs`` with every span of its texts replaced by ``mask``, but for readable opaque
-    ones; other columns as they are.
+def redact(
+    docs: DataFrame, max_owners: int = MAX_OWNERS, mask: str = MASK, max_repositories: int = MAX_REPOSITORIES
+) -> DataFrame:
+    """``docs`` with every span of its texts replaced by ``mask``; other columns as they are.
 
     Overlapping spans become one mask. Only documents with spans are joined (and so
     shuffled); all others pass straight through.
     """
-    masks = F.filter("spans", lambda s: (s["kind"] < len(KINDS)) | ~_readable(s["value"]))
     spans = materialize(
-        find_secrets(docs, max_owners).withColumn("spans", masks).where("size(spans) > 0")
-        .dropDuplicates(["doc_id", "text_hash"]),
+        find_secrets(docs, max_owners, max_repositories).where("size(spans) > 0").dropDuplicates(["doc_id", "text_hash"]),
         "secret-spans",
     ).select(F.col("doc_id").alias("found_id"), F.col("text_hash").alias("found_hash"), "spans")
     text = F.coalesce("row.text", F.lit(""))

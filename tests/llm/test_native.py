@@ -64,6 +64,10 @@ def base_spans(text):
     return sorted(out)
 
 
+def readable(value):
+    return re.match(secrets.UUID, value) or all(re.match(secrets.PLAIN_PART, p) for p in re.split(secrets.SEPARATORS, value))
+
+
 def all_spans():
     """Brute force: base spans and owner-specific opaque runs of every row."""
     opaque, owners = [], {}
@@ -71,7 +75,7 @@ def all_spans():
         text = text or ""
         base = base_spans(text)
         mine = [m for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text)
-                if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])
+                if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and not readable(m[0])
                 and not any(a < m.end() and m.start() < b for a, _, b in base)]
         opaque.append(mine)
         for m in mine:
@@ -133,3 +137,30 @@ def test_redact_leaves_readable_runs(spark):
     got = {r["doc_id"]: r["text"] for r in secrets.redact(docs(spark, rows)).collect()}
     masked = [f"key {secrets.MASK}", secrets.MASK, secrets.MASK]
     assert [got[i] for i in range(len(rows))] == [*stay, *masked]
+
+
+def test_copied_widely_by_one_owner(spark):
+    """One source holds a value in nine repositories: an example, though it has one owner.
+    A value of one owner in three repositories is live; both counts are told."""
+    wide, own = "Zq8rT1vW4yX7bN2mK5pL", "Hj3kD9sF6gQ1wE8rT5yU"
+    rows = [(i, f"copied {wide} text {i}", f"lang {i % 9}", "hot") for i in range(50)]
+    rows += [(100 + i, f"live {own} here", f"lang {i}", "hot") for i in range(3)]
+    found = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(docs(spark, rows)).collect()}
+    assert all(found[i] == [] for i in range(50))
+    for i in range(100, 103):
+        (span,) = found[i]
+        assert (span["owners"], span["repositories"], span["live"], span["value"]) == (1, 3, True, own)
+    text = {r["doc_id"]: r["text"] for r in secrets.redact(docs(spark, rows)).collect()}
+    assert all(wide in text[i] for i in range(50)) and all(text[i] == "live [SECRET] here" for i in range(100, 103))
+    # with more repositories allowed it is a live value of one owner again
+    again = secrets.find_secrets(docs(spark, rows), max_repositories=9).where("doc_id < 50")
+    assert all(len(r["spans"]) == 1 and r["spans"][0]["repositories"] == 9 for r in again.collect())
+
+
+def test_scan_and_redaction_agree(spark):
+    """Slugs, paths and UUIDs are spans of neither."""
+    stay = ["com/blog/2021-05-how-to-cook", "123e4567-e89b-12d3-a456-426614174000", "/usr/share/doc/python3/Changes_2020"]
+    frame = docs(spark, [(i, t, "en", "a") for i, t in enumerate([*stay, OWN_TOKEN])])
+    sizes = {r["doc_id"]: len(r["spans"]) for r in secrets.find_secrets(frame).collect()}
+    masked = {r["doc_id"]: secrets.MASK in r["text"] for r in secrets.redact(frame).collect()}
+    assert sizes == {0: 0, 1: 0, 2: 0, 3: 1} and masked == {0: False, 1: False, 2: False, 3: True}
