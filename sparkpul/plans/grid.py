@@ -12,6 +12,7 @@ their published parameters as defaults.
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from itertools import product
@@ -28,6 +29,7 @@ from ..operators.results import pivot_results
 from ..session import materialize, scratch_path
 from ..sources.tables import path_exists
 from .base import dot_plus, make_classifier
+from .claims import Ledger
 from .models import NonNegativePU, NonStop, ProbTagging, TwoStep
 from .parallel import run_parallel
 from .stacked import Cell, Settings, StackedNonNegativePU
@@ -83,6 +85,20 @@ def finished_cells(spark: SparkSession, path: str) -> set[str]:
     return {r["cell"] for r in spark.read.parquet(f"{path}/results").select("cell").distinct().collect()}
 
 
+def _cell_key(by_name: dict[str, Setting], cell: dict) -> tuple:
+    s = by_name[cell["setting"]]
+    return (s.name, s.extractor, s.threshold, cell.get("classifier", ""), cell.get("detector", ""))
+
+
+def _finish(spark: SparkSession, algorithm, test: DataFrame, key: tuple, id_col: str, where: str, features: str = "features") -> None:
+    """Write the predictions of a trained cell, then its result row; ``where`` is a pattern."""
+    labelled = algorithm.predict(test, features, "y_pred").select(id_col, "y_true", "y_pu", F.col("y_pred").cast("int"))
+    labelled.write.mode("overwrite").parquet(where.format("predictions"))
+    scores = evaluate_predictions(spark.read.parquet(where.format("predictions")))
+    row = spark.createDataFrame([key + tuple(scores[m.split()[0]] for m in METRICS.split(", "))], RESULT_SCHEMA)
+    row.coalesce(1).write.mode("overwrite").parquet(where.format("results"))
+
+
 def run_grid(
     spark: SparkSession,
     settings: Sequence[Setting],
@@ -109,8 +125,7 @@ def run_grid(
     splits: dict[str, tuple] = {}
 
     def key(cell: dict) -> tuple:
-        s = by_name[cell["setting"]]
-        return (s.name, s.extractor, s.threshold, cell.get("classifier", ""), cell.get("detector", ""))
+        return _cell_key(by_name, cell)
 
     todo = [c for c in cells if cell_name(key(c)) not in done]
     for name in dict.fromkeys(c["setting"] for c in todo):
@@ -123,13 +138,7 @@ def run_grid(
             finish(cell, model, test)
 
     def finish(cell: dict, algorithm, test: DataFrame) -> None:
-        name = cell_name(key(cell))
-        labelled = algorithm.predict(test, features, "y_pred").select(id_col, "y_true", "y_pu", F.col("y_pred").cast("int"))
-        where = f"{path}/predictions/cell={name}"
-        labelled.write.mode("overwrite").parquet(where)
-        scores = evaluate_predictions(spark.read.parquet(where))
-        row = spark.createDataFrame([key(cell) + tuple(scores[m.split()[0]] for m in METRICS.split(", "))], RESULT_SCHEMA)
-        row.coalesce(1).write.mode("overwrite").parquet(f"{path}/results/cell={name}")
+        _finish(spark, algorithm, test, key(cell), id_col, f"{path}/{{}}/cell={cell_name(key(cell))}", features)
 
     groups = [[c] for c in todo]
     if train_together:
@@ -141,6 +150,68 @@ def run_grid(
     return stored.join(wanted, "cell", "left_semi").drop("cell")
 
 
+def run_shared_grid(
+    spark: SparkSession,
+    settings: Sequence[Setting],
+    cells: Sequence[dict],
+    build: Callable[[dict], object],
+    path: str,
+    lease: float = 3600.0,
+    id_col: str = "vec_id",
+    owner: str | None = None,
+    pause: float = 1.0,
+) -> DataFrame:
+    """``run_grid`` for several drivers on one ``path``: each cell is run by the driver that
+    claims it, and every driver returns the results of all cells.
+
+    A driver goes through the cells, claims what is free, and when nothing is, waits for the
+    others to commit theirs or for their leases to run out (see ``plans.claims``). ``lease``
+    is to be longer than a cell takes; if it is not, work may be done twice, but counts once.
+    """
+    ledger = Ledger(spark, f"{path}/ledger", lease, owner)
+    by_name = {s.name: s for s in settings}
+    splits: dict[str, tuple] = {}
+    names = {cell_name(_cell_key(by_name, c)): c for c in cells}
+
+    def run(cell: dict, where: str) -> None:
+        if cell["setting"] not in splits:
+            splits[cell["setting"]] = tuple(materialize(f, "split") for f in by_name[cell["setting"]].splits())
+        train, val, test = splits[cell["setting"]]
+        _finish(spark, build(cell).fit(train, val), test, _cell_key(by_name, cell), id_col, f"{path}/{{}}/{where}")
+
+    while True:
+        done = ledger.committed()
+        left = [n for n in names if n not in done]
+        if not left:
+            break
+        mine = 0
+        for name in left:
+            attempt = ledger.claim(name)
+            if attempt is not None:
+                mine += 1
+                run(names[name], f"cell={name}/attempt={attempt}")
+                ledger.commit(name, attempt)
+        if not mine:
+            time.sleep(pause)
+    return _committed(spark, f"{path}/results", {n: done[n] for n in names}, f"{RESULT_SCHEMA}, cell string, attempt int").drop("cell", "attempt")
+
+
+def _committed(spark: SparkSession, path: str, cells: dict[str, int], schema: str) -> DataFrame:
+    """The files of the committed attempts alone."""
+    folders = [f"{path}/cell={n}/attempt={a}" for n, a in sorted(cells.items())]
+    if not folders:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(*folders)
+
+
+def shared_predictions(spark: SparkSession, path: str, id_col: str = "vec_id", id_type: str = "long") -> DataFrame:
+    """Test predictions of all committed cells of a shared grid with the key columns of their cell."""
+    done = Ledger(spark, f"{path}/ledger", 0.0).committed()
+    keys = _committed(spark, f"{path}/results", done, f"{RESULT_SCHEMA}, cell string, attempt int").select("cell", *NAMES)
+    schema = f"{id_col} {id_type}, y_true int, y_pu int, y_pred int, cell string, attempt int"
+    return _committed(spark, f"{path}/predictions", done, schema).join(keys, "cell").drop("cell", "attempt")
+
+
 def predictions(spark: SparkSession, path: str) -> DataFrame:
     """Test predictions of all finished cells with the key columns of their cell."""
     keys = spark.read.schema(f"{RESULT_SCHEMA}, cell string").parquet(f"{path}/results").select("cell", *NAMES)

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from ..operators import splits as S
 from ..operators.detectors import KMeansDetector, KNNDetector, RandomDetector
+from ..session import scratch_path
 from . import grid as G
 from .base import Fitted, GaussianNB, make_classifier
 from .models import NonNegativePU, NonStop, ProbTagging, StopOnMetricDrop, TwoStep
+from .parallel import run_parallel
 from .queries import register, r6
 from .tables import embedding_pu
 
@@ -277,9 +279,7 @@ def q_prob_tagging(spark, sf_dir):
     return _scored(algo, test)
 
 
-@register(
-    "pn_baseline_grid",
-    f"""WITH {SPLITS_SQL},
+PN_GRID_SQL = f"""WITH {SPLITS_SQL},
 f AS (SELECT v, y_true AS c FROM s2), {_nb_sql("a", "f")}, {_nb_score_sql("a", "te", "q")},
 nb AS (SELECT vec_id, (prob > 0.5)::INTEGER AS p FROM q),
 d AS (SELECT t.vec_id, r.y_true AS y, row_number() OVER (PARTITION BY t.vec_id ORDER BY round(list_distance(t.v, r.v), 9), r.vec_id) AS rk
@@ -289,8 +289,10 @@ al AS (SELECT 'naivebayes' AS classifier, * FROM nb UNION ALL SELECT 'kneighbour
 c AS (SELECT classifier, sum(p * y_true) AS tp, sum(p * (1 - y_true)) AS fp, sum((1 - p) * y_true) AS fn,
              sum((1 - p) * (1 - y_true)) AS tn FROM al JOIN te USING (vec_id) GROUP BY classifier)
 SELECT classifier, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS balanced_accuracy,
-       round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM c""",
-)
+       round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM c"""
+
+
+@register("pn_baseline_grid", PN_GRID_SQL)
 def q_pn_baseline_grid(spark, sf_dir):
     """M16 by the grid runner: naive Bayes and 5-NN on the true labels, scored on the test rows."""
     settings = [G.Setting("embeddings", lambda: pu_splits(spark, sf_dir), "embeddings", 3.0)]
@@ -298,6 +300,20 @@ def q_pn_baseline_grid(spark, sf_dir):
     return out.select("classifier", *[r6(c).alias(c) for c in ("balanced_accuracy", "accuracy", "f1")])
 
 
+@register("shared_grid", PN_GRID_SQL)
+def q_shared_grid(spark, sf_dir):
+    """S10 + S11 + J8: the same cells filled by two sessions that share a path and a ledger."""
+    path = scratch_path(spark, "shared-grid")
+    cells = G.cross(setting=["embeddings"], classifier=["naivebayes", "kneighbours-5"])
+
+    def fill(session):
+        settings = [G.Setting("embeddings", lambda: pu_splits(session, sf_dir), "embeddings", 3.0)]
+        return G.run_shared_grid(session, settings, cells, lambda c: G.Supervised(make_classifier(c["classifier"])), path)
+
+    out = run_parallel([spark, spark.newSession()], fill)[0]
+    return out.select("classifier", *[r6(c).alias(c) for c in ("balanced_accuracy", "accuracy", "f1")])
+
+
 @register("nnpu")
 def q_nnpu(spark, sf_dir):
     """M8: non-negative PU, linear-sigmoid model, prior 0.5, the published 200 epochs."""
