@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import bce_to
-from .ranking import _join, prefix_sums
+from ..session import materialize
+from .ranking import prefix_sums
 
 # Largest number of lift-curve points one expanded row emits.
 EXPAND_CHUNK = 1 << 20
@@ -91,13 +92,17 @@ def pu_f1(df: DataFrame, y_pu: str, pred: str, keys: Sequence[str] = ()) -> Data
     )
 
 
-def score_counts(df: DataFrame, y: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Rows and positives per (group, distinct score) with the running count below."""
+def score_counts(df: DataFrame, y: str, score: str, keys: Sequence[str] = (), totals: bool = False) -> DataFrame:
+    """Rows and positives per (group, distinct score) with the running count below (W4),
+    and with ``totals`` the counts of the whole group."""
     keys = _keys(keys)
     per = df.groupBy(*keys, F.col(score).cast("double").alias("score")).agg(
         F.count(F.lit(1)).alias("cnt"), F.sum((F.col(y) == 1).cast("long")).alias("pos")
     )
-    return prefix_sums(per, "score", ["cnt", "pos"], by=keys)
+    if totals:
+        # sizes, buckets and rows are read from the counts: the scores are read once
+        per = materialize(per, "score-counts")
+    return prefix_sums(per, "score", ["cnt", "pos"], by=keys, totals_too=totals)
 
 
 def aul(df: DataFrame, y: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -146,33 +151,31 @@ def lift_curve(df: DataFrame, y: str, score: str, keys: Sequence[str] = (), expa
     their 1-based position ``pos`` (0 for the start point).
     """
     keys = _keys(keys)
-    sc = score_counts(df, y, score, keys)
-    tot = sc.groupBy(*keys).agg(F.sum("cnt").alias("_n"), F.sum("pos").alias("_p"))
-    if keys:
-        # one row per group; the optimizer picks broadcast or shuffle by its size
-        j = _join(sc, tot, keys)
-    else:
-        t = tot.collect()[0]
-        j = sc.withColumn("_n", F.lit(t["_n"]).cast("long")).withColumn("_p", F.lit(t["_p"]).cast("long"))
-    above = F.col("_n") - F.col("cnt_before") - F.col("cnt")
-    pos_above = F.col("_p") - F.col("pos_before") - F.col("pos")
-    pts = j.select(
-        *keys,
-        "score",
+    # one table carries the counts from below and, by the totals of its buckets, from above
+    sc = score_counts(df, y, score, keys, totals=True)
+    above = F.col("cnt_total") - F.col("cnt_before") - F.col("cnt")
+    pos_above = F.col("pos_total") - F.col("pos_before") - F.col("pos")
+    point = F.struct(
+        F.col("score"),
         F.col("cnt").alias("n_points"),
         (F.col("cnt_before") + 1).alias("first_pos"),
-        F.try_divide(above.cast("double"), F.col("_n").cast("double")).alias("y_rate"),
-        F.try_divide(pos_above.cast("double"), F.col("_p").cast("double")).alias("tpr"),
+        F.try_divide(above.cast("double"), F.col("cnt_total").cast("double")).alias("y_rate"),
+        F.try_divide(pos_above.cast("double"), F.col("pos_total").cast("double")).alias("tpr"),
     )
-    start = tot.select(
-        *keys,
+    start = F.struct(
         F.lit(None).cast("double").alias("score"),
         F.lit(1).cast("long").alias("n_points"),
         F.lit(0).cast("long").alias("first_pos"),
         F.lit(1.0).alias("y_rate"),
         F.lit(1.0).alias("tpr"),
     )
-    curve = start.unionByName(pts)
+    if keys:
+        # the lowest score of a group brings the start point
+        points = F.when(F.col("cnt_before") == 0, F.array(start, point)).otherwise(F.array(point))
+        curve = sc.select(*keys, F.explode(points).alias("_p")).select(*keys, "_p.*")
+    else:
+        one = df.sparkSession.range(1).select(start.alias("_p")).select("_p.*")
+        curve = one.unionByName(sc.select(point.alias("_p")).select("_p.*"))
     if not expand:
         return curve
     # a score shared by a third of the rows must not emit its points from one task:

@@ -139,8 +139,11 @@ def prefix_sums(
     descending: bool = False,
     n_rows: int | None = None,
     max_group: int | None = None,
+    totals_too: bool = False,
 ) -> DataFrame:
-    """Add ``{v}_before`` = sum of ``v`` over rows earlier in ``order`` within ``by``.
+    """Add ``{v}_before`` = sum of ``v`` over rows earlier in ``order`` within ``by``, and
+    with ``totals_too`` ``{v}_total``, the sum over all rows of the group, which the same
+    bucket totals give.
 
     ``order`` must be unique within each ``by`` group and not null; it may have any
     orderable type. Rows are split into range buckets of about ``ROWS_PER_BUCKET`` rows
@@ -173,6 +176,8 @@ def prefix_sums(
             out = out.withColumn(
                 f"{v}_before", F.coalesce(F.sum(v).over(w_in), F.lit(0))
             )
+            if totals_too:
+                out = out.withColumn(f"{v}_total", F.sum(v).over(Window.partitionBy(*by, "_pb")))
     else:
         totals = work.groupBy(*by, "_pb").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
         w_off = Window.partitionBy(*by).orderBy("_pb").rowsBetween(
@@ -182,6 +187,7 @@ def prefix_sums(
             *by,
             "_pb",
             *[F.coalesce(F.sum(f"_t_{v}").over(w_off), F.lit(0)).alias(f"_o_{v}") for v in values],
+            *[F.sum(f"_t_{v}").over(Window.partitionBy(*by)).alias(f"{v}_total") for v in values if totals_too],
         )
         # without groups the table has nb rows: broadcast; with groups its size is
         # groups x nb, unknown here, so the join strategy is left to AQE's size check

@@ -107,3 +107,42 @@ def test_aul_binary_equals_aul(spark):
     p = rng.integers(0, 2, 200)
     df = _df(spark, y, p)
     assert M.aul_binary(df, "y", "s").first()["aul"] == pytest.approx(M.aul(df, "y", "s").first()["aul"], abs=1e-12)
+
+
+@pytest.mark.parametrize("rows_per_bucket", [1 << 20, 40])
+@pytest.mark.parametrize("keys", [(), ("g",)])
+def test_lift_curve_reads_the_scores_once(spark, monkeypatch, rows_per_bucket, keys):
+    """Counts from below and from above come from one read, in one bucket and in many."""
+    from sparkpul.operators import ranking as K
+
+    monkeypatch.setattr(K, "ROWS_PER_BUCKET", rows_per_bucket)
+    rng = np.random.default_rng(5)
+    rows = [(int(g), int(rng.random() < 0.3), float(s)) for g, s in zip(rng.integers(0, 3, 400), rng.integers(0, 90, 400) / 7)]
+    reads = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for b in batches:
+            reads.add(len(b))
+            yield b
+
+    df = spark.createDataFrame(rows, "g int, y int, s double").mapInPandas(counting, "g int, y int, s double")
+    got = M.lift_curve(df, "y", "s", keys).collect()
+    assert reads.value == 400
+    groups = sorted({r[0] for r in rows}) if keys else [None]
+    want = []
+    for g in groups:
+        part = [r for r in rows if g is None or r[0] == g]
+        n, p = len(part), sum(r[1] for r in part)
+        want.append((g, None, 1, 0, 1.0, 1.0))
+        for s in sorted({r[2] for r in part}):
+            same, above = [r for r in part if r[2] == s], [r for r in part if r[2] > s]
+            below = n - len(same) - len(above)
+            want.append((g, s, len(same), below + 1, len(above) / n, sum(r[1] for r in above) / p))
+    found = [((r["g"],) if keys else (None,)) + (r["score"], r["n_points"], r["first_pos"], r["y_rate"], r["tpr"]) for r in got]
+    assert sorted(found, key=str) == sorted(want, key=str)
+
+
+def test_lift_curve_empty(spark):
+    none = spark.createDataFrame([], "g int, y int, s double")
+    assert [r["first_pos"] for r in M.lift_curve(none, "y", "s").collect()] == [0]
+    assert M.lift_curve(none, "y", "s", ["g"]).collect() == []
