@@ -10,12 +10,14 @@ the mean log-odds of its chunks, so neither length nor position weighs.
 Scoring needs no multiplication with byte vectors: a filter's response is the sum of one
 entry per byte from ``WIDTH`` tables of 257 rows, taken in blocks that stay in cache.
 
-Training runs on the driver on a bounded sample of labelled documents (``sample``, the
-first by a hash of their id) and up to ``CHUNKS_PER_DOC`` chunks spread over each whole
-text. Scores depend on the text alone.
+Training runs on the driver on a bounded sample of the labelled documents that are there:
+at most ``sample`` of them and at most ``sample_bytes`` of text (no text of more than a
+sixteenth of that), the first by a hash of their id. Every chunk of a sampled text takes part; the loss is that of the document's
+probability, as it is scored. Scores depend on the text alone.
 
 Defined results: null and empty texts are one chunk of padding; labels that are null, or
-of unknown documents, are ignored, and of several labels of a document the least counts;
+of unknown documents, are ignored, and of several labels of a document the least counts,
+of several texts of a labelled id that with the least hash;
 a null id counts as the text ``''`` in the split; without labels of both kinds the score
 is the share of label 1 (0.5 without any); repeated rows give repeated results; an empty
 table gives an empty result.
@@ -25,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkpul.llm.common import free_name, map_slices
@@ -34,10 +36,12 @@ CHUNK = 512
 WIDTH = 6
 FILTERS = 24
 DIM = 8
+#: bounds of the training sample: documents, and bytes of their texts
 SAMPLE = 4000
-CHUNKS_PER_DOC = 6
+SAMPLE_BYTES = 24 << 20
 STEPS = 1500
-BATCH = 64
+#: documents of a training step
+BATCH = 24
 RATE = 0.01
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
@@ -94,23 +98,31 @@ class Network:
         w = self.weights
         return np.tanh(best + w["shift"]) @ w["top"] + w["bias"][0]
 
-    def fit(self, rows: np.ndarray, labels: np.ndarray, steps: int = STEPS, seed: int = 5) -> Network:
-        """Adam on the log loss of single chunks."""
+    def fit(
+        self, rows: np.ndarray, labels: np.ndarray, steps: int = STEPS, seed: int = 5, counts: np.ndarray | None = None
+    ) -> Network:
+        """Adam on the log loss of documents: ``labels`` has one entry per document,
+        ``counts`` its chunks in ``rows``, one each by default."""
         rng = np.random.default_rng(seed)
+        counts = np.ones(len(rows), np.int64) if counts is None else counts
+        starts = np.cumsum(counts) - counts
         w = self.weights
         w["bias"][0] = np.log((labels.mean() + 1e-3) / (1 - labels.mean() + 1e-3))
         first = {k: np.zeros_like(v) for k, v in w.items()}
         second = {k: np.zeros_like(v) for k, v in w.items()}
         j = np.arange(WIDTH)
         for step in range(1, steps + 1):
-            pick = rng.integers(0, len(rows), BATCH)
-            batch = rows[pick]
+            pick = rng.integers(0, len(labels), BATCH)
+            many = counts[pick]
+            batch = rows[np.concatenate([np.arange(starts[i], starts[i] + counts[i]) for i in pick])]
             best, where = self.pooled(batch, self.tables(), places=True)
             h = np.tanh(best + w["shift"])
-            slope = (1 / (1 + np.exp(-(h @ w["top"] + w["bias"][0]))) - labels[pick]) / BATCH
+            mean = np.add.reduceat(h @ w["top"] + w["bias"][0], np.cumsum(many) - many) / many
+            # each chunk has its share in the document's log-odds
+            slope = np.repeat((1 / (1 + np.exp(-mean)) - labels[pick]) / (BATCH * many), many)
             back = slope[:, None] * w["top"] * (1 - h * h)
             # symbols under the place of each chunk's and filter's largest response
-            seen = batch[np.arange(BATCH)[:, None, None], where[:, :, None] + j]
+            seen = batch[np.arange(len(batch))[:, None, None], where[:, :, None] + j]
             grads = {
                 "top": h.T @ slope, "bias": np.array([slope.sum()]), "shift": back.sum(axis=0),
                 "filters": np.einsum("bf,bfjd->jdf", back, w["bytes"][seen]),
@@ -139,34 +151,40 @@ def _fold(doc_id) -> F.Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: int = STEPS) -> Network:
-    """Fit a network on at most ``sample`` labelled documents outside the held-out fold."""
+def _sample(docs: DataFrame, labels: DataFrame, sample: int, sample_bytes: int) -> DataFrame:
+    """``id, text, label`` of the training sample: one text per labelled id that is there,
+    the first by a hash of the id within both bounds."""
     known = labels.where("quality is not null and doc_id is not null").where(_fold(F.col("doc_id")) != HELD_OUT)
-    known = known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("label"))
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    # the order is fixed by the ids alone, the bound holds for any number of labels
-    chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, marks = [], []
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            cut = chunks((text or "").encode())
-            take = np.unique(np.linspace(0, len(cut) - 1, CHUNKS_PER_DOC).astype(int))
-            rows += [cut[i].astype("<i2").tobytes() for i in take]
-            marks += [label] * len(take)
-        return pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(marks, pa.int32())], ["chunk", "label"])
-
-    found = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("text", F.col("label").cast("int"))
-    got = map_slices(found, run, "chunk binary, label int").toPandas().sort_values(["chunk", "label"])
+    known = known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").cast("int").alias("label"))
+    text = F.coalesce("text", F.lit(""))
+    read = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    # what is shuffled has no texts, and a repeated id is one row
+    there = read.select("id", F.struct("h", F.octet_length("text").alias("size")).alias("t")).where("id is not null")
+    there = there.groupBy("id").agg(F.min("t").alias("t"))
+    order = [F.xxhash64("id"), F.col("id")]
+    there = there.where(F.col("t.size") <= sample_bytes // 16)  # one text alone must not use up the bound
+    first = known.join(there, "id").orderBy(*order).limit(sample)  # the bound holds for any number of labels
+    so_far = F.sum("t.size").over(Window.orderBy(*order))  # over at most ``sample`` rows
+    chosen = first.withColumn("so_far", so_far).where(F.col("so_far") <= sample_bytes).select("id", "t.h", "label")
+    found = read.join(F.broadcast(chosen), ["id", "h"])  # at most ``sample`` rows of three numbers
+    return found.groupBy("id").agg(F.min("label").alias("label"), F.min("text").alias("text"))
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: int = STEPS, sample_bytes: int = SAMPLE_BYTES
+) -> Network:
+    """Fit a network on at most ``sample`` labelled documents, of at most ``sample_bytes``
+    bytes together, outside the held-out fold."""
+    got = sorted((r["id"], r["label"], r["text"].encode()) for r in _sample(docs, labels, sample, sample_bytes).collect())
     network = Network()
-    marks = got["label"].to_numpy(np.float64)
+    marks = np.array([label for _, label, _ in got], np.float64)
     if len(set(marks)) < 2:
         share = marks.mean() if len(marks) else 0.5
         network.weights["top"][:] = 0
         network.weights["bias"][0] = np.log((share + 1e-3) / (1 - share + 1e-3)) if len(marks) else 0.0
         return network
-    rows = np.frombuffer(b"".join(got["chunk"]), "<i2").reshape(len(got), -1)
-    return network.fit(rows, marks, steps)
+    cut = [chunks(data) for _, _, data in got]
+    return network.fit(np.concatenate(cut), marks, steps, counts=np.array([len(c) for c in cut]))
 
 
 def with_scores(docs: DataFrame, network: Network, name: str = "score") -> DataFrame:

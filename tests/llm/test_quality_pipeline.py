@@ -82,6 +82,67 @@ def test_op3_gradient():
     assert loss(net) < 0.7 * before
 
 
+def plain_score(network, data):
+    """The forward pass in plain loops: byte vectors, filters, best of each chunk, mean of log-odds."""
+    w = network.weights
+    n = quality.CHUNK + quality.WIDTH - 1
+    symbols = list(data) + [quality.PAD] * max(0, n - len(data))
+    starts = [0] if len(data) <= n else [*range(0, len(data) - n, quality.CHUNK), len(data) - n]
+    odds = []
+    for a in starts:
+        best = [-np.inf] * quality.FILTERS
+        for i in range(a, a + quality.CHUNK):
+            answer = sum(w["bytes"][symbols[i + j]] @ w["filters"][j] for j in range(quality.WIDTH))
+            best = [max(b, x) for b, x in zip(best, answer)]
+        odds.append(sum(np.tanh(b + s) * t for b, s, t in zip(best, w["shift"], w["top"])) + w["bias"][0])
+    return 1 / (1 + np.exp(-sum(odds) / len(odds)))
+
+
+def test_op3_forward_pass():
+    network = quality.Network(3)
+    rng = np.random.default_rng(2)
+    network.weights["shift"][:] = rng.normal(size=quality.FILTERS)
+    network.weights["bias"][0] = 0.3
+    texts = [b"", b"x", "caf\u00e9 ".encode() * 30, bytes(rng.integers(0, 256, 517)), bytes(rng.integers(0, 256, 518)), b"ab" * 700]
+    got = network.scores(texts)
+    assert np.allclose(got, [plain_score(network, t) for t in texts], atol=1e-4)
+
+
+def test_op3_document_gradient():
+    """One step's direction is that of the loss of documents with several chunks."""
+    rng = np.random.default_rng(1)
+    counts = np.array([1, 3, 2])
+    rows = rng.integers(0, 256, (6, quality.CHUNK + quality.WIDTH - 1)).astype(np.int16)
+    labels = np.array([0.0, 1.0, 0.0])
+
+    def loss(net):
+        best, _ = net.pooled(rows, net.tables().astype(np.float64))
+        odds = np.add.reduceat(net.log_odds(best.astype(np.float64)), np.cumsum(counts) - counts) / counts
+        return float(np.sum(np.logaddexp(0, odds) - labels * odds))
+
+    net = quality.Network()
+    net.fit(rows, labels, steps=0, counts=counts)
+    before = loss(net)
+    net.fit(rows, labels, steps=40, counts=counts)
+    assert loss(net) < 0.5 * before
+
+
+def test_op3_sample(spark):
+    """Only documents that are there, one text per id, within both bounds, whole texts."""
+    rows = [(i, "text %d " % i + "x" * (3000 if i == 5 else 10 * i), "en", "s") for i in range(60)]
+    rows += [(7, "another text of seven", "en", "s")] * 50 + [(None, "no id", "en", "s")]
+    frame = docs(spark, rows)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(500)], "doc_id long, quality int")
+    every = {r["id"]: r["text"] for r in quality._sample(frame, labels, 4000, 1 << 20).collect()}
+    fold = lambda i: __import__("zlib").crc32(str(i).encode()) % 5
+    assert every.keys() == {i for i in range(60) if fold(i)}
+    assert all(t in {r[1] for r in rows if r[0] == i} for i, t in every.items())
+    some = quality._sample(frame, labels, 20, 1 << 20).collect()
+    assert len(some) == 20 and {r["id"] for r in some} <= every.keys()
+    small = quality._sample(frame, labels, 4000, 2000).collect()
+    assert 0 < sum(len(r["text"]) for r in small) <= 2000 and len(small) < len(every)
+
+
 def test_op3_odd_labels(spark):
     frame = docs(spark)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
