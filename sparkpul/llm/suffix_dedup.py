@@ -46,6 +46,8 @@ GRAM = 96
 BUCKET_BYTES = 32 << 10
 #: bytes sorted together
 BATCH_BYTES = 2 << 20
+#: keys with more than one part in so many of all strings are joined by a broadcast
+HOT_SHARE = 1000
 #: widths of offset ranges that crowded buckets are split by, in turn
 WIDTHS = (32, 4, 1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -286,8 +288,15 @@ def _counted(rows: DataFrame, length: int, carried: list[str]) -> tuple[DataFram
     )
     shared = strings.groupBy("key").agg(
         F.count("*").alias("members"), F.min("n").alias("least"), F.sum(F.col("b") - F.col("a") + length).alias("bytes")
-    ).where("members > 1 and least = 1").select("key", "bytes")
-    return spans, strings.join(shared, "key")
+    ).where("members > 1 and least = 1").select("key", "bytes", "members")
+    # a crowded bucket must not meet in one task before it is split: keys with more than this
+    # share of all strings, so fewer than HOT_SHARE, come to the strings in a broadcast
+    limit = strings.count() // HOT_SHARE
+    hot = F.broadcast(shared.where(F.col("members") > limit).drop("members"))
+    rest = shared.where(F.col("members") <= limit).drop("members")
+    near = strings.join(hot, "key")
+    far = strings.join(hot.select("key"), "key", "left_anti").join(rest, "key")
+    return spans, near.unionByName(far)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
