@@ -14,15 +14,18 @@ not depend on that). A paragraph is a line; a line is cut further after the end
 sentence, so that single-line texts have parts to compare.
 
 The edited text of a document needs the start of the next one by ``doc_id``. Documents
-are dealt by blocks of ``BLOCK`` consecutive ids, which hold at most that many documents,
-and the next row inside a block is a window function. Only the first row of each block
-goes to another block: a table of one row per block, joined on the block the documents
-are already dealt by. The texts are shuffled once; the sums by document need no further
-exchange. The order of blocks comes from two levels of windows over block numbers alone.
+are dealt by blocks of ``BLOCK`` consecutive ids, and the next row inside a block is a window
+function. Ids repeat, or are null: a block with more than ``1 / HOT_SHARE`` of all rows (so
+there are fewer than ``HOT_SHARE``) is cut by id and by ranges of the texts' hash into blocks
+of about ``BLOCK`` rows again, and rows equal in id and text become one row with a count
+before they are shuffled. Only the first row of each block goes to another block: a table of
+one row per block, joined on the block the documents are already dealt by. The texts are
+shuffled once; the sums by document need no further exchange. The order of blocks comes
+from a range partitioning of the blocks alone, and the first block of each partition.
 
 DataFrame functions only. Defined results: null text is empty; an empty text has the zero
 vector, two empty texts likeness 1; the next document of the only one is itself; rows
-with equal ``doc_id`` are ordered by text, null ids come first; extra columns are
+with equal ``doc_id`` are ordered by the hash of their text, null ids come first; extra columns are
 ignored; an empty table gives an empty result.
 """
 
@@ -32,9 +35,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkpul.llm.common import materialize
+
 #: consecutive ids that share a block
 BLOCK = 256
-#: blocks whose order one window task settles
+#: blocks with more than one part in so many of all rows are cut further
+HOT_SHARE = 1000
+#: blocks whose order one window task settles, about
 SUPER = 1 << 14
 EXACT = 4
 SKETCH_WORDS = 20
@@ -132,31 +139,55 @@ def fingerprint_texts(docs: DataFrame) -> DataFrame:
 
 def _next_blocks(blocks: DataFrame) -> DataFrame:
     """``block, next_block``: the following block, for the last one the first."""
-    split = blocks.select("block", F.floor(F.col("block") / SUPER).alias("above"))
-    inside = split.withColumn("follow", F.lead("block").over(Window.partitionBy("above").orderBy("block")))
-    tops = split.groupBy("above").agg(F.min("block").alias("first"))
-    order = Window.orderBy("above")  # one row per SUPER blocks of BLOCK ids
+    ranges = max(1, -(-blocks.count() // SUPER))
+    dealt = materialize(blocks.repartitionByRange(ranges, "block").withColumn("part", F.spark_partition_id()), "blocks")
+    inside = dealt.withColumn("follow", F.lead("block").over(Window.partitionBy("part").orderBy("block")))
+    tops = dealt.groupBy("part").agg(F.min("block").alias("first"))
+    order = Window.orderBy("part")  # one row per range
     tops = tops.withColumn("after", F.coalesce(F.lead("first").over(order), F.first("first").over(order)))
-    return inside.join(tops, "above").select("block", F.coalesce("follow", "after").alias("next_block"))
+    return inside.join(tops, "part").select("block", F.coalesce("follow", "after").alias("next_block"))
+
+
+def _in_blocks(docs: DataFrame) -> DataFrame:
+    """``block, doc_id, hash, text, copies``: rows with their block, equal ones of a crowded
+    block as one."""
+    none = F.lit(-(2**62))
+    keyed = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    keyed = keyed.withColumn("base", F.coalesce(F.floor(F.col("doc_id") / BLOCK), none))
+    sizes = keyed.groupBy("base").agg(F.count("*").alias("n"))
+    limit = max(4 * BLOCK, (sizes.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
+    crowded = sizes.where(F.col("n") > limit).select("base", F.ceil(F.col("n") / BLOCK).alias("pieces"))
+    found = keyed.join(F.broadcast(crowded), "base", "left").withColumn("hash", F.xxhash64("text"))
+    zero = F.lit(0).cast("long")
+    # the range of the hash a row falls in; never falls as the hash grows
+    piece = F.floor((F.col("hash") / F.lit(2.0**64) + 0.5) * F.col("pieces"))
+    cut = F.col("pieces").isNotNull()
+    block = F.struct(
+        "base",
+        F.when(cut, F.coalesce("doc_id", none)).otherwise(zero).alias("id"),
+        F.when(cut, F.coalesce(piece, zero)).otherwise(zero).alias("piece"),
+    )
+    rows = found.select(block.alias("block"), "doc_id", "hash", "text", cut.alias("cut"))
+    whole = rows.where("not cut").select("block", "doc_id", "hash", "text", F.lit(1).cast("long").alias("copies"))
+    if crowded.isEmpty():
+        return whole
+    one = rows.where("cut").groupBy("block", "doc_id", "hash", "text").agg(F.count("*").alias("copies"))
+    return whole.unionByName(one)
 
 
 def with_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
-    """``block, place, doc_id, text, next_text`` dealt by ``block``."""
-    spark = docs.sparkSession
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    block = F.coalesce(F.floor(F.col("doc_id") / BLOCK), F.lit(-(2**62)))
-    keyed = docs.select(F.col("doc_id").cast("long"), "text").select(
-        block.alias("block"), "doc_id", F.coalesce("text", F.lit("")).alias("text")
-    )
-    order = Window.partitionBy("block").orderBy(F.col("doc_id").asc_nulls_first(), "text")
+    """``block, place, doc_id, text, copies, next_text`` dealt by ``block``: the next text is
+    that behind the last of ``copies`` equal rows."""
+    partitions = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = Window.partitionBy("block").orderBy(F.col("doc_id").asc_nulls_first(), "hash", "text")
+    keyed = _in_blocks(docs)
     placed = keyed.repartition(partitions, "block").select(
         "*", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("after")
     )
     heads = placed.where("place = 1").select(F.col("block").alias("next_block"), F.col("text").alias("head"))
-    blocks = docs.select(F.col("doc_id").cast("long")).select(block.alias("block")).distinct()
-    following = heads.join(_next_blocks(blocks), "next_block").select("block", "head")
+    following = heads.join(_next_blocks(keyed.select("block").distinct()), "next_block").select("block", "head")
     return placed.join(following, "block").select(
-        "block", "place", "doc_id", "text", F.coalesce("after", "head").alias("next_text")
+        "block", "place", "doc_id", "text", "copies", F.coalesce("after", "head").alias("next_text")
     )
 
 
@@ -169,23 +200,27 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr("next_text", F.lit(1), half))
-    texts = with_next(docs).select(
-        "block", "place", "doc_id", n.cast("long").alias("n_chars"), "text", "next_text", edited.alias("edited")
+    # of equal rows all but the last have the same text behind them
+    last = F.struct(F.lit(1).cast("long").alias("times"), F.col("next_text").alias("follow"))
+    before = F.struct((F.col("copies") - 1).alias("times"), F.col("text").alias("follow"))
+    turns = F.when(F.col("copies") > 1, F.array(last, before)).otherwise(F.array(last))
+    texts = with_next(docs).select("block", "place", "doc_id", "text", F.posexplode(turns).alias("turn", "t")).select(
+        "block", "place", "turn", "t.times", "doc_id", "text", F.col("t.follow").alias("next_text")
     )
+    keys = ["block", "place", "turn", "times", "doc_id", "n_chars", "edited_sha256"]
+    texts = texts.select(*keys[:5], n.cast("long").alias("n_chars"), "text", "next_text", edited.alias("edited"))
     of = F.array("text", "edited", "next_text")
     parts = texts.select(
-        "block", "place", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-        F.posexplode(of).alias("which", "one"),
-    ).select(
-        "block", "place", "doc_id", "n_chars", "edited_sha256", "which",
-        F.explode_outer(paragraphs(F.col("one"))).alias("part"),
-    )
+        *keys[:6], F.sha2("edited", 256).alias("edited_sha256"), F.posexplode(of).alias("which", "one")
+    ).select(*keys, "which", F.explode_outer(paragraphs(F.col("one"))).alias("part"))
     part, which = F.col("part"), F.col("which")
-    return parts.groupBy("block", "place", "doc_id", "n_chars", "edited_sha256").agg(
+    found = parts.groupBy(*keys).agg(
         sums(part, which == 0).alias("vector"),
         sums(part, which == 1).alias("edited_vector"),
         sums(part, which == 2).alias("next_vector"),
-    ).drop("block", "place")
+    )
+    again = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    return again.drop("block", "place", "turn", "times", "copy")
 
 
 def digests(found: DataFrame) -> DataFrame:

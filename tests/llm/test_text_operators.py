@@ -202,6 +202,34 @@ def test_op6_blocks(spark, monkeypatch):
     assert got == {a: f"t{b}" for a, b in zip(order, [*order[1:], order[0]], strict=True)}
 
 
+def test_op6_hot_ids(spark, monkeypatch):
+    """A third of the rows without an id, an id many texts share, and one row many times."""
+    import xxhash
+
+    monkeypatch.setattr(fingerprints, "BLOCK", 4)
+    monkeypatch.setattr(fingerprints, "SUPER", 3)
+    rows = [(None, f"no id {i % 60}", "en", "s") for i in range(100)]
+    rows += [(7, f"shared id {i}.\nparts", "en", "s") for i in range(70)] + [(8, "the same row. twice", "en", "s")] * 60
+    rows += [(i, f"own {i}", "en", "s") for i in range(20, 90)]
+    frame = docs(spark, rows)
+    blocks = {}
+    for r in fingerprints._in_blocks(frame).collect():
+        blocks.setdefault(tuple(r["block"]), []).append(r["copies"])
+    # 60 and 70 distinct rows in pieces, 60 equal ones as one
+    assert max(map(len, blocks.values())) <= 16 and max(max(c) for c in blocks.values()) == 60
+    signed = lambda t: (lambda h: h - 2**64 if h >= 2**63 else h)(xxhash.xxh64_intdigest(t.encode(), 42))
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1])))
+    want = Counter()
+    for i, r in enumerate(rows):
+        t, follow = r[1], rows[(i + 1) % len(rows)][1]
+        half = len(t) // 2
+        want[r[0], len(t), hashlib.sha256((t[: len(t) - half] + follow[:half]).encode()).hexdigest()] += 1
+    got = fingerprints.digests(fingerprints.edited_fingerprints(frame)).collect()
+    assert Counter(tuple(r)[:3] for r in got) == want
+    same = [r for r in got if r["doc_id"] == 8]
+    assert len(same) == 60 and sum(r["near_next"] == 1 for r in same) == 59
+
+
 def test_op6_homomorphism(spark):
     parts = [f"paragraph {i % 7} of many" for i in range(30)]
     random.Random(1).shuffle(parts)
