@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkpul.llm.common import map_slices
+from sparkpul.llm.common import map_slices, remembers
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
 #: no pair here
@@ -40,7 +40,7 @@ NONE = np.int32(2**31 - 1)
 #: the longest piece that is encoded in lockstep with others
 LOCKSTEP_BYTES = 64
 #: chunks remembered by one Python worker
-CACHE_CHUNKS = 1 << 19
+CACHE_CHUNKS = 3 << 17
 CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 OTHER_SPACE = re.compile(r"[^\S \n]")
 
@@ -234,6 +234,7 @@ class Encoder:
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
+remembers(__name__, _ENCODERS.clear)
 
 
 def encoder(path: str, pattern: str) -> Encoder:
@@ -266,7 +267,7 @@ def encode_documents(
             ["doc_id", "token_ids", "decoded"],
         )
 
-    return map_slices(docs.select(F.col("doc_id").cast("long"), "text"), run, ENCODED_SCHEMA)
+    return map_slices(docs.select(F.col("doc_id").cast("long"), "text"), run, ENCODED_SCHEMA, budget=1 << 20)
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from sparkpul.session import materialize
 
-__all__ = ["SPACE_CLASS", "ascii_lower", "free_name", "in_slices", "let", "map_slices", "materialize", "packed", "table"]
+__all__ = ["SPACE_CLASS", "ascii_lower", "free_name", "in_slices", "let", "map_slices", "materialize", "packed", "remembers", "table"]
 
 #: white space of the word rule ``[^\\x20\\x09-\\x0D]+``
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -68,6 +68,23 @@ def in_slices(batches: Iterator[pa.RecordBatch], column: str, budget: int) -> It
             yield batch.slice(first)
 
 
+#: what operators remember in a Python worker, by module: how to drop it
+_REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
+def remembers(module: str, drop: Callable[[], None]) -> None:
+    """``module`` keeps something between the tasks of a worker; ``drop`` frees it."""
+    _REMEMBERED[module] = drop
+
+
+def _enter(module: str) -> None:
+    """A worker that goes on to another operator drops what the others remember, so that
+    its memory is that of one operator."""
+    for other, drop in _REMEMBERED.items():
+        if other != module:
+            drop()
+
+
 def map_slices(
     df: DataFrame,
     fn: Callable[[pa.RecordBatch], pa.RecordBatch],
@@ -77,7 +94,10 @@ def map_slices(
 ) -> DataFrame:
     """``mapInArrow`` that hands ``fn`` slices of about ``budget`` bytes of text."""
 
+    module = fn.__module__
+
     def run(batches):
+        _enter(module)
         for piece in in_slices(batches, column, budget):
             yield fn(piece)
 
