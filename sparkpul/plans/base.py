@@ -17,7 +17,7 @@ from ..functions.columns import md5_key
 from ..operators.knn import knn_join
 from ..operators.ranking import hash_rank
 from ..operators.splits import DEFAULT_SEED
-from ..session import materialize
+from ..session import ensure_checkpoint_dir, materialize, scratch_path
 from . import newton
 from .blocks import pack
 
@@ -103,9 +103,19 @@ class LogisticClassifier:
         return [LinearFitted(w[:-1], float(w[-1]), found.passes) for w in found.weights]
 
 
+#: rows times trees that one MLlib fit grows; its trees are on the driver, about a node for
+#: three of them
+TREE_ROWS = 2_000_000
+
+
 class RandomForest:
     """Random forest (M14): 100 trees of MLlib's greatest depth, seeded (the reference
-    leaves it unseeded and its trees grow without a limit)."""
+    leaves it unseeded and its trees grow without a limit).
+
+    Rows keep the number of their node in each tree, so that trees are not sent to the tasks
+    of every level. A forest of more than ``TREE_ROWS`` rows times trees is grown in several
+    fits, each with a seed of its own, and written part by part: the driver holds one.
+    """
 
     name = "rf"
 
@@ -113,13 +123,46 @@ class RandomForest:
         self.num_trees, self.max_depth, self.seed = num_trees, max_depth, seed
 
     def fit(self, df: DataFrame, label: str, features: str = "features", n_rows: int | None = None):
+        rows = df.select(_vec(features).alias("_vec"), F.col(label).cast("double").alias("_y"))
+        at_once = max(1, TREE_ROWS // max(1, n_rows or rows.count()))
+        if at_once >= self.num_trees:
+            return _MLlibFitted(self._grow(rows, self.num_trees, self.seed))
+        rows = materialize(df.select(F.col(features), F.col(label).alias("_y")), "forest-rows").select(
+            _vec(features).alias("_vec"), F.col("_y").cast("double").alias("_y")
+        )
+        paths = []
+        for first in range(0, self.num_trees, at_once):
+            paths.append(scratch_path(df.sparkSession, "forest"))
+            self._grow(rows, min(at_once, self.num_trees - first), self.seed + first).write().save(paths[-1])
+        return _ForestFitted(paths)
+
+    def _grow(self, rows: DataFrame, trees: int, seed: int):
         from pyspark.ml.classification import RandomForestClassifier
 
-        rf = RandomForestClassifier(
-            featuresCol="_vec", labelCol="_y", numTrees=self.num_trees, maxDepth=self.max_depth, seed=self.seed
-        )
-        m = rf.fit(df.select(_vec(features).alias("_vec"), F.col(label).cast("double").alias("_y")))
-        return _MLlibFitted(m)
+        ensure_checkpoint_dir(rows.sparkSession)
+        return RandomForestClassifier(
+            featuresCol="_vec", labelCol="_y", numTrees=trees, maxDepth=self.max_depth, seed=seed, cacheNodeIds=True
+        ).fit(rows)
+
+
+class _ForestFitted(Fitted):
+    """A forest in several files, read one after the other; their votes are added up."""
+
+    def __init__(self, paths: list[str]):
+        self.paths = paths
+
+    def predict_proba(self, df, features="features", out="prob"):
+        from pyspark.ml.classification import RandomForestClassificationModel
+        from pyspark.ml.functions import vector_to_array
+
+        cols = df.columns
+        votes = df.withColumn("_votes", F.array(F.lit(0.0), F.lit(0.0)))
+        for path in self.paths:
+            part = RandomForestClassificationModel.load(path)
+            told = part.transform(votes.withColumn("_vec", _vec(features)))
+            both = F.zip_with("_votes", vector_to_array("rawPrediction"), lambda a, b: a + F.coalesce(b, F.lit(0.0)))
+            votes = materialize(told.select(*cols, both.alias("_votes")), "forest-votes")
+        return votes.select(*cols, (F.col("_votes")[1] / (F.col("_votes")[0] + F.col("_votes")[1])).alias(out))
 
 
 class GaussianNB:
