@@ -9,16 +9,16 @@ Three plans give the same rows:
   the k nearest of its reference rows for each of its query rows. The k best of all tiles
   are merged by ``row_number() <= k``, which Spark cuts down before the shuffle.
   With Q and R rows and tiles of ``t`` rows the shuffle moves ``Q * R / t`` rows of either
-  side and ``Q * k * R / t`` candidates of three numbers; the tile size, not the data,
-  bounds a task's memory.
+  side and ``Q * k * R / t`` candidates of three numbers. The size asked for is the least
+  size: a side with more than ``MOST_TILES`` tiles gets larger ones, so that the shuffle
+  grows with the rows, until a tile has ``TILE_VALUES`` numbers, which bounds a task's memory.
 * ``quantised``: tiles of one byte a dimension with distance bounds, exact distances for the
   survivors alone (``knn_quantised``).
 
 Order and ties. A neighbour's distance is always computed by difference; neighbours are
 ordered by that distance rounded to 9 digits, then by id, in every plan (N5). The matrix
-form ``|q|^2 + |p|^2 - 2 q.p`` only preselects: both sides are first moved by the
-reference mean, and every row within the form's rounding error of the k-th place, or tied
-with it after rounding, is kept for the exact step.
+form ``|q|^2 + |p|^2 - 2 q.p`` only preselects (``near``): every row within the form's
+rounding error of the k-th place, or tied with it after rounding, is kept for the exact step.
 """
 
 from __future__ import annotations
@@ -28,66 +28,70 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import checkpoint, ship_package
-from .knn_quantised import knn_quantised
+from .knn_quantised import TIE, knn_quantised, tile_rows
+from .near import near_pairs
 
 # References of up to this many bytes (vectors, ids and carried columns) are broadcast.
 BROADCAST_BYTES = 32 << 20
 # Distance-matrix cells computed at once inside a task.
 TASK_MATRIX_CELLS = 4_000_000
-# Rows of a reference and of a query tile, lowered so that a tile has at most TILE_VALUES doubles.
+# Rows of a reference and of a query tile: raised so that a side has a bounded number of tiles
+# (``tile_rows``), then lowered so that a tile has at most TILE_VALUES doubles.
 BLOCK_ROWS = 16_384
 QUERY_ROWS_PER_GROUP = 16_384
 TILE_VALUES = 1 << 21
 
 
+def _matrix(rows: pa.Table, name: str) -> np.ndarray:
+    column = rows.column(name)
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
 def _as_matrix(series: pd.Series) -> np.ndarray:
     if len(series) == 0:
         return np.zeros((0, 0))
     return np.stack([np.asarray(v, dtype=np.float64) for v in series.to_numpy()])
 
 
-def _topk_rows(q: np.ndarray, p: np.ndarray, ids: np.ndarray, k: int):
+def _least_ids(p: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Rows that can be neighbours: of equal rows those with the k least ids."""
+    if len(p) <= k:
+        return np.arange(len(p))
+    whole = np.ascontiguousarray(p + 0.0).view(np.dtype((np.void, 8 * p.shape[1]))).ravel()
+    _, group, sizes = np.unique(whole, return_inverse=True, return_counts=True)
+    if sizes.max() <= k:
+        return np.arange(len(p))
+    by_id = np.argsort(ids, kind="stable")
+    order = by_id[np.argsort(group[by_id], kind="stable")]
+    place = np.arange(len(p)) - np.searchsorted(group[order], group[order], side="left")
+    return np.sort(order[place < k])
+
+
+def _topk_in_steps(q: np.ndarray, p: np.ndarray, ids: np.ndarray, k: int):
     """Exact ``min(k, len(p))`` nearest of every row of ``q`` among ``p``, ordered by
     (round(d, 9), id).
 
-    Returns (row index, reference index, distance) arrays, row after row.
+    Yields (row index, reference index, distance) arrays, row after row, for slices of ``q``.
     """
-    n_p, dim = p.shape
-    k = min(k, n_p)
-    if k < n_p:
-        middle = p.mean(axis=0)
-        qc, pc = q - middle, p - middle
-        qq, pp = np.einsum("ij,ij->i", qc, qc), np.einsum("ij,ij->i", pc, pc)
-        d2 = qq[:, None] + pp[None, :] - 2.0 * (qc @ pc.T)
-        # rounding error of one entry of the matrix form
-        error = 4 * (dim + 4) * np.finfo(float).eps * (qq + pp.max())
-        kth = np.partition(d2, k - 1, axis=1)[:, k - 1]
-        reach = (np.sqrt(np.maximum(kth + error, 0)) + 2e-9) ** 2 + error
-        rows, cols = np.nonzero(d2 <= reach[:, None])
-    else:
-        rows, cols = np.repeat(np.arange(len(q)), n_p), np.tile(np.arange(n_p), len(q))
-    diff = q[rows] - p[cols]
-    dist = np.sqrt(np.einsum("ij,ij->i", diff, diff))
-    by_id = np.argsort(ids[cols], kind="stable")
-    rows, cols, dist = rows[by_id], cols[by_id], dist[by_id]
-    order = np.lexsort((np.round(dist, 9), rows))
-    rows, cols, dist = rows[order], cols[order], dist[order]
-    place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
-    best = place < k
-    return rows[best], cols[best], dist[best]
-
-
-def _topk_in_steps(q: np.ndarray, p: np.ndarray, ids: np.ndarray, k: int):
-    """``_topk_rows`` over slices of ``q`` whose distance matrix stays bounded."""
-    step = max(1, TASK_MATRIX_CELLS // max(1, len(p)))
-    for start in range(0, len(q), step):
-        rows, cols, dist = _topk_rows(q[start: start + step], p, ids, k)
-        yield rows + start, cols, dist
+    k = min(k, len(p))
+    held = _least_ids(p, ids, k)
+    p, ids = (p, ids) if len(held) == len(p) else (p[held], ids[held])
+    for rows, cols in near_pairs(q, p, k, TIE, TASK_MATRIX_CELLS):
+        diff = q[rows] - p[cols]
+        dist = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+        by_id = np.argsort(ids[cols], kind="stable")
+        rows, cols, dist = rows[by_id], cols[by_id], dist[by_id]
+        order = np.lexsort((np.round(dist, 9), rows))
+        rows, cols, dist = rows[order], cols[order], dist[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+        best = place < k
+        yield rows[best], held[cols[best]], dist[best]
 
 
 def _checked(vec: Column, dim: int, side: str) -> Column:
@@ -149,19 +153,17 @@ def _knn_blocks(qd: DataFrame, refd: DataFrame, k: int, query_id: str, carry: li
         T.StructField("_d", T.DoubleType()),
     ] + [T.StructField(f"_c_{c}", refd.schema[f"_c_{c}"].dataType) for c in carry]
 
-    def tile_topk(qpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(qpdf) == 0 or len(rpdf) == 0:
-            return pd.DataFrame({f.name: [] for f in fields})
-        qids, ids = qpdf["_qid"].to_numpy(), rpdf["_rid"].to_numpy()
-        found = list(_topk_in_steps(_as_matrix(qpdf["_qv"]), _as_matrix(rpdf["_rv"]), ids, k))
-        rows, cols, dist = (np.concatenate(x) for x in zip(*found))
-        out = {"_qid": qids[rows], "_nn": ids[cols], "_d": dist}
-        for c in carry:
-            out[f"_c_{c}"] = rpdf[f"_c_{c}"].to_numpy()[cols]
-        return pd.DataFrame(out)
+    names = [f.name for f in fields]
+
+    def tile_topk(q: pa.Table, r: pa.Table) -> pa.Table:
+        near = list(_topk_in_steps(_matrix(q, "_qv"), _matrix(r, "_rv"), r.column("_rid").to_numpy(), k)) if q.num_rows and r.num_rows else []
+        rows, cols, dist = (np.concatenate(x) for x in zip(*near, strict=True)) if near else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+        rows, cols = pa.array(rows, pa.int64()), pa.array(cols, pa.int64())
+        carried = [r.column(f"_c_{c}").take(cols) for c in carry]
+        return pa.table([q.column("_qid").take(rows), r.column("_rid").take(cols), pa.array(dist, pa.float64()), *carried], names)
 
     keys = ["_qt", "_rt"]
-    cands = q_side.groupBy(*keys).cogroup(r_side.groupBy(*keys)).applyInPandas(tile_topk, T.StructType(fields))
+    cands = q_side.groupBy(*keys).cogroup(r_side.groupBy(*keys)).applyInArrow(tile_topk, T.StructType(fields))
     w = Window.partitionBy("_qid").orderBy(F.round("_d", 9), F.col("_nn"))
     return (
         cands.withColumn("nn_rank", F.row_number().over(w))
@@ -233,9 +235,10 @@ def knn_join(
         return checkpoint(_knn_broadcast(qd, refd, k, query_id, carry))
     rows = max(1, TILE_VALUES // max(1, dim))
     if method in ("auto", "quantised") and dim:
-        return checkpoint(knn_quantised(qd, refd, k, query_id, carry, n_ref, dim, min(block_rows, query_rows_per_group, rows)))
-    r_tiles = max(1, math.ceil(n_ref / min(block_rows, rows)))
-    q_tiles = max(1, math.ceil(query.count() / min(query_rows_per_group, rows)))
+        return checkpoint(knn_quantised(qd, refd, k, query_id, carry, n_ref, dim, min(block_rows, query_rows_per_group, rows), rows))
+    n_query = query.count()
+    r_tiles = max(1, math.ceil(n_ref / tile_rows(block_rows, n_ref, rows)))
+    q_tiles = max(1, math.ceil(n_query / tile_rows(query_rows_per_group, n_query, rows)))
     # |query| x k rows that callers read more than once: cut the lineage here
     return checkpoint(_knn_blocks(qd, refd, k, query_id, carry, (q_tiles, r_tiles)))
 

@@ -32,13 +32,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
+from .near import near_pairs
 
 PIVOTS = 256
 STEPS = 256
+#: tiles that a side is cut into at most, as long as a tile may grow
+MOST_TILES = 32
 #: room for distances that are equal after rounding to 9 digits
 TIE = 2e-9
 
 
+def tile_rows(asked: int, rows: int, most: int) -> int:
+    """Rows of a tile of a side of ``rows``: as asked, or more for ``MOST_TILES`` tiles, at most ``most``."""
+    return max(1, min(most, max(asked, math.ceil(rows / MOST_TILES))))
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), dim)
 
@@ -63,6 +71,13 @@ class Grid:
     def centres(self, code: np.ndarray) -> np.ndarray:
         return self.low + (code + 0.5) * self.width
 
+    def pair_bounds(self, between: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bound of the distances of rows, from the differences of their centres."""
+        d = np.sqrt(np.einsum("ij,ij->i", between, between))
+        # the sum's rounding, and that of a difference of far centres
+        error = d * (1e-12 + between.shape[1] * np.finfo(float).eps) + TIE
+        return np.maximum(d - gaps - error, 0), d + gaps + error
+
     def bounds(self, q: np.ndarray, q_gap: np.ndarray, r: np.ndarray, r_gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Lower and upper bound of every distance of rows given as bytes."""
         a, b = self.centres(q), self.centres(r)
@@ -146,7 +161,7 @@ def _count_map(counts: dict[int, int]):
 
 
 def candidates(
-    qd: DataFrame, refd: DataFrame, k: int, n_ref: int, dim: int, tile_rows: int
+    qd: DataFrame, refd: DataFrame, k: int, n_ref: int, dim: int, small: int, most: int = 1 << 15
 ) -> tuple[DataFrame, DataFrame]:
     """``_qid, uid, lower, upper`` of the pairs whose exact distance is needed, and the
     reference (``uid, _rid, _rv`` and carried columns) that ``uid`` belongs to."""
@@ -155,7 +170,8 @@ def candidates(
     ref = materialize(least.withColumn("uid", F.monotonically_increasing_id()), "knn-reference")
     grid = _ranges(ref, dim)
     # no more cells than the reference needs tiles, or queries would meet mere scraps
-    many = min(PIVOTS, max(1, math.ceil(n_ref / tile_rows)))
+    r_rows = tile_rows(small, n_ref, most)
+    many = min(PIVOTS, max(1, math.ceil(n_ref / r_rows)))
     first = ref.orderBy(F.xxhash64("_rid"), "uid").select("_rv").limit(many).collect()
     pivots = np.array([r["_rv"] for r in first], dtype=np.float64).reshape(len(first), dim)
     coded = materialize(_encode_reference(ref, grid, dim, pivots), "knn-codes")
@@ -166,8 +182,9 @@ def candidates(
     queries = materialize(_encode_queries(qd, grid, dim, pivots, sizes, radii, k), "knn-queries")
     asked = queries.select("_qid", "code", "gap", F.explode("cells").alias("cell"))
     meets = {r["cell"]: r["count"] for r in asked.groupBy("cell").count().collect()}
-    r_tiles = {c: max(1, math.ceil(n / tile_rows)) for c, (n, _) in told.items()}
-    q_tiles = {c: max(1, math.ceil(meets.get(c, 0) / tile_rows)) for c in told}
+    q_rows = tile_rows(small, max(meets.values(), default=0), most)
+    r_tiles = {c: max(1, math.ceil(n / r_rows)) for c, (n, _) in told.items()}
+    q_tiles = {c: max(1, math.ceil(meets.get(c, 0) / q_rows)) for c in told}
 
     def dealt(df, own, own_key, own_tiles, other, other_tiles):
         of = lambda tiles: F.element_at(_count_map(tiles), F.col("cell"))
@@ -186,13 +203,18 @@ def candidates(
         r_code, r_gap = _bytes_matrix(r.column("code"), dim), r.column("gap").to_numpy()
         uid, out = r.column("uid").to_numpy(), []
         q_code, q_gap = _bytes_matrix(q.column("code"), dim), q.column("gap").to_numpy()
-        step = max(1, 2_000_000 // len(uid))
-        for at in range(0, len(q_gap), step):
-            lower, upper = grid.bounds(q_code[at : at + step], q_gap[at : at + step], r_code, r_gap)
-            n = min(k, len(uid))
-            kth = np.partition(upper, n - 1, axis=1)[:, n - 1] if n == k else np.full(len(upper), np.inf)
-            rows, cols = np.nonzero(lower <= kth[:, None])
-            out.append((rows + at, uid[cols], lower[rows, cols], upper[rows, cols]))
+        q_mid, r_mid = grid.centres(q_code), grid.centres(r_code)
+        # a bound of the k-th distance and a lower bound differ from the distance of the centres by so much
+        room = 2 * (q_gap + r_gap.max() + TIE)
+        for rows, cols in near_pairs(q_mid, r_mid, k, room):
+            lower, upper = grid.pair_bounds(q_mid[rows] - r_mid[cols], q_gap[rows] + r_gap[cols])
+            if len(uid) >= k:
+                order = np.lexsort((upper, rows))
+                rows, cols, lower, upper = rows[order], cols[order], lower[order], upper[order]
+                kth = upper[np.searchsorted(rows, rows) + k - 1]
+                kept = lower <= kth
+                rows, cols, lower, upper = rows[kept], cols[kept], lower[kept], upper[kept]
+            out.append((rows, uid[cols], lower, upper))
         rows, ids, low, high = (np.concatenate(x) for x in zip(*out, strict=True))
         return pa.table([q.column("_qid").take(pa.array(rows)), pa.array(ids), pa.array(low), pa.array(high)], names)
 
@@ -206,10 +228,10 @@ def candidates(
 
 
 def knn_quantised(
-    qd: DataFrame, refd: DataFrame, k: int, query_id: str, carry: list, n_ref: int, dim: int, tile_rows: int
+    qd: DataFrame, refd: DataFrame, k: int, query_id: str, carry: list, n_ref: int, dim: int, small: int, most: int
 ) -> DataFrame:
     """The k nearest reference rows of every query, as the other plans return them."""
-    left, ref = candidates(qd, refd, k, n_ref, dim, tile_rows)
+    left, ref = candidates(qd, refd, k, n_ref, dim, small, most)
     left = materialize(left.select("_qid", "uid"), "knn-candidates")
     # a reference row near very many queries is split by AQE
     pairs = left.join(ref, "uid").join(qd.select("_qid", "_qv"), "_qid")
