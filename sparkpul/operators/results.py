@@ -11,11 +11,14 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import md5_key
-from ..session import materialize
+from ..session import materialize, ship_package
 from .ranking import prefix_sums
 from .splits import DEFAULT_SEED
 
@@ -232,6 +235,34 @@ def bootstrap_weight(uniform: Column) -> Column:
     return weight
 
 
+def _drawn(replicates: int):
+    """Sums of weight and of weight times metric per k and replicate of the rows of a batch."""
+    steps = np.array(poisson_one_cdf())
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            coded = batch.column("k").dictionary_encode(null_encoding="encode")
+            code = coded.indices.to_numpy()
+            order = np.argsort(code, kind="stable")
+            starts = np.flatnonzero(np.diff(code[order], prepend=-1))
+            digits = bytes.fromhex("".join(batch.column("hex").to_pylist()))
+            drawn = np.frombuffer(digits, ">u4").reshape(batch.num_rows, -1)[order, :replicates]
+            weight = np.searchsorted(steps, drawn / 2.0 ** (4 * BOOTSTRAP_DIGITS), side="right")
+            metric = batch.column("m").to_numpy()[order]
+            n = np.add.reduceat(weight, starts, axis=0)
+            with np.errstate(invalid="ignore"):
+                total = np.add.reduceat(np.where(weight > 0, weight * metric[:, None], 0.0), starts, axis=0)
+            group, b = np.nonzero(n)
+            k = coded.dictionary.take(pa.array(code[order][starts][group]))
+            yield pa.RecordBatch.from_arrays(
+                [k, pa.array(b, pa.int32()), pa.array(total[group, b]), pa.array(n[group, b], pa.int64())], ["k", "_b", "_sum", "_n"]
+            )
+
+    return run
+
+
 def bootstrap_band(
     df: DataFrame, k_col: str, metric: str, row_key: Sequence[str], replicates: int = 1000, level: float = 0.95,
     seed: int = DEFAULT_SEED,
@@ -242,22 +273,18 @@ def bootstrap_band(
     Poisson bootstrap: in replicate b a row counts as often as a Poisson(1) variable drawn
     from the md5 key of its ``row_key`` and b says, so rows need no numbering and no group
     is gathered. All replicates come from one scan: a row becomes its nonzero weights, which
-    are summed per (k, replicate) before the shuffle; what is shuffled has at most one row
-    per task, k and replicate. Replicates that draw no row of a k have no mean. Rows without
+    are summed per (k, replicate) batch by batch in the task, then before the shuffle; what is
+    shuffled has at most one row per task, k and replicate. Replicates that draw no row of a k have no mean. Rows without
     a metric count for nothing; without ``row_key`` duplicates the rows draw independently.
     """
+    ship_package(df.sparkSession)
     fours = F.sequence(F.lit(0), F.lit(math.ceil(replicates / 4) - 1))
     keys = F.transform(fours, lambda i: md5_key(seed, *row_key, i))
-    drawn = df.where(F.col(metric).isNotNull()).select(
-        F.col(k_col), F.col(metric).cast("double").alias("_m"), F.posexplode(keys).alias("_four", "_key")
-    )
-    one = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.substring("_key", 1 + 8 * i, 8).alias("u")) for i in range(4)]))
-    each = drawn.select(k_col, "_m", "_four", one.alias("_s")).select(
-        k_col, "_m", (F.col("_four") * 4 + F.col("_s.i")).alias("_b"),
-        (F.conv("_s.u", 16, 10).cast("long").cast("double") / F.lit(2.0**32)).alias("_u"),
-    )
-    weighed = each.where(F.col("_b") < replicates).withColumn("_w", bootstrap_weight(F.col("_u"))).where("_w > 0")
-    means = weighed.groupBy(k_col, "_b").agg((F.sum(F.col("_w") * F.col("_m")) / F.sum("_w")).alias("_mean"))
+    whole = df.where(F.col(metric).cast("double").isNotNull() & md5_key(seed, *row_key).isNotNull())
+    read = whole.select(F.col(k_col).alias("k"), F.col(metric).cast("double").alias("m"), F.array_join(keys, "").alias("hex"))
+    schema = T.StructType([read.schema["k"]]).add("_b", T.IntegerType()).add("_sum", T.DoubleType()).add("_n", T.LongType())
+    drawn = read.mapInArrow(_drawn(replicates), schema)
+    means = drawn.groupBy(F.col("k").alias(k_col), "_b").agg((F.sum("_sum") / F.sum("_n")).alias("_mean"))
     tail = (1 - level) / 2
     return means.groupBy(k_col).agg(
         F.percentile("_mean", F.lit(tail)).alias("low"), F.percentile("_mean", F.lit(1 - tail)).alias("high")
