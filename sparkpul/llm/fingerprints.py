@@ -41,6 +41,8 @@ from sparkpul.llm.common import materialize
 BLOCK = 256
 #: blocks with more than one part in so many of all rows are cut further
 HOT_SHARE = 1000
+#: as read from a file: joins of a block with its like need no cast, which would shuffle again
+BLOCK_TYPE = "struct<base: bigint, id: bigint, piece: bigint>"
 #: blocks whose order one window task settles, about
 SUPER = 1 << 14
 EXACT = 4
@@ -166,7 +168,7 @@ def _in_blocks(docs: DataFrame) -> DataFrame:
         "base",
         F.when(cut, F.coalesce("doc_id", none)).otherwise(zero).alias("id"),
         F.when(cut, F.coalesce(piece, zero)).otherwise(zero).alias("piece"),
-    )
+    ).cast(BLOCK_TYPE)
     rows = found.select(block.alias("block"), "doc_id", "hash", "text", cut.alias("cut"))
     whole = rows.where("not cut").select("block", "doc_id", "hash", "text", F.lit(1).cast("long").alias("copies"))
     if crowded.isEmpty():
