@@ -12,7 +12,7 @@ Three plans give the same rows:
   side and ``Q * k * R / t`` candidates of three numbers. The size asked for is the least
   size: a side with more than ``MOST_TILES`` tiles gets larger ones, so that the shuffle
   grows with the rows, until a tile has ``TILE_VALUES`` numbers, which bounds a task's memory.
-* ``quantised``: tiles of one byte a dimension with distance bounds, exact distances for the
+* ``quantised``: tiles of two bytes a dimension with distance bounds, exact distances for the
   survivors alone (``knn_quantised``).
 
 Order and ties. A neighbour's distance is always computed by difference; neighbours are
@@ -273,13 +273,10 @@ def credibility(
 ) -> DataFrame:
     """Share of known positives among the ``k`` nearest rows, the row itself included,
     for unlabeled rows only (J3, J4, A10)."""
-    nn = knn_join(df, df, k, id_col, id_col, vec_col, vec_col, carry=[y_col], **kw)
-    unl = df.where(F.col(y_col) == 0).select(id_col)
-    return (
-        nn.join(unl, id_col, "left_semi")
-        .groupBy(id_col)
-        .agg(F.avg(F.col(y_col).cast("double")).alias("credibility"))
-    )
+    # known positives are neighbours, but nothing is asked about them
+    asked = df.join(df.where(F.col(y_col) == 0).select(id_col), id_col, "left_semi")
+    nn = knn_join(asked, df, k, id_col, id_col, vec_col, vec_col, carry=[y_col], **kw)
+    return nn.groupBy(id_col).agg(F.avg(F.col(y_col).cast("double")).alias("credibility"))
 
 
 def knn_classify(

@@ -21,9 +21,12 @@ FIRST_COLUMNS = 2048
 CROWD = 64
 
 
-def _near(a: np.ndarray, aa: np.ndarray, b: np.ndarray, bb_max: float, k: int, room: np.ndarray, many: float):
-    """Rows, columns of the entries that may be within the k-th least distance plus ``room``;
-    None if there are more than ``many``. ``a`` is ``[-2 a, 1]``, ``b`` is ``[b, |b|^2]``."""
+def _near(
+    a: np.ndarray, aa: np.ndarray, b: np.ndarray, bb_max: float, k: int, room: np.ndarray, many: float, within: np.ndarray
+):
+    """Rows, columns of the entries that may be within the k-th least distance plus ``room``
+    and within ``within``; None if there are more than ``many``. ``a`` is ``[-2 a, 1]``,
+    ``b`` is ``[b, |b|^2]``."""
     error = 4 * (a.shape[1] + 8) * float(np.finfo(a.dtype).eps) * (aa + bb_max) + float(np.finfo(np.float32).tiny) * a.shape[1]
 
     def limit(kth: np.ndarray) -> np.ndarray:
@@ -36,6 +39,7 @@ def _near(a: np.ndarray, aa: np.ndarray, b: np.ndarray, bb_max: float, k: int, r
         g = a @ part.T
         if reach is None:
             reach = limit(np.partition(g, k - 1, axis=1)[:, k - 1].astype(np.float64))
+            reach = np.minimum(reach, within**2 + error - aa)
             low = reach.astype(a.dtype)
             low = np.where(low < reach, np.nextafter(low, np.asarray(np.inf, a.dtype)), low)[:, None]
         hits = np.flatnonzero((g <= low).ravel())
@@ -48,17 +52,21 @@ def _near(a: np.ndarray, aa: np.ndarray, b: np.ndarray, bb_max: float, k: int, r
     rows, cols, values = np.concatenate(rows), np.concatenate(cols), np.concatenate(values).astype(np.float64)
     order = np.lexsort((values, rows))
     rows, cols, values = rows[order], cols[order], values[order]
-    start = np.searchsorted(rows, np.arange(len(a)))
-    kept = values <= limit(values[start + k - 1])[rows]
+    start, end = (np.searchsorted(rows, np.arange(len(a)), side) for side in ("left", "right"))
+    full, kth = end - start >= k, np.full(len(a), np.inf)
+    kth[full] = values[start[full] + k - 1]
+    kept = values <= limit(kth)[rows]
     return rows[kept], cols[kept]
 
 
 def near_pairs(
-    a: np.ndarray, b: np.ndarray, k: int, room: np.ndarray | float, cells: int = STEP_CELLS
+    a: np.ndarray, b: np.ndarray, k: int, room: np.ndarray | float, cells: int = STEP_CELLS,
+    within: np.ndarray | float = np.inf,
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows of ``a`` and of ``b``, slice by slice of ``a``, row after row: all pairs whose
-    distance is at most the row's k-th least distance plus ``room``, and few others."""
-    room = np.broadcast_to(np.asarray(room, np.float64), (len(a),))
+    distance is at most the row's k-th least distance plus ``room``, and few others. Pairs
+    farther apart than ``within`` may be left out."""
+    room, within = (np.broadcast_to(np.asarray(x, np.float64), (len(a),)) for x in (room, within))
     middle = b.mean(axis=0) if len(b) else 0.0
     a, b = a - middle, b - middle
     scale = max(np.abs(a).max(initial=0.0), np.abs(b).max(initial=0.0)) or 1.0
@@ -68,14 +76,14 @@ def near_pairs(
             n = min(step, len(a) - at)
             yield np.repeat(np.arange(at, at + n), len(b)), np.tile(np.arange(len(b)), n)
         return
-    a, b, room = a / scale, b / scale, room / scale
+    a, b, room, within = a / scale, b / scale, room / scale, within / scale
     aa, bb = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
     whole = np.concatenate([b, bb[:, None]], axis=1)
     rough = whole.astype(np.float32)
 
     def ask(at: int, end: int, columns: np.ndarray, many: float):
         rows = np.concatenate([-2 * a[at:end], np.ones((end - at, 1))], axis=1).astype(columns.dtype)
-        return _near(rows, aa[at:end], columns, bb.max(), k, room[at:end], many)
+        return _near(rows, aa[at:end], columns, bb.max(), k, room[at:end], many, within[at:end])
 
     step = max(1, cells // min(len(b), STEP_COLUMNS))
     for at in range(0, len(a), step):

@@ -171,3 +171,39 @@ def test_quantised_carries_columns(spark):
     got = knn_join(q, ref, 2, "id", "id", carry=["a", "b"], method="quantised").orderBy("nn_rank").collect()
     assert [(r["id"], r["nn_id"], r["a"], r["b"]) for r in got] == [(3, 2, "name 2", None), (3, 3, "name 3", None)]
     assert knn_join(q.limit(0), ref, 2, "id", "id", method="quantised").collect() == []
+
+
+def test_quantised_asks_hardly_more_than_the_nearest(spark):
+    """Spread vectors of 64 dimensions: next to no row but the k nearest is joined with its vector."""
+    rng = np.random.default_rng(11)
+    q, r = rng.normal(size=(200, 64)), rng.normal(size=(2000, 64))
+    assert 200 * 6 <= _survivors(spark, q, r, 6, 64) < 200 * 6 * 1.05
+
+
+def test_quantised_lanes_of_cells(spark):
+    """Many cells a lane, of which queries are to meet some; one cell larger than a lane."""
+    from sparkpul.operators.knn_quantised import LANE_CELLS, _lanes
+
+    sizes = np.array([5, 90, 3, 0, 4] + [1] * 40)
+    lane, place = _lanes(sizes, np.arange(45.0)[:, None], 40)
+    assert len(set(zip(lane, place))) == 45 and place.max() < LANE_CELLS
+    assert all((lane == i).sum() == 1 or sizes[lane == i].sum() <= 40 for i in lane)
+    rng = np.random.default_rng(12)
+    middle = 30 * rng.normal(size=(40, 2))
+    r = np.concatenate([rng.normal(size=(600, 2)) * 0.01, rng.normal(size=(900, 2)) + middle[rng.integers(0, 40, 900)]])
+    q = np.concatenate([rng.normal(size=(40, 2)) * 0.01, rng.normal(size=(80, 2)) + middle[rng.integers(0, 40, 80)]])
+    got = {(x["id"], x["nn_rank"]): x["nn_id"] for x in
+           knn_join(_frame(spark, q), _frame(spark, r), 5, "id", "id", method="quantised", block_rows=16).collect()}
+    want = _brute(q, range(120), r, range(1500), 5)
+    assert got == {(i, n + 1): j for i, found in want.items() for n, (j, _) in enumerate(found)}
+
+
+def test_credibility_asks_unlabeled_rows_only(spark, monkeypatch):
+    from sparkpul.operators import knn as K
+
+    seen, whole = [], K.knn_join
+    monkeypatch.setattr(K, "knn_join", lambda q, *a, **kw: seen.append(q.count()) or whole(q, *a, **kw))
+    rows = [(i, [float(i * i % 17), float(i)], int(i % 3 == 0)) for i in range(30)] + [(None, [1.0, 1.0], 0)]
+    df = spark.createDataFrame(rows, "id long, features array<double>, y_pu int")
+    got = {x["id"]: x["credibility"] for x in credibility(df, 1, "id").collect()}
+    assert seen == [20] and got == {i: 0.0 for i in range(30) if i % 3}

@@ -57,3 +57,15 @@ def test_tiles_of_a_side_are_bounded(spark, monkeypatch):
            K.knn_join(df, df, 2, "id", "id", method="blocks", block_rows=4, query_rows_per_group=4).collect()}
     assert max(seen[0]) <= 32
     assert got == {(i, n + 1): j for i, w in enumerate(exact(x, x, range(500), 2)) for n, j in enumerate(w)}
+
+
+def test_pairs_beyond_the_known_reach_are_left_out():
+    """No pair within both the k-th distance and the known reach is missed, and few others come."""
+    rng = np.random.default_rng(5)
+    q, p = rng.normal(size=(60, 16)) + 1e3, rng.normal(size=(7000, 16)) + 1e3
+    d = np.sqrt(((q[:, None] - p[None]) ** 2).sum(-1))
+    kth = np.sort(d, axis=1)[:, 4]
+    within = kth * np.where(np.arange(60) % 3 == 0, 0.0, np.where(np.arange(60) % 3 == 1, 0.95, 2.0))
+    got = {(i, j) for rows, cols in near_pairs(q, p, 5, 1e-9, within=within) for i, j in zip(rows.tolist(), cols.tolist())}
+    want = {(i, j) for i, j in zip(*(x.tolist() for x in np.nonzero(d <= np.minimum(kth, within)[:, None])))}
+    assert want <= got and len(got) < len(want) + 30
