@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkpul.llm import suffix_dedup as sd
 from sparkpul.llm.suffix_sort import suffix_arrays
@@ -97,3 +98,28 @@ def test_anchors_are_leftmost_least():
         got = sd.least_places(values, width)
         high = values >> np.uint64(32)
         assert got.tolist() == [s + int(np.argmin(high[s : s + width])) for s in range(500 - width + 1)]
+
+
+def test_op5_tasks_get_buckets_of_like_size(spark, monkeypatch):
+    """A batch is sorted until its largest bucket is done: small buckets do not share a task
+    with large ones, and tasks are as many as fill a batch."""
+    rng = random.Random(5)
+    rows = []
+    for key in range(120):
+        core = rng.randbytes(40 if key % 6 else 400)
+        strings = [core + rng.randbytes(10), core + rng.randbytes(10)]
+        rows += [(key, 2 * key + i, 0, 0, 0, 1, sum(map(len, strings)), s) for i, s in enumerate(strings)]
+    rows += rows[:4]  # the strings of equal rows
+    strings = spark.createDataFrame(rows, sd.CUT)
+    spans = sd.bucket_spans(strings, 40, 4).withColumn("task", F.spark_partition_id()).collect()
+    assert {(r.doc_id, r.a, r.b) for r in spans} == {(d, 0, 400 if k % 6 == 0 else 40) for k, d, *_ in rows}
+    assert len(spans) == 240
+    tasks = {large: {r.task for r in spans if (r.b == 400) == large} for large in (False, True)}
+    assert len(tasks[False]) > 1 and len(tasks[False] & tasks[True]) <= 1
+
+    dealt = []
+    whole = sd.bucket_spans
+    monkeypatch.setattr(sd, "bucket_spans", lambda s, length, n: dealt.append(n) or whole(s, length, n))
+    rows = repeated_rows()
+    assert bag(sd.digests(sd.remove_repeats(docs(spark, rows), 40, 10))) == want(rows, 40)
+    assert dealt == [1]
