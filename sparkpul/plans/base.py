@@ -8,8 +8,10 @@ are an ``array<double>`` column; MLlib sees a vector only inside fit / transform
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
+import pyspark.ml  # noqa: F401  here, as threads that import it side by side can fail
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ from ..operators.knn import knn_join
 from ..operators.ranking import hash_rank
 from ..operators.splits import DEFAULT_SEED
 from ..session import ensure_checkpoint_dir, materialize, scratch_path
-from . import newton
+from . import forest, newton
 from .blocks import pack
 
 
@@ -106,6 +108,8 @@ class LogisticClassifier:
 #: rows times trees that one MLlib fit grows; its trees are on the driver, about a node for
 #: three of them
 TREE_ROWS = 2_000_000
+#: rows from which such forests are grown by the tasks (``forest``), not by MLlib
+LARGE_ROWS = 20_000
 
 
 class RandomForest:
@@ -114,7 +118,9 @@ class RandomForest:
 
     Rows keep the number of their node in each tree, so that trees are not sent to the tasks
     of every level. A forest of more than ``TREE_ROWS`` rows times trees is grown in several
-    fits, each with a seed of its own, and written part by part: the driver holds one.
+    fits, each with a seed of its own, and written part by part: the driver holds one. With more
+    than ``LARGE_ROWS`` rows MLlib's histograms of every level cost more than the rows: its rules
+    are then followed by ``forest.grow``, where a task grows all below a node that it can hold.
     """
 
     name = "rf"
@@ -124,9 +130,12 @@ class RandomForest:
 
     def fit(self, df: DataFrame, label: str, features: str = "features", n_rows: int | None = None):
         rows = df.select(_vec(features).alias("_vec"), F.col(label).cast("double").alias("_y"))
-        at_once = max(1, TREE_ROWS // max(1, n_rows or rows.count()))
+        n_rows = n_rows or rows.count()
+        at_once = max(1, TREE_ROWS // max(1, n_rows))
         if at_once >= self.num_trees:
             return _MLlibFitted(self._grow(rows, self.num_trees, self.seed))
+        if n_rows > LARGE_ROWS:
+            return _GrownForest(forest.grow(df, label, features, self.num_trees, self.max_depth, self.seed))
         rows = materialize(df.select(F.col(features), F.col(label).alias("_y")), "forest-rows").select(
             _vec(features).alias("_vec"), F.col("_y").cast("double").alias("_y")
         )
@@ -165,6 +174,14 @@ class _ForestFitted(Fitted):
         return votes.select(*cols, (F.col("_votes")[1] / (F.col("_votes")[0] + F.col("_votes")[1])).alias(out))
 
 
+class _GrownForest(Fitted):
+    def __init__(self, grown: forest.Forest):
+        self.grown = grown
+
+    def predict_proba(self, df, features="features", out="prob"):
+        return self.grown.predict(df, features, out)
+
+
 class GaussianNB:
     """Gaussian naive Bayes (M13) from class moments.
 
@@ -224,24 +241,44 @@ class _NBFitted(Fitted):
 
 class KNeighbours:
     """k-nearest-neighbour classifier (M12): vote share of class 1 among the k nearest
-    training rows, via the exact kNN join."""
+    training rows, via the exact kNN join. ``fit_many`` fits one model per k, which are
+    asked by one join."""
 
     def __init__(self, k: int = 5, id_col: str = "vec_id"):
         self.k, self.id_col = k, id_col
         self.name = f"kneighbours-{k}"
 
     def fit(self, df: DataFrame, label: str, features: str = "features", n_rows: int | None = None):
-        return _KNNFitted(df.select(self.id_col, F.col(features).alias("_f"), F.col(label).alias("_y")), self.k, self.id_col)
+        return self.fit_many(df, label, [self.k], features)[0]
+
+    def fit_many(self, df: DataFrame, label: str, ks: Sequence[int], features: str = "features") -> list[_KNNFitted]:
+        train = df.select(self.id_col, F.col(features).alias("_f"), F.col(label).alias("_y"))
+        near = _Neighbours(train, max(ks), self.id_col)
+        return [_KNNFitted(near, k) for k in ks]
+
+
+class _Neighbours:
+    """The ``most`` nearest training rows; the k nearest are those of rank 1 to k."""
+
+    def __init__(self, train: DataFrame, most: int, id_col: str):
+        self.train, self.most, self.id_col = train, most, id_col
+        self.last: tuple | None = None
+
+    def of(self, df: DataFrame, features: str) -> DataFrame:
+        """``_qid, nn_rank, _y``; found once as long as the same frame is asked."""
+        if self.last is None or self.last[0] is not df or self.last[1] != features:
+            q = df.select(F.col(self.id_col).alias("_qid"), F.col(features).alias("_f"))
+            ref = self.train.withColumnRenamed(self.id_col, "_rid")
+            self.last = df, features, knn_join(q, ref, self.most, "_qid", "_rid", "_f", "_f", carry=["_y"])
+        return self.last[2]
 
 
 class _KNNFitted(Fitted):
-    def __init__(self, train, k, id_col):
-        self.train, self.k, self.id_col = train, k, id_col
+    def __init__(self, near: _Neighbours, k: int):
+        self.near, self.k, self.id_col = near, k, near.id_col
 
     def predict_proba(self, df, features="features", out="prob"):
-        q = df.select(F.col(self.id_col).alias("_qid"), F.col(features).alias("_f"))
-        ref = self.train.withColumnRenamed(self.id_col, "_rid")
-        nn = knn_join(q, ref, self.k, "_qid", "_rid", "_f", "_f", carry=["_y"])
+        nn = self.near.of(df, features).where(F.col("nn_rank") <= self.k)
         share = nn.groupBy("_qid").agg(F.avg(F.col("_y").cast("double")).alias(out))
         return df.join(share.withColumnRenamed("_qid", self.id_col), self.id_col, "left")
 

@@ -28,7 +28,7 @@ from ..operators.detectors import KNNDetector
 from ..operators.results import pivot_results
 from ..session import materialize, scratch_path
 from ..sources.tables import path_exists
-from .base import dot_plus, make_classifier
+from .base import KNeighbours, dot_plus, make_classifier
 from .claims import Ledger
 from .models import NonNegativePU, NonStop, ProbTagging, TwoStep
 from .parallel import run_parallel
@@ -109,13 +109,15 @@ def run_grid(
     features: str = "features",
     parallel: int | None = None,
     train_together: Callable[[list[dict], DataFrame, DataFrame | None], list] | None = None,
+    together: Callable[[dict], object] = lambda cell: None,
 ) -> DataFrame:
     """Run every cell that has no result under ``path`` yet; the results of all its cells.
 
     A cell is a dict with ``setting`` (a name) and optionally ``classifier`` and
     ``detector`` labels; ``build(cell)`` returns an algorithm with ``fit(train, val)`` and
     ``predict``. With ``train_together`` the cells of a setting are trained in one program
-    instead: it gets them with the train and validation rows and returns their models.
+    instead: it gets them with the train and validation rows and returns their models. Where
+    ``together`` tells cells of a setting apart, each of its values is a program of its own.
     Predictions (id, ``y_true``, ``y_pu``, ``y_pred``) are under
     ``path/predictions`` by cell, see ``predictions``.
     """
@@ -140,10 +142,10 @@ def run_grid(
     def finish(cell: dict, algorithm, test: DataFrame) -> None:
         _finish(spark, algorithm, test, key(cell), id_col, f"{path}/{{}}/cell={cell_name(key(cell))}", features)
 
-    groups = [[c] for c in todo]
-    if train_together:
-        groups = [[c for c in todo if c["setting"] == name] for name in splits]
-    run_cells(groups, run, parallel)
+    groups: dict = {}
+    for i, c in enumerate(todo):
+        groups.setdefault((c["setting"], together(c)) if train_together else i, []).append(c)
+    run_cells(list(groups.values()), run, parallel)
     # what this grid asked for, of all that is there
     wanted = spark.createDataFrame([(cell_name(key(c)),) for c in cells], "cell string").distinct()
     stored = spark.read.schema(f"{RESULT_SCHEMA}, cell string").parquet(f"{path}/results")
@@ -271,9 +273,22 @@ BASELINES = ["logistic", "kneighbours-5", "kneighbours-9", "kneighbours-19", "na
 def pn_baselines(
     spark: SparkSession, settings: Sequence[Setting], classifiers: Sequence[str] = BASELINES, path: str | None = None
 ) -> DataFrame:
-    """PN baselines (M16): every classifier trained on the true label, per setting."""
+    """PN baselines (M16): every classifier trained on the true label, per setting. The kNN
+    classifiers of a setting ask for their neighbours once, for the largest k."""
     cells = cross(setting=[s.name for s in settings], classifier=classifiers)
-    out = run_grid(spark, settings, cells, lambda c: Supervised(make_classifier(c["classifier"])), path)
+    by_name = {name: make_classifier(name) for name in classifiers}
+
+    def train_together(group: list[dict], train: DataFrame, val: DataFrame | None) -> list:
+        found = [by_name[c["classifier"]] for c in group]
+        if isinstance(found[0], KNeighbours):
+            rows = train if val is None else train.unionByName(val)
+            return found[0].fit_many(rows, "y_true", [f.k for f in found])
+        return [Supervised(f).fit(train, val) for f in found]
+
+    def together(cell: dict) -> object:
+        return KNeighbours if isinstance(by_name[cell["classifier"]], KNeighbours) else cell["classifier"]
+
+    out = run_grid(spark, settings, cells, lambda c: None, path, train_together=train_together, together=together)
     return out.select("setting", "classifier", "balanced_accuracy", "accuracy", "f1")
 
 
